@@ -68,6 +68,29 @@ FROM flights
 """
 
 
+def no_negative_zero(sql: str) -> str:
+    """Wrap every ``ROUND(...)`` as ``(ROUND(...) + 0.0)``: DuckDB keeps the
+    sign of a rounded tiny negative (``-0.0``) where Spark gives ``0.0``."""
+    out, i, key = [], 0, "ROUND("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = no_negative_zero(sql[j + len(key):k])
+        out.append(sql[i:j] + "(ROUND(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def with_flights(body: str, nulls: bool = False, extra: str = "") -> str:
     """``WITH flights AS (...) [, flights_n AS (...)] <extra CTEs> <body>``."""
     ctes = [f"flights AS ({FLIGHTS_SQL})"]
@@ -75,7 +98,7 @@ def with_flights(body: str, nulls: bool = False, extra: str = "") -> str:
         ctes.append(f"flights_n AS ({NULLS_SQL})")
     if extra:
         ctes.append(extra)
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return no_negative_zero("WITH " + ",\n".join(ctes) + "\n" + body)
 
 
 TIE = "travel_code, line_number, part_key, supp_key"

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from ...functions.numeric import boxcox, inv_boxcox, inv_yeojohnson, yeojohnson
 from .base import JsonState, present
 
 POWER_STRATEGIES = ("log", "box-cox", "yeo-johnson")
-GRID_LO, GRID_HI, GRID_POINTS, ZOOM_ROUNDS = -4.0, 4.0, 41, 7
+GRID_LO, GRID_HI, GRID_POINTS, ZOOM_ROUNDS = -4.0, 4.0, 21, 6
 
 
 @dataclass(frozen=True)
@@ -58,32 +59,39 @@ class PowerModel(JsonState):
         return df.withColumns(out) if out else df
 
 
-def _llf_aggs(df_cols, strategy, grid):
-    aggs = []
-    for c in df_cols:
-        x = F.col(c).cast("double")
-        if strategy == "box-cox":
-            aggs.append(F.sum(F.log(x)).alias(f"{c}__logsum"))
-        else:
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{c}__logsum"))
-        aggs.append(F.count(x).alias(f"{c}__n"))
-        for i, lam in enumerate(grid[c]):
-            t = boxcox(x, lam) if strategy == "box-cox" else yeojohnson(x, lam)
-            aggs.append(F.var_pop(t).alias(f"{c}__v{i}"))
-    return aggs
-
-
-def _best(row, c, grid):
-    n, logsum = row[f"{c}__n"], row[f"{c}__logsum"]
-    best, best_llf = None, -math.inf
-    for i, lam in enumerate(grid):
-        v = row[f"{c}__v{i}"]
-        if v is None or not math.isfinite(v) or v <= 0:
+def _bc_expr(x, lam):
+    """Box-Cox with lambda as a column."""
+    return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam)
+
+
+def _yj_expr(x, lam):
+    """Yeo-Johnson with lambda as a column (four branches)."""
+    pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    neg = F.when(F.abs(lam - 2.0) < 1e-12, -F.log1p(-x)).otherwise(
+        -(F.pow(-x + 1.0, 2.0 - lam) - 1.0) / (2.0 - lam))
+    return F.when(x >= 0, pos).otherwise(neg)
+
+
+def _evaluate_grid(long: DataFrame, strategy: str, grid: dict) -> dict:
+    """Log-likelihood of every (column, lambda) in one partial aggregation:
+    each value meets only its own column's candidate lambdas."""
+    lam_map = F.create_map(*[x for c, lams in grid.items()
+                             for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in lams]))])
+    x = F.col("x")
+    per = long.select("column", "x", F.explode(F.element_at(lam_map, F.col("column"))).alias("lam"))
+    t = _bc_expr(x, F.col("lam")) if strategy == "box-cox" else _yj_expr(x, F.col("lam"))
+    logt = F.log(x) if strategy == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
+    rows = per.groupBy("column", "lam").agg(F.count(x).alias("n"), F.sum(logt).alias("logsum"),
+                                          F.var_pop(t).alias("v")).collect()
+    out: dict = {c: {} for c in grid}
+    for r in rows:
+        v, n = r["v"], r["n"]
+        if v is None or not math.isfinite(v) or v <= 0 or not n:
             continue
-        llf = (lam - 1.0) * logsum - n / 2.0 * math.log(v)
-        if math.isfinite(llf) and llf > best_llf:
-            best, best_llf = i, llf
-    return best
+        llf = (r["lam"] - 1.0) * r["logsum"] - n / 2.0 * math.log(v)
+        if math.isfinite(llf):
+            out[r["column"]][r["lam"]] = llf
+    return out
 
 
 def fit_power(df: DataFrame, columns, strategy: str = "yeo-johnson") -> PowerModel:
@@ -97,19 +105,26 @@ def fit_power(df: DataFrame, columns, strategy: str = "yeo-johnson") -> PowerMod
         neg = [c for c in cols if bad[c]]
         if neg:
             raise ValueError(f"box-cox needs strictly positive data; non-positive in {neg}")
-    src = df.select(*cols)
+    # the grid is evaluated several times over the same rows: keep the
+    # projected values (like MLlib's iterative fits do); a lost block is
+    # recomputed from lineage
+    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([], cols, "column", "x")
+            .where(F.col("x").isNotNull() & ~F.isnan("x"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     lo = {c: GRID_LO for c in cols}
     hi = {c: GRID_HI for c in cols}
     lam = {}
     for _ in range(ZOOM_ROUNDS):
         grid = {c: [lo[c] + (hi[c] - lo[c]) * i / (GRID_POINTS - 1) for i in range(GRID_POINTS)]
                 for c in cols}
-        row = src.agg(*_llf_aggs(cols, strategy, grid)).collect()[0]
+        llf = _evaluate_grid(long, strategy, grid)
         for c in cols:
-            i = _best(row, c, grid[c])
-            if i is None:
+            if not llf[c]:
+                long.unpersist()
                 raise ValueError(f"no finite likelihood for column {c!r}")
             step = grid[c][1] - grid[c][0]
-            lam[c] = grid[c][i]
+            lam[c] = max(llf[c].items(), key=lambda kv: (kv[1], -abs(kv[0])))[0]
             lo[c], hi[c] = lam[c] - step, lam[c] + step
+    long.unpersist()
     return PowerModel(strategy, lam, cols)
