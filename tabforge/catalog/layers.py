@@ -1 +1,211 @@
-"""placeholder"""
+"""Catalogue: quality gates (Q1-Q16) and layer jobs (L1-L4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.profile import group_stats
+from ..operators.quality import rules as R
+from ..operators.quality import suites
+from ..plans import config as C
+from ..plans.layers import bronze_gate, fit_gold, gold_gate, silver_gate, silver_transform
+from ..sources.tables import RAW_COLUMNS, raw_flights
+from .base import TIE, r, register, with_flights
+
+_GATE_COLS = ["rule", "kind", "column", "success", "unexpected_count", "element_count"]
+
+
+def _raw(spark, sf):
+    return raw_flights(spark, sf).select(*RAW_COLUMNS)
+
+
+def _bronze_rules():
+    return suites.bronze_suite(flight_types=C.FLIGHT_TYPE_ORDER)
+
+
+def _row(rule, kind, column, success, bad="NULL", elems="NULL"):
+    col = "NULL" if column is None else f"'{column}'"
+    return (f"SELECT '{rule}' AS rule, '{kind}' AS kind, CAST({col} AS VARCHAR) AS column, "
+            f"{success} AS success, CAST({bad} AS BIGINT) AS unexpected_count, "
+            f"CAST({elems} AS BIGINT) AS element_count")
+
+
+# Raw columns as the SQL side sees them (bronze view of the flights CTE)
+_RAW_SQL = ("raw AS (SELECT travel_code AS travelCode, user_code AS userCode, from_location AS "
+            "\"from\", to_location AS \"to\", flight_type AS flightType, price, time, distance, "
+            "agency, strftime(date, '%Y-%m-%d') AS date FROM flights)")
+
+
+def _bronze_sql():
+    rows = [_row("columns_match_set", "columns_match_set", None, "TRUE"),
+            _row("row_count_between", "row_count_between", None,
+                 "(SELECT count(*) >= 1 FROM raw)")]
+    for c in suites.RAW_REQUIRED:
+        rows.append(_row(f"not_null:{c}", "not_null", c,
+                         f"(SELECT count_if(\"{c}\" IS NULL) = 0 FROM raw)",
+                         f"(SELECT count_if(\"{c}\" IS NULL) FROM raw)", "(SELECT count(*) FROM raw)"))
+    for c in suites.RAW_NUMERIC:
+        rows.append(_row(f"type_in_list:{c}", "type_in_list", c, "TRUE"))
+        if c in suites.RAW_NON_NEGATIVE:
+            rows.append(_row(f"between:{c}", "between", c,
+                             f"(SELECT count_if(\"{c}\" < 0) = 0 FROM raw)",
+                             f"(SELECT count_if(\"{c}\" < 0) FROM raw)",
+                             f"(SELECT count(\"{c}\") FROM raw)"))
+    for c in suites.RAW_STRING:
+        rows.append(_row(f"type_in_list:{c}", "type_in_list", c, "TRUE"))
+    bad_date = "count_if(try_strptime(date, '%Y-%m-%d') IS NULL AND date IS NOT NULL)"
+    rows.append(_row("matches_strftime:date", "matches_strftime", "date",
+                     f"(SELECT {bad_date} = 0 FROM raw)", f"(SELECT {bad_date} FROM raw)",
+                     "(SELECT count(date) FROM raw)"))
+    bad_t = "count_if(flightType NOT IN ('A', 'N', 'R'))"
+    rows.append(_row("in_set:flightType", "in_set", "flightType",
+                     f"(SELECT {bad_t} / count(flightType) <= 0.02 + 1e-12 FROM raw)",
+                     f"(SELECT {bad_t} FROM raw)", "(SELECT count(flightType) FROM raw)"))
+    return with_flights("\nUNION ALL\n".join(rows), extra=_RAW_SQL)
+
+
+@register("gate_bronze", "Q1 Q3 Q4 Q5 Q7 Q8 Q9 Q15 L1", _bronze_sql())
+def q_gate_bronze(spark, sf):
+    res, _ = bronze_gate(_raw(spark, sf), _bronze_rules())
+    return res.select(*_GATE_COLS)
+
+
+# --- silver ------------------------------------------------------------------
+
+_KEY = ", ".join(suites.SILVER_KEY)
+
+_SILVER_SQL = f"""
+SELECT CAST(travel_code AS SMALLINT) AS travel_code, CAST(user_code AS SMALLINT) AS user_code,
+       from_location, to_location, flight_type, price, CAST(time AS FLOAT) AS time,
+       CAST(distance AS FLOAT) AS distance, agency, date,
+       CAST(year(date) AS SMALLINT) AS year, CAST(month(date) AS TINYINT) AS month,
+       CAST(day(date) AS TINYINT) AS day, CAST(isodow(date) - 1 AS TINYINT) AS day_of_week,
+       CAST(dayofyear(date) AS SMALLINT) AS day_of_year, CAST(weekofyear(date) AS INTEGER) AS week_of_year
+FROM (SELECT * FROM flights QUALIFY row_number() OVER
+      (PARTITION BY user_code, from_location, to_location, date, CAST(time AS FLOAT), agency
+       ORDER BY date, {TIE}) = 1)"""
+
+
+def _silver(spark, sf):
+    return silver_transform(raw_flights(spark, sf), keep_tie_key=False,
+                            tie_key=["travel_code", "line_number", "part_key", "supp_key"])
+
+
+@register("silver_layer", "L2 P1 P2 P4 P5 P9 U3 X1", with_flights(_SILVER_SQL))
+def q_silver(spark, sf):
+    return _silver(spark, sf)
+
+
+@register("silver_group_stats", "L2 A1", with_flights(
+    "SELECT flight_type, agency, ROUND(avg(price), 6) AS mean_price, ROUND(sum(price), 2) AS "
+    "sum_price, count(price) AS count_price, bool_or(price <> 0) AS any_price, "
+    "ROUND(quantile_cont(price, 0.5), 6) AS median_price FROM s GROUP BY flight_type, agency",
+    extra=f"s AS ({_SILVER_SQL})"))
+def q_silver_stats(spark, sf):
+    g = group_stats(_silver(spark, sf), ["flight_type", "agency"], "price")
+    return g.select("flight_type", "agency", r("mean_price"), r("sum_price", 2), "count_price",
+                    "any_price", r("median_price"))
+
+
+def _silver_gate_sql():
+    rows = [_row("columns_match_ordered_list", "columns_match_ordered_list", None, "TRUE"),
+            _row("compound_columns_unique", "compound_columns_unique", None,
+                 f"(SELECT coalesce(sum(n), 0) = 0 FROM (SELECT count(*) AS n FROM s GROUP BY {_KEY}) "
+                 f"WHERE n > 1)",
+                 f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM s GROUP BY {_KEY}) "
+                 f"WHERE n > 1)", "(SELECT count(*) FROM s)"),
+            _row("row_count_between", "row_count_between", None, "(SELECT count(*) >= 1 FROM s)"),
+            _row("mean_between:price", "mean_between", "price",
+                 "(SELECT avg(price) BETWEEN 100 AND 5000 FROM s)")]
+    for c, t in C.SILVER_TYPES.items():
+        kind = "type_in_list" if t == "category" else "type_is"
+        rows.append(_row(f"{kind}:{c}", kind, c, "TRUE"))
+    for c in suites.SILVER_REQUIRED:
+        rows.append(_row(f"not_null:{c}", "not_null", c,
+                         f"(SELECT count_if({c} IS NULL) = 0 FROM s)",
+                         f"(SELECT count_if({c} IS NULL) FROM s)", "(SELECT count(*) FROM s)"))
+    return with_flights("\nUNION ALL\n".join(rows), extra=f"s AS ({_SILVER_SQL})")
+
+
+@register("gate_silver", "Q2 Q6 Q10 Q11 Q15 L2", _silver_gate_sql())
+def q_gate_silver(spark, sf):
+    res, _ = silver_gate(_silver(spark, sf))
+    return res.select(*_GATE_COLS)
+
+
+@register("gate_failures", "Q14 Q16", with_flights(
+    "SELECT 'mean_between:price' AS rule, 'mean_between' AS kind, 'price' AS column, "
+    "ROUND(avg(price), 4) AS observed FROM s WHERE NOT (SELECT avg(price) "
+    "BETWEEN 100 AND 5000 FROM s)", extra=f"s AS ({_SILVER_SQL})"))
+def q_gate_failures(spark, sf):
+    s = _silver(spark, sf)
+    rules = [R.Rule(x.kind, x.column, x.params, x.mostly, x.name)
+             for x in suites.silver_suite(types=C.SILVER_TYPES)]
+    res = R.failing_rules(R.run_rules(s, rules))
+    return res.select("rule", "kind", "column",
+                      F.round(F.col("observed").try_cast("double"), 4).alias("observed"))
+
+
+# --- gold --------------------------------------------------------------------
+
+GOLD_TRAIN_END = "1999-01-01"
+_ENC = ["from_location", "to_location", "agency"]
+
+
+def _gold_sql():
+    codes = ",\n".join(
+        f"code_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS k FROM "
+        f"(SELECT DISTINCT {c} AS v FROM s WHERE date < DATE '{GOLD_TRAIN_END}' AND {c} IS NOT NULL))"
+        for c in _ENC)
+    body = f"""
+SELECT CASE g.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0 END AS flight_type,
+       {', '.join(f"COALESCE((SELECT k FROM code_{c} WHERE v = g.{c}), -1.0) AS {c}" for c in _ENC)},
+       CAST(g.price AS DOUBLE) AS price, CAST(g.time AS DOUBLE) AS time,
+       CAST(g.distance AS DOUBLE) AS distance, CAST(g.year AS DOUBLE) AS year,
+       ROUND(sin(2 * pi() * g.month / 12), 6) AS month_sin, ROUND(cos(2 * pi() * g.month / 12), 6) AS month_cos,
+       ROUND(sin(2 * pi() * g.day_of_week / 7), 6) AS day_of_week_sin,
+       ROUND(cos(2 * pi() * g.day_of_week / 7), 6) AS day_of_week_cos,
+       ROUND(sin(2 * pi() * g.day / 31), 6) AS day_sin, ROUND(cos(2 * pi() * g.day / 31), 6) AS day_cos
+FROM (SELECT DISTINCT from_location, to_location, flight_type, price, time, distance, agency,
+             year, month, day, day_of_week
+      FROM s WHERE date >= DATE '{GOLD_TRAIN_END}' AND price IS NOT NULL) g"""
+    return with_flights(body, extra=f"s AS ({_SILVER_SQL}),\n{codes}")
+
+
+_CYC = ["month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos", "day_sin", "day_cos"]
+
+
+@register("gold_tree", "L3 L4 P7 P8 U2 F1 X2 E1 E2 E4 P3", _gold_sql())
+def q_gold_tree(spark, sf):
+    s = _silver(spark, sf)
+    d = F.col("date")
+    train = s.where(d < F.lit(GOLD_TRAIN_END).cast("date"))
+    rest = s.where(d >= F.lit(GOLD_TRAIN_END).cast("date"))
+    model = fit_gold(train, is_tree_model=True)
+    g = model.transform(rest)
+    return g.select(*[r(c) if c in _CYC else F.col(c) for c in g.columns])
+
+
+@register("gate_gold", "Q2 Q3 Q4 Q5 Q7 Q15 L3")
+def q_gate_gold(spark, sf):
+    s = _silver(spark, sf)
+    d = F.col("date")
+    train = s.where(d < F.lit(GOLD_TRAIN_END).cast("date"))
+    model = fit_gold(train, is_tree_model=True)
+    res, _ = gold_gate(model.transform(train), model)
+    return res.select(*_GATE_COLS)
+
+
+@register("gold_linear", "L3 F5 F3 F8 F12")
+def q_gold_linear(spark, sf):
+    """Non-tree path: rare grouping before encoding, IQR trim, standard
+    scaling of the numeric inputs; fitted on the training period."""
+    s = _silver(spark, sf)
+    d = F.col("date")
+    train = s.where(d < F.lit(GOLD_TRAIN_END).cast("date"))
+    rest = s.where(d >= F.lit(GOLD_TRAIN_END).cast("date"))
+    model = fit_gold(train, is_tree_model=False, rare_cols=["from_location", "to_location"],
+                     rare_threshold=0.041, outlier_cols=["price", "time", "distance"],
+                     scaler_cols=["time", "distance"], scaler_strategy="standard")
+    g = model.transform(rest)
+    return g.select(*[r(c) for c in g.columns])

@@ -31,7 +31,7 @@ TIE_KEY = ["travel_code", "line_number", "part_key", "supp_key"]
 RAW_TIE_KEY = ["travelCode", "line_number", "part_key", "supp_key"]
 # silver column types our data narrows to (pandas names, as the suite uses)
 SILVER_TYPES = {
-    "travel_code": "int32", "user_code": "int16", "from_location": "category",
+    "travel_code": "int", "user_code": "int", "from_location": "category",
     "to_location": "category", "flight_type": "category", "agency": "category",
     "price": "float64", "time": "float32", "distance": "float32",
     "date": "datetime64[ns]", "year": "int16", "month": "int8", "day": "int8",
