@@ -1 +1,370 @@
-"""placeholder"""
+"""Catalogue: models (M1-M9), evaluation (V1-V8), search (H1s-H4s),
+explanations (B1, B3-B6), scoring (L5) and file round trips (S1-S5).
+
+Queries whose oracle needs no fitted model use a fixed linear predictor
+(``y_pred = 20000 + 1000 * time``); OLS fits are checked against their
+closed form in SQL.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+from statistics import NormalDist
+
+from pyspark.sql import functions as F
+
+from ..operators.model import cv, explain, metrics
+from ..operators.model.estimators import assemble, coefficients_table, make_estimator
+from ..plans import config as C
+from ..plans.layers import fit_gold, silver_transform
+from ..plans.scoring import ScoringBundle, score
+from ..session import ensure_checkpoint_dir
+from ..sources import readers, sinks
+from ..sources.tables import flights, raw_flights
+from ..streaming.scoring import score_stream
+from .base import TIE, r, register, with_flights
+
+B0, B1 = 20000.0, 1000.0
+_PRED_SQL = f"{B0} + {B1} * time"
+
+
+def _fixed_pred(spark, sf):
+    f = flights(spark, sf)
+    return f.withColumn("y_true", F.col("price")).withColumn(
+        "y_pred", F.lit(B0) + F.lit(B1) * F.col("time"))
+
+
+_ROUND = {"r2": 6, "rmse": 4, "mae": 4, "mse": 1, "median_ae": 4, "max_error": 4}
+
+
+def _metric_sql(y, p, src, by="", rounded=True):
+    e = f"({y} - ({p}))"
+    g = f"{by}, " if by else ""
+    exprs = {"r2": f"1 - sum({e} * {e}) / (count(*) * var_pop({y}))",
+             "rmse": f"sqrt(avg({e} * {e}))", "mae": f"avg(abs({e}))", "mse": f"avg({e} * {e})",
+             "median_ae": f"quantile_cont(abs({e}), 0.5)", "max_error": f"max(abs({e}))"}
+    cols = ", ".join((f"ROUND({x}, {_ROUND[k]}) AS {k}" if rounded else f"{x} AS {k}")
+                     for k, x in exprs.items())
+    return f"SELECT {g}{cols} FROM {src}" + (f" GROUP BY {by}" if by else "")
+
+
+def _round_metrics(df, by=()):
+    return df.select(*by, *[r(c, d) for c, d in _ROUND.items()])
+
+
+# --- M1 / V6 -----------------------------------------------------------------
+
+_OLS2 = """
+SELECT name AS feature, ROUND(val, 3) AS value FROM (
+  SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+         (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2
+  FROM (SELECT var_pop(time) AS s11, var_pop(distance) AS s22, covar_pop(time, distance) AS s12,
+               covar_pop(time, price) AS s1y, covar_pop(distance, price) AS s2y,
+               avg(price) AS my, avg(time) AS m1, avg(distance) AS m2 FROM flights)) c,
+  LATERAL (VALUES ('intercept', my - b1 * m1 - b2 * m2), ('time', b1), ('distance', b2)) t(name, val)
+"""
+
+
+@register("linreg_coef", "M1 V6", with_flights(_OLS2))
+def q_linreg(spark, sf):
+    f = assemble(flights(spark, sf), ["time", "distance"])
+    m = make_estimator("LinearRegression", {}, label="price").fit(f)
+    t = coefficients_table(spark, m, ["time", "distance"])
+    return t.select("feature", r("value", 3))
+
+
+@register("penalized_coef", "M2 M3 M4 M5")
+def q_penalized(spark, sf):
+    """Ridge / Lasso / ElasticNet / SGD(l2) coefficients on the same inputs
+    (penalties translated to MLlib's parameterisation)."""
+    f = assemble(flights(spark, sf), ["time", "distance"])
+    out = None
+    for name, p in [("Ridge", {"alpha": 1000.0}), ("Lasso", {"alpha": 10.0}),
+                    ("ElasticNet", {"alpha": 10.0, "l1_ratio": 0.5}),
+                    ("SGDRegressor", {"alpha": 0.0001})]:
+        m = make_estimator(name, p, label="price", train=f).fit(f)
+        t = coefficients_table(spark, m, ["time", "distance"]).withColumn("model", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+# --- V1, V7, V8 --------------------------------------------------------------
+
+@register("metrics", "V1", with_flights(_metric_sql("price", _PRED_SQL, "flights")))
+def q_metrics(spark, sf):
+    return _round_metrics(metrics.regression_metrics(_fixed_pred(spark, sf)))
+
+
+_QQ_POINTS = 20
+_QQ_ROWS = ", ".join(
+    f"({i + 1}, {(i + 0.5) / _QQ_POINTS!r}, {NormalDist().inv_cdf((i + 0.5) / _QQ_POINTS)!r})"
+    for i in range(_QQ_POINTS))
+
+
+@register("qq_table", "V7", with_flights(
+    f"SELECT CAST(t.i AS INTEGER) AS i, ROUND(CAST(t.prob AS DOUBLE), 6) AS prob, "
+    f"ROUND(CAST(t.th AS DOUBLE), 6) AS theoretical, "
+    f"ROUND(q.sample, 6) AS sample FROM (VALUES {_QQ_ROWS}) t(i, prob, th) JOIN "
+    f"(SELECT unnest(range(1, {_QQ_POINTS + 1})) AS i, unnest(qs) AS sample FROM "
+    f"(SELECT quantile_cont(price - ({_PRED_SQL}), "
+    f"[{', '.join(repr((i + 0.5) / _QQ_POINTS) for i in range(_QQ_POINTS))}]) AS qs FROM flights)) q "
+    f"ON q.i = t.i"))
+def q_qq(spark, sf):
+    d = _fixed_pred(spark, sf).withColumn("residual", F.col("y_true") - F.col("y_pred"))
+    q = metrics.qq_table(d, "residual", _QQ_POINTS)
+    return q.select("i", r("prob"), r("theoretical"), r("sample"))
+
+
+@register("residual_bins", "V8", with_flights(
+    f"SELECT CAST(bin AS INTEGER) AS bin, count(*) AS count, ROUND(avg(price - p), 4) AS "
+    f"mean_residual, ROUND(avg(price), 4) AS mean_actual, ROUND(avg(p), 4) AS mean_predicted "
+    f"FROM (SELECT price, p, least(CAST(floor(20.0 * (p - lo) / (hi - lo)) AS BIGINT) + 1, 20) AS bin "
+    f"FROM (SELECT price, {_PRED_SQL} AS p FROM flights) x, "
+    f"(SELECT min({_PRED_SQL}) AS lo, max({_PRED_SQL}) AS hi FROM flights) m) GROUP BY bin"))
+def q_residual_bins(spark, sf):
+    b = metrics.residual_bins(_fixed_pred(spark, sf), "y_true", "y_pred", 20)
+    return b.select("bin", "count", r("mean_residual", 4), r("mean_actual", 4),
+                    r("mean_predicted", 4))
+
+
+# --- V3 / V4 -----------------------------------------------------------------
+
+_CV_SQL_CTE = f"""
+p AS (SELECT time, price, row_number() OVER (ORDER BY date, {TIE}) - 1 AS pos FROM flights),
+fo AS (SELECT i AS fold, n - (5 - i) * (n // 6) AS test_start, n - (5 - i) * (n // 6) + (n // 6) AS test_end
+       FROM (SELECT count(*) AS n FROM flights), range(5) t(i)),
+fit AS (SELECT fo.fold, covar_pop(time, price) / var_pop(time) AS b,
+               avg(price) - covar_pop(time, price) / var_pop(time) * avg(time) AS a
+        FROM p JOIN fo ON p.pos < fo.test_start GROUP BY fo.fold),
+pred AS (SELECT fo.fold, p.price, fit.a + fit.b * p.time AS yhat
+         FROM p JOIN fo ON p.pos >= fo.test_start AND p.pos < fo.test_end
+         JOIN fit ON fit.fold = fo.fold)"""
+
+
+def _cv_metrics(spark, sf):
+    f = flights(spark, sf)
+    ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price")
+    return cv.time_cv_metrics(ordered, n, "LinearRegression", {}, ["time"], "price", 5)
+
+
+@register("cv_metrics", "V3 T3 M9", with_flights(
+    "SELECT CAST(fold AS INTEGER) AS fold, " + _metric_sql("price", "yhat", "pred", "fold")
+    .replace("SELECT fold, ", ""), extra=_CV_SQL_CTE))
+def q_cv(spark, sf):
+    return _round_metrics(_cv_metrics(spark, sf), ["fold"])
+
+
+@register("cv_summary", "V4 S9", with_flights(
+    "SELECT metric, ROUND(avg(v), 4) AS mean, ROUND(stddev_samp(v), 4) AS std FROM (" +
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, {m} AS v FROM "
+        f"({_metric_sql('price', 'yhat', 'pred', 'fold', rounded=False)})"
+        for m in metrics.METRICS) + ") GROUP BY metric", extra=_CV_SQL_CTE))
+def q_cv_summary(spark, sf):
+    s = metrics.summarize(_cv_metrics(spark, sf))
+    return s.select("metric", r("mean", 4), r("std", 4))
+
+
+# --- M6 / M7 / M8 / V5 -------------------------------------------------------
+
+def _gold_split(spark, sf):
+    s = silver_transform(raw_flights(spark, sf), keep_tie_key=False)
+    d = F.col("date")
+    train = s.where(d < F.lit("1999-01-01").cast("date"))
+    test = s.where(d >= F.lit("1999-01-01").cast("date"))
+    gm = fit_gold(train, is_tree_model=True)
+    feats = [c for c in gm.final_columns if c != C.TARGET and c not in C.MULTICOLLINEAR_DROP]
+    return gm, feats, gm.transform(train), gm.transform(test)
+
+
+def _tree_eval(spark, sf, name, params):
+    gm, feats, tr, te = _gold_split(spark, sf)
+    model = make_estimator(name, params, label=C.TARGET).fit(assemble(tr, feats))
+    pred = model.transform(assemble(te, feats)).select(
+        F.col(C.TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
+    met = metrics.regression_metrics(pred)
+    imp = coefficients_table(spark, model, feats)
+    return met, imp
+
+
+@register("rf_predict", "M6 V5 V6")
+def q_rf(spark, sf):
+    met, _ = _tree_eval(spark, sf, "RandomForestRegressor",
+                        {"n_estimators": 20, "max_depth": 6, "random_state": 42})
+    return _round_metrics(met)
+
+
+@register("gbt_predict", "M7 M8 V5")
+def q_gbt(spark, sf):
+    met, _ = _tree_eval(spark, sf, "LGBMRegressor",
+                        {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 5,
+                         "random_state": 42})
+    return _round_metrics(met)
+
+
+@register("feature_importance_top", "V6 O2")
+def q_importance(spark, sf):
+    _, imp = _tree_eval(spark, sf, "RandomForestRegressor",
+                        {"n_estimators": 20, "max_depth": 6, "random_state": 42})
+    return imp.orderBy(F.col("value").desc(), "feature").limit(15)
+
+
+# --- H1s-H4s -----------------------------------------------------------------
+
+def _search_frame(spark, sf):
+    f = flights(spark, sf)
+    return cv.ordered_frame(f, "date", C.TIE_KEY, ["time", "distance"], "price")
+
+
+@register("grid_trials", "H1s H4s")
+def q_grid(spark, sf):
+    o, n = _search_frame(spark, sf)
+    pts = cv.grid_points({"alpha": [0.1, 100.0, 100000.0]})
+    return cv.search(o, n, "Ridge", pts, ["time", "distance"], "price", n_splits=3)
+
+
+@register("random_trials", "H2s H4s")
+def q_random(spark, sf):
+    o, n = _search_frame(spark, sf)
+    pts = cv.random_points({"n_estimators": ("int", 5, 15), "max_depth": ("int", 2, 5)}, 3, 42,
+                           {"random_state": 42})
+    return cv.search(o, n, "RandomForestRegressor", pts, ["time", "distance"], "price",
+                     n_splits=3)
+
+
+@register("halving_trials", "H3s H4s")
+def q_halving(spark, sf):
+    o, n = _search_frame(spark, sf)
+    pts = cv.grid_points({"alpha": [0.1, 100.0, 100000.0]})
+    return cv.successive_halving(o, n, "Ridge", pts, ["time", "distance"], "price", factor=3,
+                                 n_splits=3)
+
+
+# --- B1, B3-B6 ---------------------------------------------------------------
+
+_COEFS = {"time": 1000.0, "distance": 20.0}
+
+
+def _linear_long(spark, sf):
+    f = flights(spark, sf)
+    return explain.linear_contributions(f, _COEFS, C.TIE_KEY)
+
+
+_LIN_SQL = " UNION ALL ".join(
+    f"SELECT {TIE}, '{c}' AS feature, ROUND({b} * ({c} - (SELECT avg({c}) FROM flights)), 6) AS phi, "
+    f"ROUND(CAST({c} AS DOUBLE), 6) AS value FROM flights" for c, b in _COEFS.items())
+
+
+@register("linear_contrib", "B1", with_flights(_LIN_SQL))
+def q_linear_contrib(spark, sf):
+    return _linear_long(spark, sf).select(*C.TIE_KEY, "feature", r("phi"), r("value"))
+
+
+@register("global_importance", "B5 O4", with_flights(
+    "SELECT feature, ROUND(avg(abs(phi)), 6) AS mean_abs FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {b} * ({c} - (SELECT avg({c}) FROM flights)) AS phi FROM flights"
+        for c, b in _COEFS.items()) + ") GROUP BY feature"))
+def q_global_importance(spark, sf):
+    return explain.global_importance(_linear_long(spark, sf)).select("feature", r("mean_abs"))
+
+
+@register("dependence_table", "B6", with_flights(
+    "SELECT ROUND(CAST(time AS DOUBLE), 6) AS value, ROUND(1000.0 * (time - (SELECT avg(time) "
+    "FROM flights)), 6) AS phi FROM flights"))
+def q_dependence(spark, sf):
+    return explain.dependence(_linear_long(spark, sf), "time").select(r("value"), r("phi"))
+
+
+_GCOEFS = {"month_sin": 100.0, "month_cos": -50.0, "day_sin": 10.0, "day_cos": 5.0,
+           "time": 1000.0}
+_CYC_SQL = ("c AS (SELECT *, sin(2 * pi() * month(date) / 12) AS month_sin, "
+            "cos(2 * pi() * month(date) / 12) AS month_cos, sin(2 * pi() * day(date) / 31) AS day_sin, "
+            "cos(2 * pi() * day(date) / 31) AS day_cos FROM flights)")
+
+
+def _grp_sql(group, parts, rep):
+    phi = " + ".join(f"{_GCOEFS[p]} * ({p} - (SELECT avg({p}) FROM c))" for p in parts)
+    return (f"SELECT {TIE}, '{group}' AS \"group\", ROUND({phi}, 6) AS phi, "
+            f"ROUND(CAST({rep} AS DOUBLE), 6) AS value FROM c")
+
+
+@register("group_contrib", "B3 B4", with_flights(" UNION ALL ".join([
+    _grp_sql("month", ["month_sin", "month_cos"], "month_cos"),
+    _grp_sql("day", ["day_sin", "day_cos"], "day_cos"),
+    _grp_sql("time", ["time"], "time")]), extra=_CYC_SQL))
+def q_group_contrib(spark, sf):
+    from ..functions.numeric import cyclical
+    f = flights(spark, sf)
+    ms, mc = cyclical(F.month("date"), 12)
+    ds, dc = cyclical(F.dayofmonth("date"), 31)
+    f = f.withColumns({"month_sin": ms, "month_cos": mc, "day_sin": ds, "day_cos": dc})
+    long = explain.linear_contributions(f, _GCOEFS, C.TIE_KEY)
+    groups = explain.feature_groups(list(_GCOEFS))
+    g = explain.group_contributions(long, groups, C.TIE_KEY)
+    return g.select(*C.TIE_KEY, "group", r("phi"), r("value"))
+
+
+# --- L5 ----------------------------------------------------------------------
+
+def _bundle(spark, sf):
+    gm, feats, tr, _ = _gold_split(spark, sf)
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(assemble(tr, feats))
+    return ScoringBundle(gm, model, feats, ["travel_code", "line_number", "part_key", "supp_key"])
+
+
+@register("score_batch", "L5 P10 V2")
+def q_score_batch(spark, sf):
+    b = _bundle(spark, sf)
+    return score(raw_flights(spark, sf), b)
+
+
+@register("score_stream", "L5 streaming")
+def q_score_stream(spark, sf):
+    """The same bundle over a file stream of the raw rows (staged once as
+    Parquet under the checkpoint folder); output read back as a table."""
+    b = _bundle(spark, sf)
+    base = f"{ensure_checkpoint_dir(spark)}/score_stream_{uuid.uuid4().hex}"
+    raw_flights(spark, sf).write.mode("overwrite").parquet(f"{base}/source")
+    score_stream(spark, f"{base}/source", b, f"{base}/sink", f"{base}/chk",
+                 max_files_per_trigger=2)
+    return spark.read.parquet(f"{base}/sink").drop("batch")
+
+
+# --- S1-S5 -------------------------------------------------------------------
+
+def _staging(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip", "S1 S6", with_flights(
+    f"SELECT {TIE}, from_location, price FROM flights"))
+def q_csv(spark, sf):
+    path = _staging(spark, "csv") + ".csv"
+    f = flights(spark, sf).select(*C.TIE_KEY, "from_location", "price")
+    f.write.option("header", True).csv(path)
+    return readers.load_data(spark, path, schema=f.schema)
+
+
+@register("json_roundtrip", "S3", with_flights(
+    f"SELECT {TIE}, to_location, distance FROM flights"))
+def q_json(spark, sf):
+    path = _staging(spark, "json") + ".json"
+    f = flights(spark, sf).select(*C.TIE_KEY, "to_location", "distance")
+    f.write.json(path)
+    return readers.load_data(spark, path, schema=f.schema)
+
+
+@register("split_sink", "S5 T2", with_flights(
+    f"SELECT {TIE}, CASE WHEN date <= DATE '1999-06-30' THEN 'train' WHEN date <= DATE '2000-03-31' "
+    "THEN 'validation' ELSE 'test' END AS split FROM flights"))
+def q_split_sink(spark, sf):
+    from ..operators.splits import split_by_dates
+    path = _staging(spark, "splits")
+    s = split_by_dates(flights(spark, sf), "date", "1999-06-30", "2000-03-31")
+    sinks.write_splits(s.select(*C.TIE_KEY, "split"), path)
+    back = spark.read.parquet(path)
+    return back.select(*C.TIE_KEY, "split")
+
+
+_ = os  # keep import for path helpers in notebooks
