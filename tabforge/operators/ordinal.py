@@ -22,6 +22,7 @@ partitioner split a value that holds a large share of all rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -35,6 +36,8 @@ _TB = "__tf_rowid"
 # Below this many lookup positions the position list is broadcast
 # (its size is counted first, so the bound is proven, not estimated).
 MAX_BROADCAST_POSITIONS = 2_000_000
+# Groups whose quantile targets are resolved on the driver (bounded collect).
+MAX_DRIVER_GROUPS = 100_000
 
 
 def _ordered_checkpoint(df: DataFrame, order: Sequence[Column | str],
@@ -118,6 +121,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     Returns ``(by..., column, prob, value)``.  Position ``h = (n-1)*p``;
     value ``v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h)``, the
     same rule as pandas ``quantile`` and DuckDB ``quantile_cont``.
+
+    One range shuffle orders all values (hot values are split by the row
+    id); per-group counts locate the target positions.  With at most
+    ``MAX_DRIVER_GROUPS`` groups (checked with a bounded collect) the
+    positions are looked up with one ``isin`` filter; beyond that the
+    lookup is a distributed join on the (unique) ordinal.
     """
     by = list(by)
     long = long_values(df, columns, by)
@@ -125,6 +134,31 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                                   "_ord")
     stats = (ordered.groupBy("column", *by)
              .agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_start")))
+    small = stats.limit(MAX_DRIVER_GROUPS + 1).collect()
+    spark = df.sparkSession
+    out_schema = T.StructType(
+        [long.schema[b] for b in by]
+        + [T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
+           T.StructField("value", T.DoubleType())])
+    if len(small) <= MAX_DRIVER_GROUPS:
+        targets, wanted = [], set()
+        for row in small:
+            n, start = row["_n"], row["_start"]
+            for p in probs:
+                h = (n - 1) * float(p)
+                lo, hi = start + math.floor(h), start + math.ceil(h)
+                targets.append((row, float(p), lo, hi, h - math.floor(h)))
+                wanted.update((lo, hi))
+        vals = {}
+        if wanted:
+            for rr in ordered.where(F.col("_ord").isin(sorted(wanted))).select(
+                    "_ord", "value").collect():
+                vals[rr["_ord"]] = rr["value"]
+        rows = []
+        for row, p, lo, hi, frac in targets:
+            vlo, vhi = vals[lo], vals[hi]
+            rows.append((*[row[b] for b in by], row["column"], p, vlo + (vhi - vlo) * frac))
+        return spark.createDataFrame(rows, out_schema)
     h = (F.col("_n") - 1).cast("double")
     items = []
     for p in probs:
@@ -135,11 +169,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                               (hp - F.floor(hp)).alias("frac")))
     targets = (stats.select("column", *by, F.explode(F.array(*items)).alias("t"))
                .select("column", *by, "t.*"))
-    targets = checkpoint(targets)
-    positions = (targets.select(F.explode(F.array("lo", "hi")).alias("_ord")).distinct())
-    n_pos = positions.count()
-    if n_pos <= MAX_BROADCAST_POSITIONS:
-        positions = F.broadcast(positions)
+    positions = targets.select(F.explode(F.array("lo", "hi")).alias("_ord")).distinct()
     vals = ordered.join(positions, "_ord").select("_ord", "value")
     lo = vals.select(F.col("_ord").alias("lo"), F.col("value").alias("_vlo"))
     hi = vals.select(F.col("_ord").alias("hi"), F.col("value").alias("_vhi"))
