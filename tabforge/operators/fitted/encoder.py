@@ -94,11 +94,13 @@ class EncoderModel(JsonState):
 
 
 def _sorted_distinct(df: DataFrame, c: str, cap: int):
+    """Sorted categories when there are at most ``cap`` (one bounded
+    collect), else ``None`` and the distinct frame for the table path."""
     d = df.select(c).where(F.col(c).isNotNull()).distinct()
-    n = d.count()
-    if n > cap:
+    got = d.limit(cap + 1).collect()
+    if len(got) > cap:
         return None, d
-    return sorted(r[0] for r in d.collect()), d
+    return sorted(r[0] for r in got), d
 
 
 def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=None,

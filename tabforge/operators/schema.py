@@ -64,10 +64,20 @@ def _narrow_int(lo, hi) -> str:
     return "bigint"
 
 
-def type_narrowing_stats(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def type_narrowing_stats(df: DataFrame, exact_distinct: bool = True,
+                         date_formats: dict | None = None) -> DataFrame:
     """One aggregation over every column: min/max of integers, largest
-    float32 error of floats, distinct and row counts of strings."""
+    float32 error of floats, distinct and row counts of strings, and - for
+    the text columns in ``date_formats`` - how many values each candidate
+    format fails to parse."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
+    for c, fmts in (date_formats or {}).items():
+        raw = F.col(c)
+        for i, fmt in enumerate(fmts):
+            aggs.append(F.count_if(parse_date(raw, fmt).isNull() & raw.isNotNull())
+                        .alias(f"{c}__fmt{i}"))
+        aggs.append(F.count_if(F.try_to_timestamp(raw).isNull() & raw.isNotNull())
+                    .alias(f"{c}__fmtinfer"))
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, _INTEGRAL):
@@ -83,12 +93,13 @@ def type_narrowing_stats(df: DataFrame, exact_distinct: bool = True) -> DataFram
 
 
 def plan_types(df: DataFrame, date_cols: Sequence[str] = (),
-               exact_distinct: bool = True) -> tuple[list[TypePlan], dict]:
+               exact_distinct: bool = True,
+               date_formats: dict | None = None) -> tuple[list[TypePlan], dict]:
     """P4 decisions.  Integers take the smallest signed type holding their
     range; floats become float32 when no value moves by more than 5e-4;
     text with ``distinct/rows < 0.5`` is reported as category (it stays a
     string, Parquet dictionary-encodes it); ``date_cols`` are parsed by P5."""
-    stats = type_narrowing_stats(df, exact_distinct).collect()[0].asDict()
+    stats = type_narrowing_stats(df, exact_distinct, date_formats).collect()[0].asDict()
     rows = stats["__rows"] or 0
     plans: list[TypePlan] = []
     for f in df.schema.fields:
@@ -131,9 +142,20 @@ def apply_type_plan(df: DataFrame, plans: Sequence[TypePlan],
 def optimize_data_types(df: DataFrame, date_cols: Sequence[str] = ()
                         ) -> tuple[DataFrame, list[TypePlan]]:
     """P4 + P5: one stats job, one date-format job, then one ``select``."""
-    plans, _ = plan_types(df, date_cols)
-    formats = {c: pick_date_format(df, c) for c in date_cols if c in df.columns
-               and isinstance(df.schema[c].dataType, T.StringType)}
+    text_dates = [c for c in date_cols if c in df.columns
+                  and isinstance(df.schema[c].dataType, T.StringType)]
+    cand = {c: list(COMMON_DATE_FORMATS) for c in text_dates}
+    plans, stats = plan_types(df, date_cols, date_formats=cand)
+    formats = {}
+    for c in text_dates:
+        pick = False
+        for i, fmt in enumerate(cand[c]):
+            if stats[f"{c}__fmt{i}"] == 0:
+                pick = fmt
+                break
+        if pick is False and stats[f"{c}__fmtinfer"] == 0:
+            pick = None
+        formats[c] = pick
     # a column no format fits stays text (reported as unchanged)
     plans = [p if not (p.kind == "date" and formats.get(p.column) is False)
              else TypePlan(p.column, p.old_type, p.old_type, "unchanged") for p in plans]

@@ -28,6 +28,7 @@ from ..operators.schema import (drop_columns, drop_missing_target, enforce_colum
                                 optimize_data_types, rename_columns, sanitize_column_names,
                                 standardize_column_names)
 from ..functions.numeric import NUMERIC_OPS
+from ..session import checkpoint
 from ..sources.sinks import route_write
 from . import config as C
 
@@ -49,9 +50,19 @@ def run_bronze(raw: DataFrame, processed: str, quarantine: str, name: str,
 # --- L2 silver ---------------------------------------------------------------
 
 def silver_transform(raw: DataFrame, key=suites.SILVER_KEY, keep_tie_key: bool = False,
-                     tie_key=C.TIE_KEY) -> DataFrame:
+                     tie_key=C.TIE_KEY, materialize: bool = True) -> DataFrame:
     """rename -> snake_case -> type narrowing (+date parse) -> business-key
-    dedup (first by date, then the tie key) -> date features -> order."""
+    dedup (first by date, then the tie key) -> date features -> order.
+
+    The silver table is a layer boundary: with ``materialize`` it is written
+    once as a reliable checkpoint in the shared checkpoint folder, so every
+    later statistic and fit reads it instead of re-running the joins and
+    the dedup shuffle."""
+    out = _silver_plan(raw, key, keep_tie_key, tie_key)
+    return checkpoint(out) if materialize else out
+
+
+def _silver_plan(raw, key, keep_tie_key, tie_key):
     df = rename_columns(raw, C.COLUMN_RENAME_MAPPING)
     df = standardize_column_names(df)
     df, _ = optimize_data_types(df, date_cols=["date"])
@@ -153,6 +164,8 @@ def fit_gold(train: DataFrame, is_tree_model: bool = True, imputation=None,
     df = drop_columns(train, C.GOLD_DROP_COLS)
     df = drop_duplicates(df)
     df = drop_missing_target(df, C.TARGET)
+    # every fit below reads this frame: write it once
+    df = checkpoint(df)
     imp = fit_simple_imputer(df, imputation)
     df = imp.transform(df)
     df = add_features(df, cyclical_map, interactions, numeric_interactions)
