@@ -45,6 +45,8 @@ _FLOATS = (T.FloatType, T.DoubleType)
 # (fixed value of the downcast rule).
 FLOAT32_TOLERANCE = 5e-4
 CATEGORY_RATIO = 0.5
+# distinct/rows ratios this close to the threshold are re-counted exactly
+EXACT_BAND = 0.10
 
 
 @dataclass(frozen=True)
@@ -86,9 +88,9 @@ def type_narrowing_stats(df: DataFrame, exact_distinct: bool = True,
             err = F.abs(c.cast("float").cast("double") - c.cast("double"))
             aggs.append(F.max(F.when(F.isnan(c), F.lit(0.0)).otherwise(err)).alias(f"{f.name}__err"))
         elif isinstance(f.dataType, T.StringType):
-            nd = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)
-            # pandas nunique ignores NULL, count_distinct too
-            aggs.append(nd.alias(f"{f.name}__nd"))
+            # HLL sketch (mergeable, fixed size); exact counts are taken
+            # afterwards only for columns near the category threshold
+            aggs.append(F.approx_count_distinct(c).alias(f"{f.name}__nd"))
     return df.agg(*aggs)
 
 
@@ -101,6 +103,12 @@ def plan_types(df: DataFrame, date_cols: Sequence[str] = (),
     string, Parquet dictionary-encodes it); ``date_cols`` are parsed by P5."""
     stats = type_narrowing_stats(df, exact_distinct, date_formats).collect()[0].asDict()
     rows = stats["__rows"] or 0
+    if exact_distinct and rows:
+        near = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
+                and abs((stats[f"{f.name}__nd"] or 0) / rows - CATEGORY_RATIO) < EXACT_BAND]
+        if near:
+            ex = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in near]).collect()[0]
+            stats.update({f"{c}__nd": ex[c] for c in near})
     plans: list[TypePlan] = []
     for f in df.schema.fields:
         old = f.dataType.simpleString()
@@ -141,21 +149,20 @@ def apply_type_plan(df: DataFrame, plans: Sequence[TypePlan],
 
 def optimize_data_types(df: DataFrame, date_cols: Sequence[str] = ()
                         ) -> tuple[DataFrame, list[TypePlan]]:
-    """P4 + P5: one stats job, one date-format job, then one ``select``."""
+    """P4 + P5: one statistics job (plus a date-format job only when the
+    first format does not fit), then one ``select``."""
     text_dates = [c for c in date_cols if c in df.columns
                   and isinstance(df.schema[c].dataType, T.StringType)]
-    cand = {c: list(COMMON_DATE_FORMATS) for c in text_dates}
-    plans, stats = plan_types(df, date_cols, date_formats=cand)
+    # the first candidate format rides along with the type statistics;
+    # the others are only tried (one more job) when it does not fit
+    plans, stats = plan_types(df, date_cols, date_formats={
+        c: [COMMON_DATE_FORMATS[0]] for c in text_dates})
     formats = {}
     for c in text_dates:
-        pick = False
-        for i, fmt in enumerate(cand[c]):
-            if stats[f"{c}__fmt{i}"] == 0:
-                pick = fmt
-                break
-        if pick is False and stats[f"{c}__fmtinfer"] == 0:
-            pick = None
-        formats[c] = pick
+        if stats[f"{c}__fmt0"] == 0:
+            formats[c] = COMMON_DATE_FORMATS[0]
+        else:
+            formats[c] = pick_date_format(df, c)
     # a column no format fits stays text (reported as unchanged)
     plans = [p if not (p.kind == "date" and formats.get(p.column) is False)
              else TypePlan(p.column, p.old_type, p.old_type, "unchanged") for p in plans]

@@ -44,22 +44,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Booking rows derived from the star schema (one row per line item)."""
+    """Booking rows derived from the star schema (one row per line item).
+
+    Every dimension is joined straight to the fact side, so each broadcast
+    decision sees that table's own scan size (the optimizer's estimate of a
+    join is a product and would hide a small dimension)."""
     t = lambda n: read_table(spark, sf_dir, n)
-    nation = t("nation").select("n_nationkey", "n_name")
-    supp = (t("supplier").select("s_suppkey", "s_nationkey")
-            .join(maybe_broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(F.col("s_suppkey"), F.col("n_name").alias("from_location")))
-    cust = (t("customer").select("c_custkey", "c_nationkey")
-            .join(maybe_broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("c_custkey"), F.col("n_name").alias("to_location")))
+    from_n = t("nation").select(F.col("n_nationkey").alias("from_nk"),
+                                F.col("n_name").alias("from_location"))
+    to_n = t("nation").select(F.col("n_nationkey").alias("to_nk"),
+                              F.col("n_name").alias("to_location"))
+    supp = t("supplier").select("s_suppkey", "s_nationkey")
+    cust = t("customer").select("c_custkey", "c_nationkey")
     part = t("part").select("p_partkey", "p_retailprice")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                               "l_quantity", "l_extendedprice", "l_returnflag")
     j = (li.join(maybe_broadcast(orders), F.col("l_orderkey") == F.col("o_orderkey"))
          .join(maybe_broadcast(cust), F.col("o_custkey") == F.col("c_custkey"))
+         .join(maybe_broadcast(to_n), F.col("c_nationkey") == F.col("to_nk"))
          .join(maybe_broadcast(supp), F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(maybe_broadcast(from_n), F.col("s_nationkey") == F.col("from_nk"))
          .join(maybe_broadcast(part), F.col("l_partkey") == F.col("p_partkey")))
     return j.select(
         F.col("l_orderkey").alias("travel_code"),
