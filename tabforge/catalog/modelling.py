@@ -19,7 +19,7 @@ from ..operators.model.estimators import assemble, coefficients_table, make_esti
 from ..plans import config as C
 from ..plans.layers import fit_gold, silver_transform
 from ..plans.scoring import ScoringBundle, score
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint, ensure_checkpoint_dir
 from ..sources import readers, sinks
 from ..sources.tables import flights, raw_flights
 from ..streaming.scoring import score_stream
@@ -368,3 +368,55 @@ def q_split_sink(spark, sf):
 
 
 _ = os  # keep import for path helpers in notebooks
+
+
+# --- F2 / F6 / B2 ------------------------------------------------------------
+
+@register("mice_impute", "F2")
+def q_mice(spark, sf):
+    """Chained-equation imputation of price and distance (NULLs injected)
+    using time as a complete predictor; fitted on the training period."""
+    from ..operators.fitted.mice import fit_mice
+    from ..sources.tables import flights_with_nulls
+    f = flights_with_nulls(spark, sf).select(*C.TIE_KEY, "date", "price", "time", "distance")
+    m = fit_mice(f.where(F.col("date") < F.lit("1999-01-01").cast("date")),
+                 ["price", "time", "distance"], max_iter=10)
+    out = m.transform(f)
+    return out.select(*C.TIE_KEY, r("price", 4), r("time", 4), r("distance", 4))
+
+
+@register("iforest_flags", "F6 F7 F8")
+def q_iforest(spark, sf):
+    """Isolation-forest flags for price/time/distance (100 trees, psi 256,
+    contamination auto) and the trimmed row count per flag pattern."""
+    from ..operators.fitted.iforest import fit_isolation_forest
+    f = flights(spark, sf)
+    m = fit_isolation_forest(f.where(F.col("date") < F.lit("1999-01-01").cast("date")),
+                             ["price", "time", "distance"], n_trees=100, seed=7,
+                             key=C.TIE_KEY)
+    flagged = m.mask(f)
+    return flagged.groupBy("price_outlier", "time_outlier", "distance_outlier").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("tree_contrib", "B2 B3 B4 B5")
+def q_tree_contrib(spark, sf):
+    """Path-dependent TreeSHAP of a random forest on the gold features, for
+    every evaluation row; reported per feature as mean |phi| together with
+    the worst additivity gap |base + sum(phi) - prediction|."""
+    from ..operators.model.treeshap import tree_contributions
+    gm, feats, tr, te = _gold_split(spark, sf)
+    model = make_estimator("RandomForestRegressor",
+                           {"n_estimators": 10, "max_depth": 5, "random_state": 42},
+                           label=C.TARGET).fit(assemble(tr, feats))
+    # row ids are pinned by a reliable checkpoint so both uses agree
+    te = checkpoint(te.withColumn("row_id", F.monotonically_increasing_id()))
+    long = tree_contributions(te, model, feats, ["row_id"])
+    sums = long.groupBy("row_id").agg(F.sum("phi").alias("s"))
+    pred = model.transform(assemble(te, feats)).select("row_id", "prediction")
+    gap = sums.join(pred, "row_id").agg(
+        F.max(F.abs(F.col("s") - F.col("prediction")))).collect()[0][0]
+    imp = (long.where(F.col("feature") != "__base__").groupBy("feature")
+           .agg(F.avg(F.abs("phi")).alias("mean_abs_phi")))
+    return imp.select("feature", r("mean_abs_phi"),
+                      F.lit(round(float(gap), 9)).alias("max_additivity_gap"))
