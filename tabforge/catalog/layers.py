@@ -209,3 +209,19 @@ def q_gold_linear(spark, sf):
                      scaler_cols=["time", "distance"], scaler_strategy="standard")
     g = model.transform(rest)
     return g.select(*[r(c) for c in g.columns])
+
+
+@register("silver_route", "S7 Q16 L2", with_flights(
+    "SELECT 'quarantine' AS routed_to, * FROM s", extra=f"s AS ({_SILVER_SQL})"))
+def q_silver_route(spark, sf):
+    """The silver table goes through its gate and is written to processed or
+    quarantine; the written table is read back with the area it went to."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import route_write
+    s = _silver(spark, sf)
+    _, ok = silver_gate(s)
+    base = f"{ensure_checkpoint_dir(spark)}/layers_{uuid.uuid4().hex}"
+    path = route_write(s, ok, f"{base}/processed", f"{base}/quarantine", "silver")
+    area = "processed" if ok else "quarantine"
+    return spark.read.parquet(path).select(F.lit(area).alias("routed_to"), *s.columns)

@@ -420,3 +420,42 @@ def q_tree_contrib(spark, sf):
            .agg(F.avg(F.abs("phi")).alias("mean_abs_phi")))
     return imp.select("feature", r("mean_abs_phi"),
                       F.lit(round(float(gap), 9)).alias("max_additivity_gap"))
+
+
+@register("cv_predictions", "S8 V3 V5", with_flights(
+    "SELECT CAST(fold AS INTEGER) AS fold, ROUND(price, 4) AS y_true, ROUND(yhat, 4) AS y_pred "
+    "FROM pred", extra=_CV_SQL_CTE))
+def q_cv_predictions(spark, sf):
+    f = flights(spark, sf)
+    ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price")
+    pred = cv.time_cv_predictions(ordered, n, "LinearRegression", {}, ["time"], "price", 5)
+    path = _staging(spark, "predictions")
+    sinks.write_predictions(pred, path)
+    back = spark.read.parquet(path)
+    return back.select("fold", r("y_true", 4), r("y_pred", 4))
+
+
+_UNSCALE_CTE = ("u AS (SELECT quantile_cont(ln(1 + price), 0.5) AS m, "
+                "quantile_cont(ln(1 + price), 0.75) - quantile_cont(ln(1 + price), 0.25) AS s "
+                "FROM flights WHERE date < DATE '1999-01-01'), "
+                "t AS (SELECT price, (ln(1 + price) - m) / s AS yt, (ln(1 + price) - m) / s + 0.05 "
+                "AS pt, m, s FROM flights, u), "
+                "v AS (SELECT exp(yt * s + m) - 1 AS y_true, exp(pt * s + m) - 1 AS y_pred FROM t)")
+
+
+@register("unscale_metrics", "V2 V1 F11 F13", with_flights(
+    _metric_sql("y_true", "y_pred", "v"), extra=_UNSCALE_CTE))
+def q_unscale(spark, sf):
+    """Target log-transformed then robust-scaled (fitted on the training
+    period); a prediction 0.05 above the scaled truth is mapped back through
+    the inverse scaler and inverse power transform, and scored in price units."""
+    from ..operators.fitted.power import fit_power
+    from ..operators.fitted.scaler import fit_scaler
+    f = flights(spark, sf).select("price", "date")
+    train = f.where(F.col("date") < F.lit("1999-01-01").cast("date"))
+    pw = fit_power(train, ["price"], "log")
+    sc = fit_scaler(pw.transform(train), ["price"], "robust")
+    t = sc.transform(pw.transform(f))
+    pred = t.select(F.col("price").alias("y_true"), (F.col("price") + 0.05).alias("y_pred"))
+    back = metrics.unscale(pred, ["y_true", "y_pred"], sc, pw, target="price")
+    return _round_metrics(metrics.regression_metrics(back))

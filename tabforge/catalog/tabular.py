@@ -375,3 +375,46 @@ def q_profile(spark, sf):
             p = p.withColumn(c, F.lit(None).cast("double"))
     return p.select("column", "dtype", "n_missing", r("pct_missing"), "n_unique", "top",
                     "top_freq", *[r(c) for c in num])
+
+
+# --- A11 / P10 / P9 ----------------------------------------------------------
+
+def _eda_sql(c, old):
+    if old in ("bigint", "int"):
+        return _narrow_sql(c, old).replace(" FROM r", " FROM e")
+    if old == "double":
+        return _narrow_sql(c, old).replace(" FROM r", " FROM e")
+    return (f"SELECT '{c}', 'string', CASE WHEN CAST(count_if(try_cast({c} AS TIMESTAMP) IS NOT NULL) "
+            f"AS DOUBLE) / count(*) >= 0.8 THEN 'date' WHEN CAST(count(DISTINCT {c}) AS DOUBLE) / "
+            f"count(*) < 0.5 THEN 'category' ELSE 'string' END FROM e")
+
+
+_EDA_COLS = [("travel_code", "bigint"), ("from_location", "string"), ("price", "double"),
+             ("time", "double"), ("date_text", "string"), ("mixed_text", "string")]
+
+
+@register("eda_type_plan", "A11", with_flights(
+    "\nUNION ALL\n".join(_eda_sql(c, t) for c, t in _EDA_COLS),
+    extra="e AS (SELECT travel_code, from_location, price, time, strftime(date, '%Y-%m-%d') AS "
+          "date_text, CASE WHEN line_number <= 2 THEN strftime(date, '%Y-%m-%d') ELSE agency END "
+          "AS mixed_text FROM flights)"))
+def q_eda_types(spark, sf):
+    f = flights(spark, sf).select(
+        "travel_code", "from_location", "price", "time",
+        F.date_format("date", "yyyy-MM-dd").alias("date_text"),
+        F.when(F.col("line_number") <= 2, F.date_format("date", "yyyy-MM-dd"))
+        .otherwise(F.col("agency")).alias("mixed_text"))
+    return profile.eda_type_plan(f)
+
+
+_FINAL = ["price", "time", "distance", "extra_feature", "flight_type"]
+
+
+@register("conform_columns", "P10 P9 P7", with_flights(
+    f"SELECT {TIE}, price, time, distance, CAST(0.0 AS DOUBLE) AS extra_feature, flight_type "
+    "FROM flights"))
+def q_conform(spark, sf):
+    f = flights(spark, sf)
+    keep = schema.drop_columns(f, ["user_code", "no_such_column"])
+    out = schema.conform_columns(keep, [*C.TIE_KEY, *_FINAL])
+    return schema.enforce_column_order(out, [*C.TIE_KEY, *_FINAL])

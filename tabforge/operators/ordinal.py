@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,11 +204,3 @@ def mode_values(df: DataFrame, columns: Sequence[str]) -> dict:
         rows = modes(df, c).collect()
         out[c] = rows[0]["mode"] if rows else None
     return out
-
-
-def to_pandas_small(df: DataFrame, limit: int = 100_000) -> pd.DataFrame:
-    """Collect a result that is known to be small, refusing large ones."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"result larger than {limit} rows; keep it distributed")
-    return pd.DataFrame([r.asDict() for r in rows], columns=df.columns)

@@ -240,3 +240,41 @@ def test_time_series_folds():
         [(20, 20, 36), (36, 36, 52), (52, 52, 68), (68, 68, 84), (84, 84, 100)]
     g = splits.time_series_folds(100, 3, max_train_size=10, gap=2)
     assert g[0].train_start == 13 and g[0].train_end == 23
+
+
+def test_zip_scan_reads_first_member_per_archive(spark, tmp_path):
+    import io
+    import zipfile
+    import pandas as pd
+    from tabforge.sources.readers import load_data
+    d = tmp_path / "zips.zip"
+    d.mkdir()
+    for k in range(3):
+        buf = io.StringIO()
+        pd.DataFrame({"col_a": [k * 10 + i for i in range(4)], "col_b": [4.0, 5.0, 6.0, 7.0],
+                      "col_c": list("xyzw")}).to_csv(buf, index=False)
+        with zipfile.ZipFile(d / f"part{k}.zip", "w") as z:
+            z.writestr("readme.txt", "not data")
+            z.writestr("data.csv", buf.getvalue())
+            z.writestr("other.csv", "col_a,col_b,col_c\n99,9.0,q\n")
+    df = load_data(spark, str(d))
+    rows = sorted(tuple(r) for r in df.collect())
+    assert len(rows) == 12 and rows[0] == (0, 4.0, "x")
+    assert load_data(spark, str(tmp_path / "missing.csv")) is None
+    assert load_data(spark, str(tmp_path / "x.xlsx")) is None
+
+
+def test_contract_on_stream(spark, tmp_path):
+    from tabforge.operators.schema import Contract
+    from tabforge.streaming.scoring import contract_stream
+    src = tmp_path / "in"
+    spark.createDataFrame([("A", 1.0), ("Z", 2.0), ("N", -1.0)], "t string, x double") \
+        .write.parquet(str(src))
+    stream = spark.readStream.schema("t string, x double").parquet(str(src))
+    c = Contract(enums={"t": ["A", "N"]}, positive=("x",))
+    q = (contract_stream(stream, c).writeStream.format("memory").queryName("contract_out")
+         .outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r["t"]: list(r["violations"]) for r in spark.sql("select * from contract_out").collect()}
+    assert got == {"A": [], "Z": ["t:not_allowed"], "N": ["x:not_positive"]}
