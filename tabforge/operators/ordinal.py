@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +43,15 @@ MAX_DRIVER_GROUPS = 100_000
 def _ordered_checkpoint(df: DataFrame, order: Sequence[Column | str],
                         num_partitions: int | None) -> DataFrame:
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    keyed = df.withColumn(_TB, F.monotonically_increasing_id())
+    # the range partitioner samples its input before shuffling it: keep the
+    # (narrow) keyed input so the upstream plan runs once, not twice
+    keyed = df.withColumn(_TB, F.monotonically_increasing_id()).persist(
+        StorageLevel.MEMORY_AND_DISK)
     keys = [*order, F.col(_TB)]
     ordered = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return checkpoint(ordered)
+    out = checkpoint(ordered)
+    keyed.unpersist()
+    return out
 
 
 def _partition_offsets(ordered: DataFrame, weight: Column | None = None) -> list[int]:

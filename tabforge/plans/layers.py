@@ -28,7 +28,7 @@ from ..operators.schema import (drop_columns, drop_missing_target, enforce_colum
                                 optimize_data_types, rename_columns, sanitize_column_names,
                                 standardize_column_names)
 from ..functions.numeric import NUMERIC_OPS
-from ..session import checkpoint
+from ..session import write_table
 from ..sources.sinks import route_write
 from . import config as C
 
@@ -55,11 +55,11 @@ def silver_transform(raw: DataFrame, key=suites.SILVER_KEY, keep_tie_key: bool =
     dedup (first by date, then the tie key) -> date features -> order.
 
     The silver table is a layer boundary: with ``materialize`` it is written
-    once as a reliable checkpoint in the shared checkpoint folder, so every
-    later statistic and fit reads it instead of re-running the joins and
-    the dedup shuffle."""
+    once as Parquet in the shared checkpoint folder, so every later
+    statistic and fit reads it (with column pruning) instead of re-running
+    the joins and the dedup shuffle."""
     out = _silver_plan(raw, key, keep_tie_key, tie_key)
-    return checkpoint(out) if materialize else out
+    return write_table(out, "silver") if materialize else out
 
 
 def _silver_plan(raw, key, keep_tie_key, tie_key):
@@ -165,7 +165,7 @@ def fit_gold(train: DataFrame, is_tree_model: bool = True, imputation=None,
     df = drop_duplicates(df)
     df = drop_missing_target(df, C.TARGET)
     # every fit below reads this frame: write it once
-    df = checkpoint(df)
+    df = write_table(df, "gold_train_base")
     imp = fit_simple_imputer(df, imputation)
     df = imp.transform(df)
     df = add_features(df, cyclical_map, interactions, numeric_interactions)

@@ -79,6 +79,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Materialise a layer as Parquet in the shared checkpoint folder and
+    read it back: cuts lineage like a checkpoint, survives executor loss,
+    and - unlike a checkpoint - later reads get column pruning and filter
+    pushdown."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/tables/{name}_{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of ``df`` (no job is run)."""
     try:
