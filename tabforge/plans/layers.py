@@ -58,13 +58,17 @@ def silver_transform(raw: DataFrame, key=suites.SILVER_KEY, keep_tie_key: bool =
     once as Parquet in the shared checkpoint folder, so every later
     statistic and fit reads it (with column pruning) instead of re-running
     the joins and the dedup shuffle."""
-    out = _silver_plan(raw, key, keep_tie_key, tie_key)
+    out = _silver_plan(raw, key, keep_tie_key, tie_key, materialize)
     return write_table(out, "silver") if materialize else out
 
 
-def _silver_plan(raw, key, keep_tie_key, tie_key):
+def _silver_plan(raw, key, keep_tie_key, tie_key, materialize=False):
     df = rename_columns(raw, C.COLUMN_RENAME_MAPPING)
     df = standardize_column_names(df)
+    if materialize:
+        # the validated input is read twice (type statistics, then the
+        # cleaning write): read it once from its source, keep it as Parquet
+        df = write_table(df, "bronze_input")
     df, _ = optimize_data_types(df, date_cols=["date"])
     order = ["date", *[c for c in tie_key if c in df.columns]]
     df = dedup_business_key(df, key, order)
