@@ -152,7 +152,7 @@ GOLD_TRAIN_END = "1999-01-01"
 _ENC = ["from_location", "to_location", "agency"]
 
 
-def _gold_sql():
+def _gold_sql(cond=f"date >= DATE '{GOLD_TRAIN_END}'", wrap=None):
     codes = ",\n".join(
         f"code_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS k FROM "
         f"(SELECT DISTINCT {c} AS v FROM s WHERE date < DATE '{GOLD_TRAIN_END}' AND {c} IS NOT NULL))"
@@ -168,7 +168,9 @@ SELECT CASE g.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0
        ROUND(sin(2 * pi() * g.day / 31), 6) AS day_sin, ROUND(cos(2 * pi() * g.day / 31), 6) AS day_cos
 FROM (SELECT DISTINCT from_location, to_location, flight_type, price, time, distance, agency,
              year, month, day, day_of_week
-      FROM s WHERE date >= DATE '{GOLD_TRAIN_END}' AND price IS NOT NULL) g"""
+      FROM s WHERE {cond} AND price IS NOT NULL) g"""
+    if wrap is not None:
+        return with_flights(wrap, extra=f"s AS ({_SILVER_SQL}),\n{codes},\ng AS ({body})")
     return with_flights(body, extra=f"s AS ({_SILVER_SQL}),\n{codes}")
 
 
@@ -186,7 +188,24 @@ def q_gold_tree(spark, sf):
     return g.select(*[r(c) if c in _CYC else F.col(c) for c in g.columns])
 
 
-@register("gate_gold", "Q2 Q3 Q4 Q5 Q7 Q15 L3")
+_GOLD_COLS = ["flight_type", "from_location", "to_location", "agency", "price", "time",
+              "distance", "year", "month_sin", "month_cos", "day_of_week_sin",
+              "day_of_week_cos", "day_sin", "day_cos"]
+
+
+def _gold_gate_sql():
+    rows = [_row("columns_match_ordered_list", "columns_match_ordered_list", None, "TRUE"),
+            _row("between:price", "between", "price", "(SELECT count_if(price < 0) = 0 FROM g)",
+                 "(SELECT count_if(price < 0) FROM g)", "(SELECT count(price) FROM g)"),
+            _row("row_count_between", "row_count_between", None, "(SELECT count(*) >= 10 FROM g)")]
+    rows += [_row(f"type_in_list:{c}", "type_in_list", c, "TRUE") for c in _GOLD_COLS]
+    rows += [_row(f"not_null:{c}", "not_null", c, f"(SELECT count_if({c} IS NULL) = 0 FROM g)",
+                  f"(SELECT count_if({c} IS NULL) FROM g)", "(SELECT count(*) FROM g)")
+             for c in _GOLD_COLS]
+    return _gold_sql(f"date < DATE '{GOLD_TRAIN_END}'", wrap="\nUNION ALL\n".join(rows))
+
+
+@register("gate_gold", "Q2 Q3 Q4 Q5 Q7 Q15 L3", _gold_gate_sql())
 def q_gate_gold(spark, sf):
     s = _silver(spark, sf)
     d = F.col("date")
