@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +42,15 @@ MAX_DRIVER_GROUPS = 100_000
 def _ordered_checkpoint(df: DataFrame, order: Sequence[Column | str],
                         num_partitions: int | None) -> DataFrame:
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    # the range partitioner samples its input before shuffling it: keep the
-    # (narrow) keyed input so the upstream plan runs once, not twice
-    keyed = df.withColumn(_TB, F.monotonically_increasing_id()).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # The row id is assigned once and pinned by a reliable checkpoint: if an
+    # executor is lost and a map task re-runs, a recomputed id could send a
+    # row to a different range partition; read from the checkpoint it
+    # cannot.  This also lets the range partitioner's sampling pass and the
+    # shuffle read the (narrow) input without re-running the upstream plan.
+    keyed = checkpoint(df.withColumn(_TB, F.monotonically_increasing_id()))
     keys = [*order, F.col(_TB)]
     ordered = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    out = checkpoint(ordered)
-    keyed.unpersist()
-    return out
+    return checkpoint(ordered)
 
 
 def _partition_offsets(ordered: DataFrame, weight: Column | None = None) -> list[int]:

@@ -136,3 +136,23 @@ def test_treeshap_exact_and_additive(spark):
         got = long[(long["id"] == i) & (long["feature"] != "__base__")].set_index(
             "feature").loc[feats, "phi"].to_numpy()
         assert np.allclose(got, want, atol=1e-9)
+
+
+def test_ridge_translation_matches_closed_form(spark):
+    rng = np.random.default_rng(2)
+    n = 500
+    X = rng.normal(size=(n, 2)) * [3.0, 0.5] + [10.0, -2.0]
+    y = 4.0 * X[:, 0] - 7.0 * X[:, 1] + rng.normal(0, 2.0, n) + 50.0
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(X, y)],
+                               "x0 double, x1 double, y double")
+    v = assemble(df, ["x0", "x1"])
+    alpha = 250.0
+    Xc, yc = X - X.mean(0), y - y.mean()
+    want = np.linalg.solve(Xc.T @ Xc + alpha * np.eye(2), Xc.T @ yc)
+    m = make_estimator("Ridge", {"alpha": alpha}, label="y", train=v).fit(v)
+    assert np.allclose(m.coefficients.toArray(), want, rtol=2e-3)
+    ols = make_estimator("LinearRegression", {}, label="y").fit(v)
+    assert np.allclose(ols.coefficients.toArray(), np.linalg.lstsq(
+        np.column_stack([Xc]), yc, rcond=None)[0], rtol=1e-8)
+    with pytest.raises(ValueError):
+        make_estimator("NoSuchModel", {})
