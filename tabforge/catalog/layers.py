@@ -244,3 +244,21 @@ def q_silver_route(spark, sf):
     path = route_write(s, ok, f"{base}/processed", f"{base}/quarantine", "silver")
     area = "processed" if ok else "quarantine"
     return spark.read.parquet(path).select(F.lit(area).alias("routed_to"), *s.columns)
+
+
+@register("bronze_route", "S6 S1 Q16 L1", with_flights(
+    "SELECT 'processed' AS routed_to, * FROM raw", extra=_RAW_SQL))
+def q_bronze_route(spark, sf):
+    """Raw file through the bronze gate: written as CSV to processed or
+    quarantine, then read back (typed) from where it went."""
+    import uuid
+    from ..plans.layers import run_bronze
+    from ..session import ensure_checkpoint_dir
+    from ..sources.readers import load_data
+    raw = _raw(spark, sf)
+    base = f"{ensure_checkpoint_dir(spark)}/layers_{uuid.uuid4().hex}"
+    path = run_bronze(raw, f"{base}/processed", f"{base}/quarantine", "flights.csv",
+                      rules=_bronze_rules())
+    area = "processed" if "/processed/" in path else "quarantine"
+    back = load_data(spark, path, schema=raw.schema)
+    return back.select(F.lit(area).alias("routed_to"), *raw.columns)

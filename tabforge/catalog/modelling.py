@@ -15,7 +15,8 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from ..operators.model import cv, explain, metrics
-from ..operators.model.estimators import assemble, coefficients_table, make_estimator
+from ..operators.model.estimators import (assemble, coefficients_table, make_estimator,
+                                          nominal_sizes)
 from ..plans import config as C
 from ..plans.layers import fit_gold, silver_transform
 from ..plans.scoring import ScoringBundle, score
@@ -178,10 +179,11 @@ def _gold_split(spark, sf):
     return gm, feats, gm.transform(train), gm.transform(test)
 
 
-def _tree_eval(spark, sf, name, params):
+def _tree_eval(spark, sf, name, params, categorical=False):
     gm, feats, tr, te = _gold_split(spark, sf)
-    model = make_estimator(name, params, label=C.TARGET).fit(assemble(tr, feats))
-    pred = model.transform(assemble(te, feats)).select(
+    nominal = nominal_sizes(gm.encoder, feats) if categorical else None
+    model = make_estimator(name, params, label=C.TARGET).fit(assemble(tr, feats, nominal=nominal))
+    pred = model.transform(assemble(te, feats, nominal=nominal)).select(
         F.col(C.TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
     met = metrics.regression_metrics(pred)
     imp = coefficients_table(spark, model, feats)
@@ -199,7 +201,7 @@ def q_rf(spark, sf):
 def q_gbt(spark, sf):
     met, _ = _tree_eval(spark, sf, "LGBMRegressor",
                         {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 5,
-                         "random_state": 42})
+                         "random_state": 42}, categorical=True)
     return _round_metrics(met)
 
 

@@ -23,10 +23,33 @@ TREES = ("RandomForestRegressor", "GBTRegressor", "XGBRegressor", "LGBMRegressor
 MAX_DEPTH = 30
 
 
-def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
-    """Feature vector; NULL/NaN inputs are an error (gold data has none)."""
-    return VectorAssembler(inputCols=list(features), outputCol=out,
-                           handleInvalid="error").transform(df)
+def assemble(df: DataFrame, features, out: str = "features",
+             nominal: dict | None = None) -> DataFrame:
+    """Feature vector; NULL/NaN inputs are an error (gold data has none).
+
+    ``nominal`` (M8) maps feature name -> number of categories for features
+    holding category codes ``0..k-1``; they are declared as nominal ML
+    attributes on the vector, so MLlib trees split them as categories."""
+    v = VectorAssembler(inputCols=list(features), outputCol=out,
+                        handleInvalid="error").transform(df)
+    if not nominal:
+        return v
+    attrs = {"nominal": [], "numeric": []}
+    for i, f in enumerate(features):
+        if f in nominal:
+            attrs["nominal"].append({"idx": i, "name": f, "num_vals": int(nominal[f])})
+        else:
+            attrs["numeric"].append({"idx": i, "name": f})
+    meta = {"ml_attr": {"attrs": {k: x for k, x in attrs.items() if x},
+                        "num_attrs": len(features)}}
+    return v.withColumn(out, F.col(out).alias(out, metadata=meta))
+
+
+def nominal_sizes(encoder_model, features) -> dict:
+    """Category counts of encoded columns (auto and mapped ordinals)."""
+    sizes = {c: len(v) for c, v in encoder_model.auto.items()}
+    sizes.update({c: len(v) for c, v in encoder_model.mapped.items()})
+    return {f: n for f, n in sizes.items() if f in features}
 
 
 def label_std(df: DataFrame, label: str) -> tuple[float, int]:

@@ -156,3 +156,21 @@ def test_ridge_translation_matches_closed_form(spark):
         np.column_stack([Xc]), yc, rcond=None)[0], rtol=1e-8)
     with pytest.raises(ValueError):
         make_estimator("NoSuchModel", {})
+
+
+def test_nominal_features_make_categorical_splits(spark):
+    from tabforge.operators.model.estimators import assemble
+    rng = np.random.default_rng(4)
+    n = 600
+    cat = rng.integers(0, 5, n)
+    y = np.where(np.isin(cat, [0, 3]), 10.0, -10.0) + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame([(float(c), float(v)) for c, v in zip(cat, y)], "c double, y double")
+    v = assemble(df, ["c"], nominal={"c": 5})
+    m = make_estimator("GBTRegressor", {"n_estimators": 1, "max_depth": 1, "random_state": 1},
+                       label="y").fit(v)
+    root = m.trees[0]._call_java("rootNode")
+    split = root.split()
+    assert split.getClass().getSimpleName() == "CategoricalSplit"
+    long = tree_contributions(df.withColumn("id", F.monotonically_increasing_id()), m, ["c"], ["id"])
+    pred = m.transform(v).agg(F.sum("prediction")).collect()[0][0]
+    assert abs(long.agg(F.sum("phi")).collect()[0][0] - pred) < 1e-6
