@@ -112,8 +112,30 @@ def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=
     if missing:
         raise ValueError(f"encoding columns not in the DataFrame: {missing}")
     onehot, mapped, auto, tables = {}, {}, {}, {}
+    # text columns: every column's distinct values in one bounded job
+    texts = [c for c in dict.fromkeys([*onehot_cols, *[c for c in ordinal_cols
+                                                       if c not in ordinal_mapping]])
+             if isinstance(df.schema[c].dataType, T.StringType)]
+    known: dict = {}
+    if texts:
+        pairs = (df.select(*texts).unpivot([], texts, "column", "value")
+                 .where(F.col("value").isNotNull()).distinct())
+        cap = max_literal_categories * len(texts)
+        got = pairs.limit(cap + 1).collect()
+        if len(got) <= cap:
+            for r in got:
+                known.setdefault(r["column"], []).append(r["value"])
+            known = {c: sorted(known.get(c, [])) for c in texts}
+
+    def distinct_of(c, limit):
+        if c in known:
+            vals = known[c]
+            if len(vals) <= limit:
+                return vals, None
+        return _sorted_distinct(df, c, limit)
+
     for c in onehot_cols:
-        cats, _ = _sorted_distinct(df, c, MAX_ONEHOT_WIDTH)
+        cats, _ = distinct_of(c, MAX_ONEHOT_WIDTH)
         if cats is None:
             raise ValueError(f"one-hot of {c!r} exceeds {MAX_ONEHOT_WIDTH} columns; "
                              "use ordinal encoding")
@@ -122,7 +144,7 @@ def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=
         if c in ordinal_mapping:
             mapped[c] = list(ordinal_mapping[c])
             continue
-        cats, d = _sorted_distinct(df, c, max_literal_categories)
+        cats, d = distinct_of(c, max_literal_categories)
         if cats is not None:
             auto[c] = cats
         else:

@@ -203,9 +203,17 @@ def modes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def mode_values(df: DataFrame, columns: Sequence[str]) -> dict:
-    """``{column: mode}`` for several columns; one job per column."""
-    out = {}
+    """``{column: mode}`` for several columns.  All text columns share one
+    two-level aggregation over the long ``(column, value)`` form; other
+    types keep their own ordering and get one job each."""
+    out: dict = {c: None for c in columns}
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    if texts:
+        long = df.select(*texts).unpivot([], texts, "column", "value")
+        for r in modes(long, "value", ["column"]).collect():
+            out[r["column"]] = r["mode"]
     for c in columns:
-        rows = modes(df, c).collect()
-        out[c] = rows[0]["mode"] if rows else None
+        if c not in texts:
+            rows = modes(df, c).collect()
+            out[c] = rows[0]["mode"] if rows else None
     return out
