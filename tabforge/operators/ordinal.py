@@ -162,7 +162,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         for row, p, lo, hi, frac in targets:
             vlo, vhi = vals[lo], vals[hi]
             rows.append((*[row[b] for b in by], row["column"], p, vlo + (vhi - vlo) * frac))
-        return spark.createDataFrame(rows, out_schema)
+        # at most MAX_DRIVER_GROUPS x len(probs) rows (counted above): safe to
+        # broadcast wherever the caller joins it back to its groups
+        return F.broadcast(spark.createDataFrame(rows, out_schema))
     h = (F.col("_n") - 1).cast("double")
     items = []
     for p in probs:
