@@ -146,7 +146,8 @@ pred AS (SELECT fo.fold, p.price, fit.a + fit.b * p.time AS yhat
 def _cv_metrics(spark, sf):
     f = flights(spark, sf)
     ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price")
-    return cv.time_cv_metrics(ordered, n, "LinearRegression", {}, ["time"], "price", 5)
+    return cv.time_cv_metrics(ordered, n, "LinearRegression", {}, ["time"], "price", 5,
+                              parallelism=4)
 
 
 @register("cv_metrics", "V3 T3 M9", with_flights(

@@ -47,8 +47,7 @@ WHERE p.pos >= f.train_start AND p.pos < f.test_end
 GROUP BY 1, 2"""))
 def q_ts_folds(spark, sf):
     f = flights(spark, sf).select("date", *C.TIE_KEY)
-    ordered = splits.with_ordinal(f, "date", C.TIE_KEY)
-    n = ordered.count()
+    ordered, n = splits.with_ordinal(f, "date", C.TIE_KEY, return_count=True)
     folds = splits.time_series_folds(n, C.N_SPLITS)
     a = splits.assign_folds(ordered, folds)
     return a.groupBy("fold", "role").agg(

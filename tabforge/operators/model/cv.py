@@ -26,8 +26,7 @@ from .metrics import METRICS, regression_metrics
 
 def ordered_frame(df: DataFrame, date_col: str, tie_key, features, label) -> tuple[DataFrame, int]:
     cols = list(dict.fromkeys([date_col, *tie_key, *features, label]))
-    o = with_ordinal(df.select(*cols), date_col, tie_key)
-    return o, o.count()
+    return with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
 
 
 def _fold_predictions(ordered, fold, name, params, features, label):

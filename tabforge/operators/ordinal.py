@@ -53,7 +53,8 @@ def _ordered_checkpoint(df: DataFrame, order: Sequence[Column | str],
     return checkpoint(ordered)
 
 
-def _partition_offsets(ordered: DataFrame, weight: Column | None = None) -> list[int]:
+def _partition_offsets(ordered: DataFrame, weight: Column | None = None,
+                       with_total: bool = False):
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     rows = (ordered.groupBy(F.spark_partition_id().alias("p"))
             .agg(w.alias("w")).collect())
@@ -62,23 +63,27 @@ def _partition_offsets(ordered: DataFrame, weight: Column | None = None) -> list
     for p in range(ordered.rdd.getNumPartitions()):
         offsets.append(acc)
         acc += per.get(p, 0)
-    return offsets
+    return (offsets, acc) if with_total else offsets
 
 
 def with_global_ordinal(df: DataFrame, order: Sequence[Column | str],
                         ordinal_col: str = "ordinal",
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None,
+                        return_count: bool = False):
     """Add a 0-based ``ordinal`` following ``order`` (ascending, nulls first).
 
     Ties in ``order`` are broken by scan position, so pass a unique key in
-    ``order`` when the result must not depend on file layout.
+    ``order`` when the result must not depend on file layout.  With
+    ``return_count`` the row count (known from the partition counts) is
+    returned as well: ``(frame, n)``.
     """
     ordered = _ordered_checkpoint(df, order, num_partitions)
-    offsets = _partition_offsets(ordered)
+    offsets, total = _partition_offsets(ordered, with_total=True)
     pid = F.spark_partition_id()
     local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
     base = F.element_at(F.array(*[F.lit(int(o)) for o in offsets]), pid + 1)
-    return ordered.withColumn(ordinal_col, base + local).drop(_TB)
+    out = ordered.withColumn(ordinal_col, base + local).drop(_TB)
+    return (out, total) if return_count else out
 
 
 def weighted_prefix(df: DataFrame, order: Sequence[str], weight_col: str,

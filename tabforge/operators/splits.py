@@ -163,9 +163,10 @@ def fold_table(spark, folds: Sequence[Fold]) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, date_col: str, tie_key: Sequence[str],
-                 ordinal_col: str = "ordinal") -> DataFrame:
+                 ordinal_col: str = "ordinal", return_count: bool = False):
     """Global 0-based position in ``(date, tie_key)`` order."""
-    return with_global_ordinal(df, [F.col(date_col), *[F.col(c) for c in tie_key]], ordinal_col)
+    return with_global_ordinal(df, [F.col(date_col), *[F.col(c) for c in tie_key]], ordinal_col,
+                               return_count=return_count)
 
 
 def assign_folds(ordered: DataFrame, folds: Sequence[Fold],
