@@ -8,7 +8,6 @@ closed form in SQL.
 
 from __future__ import annotations
 
-import os
 import uuid
 from statistics import NormalDist
 
@@ -370,8 +369,6 @@ def q_split_sink(spark, sf):
     return back.select(*C.TIE_KEY, "split")
 
 
-_ = os  # keep import for path helpers in notebooks
-
 
 # --- F2 / F6 / B2 ------------------------------------------------------------
 

@@ -111,7 +111,6 @@ def fit_isolation_forest(df: DataFrame, columns, n_trees: int = 100, max_samples
                          contamination: str | float = "auto", seed: int = 0,
                          key: list[str] | None = None) -> IsolationForestModel:
     cols = present(df, columns)
-    spark = df.sparkSession
     n = df.count()
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -160,5 +159,4 @@ def fit_isolation_forest(df: DataFrame, columns, n_trees: int = 100, max_samples
         q = quantile_map(scored, cols, [1.0 - float(contamination)])
         model = IsolationForestModel(n_trees, psi, contamination, bps, paths,
                                      {c: q[c][1.0 - float(contamination)] for c in cols})
-    _ = spark
     return model

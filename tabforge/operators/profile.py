@@ -7,7 +7,6 @@ asked for).  Outputs are small DataFrames (one row per column or group).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -287,6 +286,3 @@ def eda_type_plan(df: DataFrame) -> DataFrame:
         data.append((p.column, p.old_type, new))
     return df.sparkSession.createDataFrame(data, "column string, old_type string, new_type string")
 
-
-def _isfinite(x) -> bool:
-    return x is not None and not (isinstance(x, float) and (math.isnan(x) or math.isinf(x)))

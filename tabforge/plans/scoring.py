@@ -14,10 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_features
+from ..functions.dates import date_features, parse_date
 from ..operators.model.estimators import assemble
 from ..operators.schema import rename_columns, standardize_column_names
-from ..functions.dates import parse_date
 from . import config as C
 from .layers import GoldModel
 
