@@ -88,14 +88,16 @@ def with_global_ordinal(df: DataFrame, order: Sequence[Column | str],
 
 def weighted_prefix(df: DataFrame, order: Sequence[str], weight_col: str,
                     out_col: str = "before",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None,
+                    return_total: bool = False):
     """Add ``before`` = sum of ``weight_col`` over all rows strictly earlier.
 
     Meant for aggregated tables (one row per date, per group...): the work
-    is a range shuffle plus one vectorised pass per partition.
+    is a range shuffle plus one vectorised pass per partition.  With
+    ``return_total`` the grand total comes back too: ``(frame, total)``.
     """
     ordered = _ordered_checkpoint(df, [F.col(c) for c in order], num_partitions)
-    offsets = _partition_offsets(ordered, F.col(weight_col))
+    offsets, total = _partition_offsets(ordered, F.col(weight_col), with_total=True)
     fields = [f for f in ordered.schema.fields if f.name != _TB]
     out_schema = T.StructType(fields + [T.StructField(out_col, T.LongType(), False)])
     names = [f.name for f in fields]
@@ -112,7 +114,8 @@ def weighted_prefix(df: DataFrame, order: Sequence[str], weight_col: str,
                 acc += int(w.sum())
             yield pdf
 
-    return ordered.mapInPandas(run, out_schema)
+    out = ordered.mapInPandas(run, out_schema)
+    return (out, total) if return_total else out
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

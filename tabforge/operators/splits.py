@@ -34,11 +34,11 @@ def split_by_fraction(df: DataFrame, date_col: str, tie_key: Sequence[str],
     next ``int(n*val)`` validation, the rest test.  Rows with a NULL date
     are dropped first (the coercing parse of the source)."""
     src = df.where(F.col(date_col).isNotNull())
-    n = src.count()
+    counts = src.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
+    # the per-date counts also give n: no separate pass over the rows
+    cum, n = weighted_prefix(counts, [date_col], "_n", "_before", return_total=True)
     c1 = int(n * train_size)
     c2 = c1 + int(n * val_size)
-    counts = src.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
-    cum = weighted_prefix(counts, [date_col], "_n", "_before")
     cum_rows = cum.where(
         ((F.col("_before") < c1) & (F.col("_before") + F.col("_n") > c1))
         | ((F.col("_before") < c2) & (F.col("_before") + F.col("_n") > c2))
