@@ -459,3 +459,22 @@ def q_unscale(spark, sf):
     pred = t.select(F.col("price").alias("y_true"), (F.col("price") + 0.05).alias("y_pred"))
     back = metrics.unscale(pred, ["y_true", "y_pred"], sc, pw, target="price")
     return _round_metrics(metrics.regression_metrics(back))
+
+
+@register("train_modes", "M9 V5 U1")
+def q_train_modes(spark, sf):
+    """The three run modes on the chronological split of the flights rows
+    (linear model on time and distance): metrics per evaluated split."""
+    from ..operators.splits import split_by_fraction
+    from ..plans.training import train_model
+    f = flights(spark, sf).select(*C.TIE_KEY, "date", "time", "distance", "price")
+    s = split_by_fraction(f, "date", C.TIE_KEY)
+    parts = {k: s.where(F.col("split") == k).drop("split") for k in ("train", "validation", "test")}
+    out = None
+    for mode in ("validation", "train_only", "cv"):
+        _, met = train_model("LinearRegression", {}, ["time", "distance"], "price",
+                             parts["train"], parts["validation"], parts["test"], mode=mode,
+                             tie_key=C.TIE_KEY, n_splits=3)
+        met = met.withColumn("mode", F.lit(mode))
+        out = met if out is None else out.unionByName(met)
+    return out.select("mode", "split", *[r(c, d) for c, d in _ROUND.items()])

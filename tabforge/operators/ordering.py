@@ -20,7 +20,8 @@ def sort_by_date(df: DataFrame, date_col: str, tie_key: Sequence[str] = ()) -> D
     """O1: rows ordered by ``(date, tie_key)`` within each partition, and
     range-partitioned so the partitions are in order too - use it right
     before a sink.  A missing column leaves the frame unchanged."""
-    if date_col not in df.columns:
+    if date_col not in df.columns or df.schema[date_col].dataType.typeName() not in (
+            "date", "timestamp", "timestamp_ntz"):
         return df
     keys = [F.col(date_col), *[F.col(c) for c in tie_key]]
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)

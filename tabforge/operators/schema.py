@@ -7,6 +7,7 @@ gathers whatever statistics the decision needs.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -221,6 +222,8 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 def enforce_column_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Reorder only when the column *sets* match, else unchanged."""
     if set(order) != set(df.columns) or len(order) != len(df.columns):
+        logging.getLogger(__name__).warning(
+            "column order not enforced: columns %s do not match %s", df.columns, list(order))
         return df
     return df.select(*order)
 
