@@ -125,6 +125,7 @@ def fit_mice(df: DataFrame, columns, max_iter: int = 10, tol: float = 1e-3) -> M
     for rnd in range(max_iter):
         prev = cur.select(*[F.col(c).alias(f"__p_{c}") for c in cols], *cur.columns)
         work = prev
+        held = []          # persisted step frames of this round
         for j in order:
             c = cols[j]
             others = [o for o in cols if o != c]
@@ -136,6 +137,11 @@ def fit_mice(df: DataFrame, columns, max_iter: int = 10, tol: float = 1e-3) -> M
                 for b in range(a, len(others)):
                     aggs.append(F.covar_pop(others[a], others[b]).alias(f"c_{a}_{b}"))
             r = obs.agg(*aggs).collect()[0]
+            # ``work`` is now materialised; earlier step frames are not needed
+            # (a lost block recomputes from the round's checkpoint)
+            for h in held[:-1]:
+                h.unpersist()
+            held = held[-1:]
             k = len(others)
             cxx = np.zeros((k, k))
             for a in range(k):
@@ -151,13 +157,15 @@ def fit_mice(df: DataFrame, columns, max_iter: int = 10, tol: float = 1e-3) -> M
                 pred = pred + F.lit(float(coef[i])) * F.col(o)
             work = work.withColumn(c, F.when(miss[c], pred).otherwise(F.col(c))) \
                 .persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(work)
         n_iter = rnd + 1
         change = F.lit(0.0)
         for c in cols:
             change = change + F.abs(F.col(c) - F.col(f"__p_{c}"))
         inf_norm = work.agg(F.max(change)).collect()[0][0] or 0.0
         cur = checkpoint(work.drop(*[f"__p_{c}" for c in cols]))
-        work.unpersist()
+        for h in held:
+            h.unpersist()
         if inf_norm < norm_tol:
             break
     return MICEModel(cols, means, steps, n_iter)
