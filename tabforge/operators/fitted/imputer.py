@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ordinal import mode_values, quantile_map
 from .base import JsonState, present
 
 STRATEGIES = ("mean", "median", "mode", "constant")
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 @dataclass(frozen=True)
@@ -28,8 +30,13 @@ class SimpleImputerModel(JsonState):
             return df
         out = {}
         for c, v in fill.items():
-            out[c] = F.coalesce(F.when(~F.isnan(F.col(c)), F.col(c)) if isinstance(v, float)
-                                else F.col(c), F.lit(v).cast(df.schema[c].dataType))
+            dt = df.schema[c].dataType
+            if isinstance(v, float) and isinstance(dt, _INTEGRAL) and not v.is_integer():
+                dt = T.DoubleType()       # like pandas: a fractional fill widens the column
+            col = F.col(c).cast(dt)
+            if isinstance(v, float) and isinstance(dt, (T.FloatType, T.DoubleType)):
+                col = F.when(~F.isnan(col), col)
+            out[c] = F.coalesce(col, F.lit(v).cast(dt))
         return df.withColumns(out)
 
 

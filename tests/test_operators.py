@@ -278,3 +278,11 @@ def test_contract_on_stream(spark, tmp_path):
     q.stop()
     got = {r["t"]: list(r["violations"]) for r in spark.sql("select * from contract_out").collect()}
     assert got == {"A": [], "Z": ["t:not_allowed"], "N": ["x:not_positive"]}
+
+
+def test_imputer_fractional_median_widens_int_column(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (3,), (4,)], "k int")
+    m = fit_simple_imputer(df, {"median": ["k"]})
+    out = m.transform(df)
+    assert dict(out.dtypes)["k"] == "double"
+    assert sorted(r["k"] for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
