@@ -262,3 +262,44 @@ def q_bronze_route(spark, sf):
     area = "processed" if "/processed/" in path else "quarantine"
     back = load_data(spark, path, schema=raw.schema)
     return back.select(F.lit(area).alias("routed_to"), *raw.columns)
+
+
+_SCORE_FEATS = ["distance", "flight_type"]
+
+
+def _score_sql():
+    body_g = _gold_sql(f"date < DATE '{GOLD_TRAIN_END}'", wrap="SELECT 1")
+    # reuse the gold CTEs, then a 2-feature OLS in closed form
+    ctes_end = body_g.rindex("SELECT 1")
+    prefix = body_g[:ctes_end].rstrip()
+    tail = f""",
+c AS (SELECT var_pop(distance) AS s11, var_pop(flight_type) AS s22,
+             covar_pop(distance, flight_type) AS s12, covar_pop(distance, price) AS s1y,
+             covar_pop(flight_type, price) AS s2y, avg(price) AS my, avg(distance) AS m1,
+             avg(flight_type) AS m2 FROM g),
+b AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM (
+        SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+               (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2 FROM c))
+SELECT f.travel_code, f.line_number, f.part_key, f.supp_key,
+       ROUND(b0 + b1 * f.distance + b2 * CASE f.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0
+             WHEN 'R' THEN 2.0 END, 0) AS predicted_price
+FROM flights f, b"""
+    return prefix + tail
+
+
+@register("score_linear", "L5 P10 M1 E2", _score_sql())
+def q_score_linear(spark, sf):
+    """Batch scoring of every raw row with a bundle whose model is OLS on
+    (distance, flight_type code) fitted on the gold training table; the
+    prediction is compared at whole units (``score`` itself gives 2
+    decimals)."""
+    from ..operators.model.estimators import assemble, make_estimator
+    from ..plans.scoring import ScoringBundle, score
+    s = _silver(spark, sf)
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    gm = fit_gold(train, is_tree_model=True)
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(
+        assemble(gm.transform(train), _SCORE_FEATS))
+    b = ScoringBundle(gm, model, _SCORE_FEATS, ["travel_code", "line_number", "part_key",
+                                                "supp_key"])
+    return score(raw_flights(spark, sf), b, decimals=0)
