@@ -36,7 +36,7 @@ _TB = "__tf_rowid"
 # (its size is counted first, so the bound is proven, not estimated).
 MAX_BROADCAST_POSITIONS = 2_000_000
 # Groups whose quantile targets are resolved on the driver (bounded collect).
-MAX_DRIVER_GROUPS = 100_000
+MAX_DRIVER_GROUPS = 10_000
 
 
 def _ordered_checkpoint(df: DataFrame, order: Sequence[Column | str],

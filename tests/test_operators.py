@@ -286,3 +286,15 @@ def test_imputer_fractional_median_widens_int_column(spark):
     out = m.transform(df)
     assert dict(out.dtypes)["k"] == "double"
     assert sorted(r["k"] for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+
+
+def test_quantiles_join_path_matches_driver_path(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vals = rng.normal(size=3000)
+    df = spark.createDataFrame([(float(v), i % 40) for i, v in enumerate(vals)], "x double, g int")
+    a = {(r["g"], r["prob"]): r["value"]
+         for r in ordinal.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()}
+    monkeypatch.setattr(ordinal, "MAX_DRIVER_GROUPS", 5)     # force the distributed join path
+    b = {(r["g"], r["prob"]): r["value"]
+         for r in ordinal.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
