@@ -298,3 +298,15 @@ def test_quantiles_join_path_matches_driver_path(spark, monkeypatch):
     b = {(r["g"], r["prob"]): r["value"]
          for r in ordinal.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_encoder_code_table_path_matches_literal_path(spark, tmp_path):
+    df = spark.createDataFrame([(c,) for c in "dbacbdxa"], "c string")
+    lit = fit_encoder(df, ordinal_cols=["c"])
+    tab = fit_encoder(df, ordinal_cols=["c"], table_dir=str(tmp_path), max_literal_categories=2)
+    assert tab.auto_tables and not tab.auto
+    new = spark.createDataFrame([("a",), ("x",), ("zz",), (None,)], "c string")
+    got_lit = sorted(map(tuple, lit.transform(new).collect()), key=str)
+    got_tab = sorted(map(tuple, tab.transform(new).collect()), key=str)
+    assert got_lit == got_tab
+    assert sorted(r[0] for r in got_lit if r[0] is not None) == [-1.0, 0.0, 4.0]
