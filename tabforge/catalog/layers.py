@@ -303,3 +303,30 @@ def q_score_linear(spark, sf):
     b = ScoringBundle(gm, model, _SCORE_FEATS, ["travel_code", "line_number", "part_key",
                                                 "supp_key"])
     return score(raw_flights(spark, sf), b, decimals=0)
+
+
+def _stream(spark, source_df, transform):
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.scoring import run_stream_to_table
+    base = f"{ensure_checkpoint_dir(spark)}/stream_{uuid.uuid4().hex}"
+    source_df.repartition(4).write.mode("overwrite").parquet(f"{base}/source")
+    run_stream_to_table(spark, f"{base}/source", transform, f"{base}/sink", f"{base}/chk",
+                        max_files_per_trigger=1)
+    return spark.read.parquet(f"{base}/sink").drop("batch")
+
+
+@register("score_linear_stream", "L5 streaming", _score_sql())
+def q_score_linear_stream(spark, sf):
+    """``score_linear`` as a Structured Streaming job: the raw rows arrive
+    as files (one per micro-batch), each batch is scored and appended."""
+    from ..operators.model.estimators import assemble, make_estimator
+    from ..plans.scoring import ScoringBundle, score
+    s = _silver(spark, sf)
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    gm = fit_gold(train, is_tree_model=True)
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(
+        assemble(gm.transform(train), _SCORE_FEATS))
+    b = ScoringBundle(gm, model, _SCORE_FEATS, ["travel_code", "line_number", "part_key",
+                                                "supp_key"])
+    return _stream(spark, raw_flights(spark, sf), lambda batch: score(batch, b, decimals=0))

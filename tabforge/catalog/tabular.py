@@ -418,3 +418,17 @@ def q_conform(spark, sf):
     keep = schema.drop_columns(f, ["user_code", "no_such_column"])
     out = schema.conform_columns(keep, [*C.TIE_KEY, *_FINAL])
     return schema.enforce_column_order(out, [*C.TIE_KEY, *_FINAL])
+
+
+@register("contract_stream", "P13 streaming", _CONTRACT_SQL)
+def q_contract_stream(spark, sf):
+    """The input contract applied to a file stream of the rows."""
+    from .layers import _stream
+    src = flights(spark, sf)
+
+    def check(batch):
+        v = schema.contract_violations(batch, CONTRACT)
+        return v.select("travel_code", "line_number", "part_key", "supp_key",
+                        F.size("violations").cast("long").alias("n_violations"),
+                        F.array_join("violations", ",").alias("violations"))
+    return _stream(spark, src, check)

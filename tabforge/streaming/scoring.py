@@ -44,3 +44,22 @@ def score_stream(spark: SparkSession, source_dir: str, bundle: ScoringBundle, si
 def contract_stream(stream: DataFrame, contract: Contract) -> DataFrame:
     """P13 on a stream: adds ``violations``; split with ``size(...) == 0``."""
     return contract_violations(stream, contract)
+
+
+def run_stream_to_table(spark: SparkSession, source_dir: str, transform, sink_dir: str,
+                        checkpoint_dir: str, max_files_per_trigger: int | None = None) -> None:
+    """Apply a stateless ``transform(DataFrame) -> DataFrame`` to a file
+    stream and append every micro-batch to ``sink_dir`` (one folder per
+    batch id, overwritten on retry, so a replayed batch is not doubled)."""
+    schema = spark.read.parquet(source_dir).schema
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(
+            f"{sink_dir.rstrip('/')}/batch={batch_id}")
+
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
