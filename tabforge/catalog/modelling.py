@@ -461,7 +461,40 @@ def q_unscale(spark, sf):
     return _round_metrics(metrics.regression_metrics(back))
 
 
-@register("train_modes", "M9 V5 U1")
+_MODES_CTE = f"""
+p AS (SELECT time, distance, price, row_number() OVER (ORDER BY date, {TIE}) - 1 AS pos
+      FROM flights WHERE date IS NOT NULL),
+cut AS (SELECT CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS c1,
+               CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)
+                 + CAST(floor(n * CAST(0.15 AS DOUBLE)) AS BIGINT) AS c2
+        FROM (SELECT count(*) AS n FROM p)),
+lab AS (SELECT p.*, CASE WHEN pos < c1 THEN 'train' WHEN pos < c2 THEN 'validation'
+                         ELSE 'test' END AS split, c2 FROM p, cut),
+st AS (SELECT 'v' AS fk, time, distance, price FROM lab WHERE split = 'train'
+       UNION ALL SELECT 't', time, distance, price FROM lab WHERE split IN ('train', 'validation')
+       UNION ALL SELECT 'f' || CAST(i AS VARCHAR), time, distance, price FROM lab, range(3) r(i)
+                 WHERE pos < c2 - (3 - i) * (c2 // 4)),
+fits AS (SELECT fk, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+                (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2
+         FROM (SELECT fk, var_pop(time) AS s11, var_pop(distance) AS s22,
+                      covar_pop(time, distance) AS s12, covar_pop(time, price) AS s1y,
+                      covar_pop(distance, price) AS s2y, avg(price) AS my, avg(time) AS m1,
+                      avg(distance) AS m2 FROM st GROUP BY fk)),
+ev AS (SELECT 'validation' AS mode, 'validation' AS split, 'v' AS fk, time, distance, price
+       FROM lab WHERE split = 'validation'
+       UNION ALL SELECT 'validation', 'test', 'v', time, distance, price FROM lab WHERE split = 'test'
+       UNION ALL SELECT 'train_only', 'test', 't', time, distance, price FROM lab WHERE split = 'test'
+       UNION ALL SELECT 'cv', 'cv_fold_' || CAST(i AS VARCHAR), 'f' || CAST(i AS VARCHAR),
+                 time, distance, price FROM lab, range(3) r(i)
+                 WHERE pos >= c2 - (3 - i) * (c2 // 4) AND pos < c2 - (3 - i) * (c2 // 4) + c2 // 4
+       UNION ALL SELECT 'cv', 'test', 't', time, distance, price FROM lab WHERE split = 'test'),
+pr AS (SELECT ev.mode, ev.split, ev.price AS y,
+              (my - b1 * m1 - b2 * m2) + b1 * ev.time + b2 * ev.distance AS yhat
+       FROM ev JOIN fits ON ev.fk = fits.fk)"""
+
+
+@register("train_modes", "M9 V5 U1", with_flights(
+    _metric_sql("y", "yhat", "pr", "mode, split"), extra=_MODES_CTE))
 def q_train_modes(spark, sf):
     """The three run modes on the chronological split of the flights rows
     (linear model on time and distance): metrics per evaluated split."""
