@@ -215,7 +215,63 @@ def q_gate_gold(spark, sf):
     return res.select(*_GATE_COLS)
 
 
-@register("gold_linear", "L3 F5 F3 F8 F12")
+def _gold_linear_sql():
+    t = f"DATE '{GOLD_TRAIN_END}'"
+    cols = ("from_location, to_location, flight_type, price, time, distance, agency, year, "
+            "month, day, day_of_week")
+
+    def rare(c):
+        return (f"CASE WHEN {c} IN (SELECT v FROM (SELECT {c} AS v, count(*) AS n, "
+                f"sum(count(*)) OVER () AS tot FROM bt WHERE {c} IS NOT NULL GROUP BY {c}) "
+                f"WHERE CAST(n AS DOUBLE) / tot >= 0.041) THEN {c} ELSE 'Other' END AS {c}")
+
+    def enc(src):
+        auto = ", ".join(
+            f"COALESCE((SELECT k FROM cd_{c} WHERE v = x.{c}), -1.0) AS {c}"
+            for c in ["from_location", "to_location", "agency"])
+        return (f"SELECT CASE x.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0 END "
+                f"AS flight_type, {auto}, CAST(x.price AS DOUBLE) AS price, CAST(x.time AS DOUBLE) "
+                f"AS time, CAST(x.distance AS DOUBLE) AS distance, CAST(x.year AS DOUBLE) AS year, "
+                f"sin(2 * pi() * x.month / 12) AS month_sin, cos(2 * pi() * x.month / 12) AS month_cos, "
+                f"sin(2 * pi() * x.day_of_week / 7) AS day_of_week_sin, "
+                f"cos(2 * pi() * x.day_of_week / 7) AS day_of_week_cos, "
+                f"sin(2 * pi() * x.day / 31) AS day_sin, cos(2 * pi() * x.day / 31) AS day_cos "
+                f"FROM {src} x")
+
+    flag = " OR ".join(
+        f"({c} < {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) OR {c} > {c}_q3 + 1.5 * ({c}_q3 - {c}_q1))"
+        for c in ["price", "time", "distance"])
+    codes = ",\n".join(
+        f"cd_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS k FROM "
+        f"(SELECT DISTINCT {c} AS v FROM rt WHERE {c} IS NOT NULL))"
+        for c in ["from_location", "to_location", "agency"])
+    extra = f"""s AS ({_SILVER_SQL}),
+bt AS (SELECT DISTINCT {cols} FROM s WHERE date < {t} AND price IS NOT NULL),
+br AS (SELECT DISTINCT {cols} FROM s WHERE date >= {t} AND price IS NOT NULL),
+rt AS (SELECT {rare('from_location')}, {rare('to_location')}, flight_type, price, time, distance,
+              agency, year, month, day, day_of_week FROM bt),
+rr AS (SELECT {rare('from_location')}, {rare('to_location')}, flight_type, price, time, distance,
+              agency, year, month, day, day_of_week FROM br),
+{codes},
+et AS ({enc('rt')}),
+er AS ({enc('rr')}),
+q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3"
+                        for c in ["price", "time", "distance"])} FROM et),
+tt AS (SELECT et.* FROM et, q WHERE NOT ({flag})),
+sc AS (SELECT avg(time) AS tm, stddev_samp(time) AS ts, avg(distance) AS dm,
+              stddev_samp(distance) AS ds FROM tt)"""
+    body = ("SELECT ROUND(flight_type, 6) AS flight_type, ROUND(from_location, 6) AS from_location, "
+            "ROUND(to_location, 6) AS to_location, ROUND(agency, 6) AS agency, "
+            "ROUND(price, 6) AS price, ROUND((time - tm) / ts, 6) AS time, "
+            "ROUND((distance - dm) / ds, 6) AS distance, ROUND(year, 6) AS year, "
+            + ", ".join(f"ROUND({c}, 6) AS {c}" for c in
+                        ["month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos",
+                         "day_sin", "day_cos"])
+            + f" FROM er, q, sc WHERE NOT ({flag})")
+    return with_flights(body, extra=extra)
+
+
+@register("gold_linear", "L3 F5 F3 F8 F12", _gold_linear_sql())
 def q_gold_linear(spark, sf):
     """Non-tree path: rare grouping before encoding, IQR trim, standard
     scaling of the numeric inputs; fitted on the training period."""
