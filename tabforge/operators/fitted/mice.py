@@ -111,7 +111,7 @@ def fit_mice(df: DataFrame, columns, max_iter: int = 10, tol: float = 1e-3) -> M
     stats = base.agg(*[F.avg(c).alias(f"{c}__m") for c in cols],
                      *[F.count_if(F.col(c).isNull()).alias(f"{c}__nm") for c in cols],
                      *[F.max(F.abs(c)).alias(f"{c}__ab") for c in cols]).collect()[0]
-    # columns with no observed value cannot be modelled: dropped like the reference
+    # columns with no observed value cannot be modelled and are left out
     cols = [c for c in cols if stats[f"{c}__m"] is not None]
     p = len(cols)
     means = {c: float(stats[f"{c}__m"]) for c in cols}
