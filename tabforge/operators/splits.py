@@ -13,6 +13,7 @@ global ordinal; the fold table has ``k`` rows and is broadcast.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -111,9 +112,18 @@ def split_by_fraction(df: DataFrame, date_col: str, tie_key: Sequence[str],
 
 
 def split_by_dates(df: DataFrame, date_col: str, train_end: str, val_end: str,
-                   test_end: str | None = None, split_col: str = "split") -> DataFrame:
+                   test_end: str | None = None, split_col: str = "split",
+                   warn_empty: bool = False) -> DataFrame:
     """``date <= train_end`` train, ``<= val_end`` validation,
-    ``<= test_end`` test, later holdout (or test when no ``test_end``)."""
+    ``<= test_end`` test, later holdout (or test when no ``test_end``).
+
+    Bounds must be ``YYYY-MM-DD`` and increasing (checked on the driver).
+    With ``warn_empty`` one grouped count reports any empty split."""
+    import datetime
+    bounds = [b for b in (train_end, val_end, test_end) if b is not None]
+    parsed = [datetime.date.fromisoformat(b) for b in bounds]   # strict: raises on bad text
+    if parsed != sorted(parsed):
+        raise ValueError(f"split bounds must increase: {bounds}")
     d = F.col(date_col)
     lab = (F.when(d <= F.to_date(F.lit(train_end)), F.lit(TRAIN))
            .when(d <= F.to_date(F.lit(val_end)), F.lit(VALIDATION)))
@@ -121,7 +131,14 @@ def split_by_dates(df: DataFrame, date_col: str, train_end: str, val_end: str,
         lab = lab.otherwise(F.lit(TEST))
     else:
         lab = lab.when(d <= F.to_date(F.lit(test_end)), F.lit(TEST)).otherwise(F.lit(HOLDOUT))
-    return df.where(d.isNotNull()).withColumn(split_col, lab)
+    out = df.where(d.isNotNull()).withColumn(split_col, lab)
+    if warn_empty:
+        names = [TRAIN, VALIDATION, TEST] + ([HOLDOUT] if test_end is not None else [])
+        sizes = split_sizes(out, split_col)
+        empty = [n for n in names if not sizes.get(n)]
+        if empty:
+            logging.getLogger(__name__).warning("empty splits: %s", empty)
+    return out
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> dict:

@@ -310,3 +310,16 @@ def test_encoder_code_table_path_matches_literal_path(spark, tmp_path):
     got_tab = sorted(map(tuple, tab.transform(new).collect()), key=str)
     assert got_lit == got_tab
     assert sorted(r[0] for r in got_lit if r[0] is not None) == [-1.0, 0.0, 4.0]
+
+
+def test_split_by_dates_strict_bounds(spark, caplog):
+    import datetime
+    df = spark.createDataFrame([(datetime.date(2020, 1, d),) for d in range(1, 11)], "date date")
+    out = splits.split_by_dates(df, "date", "2020-01-03", "2020-01-06", "2020-01-20",
+                                warn_empty=True)
+    assert splits.split_sizes(out) == {"train": 3, "validation": 3, "test": 4}
+    assert "holdout" in caplog.text
+    with pytest.raises(ValueError):
+        splits.split_by_dates(df, "date", "2020-13-01", "2020-01-06")
+    with pytest.raises(ValueError):
+        splits.split_by_dates(df, "date", "2020-01-06", "2020-01-03")
