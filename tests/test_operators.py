@@ -323,3 +323,17 @@ def test_split_by_dates_strict_bounds(spark, caplog):
         splits.split_by_dates(df, "date", "2020-13-01", "2020-01-06")
     with pytest.raises(ValueError):
         splits.split_by_dates(df, "date", "2020-01-06", "2020-01-03")
+
+
+def test_weighted_prefix_matches_cumsum(spark):
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    keys = rng.permutation(500)
+    w = rng.integers(0, 50, 500)
+    df = spark.createDataFrame([(int(k), int(x)) for k, x in zip(keys, w)], "k long, w long")
+    out, total = ordinal.weighted_prefix(df, ["k"], "w", "before", num_partitions=6,
+                                         return_total=True)
+    got = out.toPandas().sort_values("k")
+    want = pd.DataFrame({"k": keys, "w": w}).sort_values("k")
+    assert total == int(w.sum())
+    assert got["before"].tolist() == (want["w"].cumsum() - want["w"]).tolist()
