@@ -5,15 +5,15 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
-MASK64 = (1 << 64) - 1
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -53,12 +53,6 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    """``mapInArrow`` over the columns of ``df``."""
-    return df.mapInArrow(fn, schema)
-
-
 def filter_rows(df: DataFrame, text_col: str, make_keep: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """Rows of ``df``, all columns, whose text passes a per-text predicate;
     one pass, no shuffle.  ``make_keep`` is called once per task.  A null
@@ -69,3 +63,39 @@ def filter_rows(df: DataFrame, text_col: str, make_keep: Callable[[], Callable[[
             mask = [keep(t or "") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield b.filter(pa.array(mask, pa.bool_()))
     return df.mapInArrow(run, df.schema)
+
+
+def pack_counts(counts, chunks: int) -> pa.RecordBatch | None:
+    """A task's count array as rows (chunk, counts): the non-zero ones of
+    ``chunks`` equal parts, compressed."""
+    parts = counts.reshape(chunks, -1)
+    some = [i for i in range(chunks) if parts[i].any()]
+    if not some:
+        return None
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()),
+         pa.array([zlib.compress(parts[i].astype(np.int64).tobytes(), 1) for i in some], pa.binary())],
+        names=["chunk", "counts"])
+
+
+def sum_counts(parts: DataFrame, chunks: int, size: int) -> np.ndarray:
+    """Sum of the tasks' count arrays (rows chunk, counts of
+    :func:`pack_counts`).  Rows of a chunk are added as they stream by, first
+    within a task, then per chunk; the driver gets one array of ``size``."""
+    def run(batches):
+        acc: dict = {}
+        for b in batches:
+            for c, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.frombuffer(zlib.decompress(z), np.int64)
+                acc[c] = acc[c] + v if c in acc else v
+        if acc:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(acc), pa.int32()),
+                 pa.array([zlib.compress(v.tobytes(), 1) for v in acc.values()], pa.binary())],
+                names=["chunk", "counts"])
+    local = parts.select("chunk", "counts").mapInArrow(run, "chunk int, counts binary")
+    total = local.repartition(chunks, "chunk").mapInArrow(run, "chunk int, counts binary")
+    out = np.zeros((chunks, size // chunks), np.int64)
+    for r in total.toLocalIterator():
+        out[r["chunk"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    return out.reshape(-1)

@@ -32,15 +32,13 @@ A null id is a document of its own.  Repeated rows are in one component.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, pack_counts, sum_counts
 
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
@@ -108,40 +106,14 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 [b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()),
                  pa.nulls(z, pa.int32()), pa.nulls(z, pa.binary())],
                 names=["doc_id", "n", "sig", "chunk", "counts"])
-        if counts.any():
-            parts = counts.reshape(SKETCH_CHUNKS, -1)
-            some = [i for i in range(SKETCH_CHUNKS) if parts[i].any()]
-            k = len(some)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.array(some, pa.int32()),
-                 pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())],
-                names=["doc_id", "n", "sig", "chunk", "counts"])
+        packed = pack_counts(counts, SKETCH_CHUNKS)
+        if packed is not None:
+            none = [pa.nulls(packed.num_rows, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*none, *packed.columns],
+                                             names=["doc_id", "n", "sig", "chunk", "counts"])
     return docs.mapInArrow(run, "doc_id long, n long, sig long, chunk int, counts binary")
 
 
-def _sum_sketch(parts: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches: each chunk is summed as its rows stream
-    by, in two levels; only the fixed-size result reaches the driver."""
-    def run(batches):
-        acc: dict = {}
-        for b in batches:
-            for c, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(zlib.decompress(z), np.int64)
-                acc[c] = acc[c] + v if c in acc else v
-        if acc:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(acc), pa.int32()),
-                 pa.array([zlib.compress(v.tobytes(), 1) for v in acc.values()], pa.binary())],
-                names=["chunk", "counts"])
-    local = parts.mapInArrow(run, "chunk int, counts binary")
-    total = local.repartition(SKETCH_CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary")
-    out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int64)
-    for r in total.toLocalIterator():
-        out[r["chunk"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-    return out.reshape(-1)
-
-
 def _order(u: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Indices that put the hashes into the global order (count, hash)."""
     return np.lexsort((u, sketch[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
@@ -322,7 +294,7 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prof = scratch.write(_profile(docs, words), "profile")
     sketch_bc = spark.sparkContext.broadcast(
-        _sum_sketch(prof.where("chunk is not null").select("chunk", "counts")))
+        sum_counts(prof.where("chunk is not null"), SKETCH_CHUNKS, 1 << SKETCH_BITS))
     rows = prof.where("chunk is null").select("doc_id", "n", "sig")
     classes = scratch.write(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(
         F.min("doc_id").alias("rep")), "classes")

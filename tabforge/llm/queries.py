@@ -3,17 +3,142 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import (bm25_pack, hilbert, html_lstm, line_rules, ngram_join, reply_trees,
+               sentencepiece_unigram, topk, toxicity, url_filter)
 from .common import read
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(read(spark, sf_dir, "documents"), shards=8)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_unigram.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_pack.pack_documents(read(spark, sf_dir, "documents"), window=2048)
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.explode(F.array(*(
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"),
+                 F.lit(role).alias("role"), F.lit(text).alias("text"))
+        for k, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    return reply_trees.format_conversations(rows.unionByName(extra))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    return url_filter.filter_pages(read(spark, sf_dir, "pages"), rules)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard_join,
+    op1_hilbert_shards, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_blocks, op5_bm25_packing,
+    op6_top_k, op7_line_rules, op8_reply_trees, op9_url_filter, op10_toxicity,
 )}
 
-ORACLES: dict[str, str] = {}
+_OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+_OP9_SQL = r"""
+WITH rules(verdict, r_host, r_path) AS (VALUES
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+u AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages)
+SELECT page_id, host, path, r_host || r_path AS rule, coalesce(verdict, 'allow') AS verdict
+FROM u LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+QUALIFY row_number() OVER (PARTITION BY page_id
+  ORDER BY length(r_host) + length(r_path) DESC NULLS LAST, length(r_host) DESC, verdict DESC) = 1
+"""
+
+# Turns, loss text and lengths follow from the rows alone: a control string
+# start and a backslash cost one more character each when escaped.
+_OP8_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(regexp_replace(replace(x, '\', '\\'),
+      '<(/?s>|/?<SYS>>|</?SYS>>)|\[(/?INST\])|<\||\|>', '\\\0', 'g')) AS n
+  FROM (SELECT *, unnest([role, text]) AS x FROM r)),
+n AS (SELECT conv_id, turn, role, sum(n) AS n FROM e GROUP BY ALL)
+SELECT r.conv_id, count(*) AS n_turns,
+  sha256(string_agg(r.role || chr(10) || text || chr(10), '' ORDER BY r.turn, r.role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (r.role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY r.turn, r.role, text) FILTER (r.role = 'assistant'), '')) AS loss_sha256,
+  sum(n.n + 10)::BIGINT AS formatted_chars
+FROM r JOIN n USING (conv_id, turn, role) GROUP BY r.conv_id
+"""
+
+_OP2_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (
+  SELECT a, b FROM l UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles,
+  least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": _OP2_SQL,
+    "op6_top_k": _OP6_SQL,
+    "op8_reply_trees": _OP8_SQL,
+    "op9_url_filter": _OP9_SQL,
+}
