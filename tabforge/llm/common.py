@@ -96,6 +96,6 @@ def sum_counts(parts: DataFrame, chunks: int, size: int) -> np.ndarray:
     local = parts.select("chunk", "counts").mapInArrow(run, "chunk int, counts binary")
     total = local.repartition(chunks, "chunk").mapInArrow(run, "chunk int, counts binary")
     out = np.zeros((chunks, size // chunks), np.int64)
-    for r in total.toLocalIterator():
+    for r in total.collect():
         out[r["chunk"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
     return out.reshape(-1)

@@ -43,7 +43,7 @@ from .common import Scratch, pack_counts, sum_counts
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
 FRAGMENTS = 4
-NEEDED_BITS = 26            # bit set of documents whose segments are wanted
+NEEDED_BITS = 24            # bit set of documents whose segments are wanted
 WORD_CACHE = 400_000        # entries of a task's word-hash cache
 GRAM_BYTES = 6              # bytes of an n-gram hash that segments carry
 
@@ -232,7 +232,7 @@ def _verify(docs, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: i
     bits = (wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")))
     bitset = np.zeros((1 << NEEDED_BITS) // 64, np.int64)     # fixed size
-    for r in bits.toLocalIterator():
+    for r in bits.collect():
         bitset[r["word"]] = r["v"]
     wanted_bc = spark.sparkContext.broadcast(bitset.tobytes())
     seg = scratch.write(_segments(docs, n, wanted_bc, sketch_bc).join(wanted, ["doc_id", "sig"], "left_semi")
