@@ -204,16 +204,19 @@ def _pick_units(rows: list[list[str]], t: dict, c: dict, n_toxic: int, n_clean:
             holders.setdefault(u, []).append(i)
     open_ = [2] * len(rows)
     least = max(2, n_toxic // 400)
-    heap = [(-len(h), u.endswith("*"), -len(u), u) for u, h in holders.items() if len(h) >= least]
+    # of equal use, first what shares its stem with no word of clean texts
+    k = STEM_LENGTHS[0]
+    common = lambda u: c.get(u[:k] + "*" if len(u) > k else u, 0)
+    heap = [(-len(h), common(u), u.endswith("*"), -len(u), u) for u, h in holders.items() if len(h) >= least]
     heapq.heapify(heap)
     lexicon: dict[str, float] = {}
     while heap and len(lexicon) < LEXICON:
-        was, stem, size, u = heapq.heappop(heap)
+        was, *rest, u = heapq.heappop(heap)
         gain = sum(open_[i] > 0 for i in holders[u])
         if gain < least:
             continue
         if gain < -was:             # out of date
-            heapq.heappush(heap, (-gain, stem, size, u))
+            heapq.heappush(heap, (-gain, *rest, u))
             continue
         lexicon[u] = math.log((t[u] + 0.5) / (n_toxic + 1)) - math.log((c.get(u, 0) + 0.5) / (n_clean + 1))
         for i in holders[u]:
