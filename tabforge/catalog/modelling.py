@@ -182,7 +182,8 @@ def _gold_split(spark, sf):
 def _tree_eval(spark, sf, name, params, categorical=False):
     gm, feats, tr, te = _gold_split(spark, sf)
     nominal = nominal_sizes(gm.encoder, feats) if categorical else None
-    model = make_estimator(name, params, label=C.TARGET).fit(assemble(tr, feats, nominal=nominal))
+    model = make_estimator(name, params, label=C.TARGET, nominal=nominal).fit(
+        assemble(tr, feats, nominal=nominal))
     pred = model.transform(assemble(te, feats, nominal=nominal)).select(
         F.col(C.TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
     met = metrics.regression_metrics(pred)

@@ -169,14 +169,12 @@ def q_dedup_full(spark, sf):
 
 
 @register("union_splits", "U1", with_flights(
-    f"SELECT {TIE}, price FROM flights WHERE date < DATE '1998-01-01' UNION ALL "
-    f"SELECT {TIE}, price FROM flights WHERE date >= DATE '1998-01-01' AND date < DATE '1999-01-01'"))
+    f"SELECT {TIE}, price, date < DATE '1998-01-01' AS early FROM flights"))
 def q_union(spark, sf):
     f = flights(spark, sf).select(*C.TIE_KEY, "price", "date")
-    a = f.where(F.col("date") < F.lit("1998-01-01").cast("date"))
-    b = f.where((F.col("date") >= F.lit("1998-01-01").cast("date"))
-                & (F.col("date") < F.lit("1999-01-01").cast("date")))
-    return dedup.union_all(a, b).drop("date")
+    early = F.col("date") < F.lit("1998-01-01").cast("date")
+    return dedup.union_all(f.where(early).withColumn("early", F.lit(True)),
+                           f.where(~early).withColumn("early", F.lit(False))).drop("date")
 
 
 @register("duplicate_rate", "U4", with_flights(

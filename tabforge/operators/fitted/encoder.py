@@ -7,27 +7,27 @@
 Output layout: one-hot columns, mapped ordinals, auto ordinals, then the
 other columns in input order; numeric columns come out as double.
 
-Fit collects the sorted distinct values of each column, after checking
-that there are at most ``max_literal_categories`` of them: such a code map
-is a literal ``CASE``/map lookup.  A larger domain keeps its code table as
-a DataFrame (codes from the global ordinal helper, no driver round trip)
-and transform joins it, broadcast only below the size bound.
+Auto ordinals of any size go one way: the distinct values get their codes from
+the global ordinal helper and are written as a code table, in a folder of its
+own for every fit; transform is an equi-join with that table per column (Spark
+broadcasts a small one).  One-hot columns have one output column per value, as
+many as there are; :func:`onehot_sparse` gives the sparse form for wide
+domains.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...session import maybe_broadcast
+from ...session import ensure_checkpoint_dir
 from ..ordinal import with_global_ordinal
 from .base import JsonState
 
-MAX_LITERAL_CATEGORIES = 10_000
-MAX_ONEHOT_WIDTH = 200
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType, T.BooleanType)
 
@@ -36,20 +36,19 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 class EncoderModel(JsonState):
     onehot: dict = field(default_factory=dict)     # col -> sorted categories
     mapped: dict = field(default_factory=dict)     # col -> ordered categories
-    auto: dict = field(default_factory=dict)       # col -> sorted categories (literal path)
-    auto_tables: dict = field(default_factory=dict)  # col -> parquet path (large domains)
+    auto_tables: dict = field(default_factory=dict)  # col -> folder of its code table
+    auto_sizes: dict = field(default_factory=dict)   # col -> number of codes
     input_columns: list = field(default_factory=list)
     strict: bool = True
 
     def output_columns(self) -> list[str]:
-        enc = set(self.onehot) | set(self.mapped) | set(self.auto) | set(self.auto_tables)
+        enc = set(self.onehot) | set(self.mapped) | set(self.auto_tables)
         out = [f"{c}_{v}" for c, cats in self.onehot.items() for v in cats]
-        out += list(self.mapped) + list(self.auto) + list(self.auto_tables)
+        out += list(self.mapped) + list(self.auto_tables)
         return out + [c for c in self.input_columns if c not in enc]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        missing = [c for c in (list(self.onehot) + list(self.mapped) + list(self.auto)
-                               + list(self.auto_tables)) if c not in df.columns]
+        missing = [c for c in [*self.onehot, *self.mapped, *self.auto_tables] if c not in df.columns]
         if missing:
             raise ValueError(f"encoding columns missing from input: {missing}")
         spark = df.sparkSession
@@ -57,7 +56,7 @@ class EncoderModel(JsonState):
         for c, path in self.auto_tables.items():
             codes = spark.read.parquet(path).select(F.col("value").alias(c),
                                                     F.col("code").alias(f"__code_{c}"))
-            src = src.join(maybe_broadcast(codes), c, "left")
+            src = src.join(codes, c, "left")
         exprs = []
         for c, cats in self.onehot.items():
             for v in cats:
@@ -73,16 +72,11 @@ class EncoderModel(JsonState):
                     F.raise_error(F.concat(F.lit(f"unknown category in {c}: "),
                                            F.col(c).cast("string"))).cast("double"))
             exprs.append(e.alias(c))
-        for c, cats in self.auto.items():
-            m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))])
-            exprs.append(F.when(F.col(c).isNull(), F.lit(None).cast("double"))
-                         .otherwise(F.coalesce(F.element_at(m, F.col(c)), F.lit(-1.0)))
-                         .alias(c))
         for c in self.auto_tables:
             exprs.append(F.when(F.col(c).isNull(), F.lit(None).cast("double"))
                          .otherwise(F.coalesce(F.col(f"__code_{c}").cast("double"),
                                                F.lit(-1.0))).alias(c))
-        enc = set(self.onehot) | set(self.mapped) | set(self.auto) | set(self.auto_tables)
+        enc = set(self.onehot) | set(self.mapped) | set(self.auto_tables)
         for c in df.columns:
             if c in enc:
                 continue
@@ -93,66 +87,57 @@ class EncoderModel(JsonState):
         return src.select(*exprs)
 
 
-def _sorted_distinct(df: DataFrame, c: str, cap: int):
-    """Sorted categories when there are at most ``cap`` (one bounded
-    collect), else ``None`` and the distinct frame for the table path."""
-    d = df.select(c).where(F.col(c).isNotNull()).distinct()
-    got = d.limit(cap + 1).collect()
-    if len(got) > cap:
-        return None, d
-    return sorted(r[0] for r in got), d
+def _code_tables(df: DataFrame, cols: list, table_dir: str) -> tuple[dict, dict]:
+    """Write (value, code) of each column to a folder of its own: codes are
+    the positions in value order.  Columns of one type share one sort."""
+    paths, sizes = {}, {}
+    by_type: dict = {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for k, group in enumerate(by_type.values()):
+        values = (df.select(*group).unpivot([], group, "column", "value")
+                  .where(F.col("value").isNotNull()).distinct())
+        at = with_global_ordinal(values, ["column", "value"], "at")
+        path = f"{table_dir.rstrip('/')}/encoder_{uuid.uuid4().hex}/{k}"
+        at.write.parquet(path)
+        table = df.sparkSession.read.parquet(path)
+        spans = {r["column"]: r for r in table.groupBy("column").agg(
+            F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+        for c in group:
+            span = spans.get(c)
+            sizes[c] = int(span["n"]) if span else 0
+            out = f"{path}_codes/{group.index(c)}"
+            table.where(F.col("column") == c).select(
+                "value", (F.col("at") - (int(span["first"]) if span else 0)).alias("code")).write.parquet(out)
+            paths[c] = out
+    return paths, sizes
 
 
 def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=None,
-                table_dir: str | None = None, strict: bool = True,
-                max_literal_categories: int = MAX_LITERAL_CATEGORIES) -> EncoderModel:
+                table_dir: str | None = None, strict: bool = True) -> EncoderModel:
     ordinal_mapping = ordinal_mapping or {}
     need = list(onehot_cols) + list(ordinal_cols)
     missing = [c for c in need if c not in df.columns]
     if missing:
         raise ValueError(f"encoding columns not in the DataFrame: {missing}")
-    onehot, mapped, auto, tables = {}, {}, {}, {}
-    # text columns: every column's distinct values in one bounded job
-    texts = [c for c in dict.fromkeys([*onehot_cols, *[c for c in ordinal_cols
-                                                       if c not in ordinal_mapping]])
-             if isinstance(df.schema[c].dataType, T.StringType)]
-    known: dict = {}
-    if texts:
-        pairs = (df.select(*texts).unpivot([], texts, "column", "value")
-                 .where(F.col("value").isNotNull()).distinct())
-        cap = max_literal_categories * len(texts)
-        got = pairs.limit(cap + 1).collect()
-        if len(got) <= cap:
-            for r in got:
-                known.setdefault(r["column"], []).append(r["value"])
-            known = {c: sorted(known.get(c, [])) for c in texts}
-
-    def distinct_of(c, limit):
-        if c in known:
-            vals = known[c]
-            if len(vals) <= limit:
-                return vals, None
-        return _sorted_distinct(df, c, limit)
-
-    for c in onehot_cols:
-        cats, _ = distinct_of(c, MAX_ONEHOT_WIDTH)
-        if cats is None:
-            raise ValueError(f"one-hot of {c!r} exceeds {MAX_ONEHOT_WIDTH} columns; "
-                             "use ordinal encoding")
-        onehot[c] = cats
-    for c in ordinal_cols:
-        if c in ordinal_mapping:
-            mapped[c] = list(ordinal_mapping[c])
-            continue
-        cats, d = distinct_of(c, max_literal_categories)
-        if cats is not None:
-            auto[c] = cats
-        else:
-            if table_dir is None:
-                from ...session import ensure_checkpoint_dir
-                table_dir = ensure_checkpoint_dir(df.sparkSession) + "/encoder_tables"
-            path = f"{table_dir.rstrip('/')}/{c}"
-            codes = with_global_ordinal(d.select(F.col(c).alias("value")), ["value"], "code")
-            codes.write.mode("overwrite").parquet(path)
-            tables[c] = path
-    return EncoderModel(onehot, mapped, auto, tables, list(df.columns), strict)
+    # one output column per value: the caller asks for that width
+    onehot = {c: sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+              for c in onehot_cols}
+    mapped = {c: list(ordinal_mapping[c]) for c in ordinal_cols if c in ordinal_mapping}
+    auto = [c for c in ordinal_cols if c not in ordinal_mapping]
+    paths, sizes = _code_tables(df, auto, table_dir or ensure_checkpoint_dir(df.sparkSession)) if auto else ({}, {})
+    return EncoderModel(onehot, mapped, paths, sizes, list(df.columns), strict)
+
+
+def onehot_sparse(df: DataFrame, column: str, model: EncoderModel, out: str | None = None) -> DataFrame:
+    """Adds ``out``: the sparse one-hot form of ``column``, a struct of the
+    width, the indices and the values (one of each, none for an unseen value
+    or NULL), from the column's fitted code table."""
+    out = out or f"{column}_onehot"
+    codes = df.sparkSession.read.parquet(model.auto_tables[column]).select(
+        F.col("value").alias(column), F.col("code").alias("__code"))
+    hit = F.col("__code").isNotNull()
+    return df.join(codes, column, "left").select(*df.columns, F.struct(
+        F.lit(int(model.auto_sizes[column])).alias("size"),
+        F.when(hit, F.array(F.col("__code").cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(hit, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values")).alias(out))

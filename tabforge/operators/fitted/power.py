@@ -25,6 +25,7 @@ from .base import JsonState, present
 
 POWER_STRATEGIES = ("log", "box-cox", "yeo-johnson")
 GRID_LO, GRID_HI, GRID_POINTS, ZOOM_ROUNDS = -4.0, 4.0, 21, 6
+MAX_LAMBDA = 1e4            # beyond this the likelihood has no interior maximum in doubles
 
 
 @dataclass(frozen=True)
@@ -100,31 +101,46 @@ def fit_power(df: DataFrame, columns, strategy: str = "yeo-johnson") -> PowerMod
     cols = present(df, columns)
     if strategy == "log" or not cols:
         return PowerModel(strategy, {}, cols)
+    scale: dict = {}
     if strategy == "box-cox":
-        bad = df.agg(*[F.count_if(F.col(c) <= 0).alias(c) for c in cols]).collect()[0]
-        neg = [c for c in cols if bad[c]]
+        seen = df.agg(*[F.count_if(F.col(c) <= 0).alias(f"bad_{c}") for c in cols],
+                      *[F.avg(F.when(F.col(c) > 0, F.log(F.col(c).cast("double")))).alias(f"log_{c}")
+                        for c in cols]).collect()[0]
+        neg = [c for c in cols if seen[f"bad_{c}"]]
         if neg:
             raise ValueError(f"box-cox needs strictly positive data; non-positive in {neg}")
+        # the maximiser does not change when a column is divided by a
+        # constant; divided by its geometric mean it does not overflow
+        scale = {c: math.exp(seen[f"log_{c}"] or 0.0) for c in cols}
     # the grid is evaluated several times over the same rows: keep the
     # projected values (like MLlib's iterative fits do); a lost block is
     # recomputed from lineage
-    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    long = (df.select(*[(F.col(c).cast("double") / F.lit(scale.get(c, 1.0))).alias(c) for c in cols])
             .unpivot([], cols, "column", "x")
             .where(F.col("x").isNotNull() & ~F.isnan("x"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     lo = {c: GRID_LO for c in cols}
     hi = {c: GRID_HI for c in cols}
-    lam = {}
-    for _ in range(ZOOM_ROUNDS):
+    lam, zooms = {}, {c: 0 for c in cols}
+    while todo := [c for c in cols if zooms[c] < ZOOM_ROUNDS]:
         grid = {c: [lo[c] + (hi[c] - lo[c]) * i / (GRID_POINTS - 1) for i in range(GRID_POINTS)]
-                for c in cols}
-        llf = _evaluate_grid(long, strategy, grid)
-        for c in cols:
+                for c in todo}
+        llf = _evaluate_grid(long.where(F.col("column").isin(todo)), strategy, grid)
+        for c in todo:
             if not llf[c]:
                 long.unpersist()
                 raise ValueError(f"no finite likelihood for column {c!r}")
             step = grid[c][1] - grid[c][0]
             lam[c] = max(llf[c].items(), key=lambda kv: (kv[1], -abs(kv[0])))[0]
-            lo[c], hi[c] = lam[c] - step, lam[c] + step
+            if abs(lam[c]) > MAX_LAMBDA:
+                long.unpersist()
+                raise ValueError(f"the likelihood of column {c!r} has no maximum below |lambda| = {MAX_LAMBDA:g}")
+            edge = lam[c] in (grid[c][0], grid[c][-1])
+            if edge and zooms[c] == 0:      # the maximum is not bracketed yet
+                width = hi[c] - lo[c]
+                lo[c], hi[c] = lam[c] - width, lam[c] + width
+            else:
+                zooms[c] += not edge
+                lo[c], hi[c] = lam[c] - step, lam[c] + step
     long.unpersist()
     return PowerModel(strategy, lam, cols)

@@ -29,14 +29,14 @@ def ordered_frame(df: DataFrame, date_col: str, tie_key, features, label) -> tup
     return with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
 
 
-def _fold_predictions(ordered, fold, name, params, features, label):
+def _fold_predictions(ordered, fold, name, params, features, label, nominal=None):
     o = F.col("ordinal")
     train = ordered.where((o >= fold.train_start) & (o < fold.train_end))
     test = ordered.where((o >= fold.test_start) & (o < fold.test_end))
-    train_v = assemble(train, features)
-    est = make_estimator(name, params, label=label, train=train_v)
+    train_v = assemble(train, features, nominal=nominal)
+    est = make_estimator(name, params, label=label, train=train_v, nominal=nominal)
     model = est.fit(train_v)
-    pred = model.transform(assemble(test, features))
+    pred = model.transform(assemble(test, features, nominal=nominal))
     return pred.select(F.lit(fold.fold).alias("fold"), "ordinal",
                        F.col(label).cast("double").alias("y_true"),
                        F.col("prediction").alias("y_pred"))
@@ -44,10 +44,10 @@ def _fold_predictions(ordered, fold, name, params, features, label):
 
 def time_cv_predictions(ordered: DataFrame, n: int, name: str, params: dict, features,
                         label: str, n_splits: int = 5, max_train_size=None, test_size=None,
-                        gap: int = 0, parallelism: int = 1) -> DataFrame:
+                        gap: int = 0, parallelism: int = 1, nominal: dict | None = None) -> DataFrame:
     """V3: out-of-fold predictions of every fold, one DataFrame with ``fold``."""
     folds = time_series_folds(n, n_splits, max_train_size, test_size, gap)
-    run = lambda f: _fold_predictions(ordered, f, name, params, features, label)
+    run = lambda f: _fold_predictions(ordered, f, name, params, features, label, nominal)
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as ex:
             parts = list(ex.map(run, folds))

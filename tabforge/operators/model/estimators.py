@@ -7,12 +7,15 @@ Penalty translation (our design, verified against closed forms in tests):
 * ElasticNet(a, r)    -> A = a*r, B = a*(1-r)*sigma_y; regParam=A+B, elasticNetParam=A/(A+B)
 * SGDRegressor(l2, a) -> same optimum as Ridge with regParam = a * sigma_y
 all with ``standardization=False`` (the penalty acts on raw coefficients).
-Gradient-boosting configurations (XGB / LGBM names) become ``GBTRegressor``;
-options without an MLlib counterpart are dropped.
+Gradient-boosting configurations (XGB / LGBM names) become ``GBTRegressor``.
+An option without an MLlib counterpart is named in a warning, never dropped in
+silence; a depth that MLlib cannot grow is an error.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -20,7 +23,26 @@ from pyspark.sql import functions as F
 
 LINEAR = ("LinearRegression", "Ridge", "Lasso", "ElasticNet", "SGDRegressor")
 TREES = ("RandomForestRegressor", "GBTRegressor", "XGBRegressor", "LGBMRegressor")
-MAX_DEPTH = 30
+MAX_DEPTH = 30              # MLlib's limit
+_TREE_PARAMS = {
+    "RandomForestRegressor": {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "max_samples"},
+    "GBTRegressor": {"n_estimators", "learning_rate", "max_depth", "subsample", "colsample", "colsample_bytree"},
+}
+
+
+def tree_depth(value) -> int:
+    """MLlib depth of a configured one; None or not positive means no limit,
+    which is MLlib's largest."""
+    if value is None or int(value) <= 0:
+        return MAX_DEPTH
+    if int(value) > MAX_DEPTH:
+        raise ValueError(f"max_depth {value} is over MLlib's limit of {MAX_DEPTH}")
+    return int(value)
+
+
+def _bins(nominal: dict | None) -> int:
+    """Split candidates: MLlib needs one per category of a nominal feature."""
+    return max(32, *(int(k) for k in (nominal or {}).values()), 2)
 
 
 def assemble(df: DataFrame, features, out: str = "features",
@@ -47,7 +69,7 @@ def assemble(df: DataFrame, features, out: str = "features",
 
 def nominal_sizes(encoder_model, features) -> dict:
     """Category counts of encoded columns (auto and mapped ordinals)."""
-    sizes = {c: len(v) for c, v in encoder_model.auto.items()}
+    sizes = dict(encoder_model.auto_sizes)
     sizes.update({c: len(v) for c, v in encoder_model.mapped.items()})
     return {f: n for f, n in sizes.items() if f in features}
 
@@ -59,8 +81,10 @@ def label_std(df: DataFrame, label: str) -> tuple[float, int]:
 
 
 def make_estimator(name: str, params: dict | None = None, label: str = "label",
-                   features: str = "features", train: DataFrame | None = None):
-    """Estimator by model name; unknown names are an error."""
+                   features: str = "features", train: DataFrame | None = None,
+                   nominal: dict | None = None):
+    """Estimator by model name; unknown names are an error.  ``nominal``
+    (feature -> categories) sets how many bins a tree looks at."""
     p = dict(params or {})
     seed = p.pop("random_state", p.pop("seed", None))
     if name in LINEAR:
@@ -86,27 +110,24 @@ def make_estimator(name: str, params: dict | None = None, label: str = "label",
                                 elasticNetParam=enet, standardization=False,
                                 fitIntercept=bool(p.get("fit_intercept", True)), solver=solver,
                                 maxIter=int(p.get("max_iter", 100)), tol=float(p.get("tol", 1e-6)))
-    if name == "RandomForestRegressor":
-        depth = p.get("max_depth") or MAX_DEPTH
-        kw = dict(featuresCol=features, labelCol=label,
-                  numTrees=int(p.get("n_estimators", 20)), maxDepth=min(int(depth), MAX_DEPTH),
-                  minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                  featureSubsetStrategy=str(p.get("max_features", "auto")),
-                  subsamplingRate=float(p.get("max_samples", 1.0) or 1.0))
-        if seed is not None:
-            kw["seed"] = int(seed)
-        return RandomForestRegressor(**kw)
-    if name in ("GBTRegressor", "XGBRegressor", "LGBMRegressor"):
-        kw = dict(featuresCol=features, labelCol=label,
-                  maxIter=int(p.get("n_estimators", 20)),
-                  stepSize=float(p.get("learning_rate", 0.1)),
-                  maxDepth=min(int(p.get("max_depth", 5) if p.get("max_depth", 5) > 0 else 5),
-                               MAX_DEPTH),
-                  subsamplingRate=float(p.get("subsample", 1.0)),
-                  featureSubsetStrategy=str(p.get("colsample", "all")))
+    if name in TREES:
+        kind = "RandomForestRegressor" if name == "RandomForestRegressor" else "GBTRegressor"
+        unknown = sorted(set(p) - _TREE_PARAMS[kind])
+        if unknown:
+            warnings.warn(f"{name}: no MLlib counterpart for {unknown}", stacklevel=2)
+        kw = dict(featuresCol=features, labelCol=label, maxBins=_bins(nominal))
         if seed is not None:
             kw["seed"] = int(seed)
-        return GBTRegressor(**kw)
+        if kind == "RandomForestRegressor":
+            return RandomForestRegressor(
+                numTrees=int(p.get("n_estimators", 20)), maxDepth=tree_depth(p.get("max_depth")),
+                minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                featureSubsetStrategy=str(p.get("max_features", "auto")),
+                subsamplingRate=float(p.get("max_samples", 1.0) or 1.0), **kw)
+        return GBTRegressor(
+            maxIter=int(p.get("n_estimators", 20)), stepSize=float(p.get("learning_rate", 0.1)),
+            maxDepth=tree_depth(p.get("max_depth", 5)), subsamplingRate=float(p.get("subsample", 1.0)),
+            featureSubsetStrategy=str(p.get("colsample_bytree", p.get("colsample", "all"))), **kw)
     raise ValueError(f"unknown model name {name!r}")
 
 

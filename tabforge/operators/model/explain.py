@@ -36,23 +36,20 @@ def linear_contributions(df: DataFrame, coefs: dict, keys, background: DataFrame
 
 def feature_groups(features, onehot_prefixes=()) -> dict:
     """Feature -> group.  ``x_sin``/``x_cos`` -> ``x``; one-hot columns
-    ``<prefix>_<value>`` -> ``<prefix>``; everything else is its own group."""
-    out = {}
-    for f in features:
-        g = f
+    ``<prefix>_<value>`` -> the first prefix that fits; everything else is
+    its own group."""
+    def group(f: str) -> str:
         for suf in CYCLIC_SUFFIXES:
             if f.endswith(suf):
-                g = f[: -len(suf)]
-        for p in onehot_prefixes:
-            if f.startswith(p + "_"):
-                g = p
-        out[f] = g
-    return out
+                return f.removesuffix(suf)
+        return next((p for p in onehot_prefixes if f.startswith(p + "_")), f)
+    return {f: group(f) for f in features}
 
 
 def group_contributions(long: DataFrame, groups: dict, keys) -> DataFrame:
     """Sum of phi per group; representative value = the cosine part for
-    cyclical pairs, the sum for one-hot groups, the value itself otherwise."""
+    cyclical pairs (the sine part if that is all there is), the sum for
+    one-hot groups, the value itself otherwise."""
     spark = long.sparkSession
     gmap = spark.createDataFrame(
         [(f, g, 1 if f.endswith("_cos") else (2 if f.endswith("_sin") else 0))
@@ -60,7 +57,8 @@ def group_contributions(long: DataFrame, groups: dict, keys) -> DataFrame:
         "feature string, grp string, part int")
     j = long.join(F.broadcast(gmap), "feature")
     rep = F.coalesce(F.max(F.when(F.col("part") == 1, F.col("value"))),
-                     F.when(F.max("part") == 0, F.sum("value")))
+                     F.sum(F.when(F.col("part") == 0, F.col("value"))),
+                     F.max("value"))
     return j.groupBy(*keys, "grp").agg(F.sum("phi").alias("phi"), rep.alias("value")) \
         .withColumnRenamed("grp", "group")
 

@@ -34,8 +34,10 @@ def regression_metrics(df: DataFrame, y: str = "y_true", yhat: str = "y_pred",
         m = exact_quantiles(base, ["_ae"], [0.5]).collect()
         out = g.withColumn("median_ae", F.lit(m[0]["value"] if m else None).cast("double"))
     mse = F.col("_sse") / F.col("_n")
-    return out.select(*by,
-                      (1 - F.col("_sse") / (F.col("_n") * F.col("_vy"))).alias("r2"),
+    # a constant label: 1 when every prediction is right, else 0
+    r2 = F.when(F.col("_vy") > 0, 1 - F.try_divide(F.col("_sse"), F.col("_n") * F.col("_vy"))).otherwise(
+        F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return out.select(*by, r2.alias("r2"),
                       F.sqrt(mse).alias("rmse"), "mae", mse.alias("mse"), "median_ae",
                       "max_error")
 

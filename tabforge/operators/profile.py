@@ -178,21 +178,33 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 # --- A6 ----------------------------------------------------------------------
 
+PAIRS_PER_JOB = 60
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation for every pair, pairwise-complete like pandas.
-    All ``p(p-1)/2`` ``corr`` aggregates in one job; long output
-    ``(col_a, col_b, corr)`` with both orders and the diagonal."""
+    Long output ``(col_a, col_b, corr)`` with both orders and the diagonal;
+    NULL where a column is constant over the pair's complete rows.
+
+    The pairs are computed in batches of ``PAIRS_PER_JOB`` aggregates, so a
+    wide table never becomes one huge generated method."""
     cols = list(columns or numeric_columns(df))
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}"))
-            pairs.append((a, b))
-    row = df.agg(*aggs).collect()[0] if aggs else {}
-    data = [(a, a, 1.0) for a in cols]
-    for a, b in pairs:
-        v = row[f"{a}__{b}"]
-        data += [(a, b, v), (b, a, v)]
+    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    data = []
+    for k in range(0, len(pairs), PAIRS_PER_JOB):
+        part = pairs[k:k + PAIRS_PER_JOB]
+        aggs = []
+        for j, (a, b) in enumerate(part):
+            x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+            aggs.append(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))).alias(f"r{j}"))
+        row = num.agg(*aggs).collect()[0]
+        for j, (a, b) in enumerate(part):
+            r = row[f"r{j}"]
+            if a == b:
+                data.append((a, a, None if r is None else 1.0))
+            else:
+                data += [(a, b, r), (b, a, r)]
     return df.sparkSession.createDataFrame(data, "col_a string, col_b string, corr double")
 
 

@@ -44,11 +44,11 @@ def train_model(name: str, params: dict, features, label: str, train: DataFrame,
         if mode == "cv":
             ordered, n = cv.ordered_frame(fit_on, date_col, list(tie_key), list(features), label)
             m = cv.time_cv_metrics(ordered, n, name, params, list(features), label, n_splits,
-                                   parallelism=parallelism)
+                                   parallelism=parallelism, nominal=nominal)
             tables.append(m.select(F.concat(F.lit("cv_fold_"), F.col("fold").cast("string"))
                                    .alias("split"), *[c for c in m.columns if c != "fold"]))
     v = assemble(fit_on, features, nominal=nominal)
-    model = make_estimator(name, params, label=label, train=v).fit(v)
+    model = make_estimator(name, params, label=label, train=v, nominal=nominal).fit(v)
     if mode == "validation" and validation is not None:
         tables.append(evaluate(model, validation, features, label, "validation", nominal))
     if test is not None:

@@ -1,5 +1,5 @@
-"""Session helpers: building a session, the shared checkpoint folder, and
-size-checked broadcasting.
+"""Session helpers: building a session, shipping the package, the shared
+checkpoint folder.
 
 Nothing here changes how Spark plans a query; these are the few knobs a
 job needs to run the same on ``local[8]`` and on a large cluster.
@@ -11,10 +11,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Broadcast a join side only when the optimizer's size estimate is below this.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def get_session(app: str = "tabforge", master: str | None = None,
@@ -56,21 +52,25 @@ def ship_package(spark: SparkSession) -> None:
     ``--py-files`` does at submit time): zip the package once per
     SparkContext and ``addPyFile`` it.  Pandas UDFs and ``mapInPandas``
     functions refer to package code by module name."""
-    import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    sc.addPyFile(build_zip(os.path.join(tempfile.mkdtemp(prefix="tabforge-pkg-"), "tabforge.zip")))
+    _SHIPPED.add(key)
+
+
+def build_zip(out: str) -> str:
+    """Write the package to the zip file ``out``."""
+    import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="tabforge-pkg-"), "tabforge.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("tabforge", os.path.relpath(full, pkg)))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+    return out
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -120,25 +120,5 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of ``df`` (no job is run)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - e.g. Spark Connect
-        return None
-
-
-def maybe_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is provably small.
-
-    Beyond the bound the side is returned unchanged and Spark plans a shuffle
-    join (AQE may still convert it at runtime using real sizes).
-    """
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -33,21 +33,36 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path.replace("file:", "", 1))
+    """Whether the path (or any match of a glob) is there, asked of the file
+    system that Spark reads from."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
+CORRUPT = "_corrupt"
+
+
+def _with_corrupt(schema: T.StructType | str) -> T.StructType:
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if CORRUPT in schema.fieldNames():
+        return schema
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              **options) -> DataFrame:
-    """CSV with a header.  With a schema, malformed rows keep their text in
-    ``_corrupt`` instead of failing the job."""
+    """CSV with a header.  With a schema, a malformed row (a value of the
+    wrong type, too few or too many fields) keeps its text in the extra
+    column ``_corrupt``, which is NULL for good rows."""
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
-        r = r.schema(schema)
+        # a pruned scan would not parse, and so not check, the other fields
+        r = (r.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT)
+             .option("columnPruning", False))
     else:
         r = r.option("inferSchema", True)
     for k, v in options.items():
@@ -57,14 +72,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def read_json_lines(spark: SparkSession, path: str,
                     schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """JSON lines.  With a schema, a line that is not such an object keeps
+    its text in ``_corrupt``."""
     r = spark.read
     if schema is not None:
-        r = r.schema(schema)
+        r = r.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT)
     for k, v in options.items():
         r = r.option(k, v)
     return r.json(path)
 
 
+def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows without the column, malformed rows): together all rows of
+    a scan with a schema."""
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
+
+
 def _first_member(names: list[str]) -> str | None:
     for n in names:
         if n.lower().endswith(_ARCHIVE_MEMBERS):
@@ -126,15 +149,22 @@ def load_data(spark: SparkSession, path: str, schema=None, **options) -> DataFra
 
     Returns ``None`` when the path does not exist, the suffix is not
     supported, or the read fails (the caller routes that to quarantine).
+    With a schema, malformed rows end the job, unless the schema has the
+    column ``_corrupt`` to keep them in.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in SUPPORTED or not _exists(spark, path):
         return None
     try:
-        if suffix == ".csv":
-            df = read_csv(spark, path, schema, **options)
-        elif suffix == ".json":
-            df = read_json_lines(spark, path, schema, **options)
+        if suffix in (".csv", ".json"):
+            if isinstance(schema, str):
+                schema = T.StructType.fromDDL(schema)
+            if schema is not None and CORRUPT not in schema.fieldNames():
+                # the schema has no place for malformed rows: they end the read
+                r = spark.read.schema(schema).options(header=True, mode="FAILFAST", **options)
+                df = r.option("columnPruning", False).csv(path) if suffix == ".csv" else r.json(path)
+            else:
+                df = (read_csv if suffix == ".csv" else read_json_lines)(spark, path, schema, **options)
         elif suffix == ".parquet":
             df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
         else:

@@ -13,10 +13,9 @@ designed for:
 plus ``line_number, part_key, supp_key``; together with ``travel_code`` they
 form a unique row key used as the deterministic tie-break.
 
-Joins: lineitem-orders is the large equi-join (shuffled on the order key
-by Spark); every other side goes through :func:`maybe_broadcast`, i.e. is
-broadcast only when the optimizer's size estimate proves it small.  At
-cluster scale customer/part/supplier fall back to shuffle joins.
+Joins: plain equi-joins without hints.  Spark broadcasts a side that is
+below its threshold (by the scan's size, or by real size at run time) and
+shuffles the others, so nothing here decides by a size estimate.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
-
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations"]
@@ -46,9 +43,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Booking rows derived from the star schema (one row per line item).
 
-    Every dimension is joined straight to the fact side, so each broadcast
-    decision sees that table's own scan size (the optimizer's estimate of a
-    join is a product and would hide a small dimension)."""
+    Every dimension is joined straight to the fact side, so Spark sees that
+    table's own scan size when it picks the join."""
     t = lambda n: read_table(spark, sf_dir, n)
     from_n = t("nation").select(F.col("n_nationkey").alias("from_nk"),
                                 F.col("n_name").alias("from_location"))
@@ -60,12 +56,12 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                               "l_quantity", "l_extendedprice", "l_returnflag")
-    j = (li.join(maybe_broadcast(orders), F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(maybe_broadcast(cust), F.col("o_custkey") == F.col("c_custkey"))
-         .join(maybe_broadcast(to_n), F.col("c_nationkey") == F.col("to_nk"))
-         .join(maybe_broadcast(supp), F.col("l_suppkey") == F.col("s_suppkey"))
-         .join(maybe_broadcast(from_n), F.col("s_nationkey") == F.col("from_nk"))
-         .join(maybe_broadcast(part), F.col("l_partkey") == F.col("p_partkey")))
+    j = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+         .join(to_n, F.col("c_nationkey") == F.col("to_nk"))
+         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(from_n, F.col("s_nationkey") == F.col("from_nk"))
+         .join(part, F.col("l_partkey") == F.col("p_partkey")))
     return j.select(
         F.col("l_orderkey").alias("travel_code"),
         F.col("o_custkey").alias("user_code"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.schema import Contract, contract_violations
+from ..operators.schema import Contract, contract_violations, split_by_contract
 from ..plans.scoring import ScoringBundle, score
 
 
@@ -21,17 +21,20 @@ def score_stream(spark: SparkSession, source_dir: str, bundle: ScoringBundle, si
                  checkpoint_dir: str, contract: Contract | None = None,
                  max_files_per_trigger: int | None = None) -> None:
     """Score every file under ``source_dir`` (Parquet, schema taken from
-    the folder) into ``sink_dir``; runs to completion (``availableNow``)."""
+    the folder) into ``sink_dir``; runs to completion (``availableNow``).
+    With a contract, rows that break it go to ``<sink_dir>_rejected`` with
+    their violations, in the same micro-batch: rows in = scored + rejected."""
     schema = spark.read.parquet(source_dir).schema
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    if contract is not None:
-        stream = contract_violations(stream, contract).where(F.size("violations") == 0) \
-            .drop("violations")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if contract is not None:
+            batch, rejected = split_by_contract(batch, contract)
+            rejected.write.mode("overwrite").parquet(
+                f"{sink_dir.rstrip('/')}_rejected/batch={batch_id}")
         (score(batch, bundle).write.mode("overwrite")
          .parquet(f"{sink_dir.rstrip('/')}/batch={batch_id}"))
 

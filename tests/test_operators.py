@@ -6,15 +6,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabforge import session
 from tabforge.functions.names import snake_name
 from tabforge.operators import dedup, ordinal, profile, schema, splits
-from tabforge.operators.fitted.encoder import EncoderModel, fit_encoder
+from tabforge.operators.fitted.encoder import EncoderModel, fit_encoder, onehot_sparse
 from tabforge.operators.fitted.imputer import SimpleImputerModel, fit_simple_imputer
 from tabforge.operators.fitted.outlier import OutlierModel, fit_outliers
 from tabforge.operators.fitted.power import PowerModel, fit_power
 from tabforge.operators.fitted.rare import fit_rare_grouper
 from tabforge.operators.fitted.scaler import ScalerModel, fit_scaler
+from tabforge.operators.model import metrics
 from tabforge.operators.model.metrics import regression_metrics
+from tabforge.sources import readers
 
 
 def test_snake_names():
@@ -300,16 +303,67 @@ def test_quantiles_join_path_matches_driver_path(spark, monkeypatch):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
 
 
-def test_encoder_code_table_path_matches_literal_path(spark, tmp_path):
-    df = spark.createDataFrame([(c,) for c in "dbacbdxa"], "c string")
-    lit = fit_encoder(df, ordinal_cols=["c"])
-    tab = fit_encoder(df, ordinal_cols=["c"], table_dir=str(tmp_path), max_literal_categories=2)
-    assert tab.auto_tables and not tab.auto
-    new = spark.createDataFrame([("a",), ("x",), ("zz",), (None,)], "c string")
-    got_lit = sorted(map(tuple, lit.transform(new).collect()), key=str)
-    got_tab = sorted(map(tuple, tab.transform(new).collect()), key=str)
-    assert got_lit == got_tab
-    assert sorted(r[0] for r in got_lit if r[0] is not None) == [-1.0, 0.0, 4.0]
+def test_encoder_code_tables_of_two_fits_do_not_meet(spark, tmp_path):
+    df = spark.createDataFrame([(c, c.upper()) for c in "dbacbdxa"], "c string, d string")
+    first = fit_encoder(df, ordinal_cols=["c", "d"], table_dir=str(tmp_path))
+    fit_encoder(df.where("c > 'a'"), ordinal_cols=["c", "d"], table_dir=str(tmp_path))
+    assert first.auto_sizes == {"c": 5, "d": 5}
+    new = spark.createDataFrame([("a", "A"), ("x", None), ("zz", "B"), (None, "X")], "c string, d string")
+    assert sorted(map(tuple, first.transform(new).collect()), key=str) == sorted(
+        [(0.0, 0.0), (4.0, None), (-1.0, 1.0), (None, 4.0)], key=str)
+
+
+def test_onehot_of_a_wide_domain(spark, tmp_path):
+    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(300)], "c string")
+    m = fit_encoder(df, onehot_cols=["c"])
+    assert len(m.onehot["c"]) == 300
+    codes = fit_encoder(df, ordinal_cols=["c"], table_dir=str(tmp_path))
+    new = spark.createDataFrame([("v0007",), ("other",), (None,)], "c string")
+    got = {r["c"]: r["c_onehot"] for r in onehot_sparse(new, "c", codes).collect()}
+    assert got["v0007"].size == 300 and got["v0007"].indices == [7] and got["v0007"]["values"] == [1.0]
+    assert got["other"].indices == [] and got[None].indices == []
+
+
+def test_power_lambda_outside_the_first_bracket(spark):
+    rng = np.random.default_rng(3)
+    x = 100 + 5 * np.abs(rng.beta(9, 1.2, 4000))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    lam = fit_power(df, ["x"], "box-cox").lambdas["x"]
+    grid = np.linspace(-20, 400, 8401)
+    grid = grid[np.abs(grid) > 1e-9]
+    z = x / x.mean()
+    llf = [(g - 1) * np.log(z).sum() - len(z) / 2 * np.log(np.var((z ** g - 1) / g)) for g in grid]
+    assert lam == pytest.approx(grid[int(np.argmax(llf))], abs=0.1) and abs(lam) > 4.5
+
+
+def test_constant_label_and_constant_column(spark):
+    df = spark.createDataFrame([(5.0, 5.0), (5.0, 6.0)], "y_true double, y_pred double")
+    assert metrics.regression_metrics(df).first()["r2"] == 0.0
+    same = df.withColumn("y_pred", df["y_true"])
+    assert metrics.regression_metrics(same).first()["r2"] == 1.0
+    c = {(r["col_a"], r["col_b"]): r["corr"] for r in profile.corr_matrix(df).collect()}
+    assert c["y_true", "y_pred"] is None and c["y_true", "y_true"] is None and c["y_pred", "y_pred"] == 1.0
+
+
+def test_malformed_csv_rows_are_kept(spark, tmp_path):
+    f = tmp_path / "x.csv"
+    f.write_text("a,b\n1,2\nxx,3\n4,5,6,7\n")
+    good, bad = readers.split_corrupt(readers.read_csv(spark, str(f), "a int, b int"))
+    assert [tuple(r) for r in good.collect()] == [(1, 2)]
+    assert sorted(r["_corrupt"] for r in bad.collect()) == ["4,5,6,7", "xx,3"]
+    with pytest.raises(Exception):
+        readers.load_data(spark, str(f), "a int, b int").collect()
+
+
+def test_shipped_zip_holds_every_subpackage(tmp_path):
+    import subprocess
+    import sys
+    z = session.build_zip(str(tmp_path / "p.zip"))
+    code = ("import sys; sys.path.insert(0, sys.argv[1]); "
+            "import tabforge.operators.fitted.iforest, tabforge.operators.model.treeshap, "
+            "tabforge.operators.quality.rules, tabforge.plans.scoring; "
+            "assert 'p.zip' in tabforge.operators.fitted.iforest.__file__")
+    subprocess.run([sys.executable, "-c", code, z], cwd=tmp_path, check=True, timeout=120)
 
 
 def test_split_by_dates_strict_bounds(spark, caplog):
