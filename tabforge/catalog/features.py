@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_features
 from ..functions.numeric import NUMERIC_OPS, boxcox, cyclical, inv_boxcox, inv_yeojohnson, yeojohnson
 from ..functions.strings import interaction
-from ..operators.fitted.encoder import fit_encoder
+from ..operators.fitted.encoder import fit_encoder, onehot_sparse
 from ..operators.fitted.imputer import fit_simple_imputer
 from ..operators.fitted.outlier import fit_outliers
 from ..operators.fitted.power import fit_power
@@ -241,6 +241,36 @@ def q_ordinal_auto(spark, sf):
                       "from_location", "to_location", "agency", "price")
 
 
+@register("ordinal_large", "E1", with_flights(
+    f"SELECT {', '.join('f.' + t.strip() for t in TIE.split(','))}, coalesce(k.code, -1.0) AS code "
+    "FROM flights f LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code "
+    f"FROM (SELECT DISTINCT CAST(travel_code AS VARCHAR) AS v FROM flights WHERE {_TRAIN_SQL})) k "
+    "ON CAST(f.travel_code AS VARCHAR) = k.v"))
+def q_ordinal_large(spark, sf):
+    """More codes than fit a literal; a second fit on the other period must
+    not touch the first model's codes."""
+    f = flights(spark, sf).withColumn("code", F.col("travel_code").cast("string"))
+    m = fit_encoder(_train(f).select("code"), ordinal_cols=["code"])
+    fit_encoder(f.where(F.col("date") >= F.lit(TRAIN_END).cast("date")).select("code"), ordinal_cols=["code"])
+    out = m.transform(f.select(*C.TIE_KEY, "code"))
+    return out.select(*[F.col(c).cast("long").alias(c) for c in C.TIE_KEY if c != "line_number"],
+                      F.col("line_number").cast("int").alias("line_number"), "code")
+
+
+@register("onehot_wide", "E3", with_flights(
+    f"SELECT {', '.join('f.' + t.strip() for t in TIE.split(','))}, k.idx AS idx, 1.0::DOUBLE AS value "
+    "FROM flights f JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS idx "
+    "FROM (SELECT DISTINCT CAST(user_code AS VARCHAR) AS v FROM flights)) k "
+    "ON CAST(f.user_code AS VARCHAR) = k.v"))
+def q_onehot_wide(spark, sf):
+    """Sparse one-hot of a wide domain, its entries as rows."""
+    f = flights(spark, sf).select(*C.TIE_KEY, F.col("user_code").cast("string").alias("user"))
+    m = fit_encoder(f.select("user"), ordinal_cols=["user"])
+    out = onehot_sparse(f, "user", m)
+    return out.select(*C.TIE_KEY, F.explode(F.arrays_zip("user_onehot.indices", "user_onehot.values")).alias("e")) \
+        .select(*C.TIE_KEY, F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
+
+
 @register("onehot", "E3 E4", with_flights(
     f"SELECT {TIE}, " + ", ".join(
         f"CAST(agency = '{v}' AS DOUBLE) AS agency_{v}" for v in C.AGENCIES) + ", "

@@ -361,6 +361,25 @@ def q_score_linear(spark, sf):
     return score(raw_flights(spark, sf), b, decimals=0)
 
 
+@register("score_from_bundle", "L4 L5", _score_sql())
+def q_score_from_bundle(spark, sf):
+    """``score_linear`` with the bundle saved and loaded in between, as a
+    training job and a scoring job would."""
+    import uuid
+    from ..operators.model.estimators import assemble, make_estimator
+    from ..plans.bundle import load_bundle, save_bundle
+    from ..plans.scoring import ScoringBundle, score
+    from ..session import ensure_checkpoint_dir
+    s = _silver(spark, sf)
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    gm = fit_gold(train, is_tree_model=True)
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(
+        assemble(gm.transform(train), _SCORE_FEATS))
+    path = f"{ensure_checkpoint_dir(spark)}/bundle_{uuid.uuid4().hex}"
+    save_bundle(spark, ScoringBundle(gm, model, _SCORE_FEATS, list(C.TIE_KEY)), path)
+    return score(raw_flights(spark, sf), load_bundle(spark, path), decimals=0)
+
+
 def _stream(spark, source_df, transform):
     import uuid
     from ..session import ensure_checkpoint_dir

@@ -89,6 +89,42 @@ def q_penalized(spark, sf):
     return out
 
 
+_ONE_FEATURE_SQL = """
+SELECT m.model, m.feature, ROUND(CASE WHEN m.feature = 'intercept' THEN my - b * mx ELSE b END, 2) AS value
+FROM (SELECT *, CASE model
+        WHEN 'Ridge' THEN cxy * n / (vx * n + 1000.0)
+        WHEN 'Lasso' THEN sign(cxy) * greatest(abs(cxy) - 10.0, 0.0) / vx
+        ELSE sign(cxy) * greatest(abs(cxy) - 5.0, 0.0) / (vx + 5.0) END AS b
+      FROM (SELECT covar_pop(price, time) AS cxy, var_pop(time) AS vx, avg(price) AS my, avg(time) AS mx,
+                   count(*) AS n FROM flights),
+           (VALUES ('Ridge'), ('Lasso'), ('ElasticNet')) t(model)) m0,
+     LATERAL (SELECT m0.model AS model, m0.b AS b, unnest(['intercept', 'time']) AS feature) m
+"""
+
+
+@register("penalized_one_feature", "M2 M3 M4", with_flights(_ONE_FEATURE_SQL.replace("b * mx", "m.b * mx").replace(
+    "ELSE b END", "ELSE m.b END")))
+def q_penalized_one(spark, sf):
+    """Ridge, lasso and elastic net on one feature, where the optimum has a
+    closed form."""
+    f = assemble(flights(spark, sf), ["time"])
+    out = None
+    for name, p in [("Ridge", {"alpha": 1000.0}), ("Lasso", {"alpha": 10.0}),
+                    ("ElasticNet", {"alpha": 10.0, "l1_ratio": 0.5})]:
+        m = make_estimator(name, {**p, "tol": 1e-12, "max_iter": 500}, label="price", train=f).fit(f)
+        t = coefficients_table(spark, m, ["time"]).withColumn("model", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out.select("model", "feature", r("value", 2).alias("value"))
+
+
+@register("metrics_constant_label", "V1", with_flights(
+    "SELECT 0.0::DOUBLE AS r2, ROUND(sqrt(avg((price - 100.0) * (price - 100.0))), 4) AS rmse, "
+    "ROUND(avg(abs(price - 100.0)), 4) AS mae FROM flights"))
+def q_metrics_constant(spark, sf):
+    f = flights(spark, sf).select(F.lit(100.0).alias("y_true"), F.col("price").alias("y_pred"))
+    return metrics.regression_metrics(f).select("r2", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"))
+
+
 # --- V1, V7, V8 --------------------------------------------------------------
 
 @register("metrics", "V1", with_flights(_metric_sql("price", _PRED_SQL, "flights")))
@@ -349,6 +385,25 @@ def q_csv(spark, sf):
     return readers.load_data(spark, path, schema=f.schema)
 
 
+@register("csv_corrupt_rows", "S1", with_flights(
+    f"SELECT {TIE}, travel_code % 7 = 0 OR travel_code % 7 = 1 AS rejected FROM flights"))
+def q_csv_corrupt(spark, sf):
+    """A file with bad rows (a word for a number, a field too many): every
+    row comes back, as a good one or with its text."""
+    path = _staging(spark, "csv_bad") + ".csv"
+    f = flights(spark, sf)
+    line = F.concat_ws(",", *C.TIE_KEY, F.when(F.col("travel_code") % 7 == 0, "xx").otherwise(F.col("price").cast("string")),
+                       F.when(F.col("travel_code") % 7 == 1, "extra"))
+    f.select(line.alias("value")).write.text(path)
+    kinds = dict(f.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in C.TIE_KEY) + ", price double"
+    good, bad = readers.split_corrupt(readers.read_csv(spark, path, schema, header=False))
+    key = F.split(readers.CORRUPT, ",")
+    back = bad.select(*[F.element_at(key, i + 1).cast(kinds[c]).alias(c) for i, c in enumerate(C.TIE_KEY)],
+                      F.lit(True).alias("rejected"))
+    return good.select(*C.TIE_KEY, F.lit(False).alias("rejected")).unionByName(back)
+
+
 @register("json_roundtrip", "S3", with_flights(
     f"SELECT {TIE}, to_location, distance FROM flights"))
 def q_json(spark, sf):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dedup, profile, schema
 from ..operators.quality.suites import SILVER_KEY
 from ..plans import config as C
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import flights, flights_with_nulls, raw_flights
 from .base import TIE, r, register, with_flights
 
@@ -418,6 +421,19 @@ def q_conform(spark, sf):
     return schema.enforce_column_order(out, [*C.TIE_KEY, *_FINAL])
 
 
+@register("contract_split", "P13",
+          f"SELECT {TIE}, n_violations > 0 AS rejected FROM ({_CONTRACT_SQL})")
+def q_contract_split(spark, sf):
+    """Accepted and rejected rows, written apart and read back: together all
+    rows."""
+    good, bad = schema.split_by_contract(flights(spark, sf), CONTRACT)
+    base = f"{ensure_checkpoint_dir(spark)}/contract_{uuid.uuid4().hex}"
+    good.write.parquet(f"{base}/accepted")
+    bad.write.parquet(f"{base}/rejected")
+    return (spark.read.parquet(f"{base}/accepted").select(*C.TIE_KEY, F.lit(False).alias("rejected"))
+            .unionByName(spark.read.parquet(f"{base}/rejected").select(*C.TIE_KEY, F.lit(True).alias("rejected"))))
+
+
 @register("contract_stream", "P13 streaming", _CONTRACT_SQL)
 def q_contract_stream(spark, sf):
     """The input contract applied to a file stream of the rows."""

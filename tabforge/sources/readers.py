@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_table
+
 SUPPORTED = (".csv", ".json", ".parquet", ".zip")
 _ARCHIVE_MEMBERS = (".csv", ".json", ".parquet")
 
@@ -84,8 +86,10 @@ def read_json_lines(spark: SparkSession, path: str,
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the column, malformed rows): together all rows of
-    a scan with a schema."""
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
+    a scan with a schema.  The parsed rows are written once; both halves read
+    that table."""
+    parsed = write_table(df, "parsed")
+    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.where(F.col(CORRUPT).isNotNull())
 
 
 def _first_member(names: list[str]) -> str | None:
