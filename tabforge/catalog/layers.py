@@ -380,6 +380,31 @@ def q_score_from_bundle(spark, sf):
     return score(raw_flights(spark, sf), load_bundle(spark, path), decimals=0)
 
 
+@register("score_rejects", "L5 P13", with_flights(
+    f"SELECT {TIE}, travel_code % 11 = 0 OR travel_code % 13 = 0 AS rejected FROM flights"))
+def q_score_rejects(spark, sf):
+    """Raw rows with dates and flight types that cannot be scored: every row
+    is either scored or rejected."""
+    import uuid
+    from ..operators.model.estimators import assemble, make_estimator
+    from ..plans.scoring import ScoringBundle, score_with_rejects
+    from ..session import ensure_checkpoint_dir
+    s = _silver(spark, sf)
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    gm = fit_gold(train, is_tree_model=True)
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(
+        assemble(gm.transform(train), _SCORE_FEATS))
+    raw = raw_flights(spark, sf).withColumns({
+        "date": F.when(F.col("travelCode") % 11 == 0, F.lit("no date")).otherwise(F.col("date")),
+        "flightType": F.when(F.col("travelCode") % 13 == 0, F.lit("Z")).otherwise(F.col("flightType"))})
+    good, bad = score_with_rejects(raw, ScoringBundle(gm, model, _SCORE_FEATS, list(C.TIE_KEY)))
+    base = f"{ensure_checkpoint_dir(spark)}/scored_{uuid.uuid4().hex}"
+    good.write.parquet(f"{base}/scored")
+    bad.write.parquet(f"{base}/rejected")
+    return spark.read.parquet(f"{base}/scored").select(*C.TIE_KEY, F.lit(False).alias("rejected")).unionByName(
+        spark.read.parquet(f"{base}/rejected").select(*C.TIE_KEY, F.lit(True).alias("rejected")))
+
+
 def _stream(spark, source_df, transform):
     import uuid
     from ..session import ensure_checkpoint_dir

@@ -111,23 +111,28 @@ def fit_isolation_forest(df: DataFrame, columns, n_trees: int = 100, max_samples
                          contamination: str | float = "auto", seed: int = 0,
                          key: list[str] | None = None) -> IsolationForestModel:
     cols = present(df, columns)
-    n = df.count()
+    # samples are sized by each column's own values: one that is mostly NULL
+    # still gives every tree its psi values, as long as it has them
+    usable = df.agg(*[F.count(F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), 1)).alias(c) for c in cols]).first() \
+        if cols else {}
+    n = max([usable[c] for c in cols], default=0)
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     keys = key or df.columns
     # keep probability sized for ~3*psi candidates per tree (all rows when small)
-    keep = min(1.0, 3.0 * psi / max(n, 1))
-    thr = int(keep * (2 ** 63 - 1))
+    cut = {c: int(min(1.0, 3.0 * psi / max(usable[c], 1)) * (2 ** 63 - 1)) for c in cols}
     rowhash = F.xxhash64(*[F.col(k) for k in keys])
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    draw = lambda h, t: F.xxhash64(h, t, F.lit(seed)).bitwiseAND(F.lit(2 ** 63 - 1))
+    widest = max(cut.values(), default=0)
     cand = (df.select(rowhash.alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
             .select("_h", *cols, F.explode(F.filter(
-                trees, lambda t: F.xxhash64(F.col("_h"), t, F.lit(seed)).bitwiseAND(
-                    F.lit(2 ** 63 - 1)) <= F.lit(thr)))
-                .alias("tree")))
-    long = (cand.unpivot(["_h", "tree"], cols, "column", "x")
-            .where(F.col("x").isNotNull() & ~F.isnan("x"))
-            .withColumn("_k", F.xxhash64(F.col("_h"), F.col("tree"), F.lit(seed + 1))))
+                trees, lambda t: draw(F.col("_h"), t) <= F.lit(widest))).alias("tree")))
+    long = cand.unpivot(["_h", "tree"], cols, "column", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    if len(set(cut.values())) > 1:
+        own = F.create_map(*[x for c, v in cut.items() for x in (F.lit(c), F.lit(v))])
+        long = long.where(draw(F.col("_h"), F.col("tree")) <= F.element_at(own, F.col("column")))
+    long = long.withColumn("_k", F.xxhash64(F.col("_h"), F.col("tree"), F.lit(seed + 1)))
     out_schema = "column string, tree int, lo double, hi double, path double"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -60,11 +60,11 @@ def time_cv_predictions(ordered: DataFrame, n: int, name: str, params: dict, fea
 
 
 def time_cv_metrics(ordered: DataFrame, n: int, name: str, params: dict, features, label: str,
-                    n_splits: int = 5, parallelism: int = 1, **kw) -> DataFrame:
+                    n_splits: int = 5, parallelism: int = 1, names=METRICS, **kw) -> DataFrame:
     """V3: one ``groupBy(fold)`` aggregation over all folds' predictions."""
     pred = time_cv_predictions(ordered, n, name, params, features, label, n_splits,
                                parallelism=parallelism, **kw)
-    return regression_metrics(pred, "y_true", "y_pred", ["fold"])
+    return regression_metrics(pred, "y_true", "y_pred", ["fold"], names)
 
 
 # --- search ------------------------------------------------------------------
@@ -76,7 +76,7 @@ def grid_points(param_grid: dict) -> list[dict]:
 
 def random_points(space: dict, n_iter: int, seed: int, fixed: dict | None = None) -> list[dict]:
     """H2s: seeded draws.  ``space`` entries: ``("int", lo, hi[, step])``,
-    ``("float", lo, hi[, "log"])``, ``("categorical", [choices])``."""
+    ``("float", lo, hi[, "log" or step])``, ``("categorical", [choices])``."""
     rng = random.Random(seed)
     pts = []
     for _ in range(n_iter):
@@ -88,7 +88,10 @@ def random_points(space: dict, n_iter: int, seed: int, fixed: dict | None = None
                 step = spec[3] if len(spec) > 3 else 1
                 p[k] = rng.randrange(spec[1], spec[2] + 1, step)
             elif kind == "float":
-                if len(spec) > 3 and spec[3] == "log":
+                if len(spec) > 3 and spec[3] not in ("log", None):
+                    step = float(spec[3])
+                    p[k] = spec[1] + step * rng.randrange(int((spec[2] - spec[1]) / step + 1e-9) + 1)
+                elif len(spec) > 3 and spec[3] == "log":
                     p[k] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
                 else:
                     p[k] = rng.uniform(spec[1], spec[2])
@@ -99,16 +102,15 @@ def random_points(space: dict, n_iter: int, seed: int, fixed: dict | None = None
 
 
 def _score_points(ordered, n, name, points, features, label, n_splits, parallelism,
-                  rows_limit=None):
+                  rows_limit=None, metric="rmse"):
     src = ordered.where(F.col("ordinal") < rows_limit) if rows_limit else ordered
     m = rows_limit or n
     results = []
 
     def one(i_p):
         i, p = i_p
-        met = time_cv_metrics(src, m, name, p, features, label, n_splits).collect()
-        rmses = [r["rmse"] for r in sorted(met, key=lambda r: r["fold"])]
-        return i, p, rmses
+        met = time_cv_metrics(src, m, name, p, features, label, n_splits, names=[metric]).collect()
+        return i, p, [r[metric] for r in sorted(met, key=lambda r: r["fold"])]
 
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as ex:
@@ -131,22 +133,35 @@ def _stats(v):
 
 
 def search(ordered: DataFrame, n: int, name: str, points: list[dict], features, label: str,
-           n_splits: int = 3, parallelism: int = 2) -> DataFrame:
+           n_splits: int = 3, parallelism: int = 2, metric: str = "rmse",
+           maximize: bool | None = None) -> DataFrame:
     """H1s/H2s/H4s: every point scored by time-ordered CV; the trial table
-    holds parameters, fold scores, mean/std and rank (1 = lowest RMSE)."""
-    res = _score_points(ordered, n, name, points, features, label, n_splits, parallelism)
+    holds parameters, fold scores, mean/std (in the ``*_rmse`` columns, of
+    whichever ``metric`` is asked for) and rank (1 = best: highest for R2,
+    else lowest, unless ``maximize`` says otherwise)."""
+    maximize = metric == "r2" if maximize is None else maximize
+    res = _score_points(ordered, n, name, points, features, label, n_splits, parallelism, metric=metric)
     rows = []
     for i, p, rm in res:
         mean, std = _stats(rm)
         rows.append((i, json.dumps(p, sort_keys=True), 0, n, rm, mean, std))
     # one row per trial, already on the driver: rank them here
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][5], rows[k][0]))
+    order = sorted(range(len(rows)), key=lambda k: (-rows[k][5] if maximize else rows[k][5], rows[k][0]))
     rank = {rows[k][0]: pos + 1 for pos, k in enumerate(order)}
     t = _trials_frame(ordered.sparkSession, rows)
     ranks = ordered.sparkSession.createDataFrame(list(rank.items()), "trial int, rank int")
     return t.join(F.broadcast(ranks), "trial")
 
 
+def fit_best(ordered: DataFrame, trials: DataFrame, name: str, features, label: str,
+             nominal: dict | None = None):
+    """The model of the best-ranked trial, fitted on all rows, and its
+    parameters."""
+    best = json.loads(trials.where(F.col("rank") == 1).first()["params"])
+    v = assemble(ordered, features, nominal=nominal)
+    return make_estimator(name, best, label=label, train=v, nominal=nominal).fit(v), best
+
+
 def successive_halving(ordered: DataFrame, n: int, name: str, points: list[dict], features,
                        label: str, factor: int = 3, min_rows: int | None = None,
                        n_splits: int = 3, parallelism: int = 2) -> DataFrame:
@@ -171,5 +186,3 @@ def successive_halving(ordered: DataFrame, n: int, name: str, points: list[dict]
         alive = [(o, p) for _, o, p in scored[:keep]]
     return _trials_frame(ordered.sparkSession, rows)
 
-
-METRIC_NAMES = METRICS

@@ -18,15 +18,21 @@ METRICS = ["r2", "rmse", "mae", "mse", "median_ae", "max_error"]
 
 
 def regression_metrics(df: DataFrame, y: str = "y_true", yhat: str = "y_pred",
-                       by=()) -> DataFrame:
-    """V1: R2, RMSE, MAE, MSE, median absolute error, max error."""
+                       by=(), names=METRICS) -> DataFrame:
+    """V1: R2, RMSE, MAE, MSE, median absolute error, max error; only the
+    ones in ``names`` are computed (the median costs a sort of its own)."""
     by = list(by)
+    unknown = sorted(set(names) - set(METRICS))
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}")
     e = F.col(y).cast("double") - F.col(yhat).cast("double")
     base = df.withColumn("_ae", F.abs(e)).withColumn("_e2", e * e)
     g = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_e2").alias("_sse"), F.avg("_ae").alias("mae"),
         F.max("_ae").alias("max_error"), F.var_pop(F.col(y).cast("double")).alias("_vy"))
-    if by:
+    if "median_ae" not in names:
+        out = g.withColumn("median_ae", F.lit(None).cast("double"))
+    elif by:
         med = exact_quantiles(base, ["_ae"], [0.5], by).select(
             *by, F.col("value").alias("median_ae"))
         out = g.join(med, by, "left")
@@ -37,9 +43,9 @@ def regression_metrics(df: DataFrame, y: str = "y_true", yhat: str = "y_pred",
     # a constant label: 1 when every prediction is right, else 0
     r2 = F.when(F.col("_vy") > 0, 1 - F.try_divide(F.col("_sse"), F.col("_n") * F.col("_vy"))).otherwise(
         F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return out.select(*by, r2.alias("r2"),
-                      F.sqrt(mse).alias("rmse"), "mae", mse.alias("mse"), "median_ae",
-                      "max_error")
+    columns = {"r2": r2, "rmse": F.sqrt(mse), "mae": F.col("mae"), "mse": mse, "median_ae": F.col("median_ae"),
+               "max_error": F.col("max_error")}
+    return out.select(*by, *(columns[m].alias(m) for m in METRICS if m in names))
 
 
 def summarize(metrics: DataFrame, names=METRICS) -> DataFrame:

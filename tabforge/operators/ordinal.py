@@ -22,21 +22,15 @@ partitioner split a value that holds a large share of all rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint, shuffle_partitions
+from ..session import checkpoint, shuffle_partitions, write_table
 
 _TB = "__tf_rowid"
-# Below this many lookup positions the position list is broadcast
-# (its size is counted first, so the bound is proven, not estimated).
-MAX_BROADCAST_POSITIONS = 2_000_000
-# Groups whose quantile targets are resolved on the driver (bounded collect).
-MAX_DRIVER_GROUPS = 10_000
 
 
 def _ordered_checkpoint(df: DataFrame, order: Sequence[Column | str],
@@ -101,20 +95,25 @@ def weighted_prefix(df: DataFrame, order: Sequence[str], weight_col: str,
     fields = [f for f in ordered.schema.fields if f.name != _TB]
     out_schema = T.StructType(fields + [T.StructField(out_col, T.LongType(), False)])
     names = [f.name for f in fields]
+    # the partition's offset travels with its rows: a task id would be
+    # another one below a union
+    based = ordered.withColumn(_TB, F.element_at(
+        F.array(*[F.lit(int(o)) for o in offsets]), F.spark_partition_id() + 1))
 
     def run(batches):
-        from pyspark import TaskContext
-        acc = offsets[TaskContext.get().partitionId()]
+        acc = None
         for pdf in batches:
+            if len(pdf) and acc is None:
+                acc = int(pdf[_TB].iloc[0])
             w = pdf[weight_col].fillna(0).astype("int64")
             csum = w.cumsum()
             pdf = pdf[names].copy()
-            pdf[out_col] = (csum - w + acc).astype("int64")
+            pdf[out_col] = (csum - w + (acc or 0)).astype("int64")
             if len(w):
                 acc += int(w.sum())
             yield pdf
 
-    out = ordered.mapInPandas(run, out_schema)
+    out = based.mapInPandas(run, out_schema)
     return (out, total) if return_total else out
 
 
@@ -134,62 +133,47 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     value ``v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h)``, the
     same rule as pandas ``quantile`` and DuckDB ``quantile_cont``.
 
-    One range shuffle orders all values (hot values are split by the row
-    id); per-group counts locate the target positions.  With at most
-    ``MAX_DRIVER_GROUPS`` groups (checked with a bounded collect) the
-    positions are looked up with one ``isin`` filter; beyond that the
-    lookup is a distributed join on the (unique) ordinal.
+    Equal values of a group are counted first (a partial aggregation, so a
+    hot value folds on the map side and every row is unique).  The distinct
+    values are range partitioned by (column, group, value) and written once;
+    a running count inside each (partition, group), plus what the group has
+    in earlier partitions, gives every value the interval of positions that
+    it holds.  Values whose interval holds a target position are all that is
+    left.  One way for any number of groups; nothing is collected.
     """
     by = list(by)
-    long = long_values(df, columns, by)
-    ordered = with_global_ordinal(long, [F.col("column"), *[F.col(b) for b in by], F.col("value")],
-                                  "_ord")
-    stats = (ordered.groupBy("column", *by)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_start")))
-    small = stats.limit(MAX_DRIVER_GROUPS + 1).collect()
-    spark = df.sparkSession
-    out_schema = T.StructType(
-        [long.schema[b] for b in by]
-        + [T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
-           T.StructField("value", T.DoubleType())])
-    if len(small) <= MAX_DRIVER_GROUPS:
-        targets, wanted = [], set()
-        for row in small:
-            n, start = row["_n"], row["_start"]
-            for p in probs:
-                h = (n - 1) * float(p)
-                lo, hi = start + math.floor(h), start + math.ceil(h)
-                targets.append((row, float(p), lo, hi, h - math.floor(h)))
-                wanted.update((lo, hi))
-        vals = {}
-        if wanted:
-            for rr in ordered.where(F.col("_ord").isin(sorted(wanted))).select(
-                    "_ord", "value").collect():
-                vals[rr["_ord"]] = rr["value"]
-        rows = []
-        for row, p, lo, hi, frac in targets:
-            vlo, vhi = vals[lo], vals[hi]
-            rows.append((*[row[b] for b in by], row["column"], p, vlo + (vhi - vlo) * frac))
-        # at most MAX_DRIVER_GROUPS x len(probs) rows (counted above): safe to
-        # broadcast wherever the caller joins it back to its groups
-        return F.broadcast(spark.createDataFrame(rows, out_schema))
-    h = (F.col("_n") - 1).cast("double")
-    items = []
+    key = ["column", *by]
+    counts = long_values(df, columns, by).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("_c"))
+    n = shuffle_partitions(df.sparkSession)
+    placed = write_table(
+        counts.repartitionByRange(n, *key, "value").withColumn("_part", F.spark_partition_id()), "quantile_values")
+    inside = Window.partitionBy("_part", *key).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumn("_end", F.sum("_c").over(inside))
+    parts = placed.groupBy("_part", *key).agg(F.sum("_c").alias("_held"))
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+        F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_base"),
+        F.sum("_held").over(Window.partitionBy(*key)).alias("_n"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    spans = running.join(base, same).select(
+        *key, "value", (F.col("_base") + F.col("_end") - F.col("_c")).alias("_first"),
+        (F.col("_base") + F.col("_end")).alias("_stop"), "_n")
+    targets = []
     for p in probs:
-        hp = h * F.lit(float(p))
-        items.append(F.struct(F.lit(float(p)).alias("prob"),
-                              (F.col("_start") + F.floor(hp)).cast("long").alias("lo"),
-                              (F.col("_start") + F.ceil(hp)).cast("long").alias("hi"),
-                              (hp - F.floor(hp)).alias("frac")))
-    targets = (stats.select("column", *by, F.explode(F.array(*items)).alias("t"))
-               .select("column", *by, "t.*"))
-    positions = targets.select(F.explode(F.array("lo", "hi")).alias("_ord")).distinct()
-    vals = ordered.join(positions, "_ord").select("_ord", "value")
-    lo = vals.select(F.col("_ord").alias("lo"), F.col("value").alias("_vlo"))
-    hi = vals.select(F.col("_ord").alias("hi"), F.col("value").alias("_vhi"))
-    out = targets.join(lo, "lo").join(hi, "hi")
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        targets.append(F.struct(F.lit(float(p)).alias("prob"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"),
+                                (h - F.floor(h)).alias("frac")))
+    holds = lambda x: (x >= F.col("_first")) & (x < F.col("_stop"))
+    hit = (spans.withColumn("t", F.explode(F.filter(F.array(*targets), lambda t: holds(t["lo"]) | holds(t["hi"]))))
+           .select(*key, "t.*", F.when(holds(F.col("t.lo")), F.col("value")).alias("_vlo"),
+                   F.when(holds(F.col("t.hi")), F.col("value")).alias("_vhi")))
+    ends = hit.groupBy(*key, "prob").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),
+                                         F.max("frac").alias("frac"))
     value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("frac")
-    return out.select(*by, "column", "prob", value.alias("value"))
+    return ends.select(*by, "column", "prob", value.alias("value"))
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:

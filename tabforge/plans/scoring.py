@@ -46,9 +46,37 @@ def silver_for_scoring(raw: DataFrame) -> DataFrame:
     return df.withColumns(date_features("date"))
 
 
+def scoring_violations(silver: DataFrame, bundle: ScoringBundle) -> DataFrame:
+    """Adds ``violations: array<string>``: what the bundle cannot score (a
+    date that does not parse, a category that its mapping does not know, a
+    missing value that its imputer does not fill)."""
+    gm, checks = bundle.gold, []
+    if "date" in silver.columns:
+        checks.append(F.when(F.col("date").isNull(), F.lit("date:invalid")))
+    for c, known in gm.encoder.mapped.items():
+        if c in silver.columns:
+            checks.append(F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(known)), F.lit(f"{c}:not_allowed")))
+            if gm.imputer.values.get(c) is None:
+                checks.append(F.when(F.col(c).isNull(), F.lit(f"{c}:missing")))
+    arr = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
+    return silver.withColumn("violations", arr)
+
+
+def score_with_rejects(raw: DataFrame, bundle: ScoringBundle, decimals: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(predictions, rejected rows with their violations): rows in = rows of
+    both.  One bad row does not end a batch."""
+    v = scoring_violations(silver_for_scoring(raw), bundle)
+    good, bad = v.where(F.size("violations") == 0).drop("violations"), v.where(F.size("violations") > 0)
+    return score_silver(good, bundle, decimals), bad
+
+
 def score(raw: DataFrame, bundle: ScoringBundle, decimals: int = 2) -> DataFrame:
     """``keys..., predicted_price`` for every input row."""
-    s = silver_for_scoring(raw)
+    return score_silver(silver_for_scoring(raw), bundle, decimals)
+
+
+def score_silver(s: DataFrame, bundle: ScoringBundle, decimals: int = 2) -> DataFrame:
+    """Predictions of rows that went through the silver steps."""
     keys = [k for k in bundle.keys if k in s.columns]
     gm = bundle.gold
     # run the fitted chain with the keys renamed out of the drop list

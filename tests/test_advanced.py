@@ -174,3 +174,33 @@ def test_nominal_features_make_categorical_splits(spark):
     long = tree_contributions(df.withColumn("id", F.monotonically_increasing_id()), m, ["c"], ["id"])
     pred = m.transform(v).agg(F.sum("prediction")).collect()[0][0]
     assert abs(long.agg(F.sum("phi")).collect()[0][0] - pred) < 1e-6
+
+
+def test_search_by_another_metric_and_best_refit(spark):
+    from tabforge.operators.model import cv
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame([(int(i), float(v), float(3 * v + 1)) for i, v in enumerate(x)], "d int, x double, y double")
+    ordered, n = cv.ordered_frame(df, "d", [], ["x"], "y")
+    trials = cv.search(ordered, n, "Ridge", [{"alpha": 1e6}, {"alpha": 1e-6}], ["x"], "y", metric="r2")
+    model, best = cv.fit_best(ordered, trials, "Ridge", ["x"], "y")
+    assert best == {"alpha": 1e-6} and model.coefficients[0] == pytest.approx(3.0, abs=1e-3)
+    steps = {p["z"] for p in cv.random_points({"z": ("float", 0.1, 0.5, 0.2)}, 40, 1)}
+    assert {round(z, 9) for z in steps} == {0.1, 0.3, 0.5}
+
+
+def test_isolation_forest_samples_a_mostly_null_column(spark):
+    df = spark.createDataFrame([(i, float(i % 97), float(i) if i % 50 == 0 else None) for i in range(20_000)],
+                               "k int, a double, b double")
+    m = fit_isolation_forest(df, ["a", "b"], n_trees=8, max_samples=64, key=["k"])
+    assert len(m.path["b"]) > 64      # cut points of eight trees on full samples
+
+
+def test_tree_parameters_are_not_dropped_in_silence():
+    from tabforge.operators.model.estimators import make_estimator
+    with pytest.warns(UserWarning, match="min_samples_split"):
+        make_estimator("RandomForestRegressor", {"min_samples_split": 4})
+    gbt = make_estimator("XGBRegressor", {"colsample_bytree": 0.5, "max_depth": -1}, nominal={"c": 40})
+    assert gbt.getFeatureSubsetStrategy() == "0.5" and gbt.getMaxDepth() == 30 and gbt.getMaxBins() == 40
+    with pytest.raises(ValueError):
+        make_estimator("LGBMRegressor", {"max_depth": 31})

@@ -291,16 +291,19 @@ def test_imputer_fractional_median_widens_int_column(spark):
     assert sorted(r["k"] for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
 
 
-def test_quantiles_join_path_matches_driver_path(spark, monkeypatch):
+def test_quantiles_of_groups_and_hot_values(spark):
     rng = np.random.default_rng(9)
-    vals = rng.normal(size=3000)
-    df = spark.createDataFrame([(float(v), i % 40) for i, v in enumerate(vals)], "x double, g int")
-    a = {(r["g"], r["prob"]): r["value"]
-         for r in ordinal.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()}
-    monkeypatch.setattr(ordinal, "MAX_DRIVER_GROUPS", 5)     # force the distributed join path
-    b = {(r["g"], r["prob"]): r["value"]
-         for r in ordinal.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    rows = [(float(v), int(i % 40) if i % 41 else None) for i, v in enumerate(rng.normal(size=3000))]
+    rows += [(0.5, 7)] * 4000 + [(None, 7), (float("nan"), 8)]
+    df = spark.createDataFrame(rows, "x double, g int")
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {(r["g"], r["prob"]): r["value"] for r in ordinal.exact_quantiles(df, ["x"], probs, ["g"]).collect()}
+    groups = {}
+    for x, g in rows:
+        if x is not None and x == x:
+            groups.setdefault(g, []).append(x)
+    assert len(got) == len(groups) * len(probs)
+    assert all(got[g, p] == pytest.approx(np.quantile(v, p), abs=1e-12) for g, v in groups.items() for p in probs)
 
 
 def test_encoder_code_tables_of_two_fits_do_not_meet(spark, tmp_path):
@@ -366,6 +369,17 @@ def test_shipped_zip_holds_every_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code, z], cwd=tmp_path, check=True, timeout=120)
 
 
+def test_weighted_prefix_below_a_union(spark):
+    df = spark.createDataFrame([(i, i % 5 + 1) for i in range(50)], "k int, w int")
+    out = ordinal.weighted_prefix(df, ["k"], "w", num_partitions=4)
+    twice = out.unionByName(out).collect()
+    want, acc = {}, 0
+    for i in range(50):
+        want[i] = acc
+        acc += i % 5 + 1
+    assert len(twice) == 100 and all(r["before"] == want[r["k"]] for r in twice)
+
+
 def test_split_by_dates_strict_bounds(spark, caplog):
     import datetime
     df = spark.createDataFrame([(datetime.date(2020, 1, d),) for d in range(1, 11)], "date date")
