@@ -38,6 +38,8 @@ SAMPLE = 12_000             # labelled rows that a model is fitted on, at most
 UNITS = 60_000              # words and stems looked at while fitting, at most
 LEXICON = 3_000             # words and stems in a fitted lexicon, at most
 STEM_LENGTHS = (4, 5, 6)
+COVER = 3                   # units wanted in each toxic text
+CLEAN_COST = 10             # toxic texts that a unit must cover to make up for one clean text
 WORD_CACHE = 400_000
 THRESHOLD = 0.3
 NEGATION_SCOPE = 4          # words
@@ -194,30 +196,40 @@ def _sum_per_unit(train: DataFrame, toxic: int, wanted) -> DataFrame:
 
 
 def _pick_units(rows: list[list[str]], t: dict, c: dict, n_toxic: int, n_clean: int) -> dict:
-    """Greedy cover of the toxic training texts, each wanted twice: the unit
-    that covers most of what is still open comes next, a whole word before a
-    stem of equal use.  A word that only stands in copies of one text is of
+    """Greedy cover of the toxic training texts, COVER units each: the unit
+    that covers most of what is still open comes next (less CLEAN_COST for each
+    clean text that holds it), a whole word before a stem of equal use.  A word that only stands in copies of one text is of
     little use once the words that make those texts toxic are in."""
     holders: dict[str, list[int]] = {}
     for i, us in enumerate(rows):
         for u in us:
             holders.setdefault(u, []).append(i)
-    open_ = [2] * len(rows)
-    least = max(2, n_toxic // 400)
+    open_ = [COVER] * len(rows)
+    least = max(3, n_toxic // 100)
     # of equal use, first what shares its stem with no word of clean texts
     k = STEM_LENGTHS[0]
     common = lambda u: c.get(u[:k] + "*" if len(u) > k else u, 0)
-    heap = [(-len(h), common(u), u.endswith("*"), -len(u), u) for u, h in holders.items() if len(h) >= least]
+    cost = {u: CLEAN_COST * c.get(u, 0) for u in holders}
+    heap = [(cost[u] - len(h), common(u), u.endswith("*"), -len(u), u) for u, h in holders.items()
+            if len(h) >= least + cost[u]]
     heapq.heapify(heap)
     lexicon: dict[str, float] = {}
+    words: dict[str, int] = {}          # stems of words in the lexicon: texts with the word
     while heap and len(lexicon) < LEXICON:
         was, *rest, u = heapq.heappop(heap)
+        bare = u.rstrip("*")
+        if any(bare[:n] + "*" in lexicon for n in STEM_LENGTHS if n <= len(bare)):
+            continue                    # a shorter stem matches all that it matches
+        if len(holders[u]) <= 1.2 * words.get(u, 0):
+            continue                    # little more than a word that is in
         gain = sum(open_[i] > 0 for i in holders[u])
-        if gain < least:
+        if gain < least + cost[u]:
             continue
-        if gain < -was:             # out of date
-            heapq.heappush(heap, (-gain, *rest, u))
+        if cost[u] - gain > was:    # out of date
+            heapq.heappush(heap, (cost[u] - gain, *rest, u))
             continue
+        if bare == u:
+            words |= {x: max(words.get(x, 0), len(holders[u])) for x in units_of(u)[1:]}
         lexicon[u] = math.log((t[u] + 0.5) / (n_toxic + 1)) - math.log((c.get(u, 0) + 0.5) / (n_clean + 1))
         for i in holders[u]:
             open_[i] = max(0, open_[i] - 1)
