@@ -14,13 +14,18 @@ Plan
    ``n - ceil(t n) + 1`` first ones in the global order, whatever that order
    is.  Those prefix n-grams are the only rows that are shuffled by n-gram.
 3. Sparse round: in each n-gram's bucket every class is paired with one pivot
-   class only.  Verified pairs are links; their connected components are the
-   first estimate.
+   class only, the one with the fewest n-grams of its own (in a group of near
+   copies that is the text they were made from).  Verified pairs are links;
+   their connected components are the first estimate.
 4. Exhaustive round: bucket mates that are still in *different* components
-   are compared as well (after size and position filters).  Pairs inside one
-   component cannot change the components, so a large group of near copies
-   never becomes all its pairs.  After this round no link between different
-   components is left unchecked: the components are exact.
+   are compared as well.  Pairs inside one component cannot change the
+   components, so a large group of near copies never becomes all its pairs.
+   After this round no link between different components is left unchecked:
+   the components are exact.
+
+Pairs are filtered where they are formed, in the join itself: by size, by the
+position of the shared n-gram, and by a 256-bit parity map of each set, whose
+differing bits never outnumber the differing n-grams.
 
 Hot groups: equal sets are one class; the bucket, link and label joins have
 written tables on both sides, which lets the adaptive planner split a hot
@@ -47,6 +52,8 @@ NEEDED_BITS = 24            # bit set of documents whose segments are wanted
 WORD_CACHE = 400_000        # entries of a task's word-hash cache
 GRAM_BYTES = 6              # bytes of an n-gram hash that segments carry
 
+MAP = ["m0", "m1", "m2", "m3"]
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,34 +91,43 @@ def _signature(u: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(f"{len(u)}:{s}"))))
 
 
+def _parity(u: np.ndarray) -> np.ndarray:
+    """Four words of the set's parity map: bit b is set if an odd number of
+    n-grams fall on it."""
+    odd = np.bincount((u >> np.uint64(24)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(u: np.ndarray) -> np.ndarray:
     return u.view(np.int64)
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, sig) of each document, and in rows with a chunk number the
-    sketch counts of the task."""
+    """(doc_id, n, sig, parity map) of each document, and in rows with a chunk
+    number the sketch counts of the task."""
     def run(batches):
         cache, size = _WordHash(), 1 << SKETCH_BITS
         counts = np.zeros(size, np.int64)
         for b in batches:
-            ns, sigs = [], []
+            ns, sigs, maps = [], [], []
             for t in b.column(1).to_pylist():
                 u = gram_set(t, n, cache)
                 ns.append(len(u))
+                maps.append(_parity(u))
                 sigs.append(_signature(u) if len(u) else None)
                 np.add.at(counts, (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             z = len(ns)
+            maps = np.array(maps, np.int64).reshape(z, 4)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()),
-                 pa.nulls(z, pa.int32()), pa.nulls(z, pa.binary())],
-                names=["doc_id", "n", "sig", "chunk", "counts"])
+                 *(pa.array(maps[:, k]) for k in range(4)), pa.nulls(z, pa.int32()), pa.nulls(z, pa.binary())],
+                names=["doc_id", "n", "sig", *MAP, "chunk", "counts"])
         packed = pack_counts(counts, SKETCH_CHUNKS)
         if packed is not None:
-            none = [pa.nulls(packed.num_rows, pa.int64())] * 3
+            none = [pa.nulls(packed.num_rows, pa.int64())] * 7
             yield pa.RecordBatch.from_arrays([*none, *packed.columns],
-                                             names=["doc_id", "n", "sig", "chunk", "counts"])
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, chunk int, counts binary")
+                                             names=["doc_id", "n", "sig", *MAP, "chunk", "counts"])
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, m0 long, m1 long, m2 long, m3 long, chunk int, counts binary")
 
 
 def _order(u: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -284,6 +300,12 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
+def _named(s: str) -> list:
+    """Names and columns of one end of a pair."""
+    names = [s, f"n{s}", f"p{s}", *(f"{m}{s}" for m in MAP)]
+    return [(k, F.col(k)) for k in names]
+
+
 def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each document: two documents link
@@ -296,54 +318,79 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     sketch_bc = spark.sparkContext.broadcast(
         sum_counts(prof.where("chunk is not null"), SKETCH_CHUNKS, 1 << SKETCH_BITS))
     rows = prof.where("chunk is null").select("doc_id", "n", "sig")
-    classes = scratch.write(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(
-        F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.write(
+        prof.where("sig is not null and doc_id is not null").groupBy("sig").agg(
+            F.min("doc_id").alias("rep"), *(F.max(m).alias(m) for m in MAP)), "classes")
 
     pre = scratch.write(_prefixes(docs, words, num, den, sketch_bc), "prefixes")
-    shared = scratch.write(pre.groupBy("gram").agg(F.min("sig").alias("pivot"), F.max("sig").alias("top"))
-                           .where("pivot < top").select("gram", "pivot"), "shared")
-    bucket = scratch.write(pre.join(shared, "gram").select("gram", "pivot", "sig", "n", "pos").distinct(),
-                           "bucket")
+    shared = scratch.write(pre.groupBy("gram").agg(F.min("sig").alias("low"), F.max("sig").alias("top"))
+                           .where("low < top").select("gram"), "shared")
+    bucket = scratch.write(pre.join(shared, "gram").select("gram", "sig", "n", "pos").distinct(), "bucket")
     scratch.drop("prefixes", "shared")
     scratch.release()
+    # how much of a class's prefix others have too
+    share = bucket.groupBy("sig").agg(
+        (F.count(F.lit(1)) / (F.max("n") * (1 - num / den) + 1)).alias("share"))
+    members = scratch.write(
+        bucket.join(scratch.write(share.join(classes.drop("rep"), "sig"), "share"), "sig"), "members")
+    scratch.drop("bucket", "share")
 
+    side = lambda s: [F.col("sig").alias(s), F.col("n").cast("long").alias(f"n{s}"),
+                      F.col("pos").cast("long").alias(f"p{s}"), *(F.col(m).alias(f"{m}{s}") for m in MAP)]
+    differ = sum(F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MAP)
+    likely = differ * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
     # sizes fit, and what the two sets hold from their first common n-gram on
     # can still reach the overlap that a link needs
     fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (
         F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (num + den)
-        >= (F.col("na") + F.col("nb")) * num)
-    side = lambda s: [F.col("sig").alias(s), F.col("n").cast("long").alias(f"n{s}"),
-                      F.col("pos").cast("long").alias(f"p{s}")]
-    heads = bucket.where("sig = pivot").select("gram", *side("a"))
-    tries = scratch.write(heads.join(bucket.where("sig <> pivot").select("gram", *side("b")), "gram")
-                          .where(fits).select("a", "b", "na", "nb").distinct(), "tries")
+        >= (F.col("na") + F.col("nb")) * num) & likely
+    pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"),
+            F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nx"),
+            F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("ny")]
+
+    def pairs_of(df):
+        return df.select(*pair).distinct().select(
+            F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+
+    heads = scratch.write(
+        members.groupBy("gram").agg(F.max(F.struct("share", "sig", "n", "pos", *MAP)).alias("h"))
+        .select("gram", "h.*").select("gram", *side("a")), "heads")
+    tries = scratch.write(pairs_of(members.select("gram", *side("b")).join(heads, "gram").where(
+        (F.col("a") != F.col("b")) & fits)), "tries")
     links = _verify(docs, tries, classes, words, num, den, sketch_bc, scratch, "sparse")
     labels = components(links, scratch, "sparse")
     scratch.release()
 
-    home = scratch.write(
-        bucket.join(labels, F.col("sig") == F.col("node"), "left")
-        .select("gram", "sig", "n", "pos", F.coalesce("label", "sig").alias("home")), "home")
+    home = scratch.write(members.join(labels, F.col("sig") == F.col("node"), "left").select(
+        "gram", "sig", "n", "pos", *MAP, F.coalesce("label", "sig").alias("home")), "home")
     mixed = home.groupBy("gram").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x < y")
-    homes = scratch.write(home.join(mixed.select("gram"), "gram", "left_semi").groupBy("gram", "home").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first")), "homes")
+    one = F.struct("sig", "n", "pos", *MAP)
+    homes = scratch.write(home.join(scratch.write(mixed.select("gram"), "mixed"), "gram").groupBy("gram", "home").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"),
+        (F.count(F.lit(1)) == 1).alias("alone"), F.min(one).alias("m")).select("*", "m.*").drop("m"), "homes")
     h = lambda s: homes.select("gram", F.col("home").alias(f"h{s}"), F.col("least").alias(f"l{s}"),
-                               F.col("most").alias(f"m{s}"), F.col("first").alias(f"f{s}"))
-    # a pair of components is worth opening if some sizes in their ranges fit
-    met = h("a").join(h("b"), "gram").where(
-        (F.col("ha") < F.col("hb")) & (F.col("ma") * den >= F.col("lb") * num)
-        & (F.col("mb") * den >= F.col("la") * num)
-        & (F.least(F.col("ma") - F.col("fa"), F.col("mb") - F.col("fb")) * (num + den)
-           >= (F.col("la") + F.col("lb")) * num)).select("gram", "ha", "hb")
-    opened = met.join(home.select("gram", F.col("home").alias("ha"), *side("a")), ["gram", "ha"]).join(
-        home.select("gram", F.col("home").alias("hb"), *side("b")), ["gram", "hb"]).where(fits)
-    rest = opened.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    known = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.write(rest.join(known, ["a", "b"], "left_anti"), "rest")
-    scratch.drop("bucket", "home", "homes")
+                               F.col("most").alias(f"t{s}"), F.col("first").alias(f"f{s}"),
+                               F.col("alone").alias(f"alone{s}"), *side(s))
+    # a pair of components is worth opening if some sizes in their ranges
+    # fit; of a component that has one member here, that member is compared
+    met = scratch.write(h("a").join(h("b"), "gram").where(
+        (F.col("ha") < F.col("hb")) & (F.col("ta") * den >= F.col("lb") * num)
+        & (F.col("tb") * den >= F.col("la") * num)
+        & (F.least(F.col("ta") - F.col("fa"), F.col("tb") - F.col("fb")) * (num + den)
+           >= (F.col("la") + F.col("lb")) * num)
+        & (~F.col("alonea") | ~F.col("aloneb") | fits)), "met")
+    member = lambda s: home.select("gram", F.col("home").alias(f"h{s}"), *side(s))
+    of_a, of_b = [c for _, c in _named("a")], [c for _, c in _named("b")]
+    both_alone = met.where("alonea and aloneb").select(*of_a, *of_b)
+    open_a = met.where("not alonea and aloneb").select("gram", "ha", *of_b).join(member("a"), ["gram", "ha"]).where(fits)
+    open_b = met.where("alonea and not aloneb").select("gram", "hb", *of_a).join(member("b"), ["gram", "hb"]).where(fits)
+    open_both = met.where("not alonea and not aloneb").select("gram", "ha", "hb").join(
+        member("a"), ["gram", "ha"]).join(member("b"), ["gram", "hb"]).where(fits)
+    ends = [k for k, _ in (*_named("a"), *_named("b"))]
+    opened = both_alone.select(*ends).unionByName(open_a.select(*ends)).unionByName(
+        open_b.select(*ends)).unionByName(open_both.select(*ends))
+    rest = scratch.write(pairs_of(opened).join(tries.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    scratch.drop("members", "heads", "home", "mixed", "homes", "met")
     if rest.limit(1).count():
         more = _verify(docs, rest, classes, words, num, den, sketch_bc, scratch, "rest")
         if more.limit(1).count():
