@@ -167,6 +167,33 @@ def test_neighbours_share_a_window():
     assert sum(len(v) == 1 for v in by.values()) >= len(by) / 2
 
 
+def test_neighbours_come_from_the_whole_corpus(spark):
+    enc, rng = bm25_pack.Encoder(bm25_pack.default_tokenizer()), random.Random(7)
+    words = [w for w in sorted(enc.tk.get_vocab()) if w.isascii() and w.isalpha() and w.islower()
+             and len(enc.encode(w)) == enc.dtype.itemsize]
+    rng.shuffle(words)
+    common, rare = words[:1500], words[1500:1900]
+    make = lambda own: " ".join(own + rng.sample(common, 69 - len(own)))
+    texts = [(i, make(rare[10 * i:10 * i + 10])) for i in range(40)] + [(i, make([])) for i in range(100, 2500)]
+    texts += [(i + 50, make(rare[10 * i:10 * i + 10])) for i in range(40)]      # shares few words with i
+    by_seq = defaultdict(set)
+    for r in bm25_pack.pack_documents(_docs(spark, texts), window=128).collect():
+        by_seq[r["sequence_id"]].add(r["doc_id"])
+    assert all(any({i, i + 50} <= v for v in by_seq.values()) for i in range(40))
+
+
+def test_short_texts_fill_windows_too():
+    rng = np.random.default_rng(3)
+    docs = [(i, np.array([1], "<u2")) for i in range(700)]
+    docs += [(i, rng.integers(0, 300, k).astype("<u2")) for i, k in enumerate(rng.integers(1, 150, 300))]
+    pieces, n = bm25_pack.pack_shard(docs, np.linspace(0.1, 5, 300), 20.0, 128)
+    sizes = Counter()
+    for i, start, length, seq, offset in pieces:
+        sizes[seq] += length
+    total = sum(len(ids) for _, ids in docs)
+    assert sum(sizes.values()) == total and n == -(-total // 128) and sum(v < 128 for v in sizes.values()) <= 1
+
+
 # --- search
 
 def test_top_k_against_brute_force(spark):
