@@ -14,9 +14,10 @@ A line fails by
 
 A document is rejected if its words are too few, if too many of them stand in
 repeated five-word windows (the base rules), or if the failing lines hold
-more than half of its word characters.  Lines that fail only as boilerplate
-or repeat are taken out of the cleaned text but are not counted against a
-document: a clean text under a licence line stays.
+more than half of its word characters.  Every occurrence of a failing line
+counts, by whichever rule it fails.  Only a lone boilerplate line is spared:
+it is not counted if no other line fails and there is other text, so a short
+clean text under a long licence line stays.
 
 Null text: no words, hence rejected.  Empty text likewise.  Repeated rows are
 judged alike.  All in one pass over the rows, without a shuffle.
@@ -100,7 +101,7 @@ def line_fault(line: str, words: list[str]) -> str | None:
 def judge(text: str) -> dict:
     """Base counts, verdicts and cleaned text of one text."""
     split = _WORDS.findall if _OTHER_SPACE.search(text) else str.split
-    words, seen, dup, lost, kept = [], set(), 0, 0, []
+    words, seen, dup, lost, failing, spared, kept = [], set(), 0, 0, 0, 0, []
     for line in text.split("\n"):
         own = split(line)
         if not own:
@@ -109,14 +110,20 @@ def judge(text: str) -> dict:
         words += own
         if line in seen:
             dup += 1
-            continue
-        seen.add(line)
-        fault = line_fault(line, own)
+            fault = "repeat"
+        else:
+            seen.add(line)
+            fault = line_fault(line, own)
         if fault is None:
             kept.append(line)
-        elif fault != "boilerplate":
-            lost += sum(map(len, own))
+            continue
+        failing += 1
+        lost += sum(map(len, own))
+        if fault == "boilerplate":
+            spared = len(own)
     n = len(words)
+    if failing == 1 and 0 < spared < n:
+        lost = 0
     word_chars = len(text) - sum(map(text.count, _SPACE))
     repeats = repeat_words(words)
     base_failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n

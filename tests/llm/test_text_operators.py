@@ -48,6 +48,19 @@ def test_lines_are_removed_before_the_document_is_judged(spark):
     assert not got[2]["kept"]
 
 
+def test_every_failing_line_counts_against_the_document():
+    legal = "\n".join(f"licensed under word{i} name{i}" for i in range(20))
+    junk = "\n".join(f"########## $$$$$$$$$$\nword{i} name{i}" for i in range(30))
+    lines = "\n".join(f"only line\nw{i}" for i in range(30))
+    for text in (legal, junk, lines):
+        got = line_rules.judge(text)
+        assert not got["base_failed"] and not got["kept"]
+    prose = "ten short words of a clean text that shall stay"
+    licence = "This work is licensed under the terms of a licence whose long name stands here"
+    assert line_rules.judge(licence + "\n" + prose)["kept"]
+    assert not line_rules.judge(licence)["kept"] and not line_rules.judge((licence + "\n") * 2 + prose)["kept"]
+
+
 def test_quality_labels_of_documents(spark):
     docs = read(spark, SF, "documents").join(read(spark, SF, "labels"), "doc_id")
     got = line_rules.judge_documents(docs).join(read(spark, SF, "labels").select("doc_id", "quality"), "doc_id")
