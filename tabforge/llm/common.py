@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -53,6 +54,36 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z lower-cased and nothing else; a text of one-byte
+    characters takes the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def ranked(df: DataFrame, order: list[Column], scratch: Scratch, name: str, group: str | None = None) -> DataFrame:
+    """``df`` with at (position from 0 in ``order``, within each value of
+    ``group``, which never is null and leads ``order``) and m (rows of the
+    group).
+
+    One range sort, written once; positions come from the counts per (sort
+    partition, group), a table of partitions plus groups, so a group of any
+    size is spread over the partitions.  Rows that tie in all of ``order``
+    share its places in any way."""
+    at, part = F.col("__at"), F.shiftright("__at", 33)
+    placed = scratch.write(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+    key = F.lit("") if group is None else F.col(group)
+    held = placed.groupBy(part.alias("__part"), key.alias("__group")).agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("__part", "__group", (F.col("__first") - F.coalesce(F.sum("__n").over(earlier), F.lit(0))).alias("__shift"),
+                       F.sum("__n").over(Window.partitionBy("__group")).alias("m"))
+    return (placed.join(base, (part == F.col("__part")) & (key == F.col("__group")))
+            .withColumn("at", at - F.col("__shift")).drop("__at", "__part", "__group", "__shift"))
+
+
 def filter_rows(df: DataFrame, text_col: str, make_keep: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """Rows of ``df``, all columns, whose text passes a per-text predicate;
     one pass, no shuffle.  ``make_keep`` is called once per task.  A null

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bm25_pack, hilbert, html_lstm, line_rules, ngram_join, reply_trees,
-               sentencepiece_unigram, topk, toxicity, url_filter)
+from . import (bm25_pack, hilbert, html_lstm, importance_resampling, license_scan, line_rules,
+               merkle_manifest, ngram_join, reply_trees, sentencepiece_unigram, topk, toxicity, url_filter)
 from .common import read
 
 
@@ -62,9 +62,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.document_manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hilbert_shards, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_blocks, op5_bm25_packing,
     op6_top_k, op7_line_rules, op8_reply_trees, op9_url_filter, op10_toxicity,
+    op11_license_scan, op12_merkle_manifest, op13_importance_resampling,
 )}
 
 _OP6_SQL = """
@@ -136,9 +149,111 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
 """
 
+# The words of a lower-cased text, as the Spark side cuts them.
+_WORDS_SQL = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# Unsigned CRC-32 of the UTF-8 bytes of an expression; needs the table crc(tb).
+_CRC_TABLE_SQL = """crc AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(i)))"""
+_CRC_SQL = """xor(list_reduce([4294967295] || list_transform(range(octet_length(encode({0}))),
+  lambda j: ('0x' || substr(hex(encode({0})), 2 * j + 1, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, tb[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+def _op11_sql() -> str:
+    rows = ",\n  ".join(
+        f"({i}, '{t.label}', {str(t.base).upper()}, {t.k}, {t.need}, {t.slack}, {t.words!r})"
+        for i, t in enumerate(license_scan.TEMPLATES))
+    return f"""
+WITH tpl(template, label, base, k, need, slack, tw) AS (VALUES
+  {rows}),
+w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+tg AS (SELECT template, k, t, tw[t + 1:t + k] AS g FROM (SELECT *, unnest(range(0, len(tw) - k + 1)) AS t FROM tpl)),
+dg AS (SELECT r, k, p, w[p + 1:p + k] AS g FROM (
+  SELECT r, w, k, unnest(range(0, greatest(0, len(w) - k + 1))) AS p FROM w, (VALUES (2), (4)) ks(k))),
+v AS (SELECT r, template, t, p, p - t AS d, k FROM dg JOIN tg USING (k, g)),
+n AS (SELECT v.*, CASE WHEN d - lag(d) OVER o <= slack THEN 0 ELSE 1 END AS new
+      FROM v JOIN tpl USING (template) WINDOW o AS (PARTITION BY r, template ORDER BY d, p)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY d, p ROWS UNBOUNDED PRECEDING) AS run FROM n),
+c AS (SELECT r, template, run, min(p) AS first_word,
+        len(list_distinct(flatten(list(range(t, t + k))))) AS covered FROM u GROUP BY ALL),
+s AS (SELECT r, label, base, first_word, covered / len(tw) AS share FROM c JOIN tpl USING (template)
+      WHERE covered * 100 >= need * len(tw))
+SELECT any_value(doc_id) AS doc_id, len(any_value(w.w)) AS n_words, count(*) FILTER (base) AS n_base,
+  min(first_word) FILTER (base) AS first_word, max(first_word) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+  coalesce(max(share), 0)::DOUBLE AS score
+FROM w LEFT JOIN s USING (r) GROUP BY w.r
+"""
+
+
+_FIELD_SQL = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF_SQL = "sha256(concat({}))".format(", ".join(
+    _FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")))
+
+_OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+x AS (SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS k, {_LEAF_SQL.format(n="n_chars")} AS leaf,
+        CASE WHEN {_CRC_SQL.format("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF_SQL.format(n="(n_chars + 1)")}
+        ELSE {_LEAF_SQL.format(n="n_chars")} END AS now FROM documents, crc),
+d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY k) AS m FROM x),
+lv(k, l, i, m, h) AS (
+  SELECT k, 0::BIGINT, i, m, leaf FROM d UNION ALL
+  SELECT k, l + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE m > 1
+  GROUP BY k, l, i // 2, (m + 1) // 2),
+sub AS (SELECT k, h, l AS height, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS m FROM lv WHERE m = 1),
+tv(l, i, m, h) AS (
+  SELECT 0::BIGINT, i, m, h FROM sub UNION ALL
+  SELECT l + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tv WHERE m > 1
+  GROUP BY l, i // 2, (m + 1) // 2),
+root AS (SELECT h AS root, l AS height FROM tv WHERE m = 1),
+step AS (
+  SELECT r, t.l, (d.i >> t.l) & 1 AS slot, coalesce(lv.h, '') AS sib FROM d JOIN sub USING (k), range(0, 64) t(l)
+  LEFT JOIN lv ON lv.k = d.k AND lv.l = t.l AND lv.i = xor(d.i >> t.l, 1) WHERE t.l < height
+  UNION ALL
+  SELECT r, sub.height + t.l, (sub.i >> t.l) & 1, coalesce(tv.h, '') FROM d JOIN sub USING (k), root, range(0, 64) t(l)
+  LEFT JOIN tv ON tv.l = t.l AND tv.i = xor(sub.i >> t.l, 1) WHERE t.l < root.height),
+fold(r, l, h) AS (
+  SELECT r, 0::BIGINT, now FROM d UNION ALL
+  SELECT r, l + 1, sha256(CASE WHEN slot = 1 THEN sib || h ELSE h || sib END) FROM fold JOIN step USING (r, l)),
+proof AS (SELECT r, string_agg(sib, '' ORDER BY l) AS p FROM step GROUP BY r),
+last AS (SELECT r, arg_max(h, l) AS folded_root FROM fold GROUP BY r)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM d JOIN sub USING (k) JOIN last USING (r) LEFT JOIN proof USING (r), root
+"""
+
+_OP13_SQL = f"""
+WITH {_CRC_TABLE_SQL},
+dw AS (SELECT r, unnest(w) AS word FROM (SELECT row_number() OVER () AS r, {_WORDS_SQL} AS w FROM documents)),
+bw AS (SELECT unnest({_WORDS_SQL}) AS word FROM benchmark),
+b AS (SELECT word, {_CRC_SQL.format("word")} % 10000 AS bucket
+      FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS gain
+      FROM s FULL JOIN t USING (bucket)),
+d AS (SELECT row_number() OVER () AS r, doc_id, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
+f AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY r),
+c AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score
+      FROM d LEFT JOIN f USING (r)),
+o AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS able FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM o
+"""
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": _OP2_SQL,
     "op6_top_k": _OP6_SQL,
     "op8_reply_trees": _OP8_SQL,
     "op9_url_filter": _OP9_SQL,
+    "op11_license_scan": _op11_sql(),
+    "op12_merkle_manifest": _OP12_SQL,
+    "op13_importance_resampling": _OP13_SQL,
 }
