@@ -102,3 +102,17 @@ def with_flights(body: str, nulls: bool = False, extra: str = "") -> str:
 
 
 TIE = "travel_code, line_number, part_key, supp_key"
+
+# One-predictor Bayesian ridge from the moments mo(n, ev, xty, yty, vy): at
+# most 300 rounds, until the coefficient moves by less than 1e-3.
+BAYES_RIDGE_SQL = """
+WITH RECURSIVE it(i, alpha, lam, old, coef, done) AS (
+  SELECT 0, 1.0 / (vy + 2.220446049250313e-16), 1.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, FALSE FROM mo
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN done THEN alpha ELSE (n - g + 2e-6) / (greatest(yty - 2 * c * xty + c * c * ev, 0) + 2e-6) END,
+    CASE WHEN done THEN lam ELSE (g + 2e-6) / (c * c + 2e-6) END, c, c,
+    coalesce(i > 0 AND abs(old - c) < 1e-3, FALSE)
+  FROM (SELECT it.*, mo.*, xty / (ev + lam / alpha) AS c, alpha * ev / (lam + alpha * ev) AS g FROM it, mo)
+  WHERE NOT done AND i < 300)
+SELECT xty / (ev + lam / alpha) AS coef FROM (SELECT * FROM it ORDER BY i DESC LIMIT 1), mo"""

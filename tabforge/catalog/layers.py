@@ -10,7 +10,7 @@ from ..operators.quality import suites
 from ..plans import config as C
 from ..plans.layers import bronze_gate, fit_gold, gold_gate, silver_gate, silver_transform
 from ..sources.tables import RAW_COLUMNS, raw_flights
-from .base import TIE, r, register, with_flights
+from .base import BAYES_RIDGE_SQL, TIE, r, register, with_flights
 
 _GATE_COLS = ["rule", "kind", "column", "success", "unexpected_count", "element_count"]
 
@@ -133,6 +133,86 @@ def q_gate_silver(spark, sf):
     return res.select(*_GATE_COLS)
 
 
+# Raw rows with a fault of every kind that a row can have.
+_DIRTY_SQL = ("dirty AS (SELECT travel_code, line_number, part_key, supp_key, "
+              "CASE WHEN travel_code % 5 = 0 THEN NULL ELSE user_code END AS user_code, "
+              "CASE WHEN travel_code % 7 = 0 THEN -price ELSE price END AS price, "
+              "CASE WHEN travel_code % 9 = 0 THEN 'no date' ELSE strftime(date, '%Y-%m-%d') END AS date, "
+              "CASE WHEN travel_code % 50 = 0 THEN 'Z' ELSE flight_type END AS flight_type, agency, time FROM flights)")
+
+
+def _dirty(spark, sf):
+    from ..sources.tables import flights
+    f = flights(spark, sf)
+    on = lambda k: F.col("travel_code") % k == 0
+    return f.select(
+        *C.TIE_KEY, F.when(~on(5), F.col("user_code")).alias("user_code"),
+        F.when(on(7), -F.col("price")).otherwise(F.col("price")).alias("price"),
+        F.when(on(9), F.lit("no date")).otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"),
+        F.when(on(50), F.lit("Z")).otherwise(F.col("flight_type")).alias("flight_type"), "agency", "time")
+
+
+def _dirty_rules():
+    exact = R.in_set("flight_type", C.FLIGHT_TYPE_ORDER, mostly=1.0)
+    loose = R.in_set("flight_type", C.FLIGHT_TYPE_ORDER, mostly=0.9)
+    return [R.not_null("user_code"), R.between("price", 0, None), R.matches_date_format("date"),
+            R.Rule(exact.kind, exact.column, exact.params, 1.0, "in_set_all"),
+            R.Rule(loose.kind, loose.column, loose.params, 0.9, "in_set_most"),
+            R.compound_unique(["travel_code", "agency"]), R.mean_between("time", 0, 1), R.stdev_between("time", 0, 1),
+            R.median_between("time", 0, 1), R.row_count_between(1, 10)]
+
+
+def _dirty_gate_sql():
+    frac = lambda bad, col: f"(SELECT count_if({bad}) FROM dirty)"
+    type_bad = "flight_type NOT IN ('A', 'N', 'R')"
+    dup = "(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM dirty GROUP BY travel_code, agency) WHERE n > 1)"
+    n = "(SELECT count(*) FROM dirty)"
+    rows = [
+        _row("not_null:user_code", "not_null", "user_code", "(SELECT count_if(user_code IS NULL) = 0 FROM dirty)",
+             frac("user_code IS NULL", ""), n),
+        _row("between:price", "between", "price", "(SELECT count_if(price < 0) = 0 FROM dirty)", frac("price < 0", ""),
+             "(SELECT count(price) FROM dirty)"),
+        _row("matches_strftime:date", "matches_strftime", "date",
+             "(SELECT count_if(try_strptime(date, '%Y-%m-%d') IS NULL) = 0 FROM dirty)",
+             frac("try_strptime(date, '%Y-%m-%d') IS NULL", ""), "(SELECT count(date) FROM dirty)"),
+        _row("in_set_all", "in_set", "flight_type", f"(SELECT count_if({type_bad}) = 0 FROM dirty)", frac(type_bad, ""), n),
+        _row("in_set_most", "in_set", "flight_type", f"(SELECT count_if({type_bad}) / count(*) <= 0.1 + 1e-12 FROM dirty)",
+             frac(type_bad, ""), n),
+        _row("compound_columns_unique", "compound_columns_unique", None, f"({dup} = 0)", dup, n),
+        _row("mean_between:time", "mean_between", "time", "(SELECT avg(time) BETWEEN 0 AND 1 FROM dirty)"),
+        _row("stdev_between:time", "stdev_between", "time", "(SELECT stddev_samp(time) BETWEEN 0 AND 1 FROM dirty)"),
+        _row("median_between:time", "median_between", "time", "(SELECT quantile_cont(time, 0.5) BETWEEN 0 AND 1 FROM dirty)"),
+        _row("row_count_between", "row_count_between", None, "(SELECT count(*) BETWEEN 1 AND 10 FROM dirty)")]
+    return with_flights("\nUNION ALL\n".join(rows), extra=_DIRTY_SQL)
+
+
+@register("gate_dirty", "Q3 Q4 Q7 Q8 Q9 Q10 Q11 Q12 Q13", _dirty_gate_sql())
+def q_gate_dirty(spark, sf):
+    """A table that breaks a rule of every kind."""
+    return R.run_rules(_dirty(spark, sf), _dirty_rules()).select(*_GATE_COLS)
+
+
+_DIRTY_MASK = ("(CASE WHEN user_code IS NULL THEN 1 ELSE 0 END + CASE WHEN price < 0 THEN 2 ELSE 0 END + CASE WHEN "
+               "date = 'no date' THEN 4 ELSE 0 END + CASE WHEN flight_type = 'Z' THEN 24 ELSE 0 END)")
+
+
+@register("broken_rules", "Q14", with_flights(
+    f"SELECT {TIE}, CAST({_DIRTY_MASK} AS BIGINT) AS broken FROM dirty", extra=_DIRTY_SQL))
+def q_broken_rules(spark, sf):
+    """Every row with the bit mask of the row rules that it breaks."""
+    return R.with_broken_rules(_dirty(spark, sf), _dirty_rules()).select(*C.TIE_KEY, "broken")
+
+
+@register("failing_rows", "Q14", with_flights(
+    f"SELECT rule, {TIE} FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY md5(concat_ws('|', {TIE}, 3)), {TIE}) "
+    "AS n FROM (SELECT unnest(['not_null:user_code', 'between:price', 'matches_strftime:date', 'in_set_all', 'in_set_most']) "
+    f"AS rule, unnest([user_code IS NULL, price < 0, date = 'no date', flight_type = 'Z', flight_type = 'Z']) AS bad, {TIE} "
+    "FROM dirty) WHERE bad) WHERE n <= 20", extra=_DIRTY_SQL))
+def q_failing_rows(spark, sf):
+    """For each rule 20 of the rows that break it."""
+    return R.failing_rows(_dirty(spark, sf), _dirty_rules(), 20, C.TIE_KEY, seed=3).select("rule", *C.TIE_KEY)
+
+
 @register("gate_failures", "Q14 Q16", with_flights(
     "SELECT 'mean_between:price' AS rule, 'mean_between' AS kind, 'price' AS column, "
     "ROUND(avg(price), 4) AS observed FROM s WHERE NOT (SELECT avg(price) "
@@ -148,6 +228,7 @@ def q_gate_failures(spark, sf):
 
 # --- gold --------------------------------------------------------------------
 
+
 GOLD_TRAIN_END = "1999-01-01"
 _ENC = ["from_location", "to_location", "agency"]
 
@@ -286,6 +367,124 @@ def q_gold_linear(spark, sf):
     return g.select(*[r(c) for c in g.columns])
 
 
+def _gold_options_sql():
+    """Chain of ``gold_options`` in SQL: distance filled by the regression on
+    time over its observed rows (one-predictor Bayesian ridge, iterated to
+    its evidence maximum), one-hot agencies, z-score clipping, min-max."""
+    t = f"DATE '{GOLD_TRAIN_END}'"
+    cols = ("from_location, to_location, flight_type, price, time, distance, agency, year, month, day, "
+            "day_of_week")
+    codes = ",\n".join(
+        f"cd_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS k FROM (SELECT DISTINCT {c} AS v "
+        f"FROM s2 WHERE date < {t} AND {c} IS NOT NULL))" for c in ("from_location", "to_location"))
+
+    def enc(cond):
+        hot = ", ".join(f"CASE WHEN x.agency = '{a}' THEN 1.0 ELSE 0.0 END AS agency_{a.lower()}" for a in C.AGENCIES)
+        auto = ", ".join(f"COALESCE((SELECT k FROM cd_{c} WHERE v = x.{c}), -1.0) AS {c}"
+                         for c in ("from_location", "to_location"))
+        cyc = ", ".join(f"{f}(2 * pi() * x.{c} / {p}) AS {c}_{f}" for c, p in C.CYCLICAL_FEATURES_MAP.items()
+                        for f in ("sin", "cos"))
+        return (f"SELECT {hot}, CASE x.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0 END AS flight_type, "
+                f"{auto}, CAST(x.price AS DOUBLE) AS price, CAST(x.time AS DOUBLE) AS time, "
+                "COALESCE(CAST(x.distance AS DOUBLE), a + b * x.time) AS distance, "
+                f"CAST(x.year AS DOUBLE) AS year, {cyc} FROM (SELECT DISTINCT {cols} FROM s2 WHERE {cond}) x, mice")
+
+    num = ("price", "time", "distance")
+    clip = lambda c: f"least(greatest({c}, {c}_m - 3 * {c}_s), {c}_m + 3 * {c}_s)"
+    extra = f"""s AS ({_SILVER_SQL}),
+s2 AS (SELECT * REPLACE (CASE WHEN (travel_code + user_code) % 11 = 0 THEN NULL ELSE distance END AS distance) FROM s),
+base AS (SELECT DISTINCT {cols} FROM s2 WHERE date < {t}),
+mo AS (SELECT count(*)::DOUBLE AS n, var_pop(CAST(time AS DOUBLE)) * count(*) AS ev,
+         covar_pop(CAST(time AS DOUBLE), CAST(distance AS DOUBLE)) * count(*) AS xty,
+         var_pop(CAST(distance AS DOUBLE)) * count(*) AS yty, var_pop(CAST(distance AS DOUBLE)) AS vy,
+         avg(CAST(time AS DOUBLE)) AS mx, avg(CAST(distance AS DOUBLE)) AS my FROM base WHERE distance IS NOT NULL),
+ridge AS ({BAYES_RIDGE_SQL}),
+mice AS (SELECT coef AS b, my - coef * mx AS a FROM ridge, mo),
+{codes},
+et AS ({enc(f"date < {t}")}),
+er AS ({enc(f"date >= {t}")}),
+q AS (SELECT {", ".join(f"avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s" for c in num)} FROM et),
+mm AS (SELECT {", ".join(f"min({clip(c)}) AS {c}_lo, max({clip(c)}) AS {c}_hi" for c in num[1:])} FROM et, q)"""
+    plain = [*(f"agency_{a.lower()}" for a in C.AGENCIES), "flight_type", "from_location", "to_location", "year",
+             *(f"{c}_{f}" for c in C.CYCLICAL_FEATURES_MAP for f in ("sin", "cos"))]
+    out = [f"ROUND({c}, 6) AS {c}" for c in plain] + [f"ROUND({clip('price')}, 4) AS price"]
+    out += [f"ROUND(({clip(c)} - {c}_lo) / ({c}_hi - {c}_lo), 6) AS {c}" for c in num[1:]]
+    return with_flights(f"SELECT {', '.join(out)} FROM er, q, mm", extra=extra)
+
+
+@register("gold_options", "L3 L4 E3 F2 F4 F9 F12", _gold_options_sql())
+def q_gold_options(spark, sf):
+    """A non-tree chain of other options - chained equations, one-hot,
+    z-score clipping, min-max - fitted, saved and applied by a second
+    session to the evaluation rows."""
+    import uuid
+    from ..operators.model.estimators import assemble, make_estimator
+    from ..plans.bundle import load_bundle, save_bundle
+    from ..plans.scoring import ScoringBundle
+    from ..session import ensure_checkpoint_dir
+    s = _silver(spark, sf).withColumn("distance", F.when(
+        (F.col("travel_code") + F.col("user_code")) % 11 != 0, F.col("distance")))
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    gm = fit_gold(train, is_tree_model=False, mice_cols=["time", "distance"], onehot_cols=["agency"],
+                  outlier_cols=["price", "time", "distance"], outlier_detection="zscore", outlier_handling="winsorize",
+                  scaler_cols=["time", "distance"], scaler_strategy="minmax")
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(assemble(gm.transform(train), ["time", "distance"]))
+    path = f"{ensure_checkpoint_dir(spark)}/bundle_{uuid.uuid4().hex}"
+    save_bundle(spark, ScoringBundle(gm, model, ["time", "distance"], list(C.TIE_KEY)), path)
+    again = load_bundle(spark.newSession(), path).gold
+    g = again.transform(s.where(F.col("date") >= F.lit(GOLD_TRAIN_END).cast("date")))
+    return g.select(*[r(c, 4 if c == "price" else 6) for c in g.columns])
+
+
+_SCALE_GATES = {"standard": ("avg", "stddev_samp"), "robust": ("quantile_cont",), "minmax": ("max",)}
+
+
+def _gate_scaled_sql():
+    stats = ", ".join(f"avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s, quantile_cont({c}, 0.5) AS {c}_q2, "
+                      f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_iqr, min({c}) AS {c}_lo, "
+                      f"max({c}) AS {c}_hi" for c in ("time", "distance"))
+    def row(strategy, rule, c, ok):
+        return (f"SELECT '{strategy}' AS strategy, '{rule}:{c}' AS rule, '{rule}' AS kind, '{c}' AS column, "
+                f"({ok}) AS success")
+    rows = []
+    for c in ("time", "distance"):
+        z = f"({c} - {c}_m) / {c}_s"
+        rows += [row("standard", "mean_between", c, f"SELECT avg({z}) BETWEEN -0.2 AND 0.2 FROM g, st"),
+                 row("standard", "stdev_between", c, f"SELECT stddev_samp({z}) BETWEEN 0.8 AND 1.2 FROM g, st"),
+                 row("robust", "median_between", c,
+                     f"SELECT quantile_cont(({c} - {c}_q2) / {c}_iqr, 0.5) BETWEEN -0.2 AND 0.2 FROM g, st"),
+                 row("minmax", "between", c, f"SELECT count_if(NOT ({c} - {c}_lo) / ({c}_hi - {c}_lo) BETWEEN 0 AND 1.01) "
+                     "= 0 FROM g, st"),
+                 # the same suites over rows that nothing scaled
+                 row("none/standard", "mean_between", c, f"SELECT avg({c}) BETWEEN -0.2 AND 0.2 FROM g"),
+                 row("none/standard", "stdev_between", c, f"SELECT stddev_samp({c}) BETWEEN 0.8 AND 1.2 FROM g"),
+                 row("none/robust", "median_between", c, f"SELECT quantile_cont({c}, 0.5) BETWEEN -0.2 AND 0.2 FROM g"),
+                 row("none/minmax", "between", c, f"SELECT count_if(NOT {c} BETWEEN 0 AND 1.01) = 0 FROM g")]
+    sql = _gold_sql(f"date < DATE '{GOLD_TRAIN_END}'", wrap="\nUNION ALL\n".join(rows))
+    at = sql.rindex("\nSELECT 'standard' AS strategy, 'mean_between:time'")
+    return sql[:at].rstrip() + f",\nst AS (SELECT {stats} FROM g)" + sql[at:]
+
+
+@register("gate_scaled", "Q7 Q11 Q12 Q13 Q15 L3", _gate_scaled_sql())
+def q_gate_scaled(spark, sf):
+    """The scaler rules of the gold gate for each scaler: over the scaled
+    training rows, where they hold, and over the rows before scaling, where
+    they do not."""
+    s = _silver(spark, sf)
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    cols, out = ["time", "distance"], None
+    for strategy in _SCALE_GATES:
+        m = fit_gold(train, is_tree_model=False, scaler_cols=cols, scaler_strategy=strategy)
+        plain = fit_gold(train, is_tree_model=False) if out is None else plain
+        for name, df, model in ((strategy, m.transform(train), m), (f"none/{strategy}", plain.transform(train), m)):
+            res, _ = gold_gate(df, model, strategy)
+            got = res.where(F.col("column").isin(cols) & F.col("kind").isin(
+                "mean_between", "stdev_between", "median_between", "between")).select(
+                F.lit(name).alias("strategy"), "rule", "kind", "column", "success")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
 @register("silver_route", "S7 Q16 L2", with_flights(
     "SELECT 'quarantine' AS routed_to, * FROM s", extra=f"s AS ({_SILVER_SQL})"))
 def q_silver_route(spark, sf):
@@ -405,6 +604,33 @@ def q_score_rejects(spark, sf):
         spark.read.parquet(f"{base}/rejected").select(*C.TIE_KEY, F.lit(True).alias("rejected")))
 
 
+@register("score_stream_rejects", "L5 S7 P13 streaming", with_flights(
+    f"SELECT {TIE}, travel_code % 11 = 0 OR travel_code % 13 = 0 AS rejected FROM flights"))
+def q_score_stream_rejects(spark, sf):
+    """``score_rejects`` as a stream: rows that cannot be scored arrive among
+    the others, end no batch, and lie in the second sink."""
+    import uuid
+    from ..operators.model.estimators import assemble, make_estimator
+    from ..plans.scoring import ScoringBundle
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.scoring import read_scored, score_stream
+    s = _silver(spark, sf)
+    train = s.where(F.col("date") < F.lit(GOLD_TRAIN_END).cast("date"))
+    gm = fit_gold(train, is_tree_model=True)
+    model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(
+        assemble(gm.transform(train), _SCORE_FEATS))
+    raw = raw_flights(spark, sf).withColumns({
+        "date": F.when(F.col("travelCode") % 11 == 0, F.lit("no date")).otherwise(F.col("date")),
+        "flightType": F.when(F.col("travelCode") % 13 == 0, F.lit("Z")).otherwise(F.col("flightType"))})
+    base = f"{ensure_checkpoint_dir(spark)}/stream_{uuid.uuid4().hex}"
+    raw.repartition(4).write.parquet(f"{base}/source")
+    score_stream(spark, f"{base}/source", ScoringBundle(gm, model, _SCORE_FEATS, list(C.TIE_KEY)), f"{base}/sink",
+                 f"{base}/chk", max_files_per_trigger=2)
+    good, bad = read_scored(spark, f"{base}/sink")
+    return good.select(*C.TIE_KEY, F.lit(False).alias("rejected")).unionByName(
+        bad.select(*C.TIE_KEY, F.lit(True).alias("rejected")))
+
+
 def _stream(spark, source_df, transform):
     import uuid
     from ..session import ensure_checkpoint_dir

@@ -22,8 +22,8 @@ from ..plans.scoring import ScoringBundle, score
 from ..session import checkpoint, ensure_checkpoint_dir
 from ..sources import readers, sinks
 from ..sources.tables import flights, raw_flights
-from ..streaming.scoring import score_stream
-from .base import TIE, r, register, with_flights
+from ..streaming.scoring import read_scored, score_stream
+from .base import BAYES_RIDGE_SQL, TIE, r, register, with_flights
 
 B0, B1 = 20000.0, 1000.0
 _PRED_SQL = f"{B0} + {B1} * time"
@@ -94,23 +94,24 @@ SELECT m.model, m.feature, ROUND(CASE WHEN m.feature = 'intercept' THEN my - b *
 FROM (SELECT *, CASE model
         WHEN 'Ridge' THEN cxy * n / (vx * n + 1000.0)
         WHEN 'Lasso' THEN sign(cxy) * greatest(abs(cxy) - 10.0, 0.0) / vx
+        WHEN 'SGDRegressor' THEN cxy / (vx + 0.5)
         ELSE sign(cxy) * greatest(abs(cxy) - 5.0, 0.0) / (vx + 5.0) END AS b
       FROM (SELECT covar_pop(price, time) AS cxy, var_pop(time) AS vx, avg(price) AS my, avg(time) AS mx,
                    count(*) AS n FROM flights),
-           (VALUES ('Ridge'), ('Lasso'), ('ElasticNet')) t(model)) m0,
+           (VALUES ('Ridge'), ('Lasso'), ('ElasticNet'), ('SGDRegressor')) t(model)) m0,
      LATERAL (SELECT m0.model AS model, m0.b AS b, unnest(['intercept', 'time']) AS feature) m
 """
 
 
-@register("penalized_one_feature", "M2 M3 M4", with_flights(_ONE_FEATURE_SQL.replace("b * mx", "m.b * mx").replace(
+@register("penalized_one_feature", "M2 M3 M4 M5", with_flights(_ONE_FEATURE_SQL.replace("b * mx", "m.b * mx").replace(
     "ELSE b END", "ELSE m.b END")))
 def q_penalized_one(spark, sf):
-    """Ridge, lasso and elastic net on one feature, where the optimum has a
-    closed form."""
+    """Ridge, lasso, elastic net and SGD with an l2 penalty on one feature,
+    where the optimum has a closed form."""
     f = assemble(flights(spark, sf), ["time"])
     out = None
     for name, p in [("Ridge", {"alpha": 1000.0}), ("Lasso", {"alpha": 10.0}),
-                    ("ElasticNet", {"alpha": 10.0, "l1_ratio": 0.5})]:
+                    ("ElasticNet", {"alpha": 10.0, "l1_ratio": 0.5}), ("SGDRegressor", {"alpha": 0.5})]:
         m = make_estimator(name, {**p, "tol": 1e-12, "max_iter": 500}, label="price", train=f).fit(f)
         t = coefficients_table(spark, m, ["time"]).withColumn("model", F.lit(name))
         out = t if out is None else out.unionByName(t)
@@ -153,17 +154,25 @@ def q_qq(spark, sf):
 
 
 @register("residual_bins", "V8", with_flights(
-    f"SELECT CAST(bin AS INTEGER) AS bin, count(*) AS count, ROUND(avg(price - p), 4) AS "
+    f"SELECT CAST(s.bin AS INTEGER) AS bin, count(x.bin) AS count, ROUND(avg(price - p), 4) AS "
     f"mean_residual, ROUND(avg(price), 4) AS mean_actual, ROUND(avg(p), 4) AS mean_predicted "
-    f"FROM (SELECT price, p, least(CAST(floor(20.0 * (p - lo) / (hi - lo)) AS BIGINT) + 1, 20) AS bin "
+    f"FROM (SELECT unnest(range(1, 21)) AS bin) s LEFT JOIN (SELECT price, p, least(CAST(floor(20.0 * (p - lo) / (hi - lo)) AS BIGINT) + 1, 20) AS bin "
     f"FROM (SELECT price, {_PRED_SQL} AS p FROM flights) x, "
-    f"(SELECT min({_PRED_SQL}) AS lo, max({_PRED_SQL}) AS hi FROM flights) m) GROUP BY bin"))
+    f"(SELECT min({_PRED_SQL}) AS lo, max({_PRED_SQL}) AS hi FROM flights) m) x USING (bin) GROUP BY s.bin"))
 def q_residual_bins(spark, sf):
     b = metrics.residual_bins(_fixed_pred(spark, sf), "y_true", "y_pred", 20)
     return b.select("bin", "count", r("mean_residual", 4), r("mean_actual", 4),
                     r("mean_predicted", 4))
 
 
+@register("residual_sample", "V8 O3", with_flights(
+    f"SELECT {TIE}, ROUND({_PRED_SQL}, 4) AS y_pred, ROUND(price - ({_PRED_SQL}), 4) AS residual FROM flights ORDER BY "
+    f"md5(concat_ws('|', {TIE}, 7)), {TIE} LIMIT 500"))
+def q_residual_sample(spark, sf):
+    s = metrics.residual_sample(_fixed_pred(spark, sf), 500, 7, C.TIE_KEY)
+    return s.select(*C.TIE_KEY, r("y_pred", 4), r("residual", 4))
+
+
 # --- V3 / V4 -----------------------------------------------------------------
 
 _CV_SQL_CTE = f"""
@@ -192,7 +201,33 @@ def q_cv(spark, sf):
     return _round_metrics(_cv_metrics(spark, sf), ["fold"])
 
 
-@register("cv_summary", "V4 S9", with_flights(
+_SCALES_CTE = _CV_SQL_CTE.replace(
+    "p AS (SELECT time, price, row_number()",
+    "u AS (SELECT avg(ln(1 + price)) AS m, stddev_samp(ln(1 + price)) AS s FROM flights),\n"
+    "p AS (SELECT time, (ln(1 + price) - (SELECT m FROM u)) / (SELECT s FROM u) AS price, row_number()") + """,
+two_scales AS (SELECT fold, 'scaled' AS scale, price AS y, yhat FROM pred UNION ALL
+         SELECT fold, 'unscaled', exp(price * s + m) - 1, exp(yhat * s + m) - 1 FROM pred, u)"""
+
+
+@register("cv_metrics_scales", "V3 V2 S9", with_flights(
+    "SELECT CAST(fold AS INTEGER) AS fold, scale, " + _metric_sql("y", "yhat", "two_scales", "fold, scale")
+    .replace("SELECT fold, scale, ", ""), extra=_SCALES_CTE))
+def q_cv_scales(spark, sf):
+    """Folds of a log-transformed, standard-scaled target: metrics as the
+    model sees it and in price units, written and read back."""
+    from ..operators.fitted.power import fit_power
+    from ..operators.fitted.scaler import fit_scaler
+    f = flights(spark, sf).select("date", *C.TIE_KEY, "time", "price")
+    pw = fit_power(f, ["price"], "log")
+    sc = fit_scaler(pw.transform(f), ["price"], "standard")
+    ordered, n = cv.ordered_frame(sc.transform(pw.transform(f)), "date", C.TIE_KEY, ["time"], "price")
+    met = cv.time_cv_metrics(ordered, n, "LinearRegression", {}, ["time"], "price", 5, scaler=sc, power=pw)
+    path = _staging(spark, "cv_metrics")
+    sinks.write_metrics(met, path)
+    return _round_metrics(spark.read.parquet(path), ["fold", "scale"])
+
+
+@register("cv_summary", "V4", with_flights(
     "SELECT metric, ROUND(avg(v), 4) AS mean, ROUND(stddev_samp(v), 4) AS std FROM (" +
     " UNION ALL ".join(
         f"SELECT '{m}' AS metric, {m} AS v FROM "
@@ -256,11 +291,50 @@ def _search_frame(spark, sf):
     return cv.ordered_frame(f, "date", C.TIE_KEY, ["time", "distance"], "price")
 
 
-@register("grid_trials", "H1s H4s")
+_ALPHAS = [0.1, 100.0, 100000.0]
+
+
+def _trials_sql(rung: int, rows: str, points: str) -> str:
+    """CTEs ``t{rung}``: trials of ridge on time and distance over the first
+    ``rows`` rows, three folds, for the penalties of ``points``."""
+    return f"""
+n{rung} AS (SELECT {rows} AS n FROM (SELECT count(*) AS n FROM flights)),
+f{rung} AS (SELECT i AS fold, n - (3 - i) * (n // 4) AS lo, n - (3 - i) * (n // 4) + n // 4 AS hi FROM n{rung}, range(3) r(i)),
+c{rung} AS (SELECT fold, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS k, var_pop(time) AS s11, var_pop(distance) AS s22,
+       covar_pop(time, distance) AS s12, covar_pop(time, price) AS s1y, covar_pop(distance, price) AS s2y,
+       avg(price) AS my, avg(time) AS m1, avg(distance) AS m2 FROM p JOIN f{rung} ON pos < lo GROUP BY fold),
+b{rung} AS (SELECT *, ((s22 + alpha / k) * s1y - s12 * s2y) / ((s11 + alpha / k) * (s22 + alpha / k) - s12 * s12) AS b1,
+       ((s11 + alpha / k) * s2y - s12 * s1y) / ((s11 + alpha / k) * (s22 + alpha / k) - s12 * s12) AS b2
+       FROM c{rung}, ({points})),
+e{rung} AS (SELECT trial, any_value(alpha) AS alpha, fold,
+       sqrt(avg((price - my - b1 * (time - m1) - b2 * (distance - m2)) ** 2)) AS rmse
+       FROM p JOIN b{rung} ON pos >= lo AND pos < hi GROUP BY trial, fold),
+t{rung} AS (SELECT trial, alpha, {rung} AS rung, (SELECT n FROM n{rung}) AS n_rows, avg(rmse) AS mean_score,
+       stddev_samp(rmse) AS std_score, row_number() OVER (ORDER BY avg(rmse), trial) AS rank
+       FROM (SELECT trial, alpha, rmse FROM e{rung}) GROUP BY trial, alpha)"""
+
+
+_TRIALS_P = f"p AS (SELECT time, distance, price, row_number() OVER (ORDER BY date, {TIE}) - 1 AS pos FROM flights),"
+_POINTS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a})" for i, a in enumerate(_ALPHAS)) + ") v(trial, alpha)"
+_PARAMS = "CASE trial " + " ".join(f"WHEN {i} THEN '{{\"alpha\": {a}}}'" for i, a in enumerate(_ALPHAS)) + " END AS params"
+_TRIALS_OUT = (f"SELECT CAST(trial AS INTEGER) AS trial, {_PARAMS}, CAST(rung AS INTEGER) AS rung, n_rows, 'rmse' AS metric, "
+               "ROUND(mean_score, 4) AS mean_score, ROUND(std_score, 4) AS std_score, CAST(rank AS INTEGER) AS rank FROM ")
+
+
+def _trials(spark, found):
+    """The trial table, written and read back."""
+    path = _staging(spark, "trials")
+    sinks.write_metrics(found, path)
+    return spark.read.parquet(path).select("trial", "params", "rung", "n_rows", "metric", r("mean_score", 4),
+                                           r("std_score", 4), "rank")
+
+
+@register("grid_trials", "H1s H4s S9", with_flights(
+    _TRIALS_OUT + "t0", extra=_TRIALS_P + _trials_sql(0, "n", _POINTS)))
 def q_grid(spark, sf):
     o, n = _search_frame(spark, sf)
-    pts = cv.grid_points({"alpha": [0.1, 100.0, 100000.0]})
-    return cv.search(o, n, "Ridge", pts, ["time", "distance"], "price", n_splits=3)
+    return _trials(spark, cv.search(o, n, "Ridge", cv.grid_points({"alpha": _ALPHAS}), ["time", "distance"], "price",
+                                    n_splits=3))
 
 
 @register("random_trials", "H2s H4s")
@@ -272,12 +346,14 @@ def q_random(spark, sf):
                      n_splits=3)
 
 
-@register("halving_trials", "H3s H4s")
+@register("halving_trials", "H3s H4s S9", with_flights(
+    f"{_TRIALS_OUT} (SELECT * FROM t0 UNION ALL SELECT * FROM t1)",
+    extra=_TRIALS_P + _trials_sql(0, "n // 3", _POINTS) + "," + _trials_sql(
+        1, "n", "SELECT trial, alpha FROM t0 WHERE rank = 1")))
 def q_halving(spark, sf):
     o, n = _search_frame(spark, sf)
-    pts = cv.grid_points({"alpha": [0.1, 100.0, 100000.0]})
-    return cv.successive_halving(o, n, "Ridge", pts, ["time", "distance"], "price", factor=3,
-                                 n_splits=3)
+    return _trials(spark, cv.successive_halving(o, n, "Ridge", cv.grid_points({"alpha": _ALPHAS}), ["time", "distance"],
+                                                "price", factor=3, n_splits=3))
 
 
 # --- B1, B3-B6 ---------------------------------------------------------------
@@ -338,12 +414,35 @@ def q_group_contrib(spark, sf):
     ms, mc = cyclical(F.month("date"), 12)
     ds, dc = cyclical(F.dayofmonth("date"), 31)
     f = f.withColumns({"month_sin": ms, "month_cos": mc, "day_sin": ds, "day_cos": dc})
-    long = explain.linear_contributions(f, _GCOEFS, C.TIE_KEY)
-    groups = explain.feature_groups(list(_GCOEFS))
-    g = explain.group_contributions(long, groups, C.TIE_KEY)
+    g = explain.linear_contributions(f, _GCOEFS, C.TIE_KEY, groups=explain.feature_groups(list(_GCOEFS)))
     return g.select(*C.TIE_KEY, "group", r("phi"), r("value"))
 
 
+_HCOEFS = {"agency_F": 30.0, "agency_O": -20.0, "agency_P": 5.0, "distance": 2.0}
+_HOT_SQL = "h AS (SELECT *, " + ", ".join(
+    f"CASE WHEN agency = '{a}' THEN 1.0 ELSE 0.0 END AS agency_{a}" for a in "FOP") + " FROM flights)"
+
+
+def _hot_sum(parts):
+    return " + ".join(f"{_HCOEFS[p]} * ({p} - (SELECT avg({p}) FROM h))" for p in parts)
+
+
+@register("onehot_group_contrib", "B3 B4 E3", with_flights(
+    f"SELECT {TIE}, 'agency' AS \"group\", ROUND({_hot_sum(['agency_F', 'agency_O', 'agency_P'])}, 6) AS phi, "
+    f"ROUND(CAST(agency_F + agency_O + agency_P AS DOUBLE), 6) AS value FROM h UNION ALL "
+    f"SELECT {TIE}, 'distance', ROUND({_hot_sum(['distance'])}, 6), ROUND(CAST(distance AS DOUBLE), 6) FROM h",
+    extra=_HOT_SQL))
+def q_onehot_contrib(spark, sf):
+    """Contributions of one-hot columns, summed under the column that they
+    come from."""
+    from ..operators.fitted.encoder import fit_encoder
+    f = flights(spark, sf).select(*C.TIE_KEY, "agency", "distance")
+    hot = fit_encoder(f, onehot_cols=["agency"]).transform(f)
+    kinds = {c: f.schema[c].dataType for c in C.TIE_KEY}
+    g = explain.linear_contributions(hot, _HCOEFS, C.TIE_KEY, groups=explain.feature_groups(list(_HCOEFS), ["agency"]))
+    return g.select(*[F.col(c).cast(kinds[c]).alias(c) for c in C.TIE_KEY], "group", r("phi"), r("value"))
+
+
 # --- L5 ----------------------------------------------------------------------
 
 def _bundle(spark, sf):
@@ -367,7 +466,7 @@ def q_score_stream(spark, sf):
     raw_flights(spark, sf).write.mode("overwrite").parquet(f"{base}/source")
     score_stream(spark, f"{base}/source", b, f"{base}/sink", f"{base}/chk",
                  max_files_per_trigger=2)
-    return spark.read.parquet(f"{base}/sink").drop("batch")
+    return read_scored(spark, f"{base}/sink")[0]
 
 
 # --- S1-S5 -------------------------------------------------------------------
@@ -441,6 +540,26 @@ def q_mice(spark, sf):
     return out.select(*C.TIE_KEY, r("price", 4), r("time", 4), r("distance", 4))
 
 
+_MICE_CTE = f"""
+tr AS (SELECT CAST(time AS DOUBLE) AS x, CAST(price AS DOUBLE) AS y FROM flights_n WHERE date < DATE '1999-01-01'),
+mo AS (SELECT count(*)::DOUBLE AS n, var_pop(x) * count(*) AS ev, covar_pop(x, y) * count(*) AS xty,
+         var_pop(y) * count(*) AS yty, var_pop(y) AS vy, avg(x) AS mx, avg(y) AS my FROM tr WHERE y IS NOT NULL),
+ridge AS ({BAYES_RIDGE_SQL})"""
+
+
+@register("mice_two_columns", "F2", with_flights(
+    f"SELECT {TIE}, ROUND(COALESCE(CAST(price AS DOUBLE), my - coef * mx + coef * time), 3) AS price, "
+    "ROUND(CAST(time AS DOUBLE), 4) AS time FROM flights_n, ridge, mo", nulls=True, extra=_MICE_CTE))
+def q_mice_two(spark, sf):
+    """Chained equations of two columns, one of them complete: every round
+    is the same one-predictor regression."""
+    from ..operators.fitted.mice import fit_mice
+    from ..sources.tables import flights_with_nulls
+    f = flights_with_nulls(spark, sf).select(*C.TIE_KEY, "date", "price", "time")
+    m = fit_mice(f.where(F.col("date") < F.lit("1999-01-01").cast("date")), ["time", "price"], max_iter=10)
+    return m.transform(f).select(*C.TIE_KEY, r("price", 3), r("time", 4))
+
+
 @register("iforest_flags", "F6 F7 F8")
 def q_iforest(spark, sf):
     """Isolation-forest flags for price/time/distance (100 trees, psi 256,
@@ -479,16 +598,17 @@ def q_tree_contrib(spark, sf):
 
 
 @register("cv_predictions", "S8 V3 V5", with_flights(
-    "SELECT CAST(fold AS INTEGER) AS fold, ROUND(price, 4) AS y_true, ROUND(yhat, 4) AS y_pred "
-    "FROM pred", extra=_CV_SQL_CTE))
+    f"SELECT {TIE}, CAST(fold AS INTEGER) AS fold, 'original' AS scale, ROUND(price, 4) AS y_true, "
+    "ROUND(yhat, 4) AS y_pred FROM pred", extra=_CV_SQL_CTE.replace("p AS (SELECT time,", f"p AS (SELECT {TIE}, time,")
+    .replace("SELECT fo.fold, p.price,", f"SELECT {TIE}, fo.fold, p.price,")))
 def q_cv_predictions(spark, sf):
     f = flights(spark, sf)
     ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price")
-    pred = cv.time_cv_predictions(ordered, n, "LinearRegression", {}, ["time"], "price", 5)
+    pred = cv.time_cv_predictions(ordered, n, "LinearRegression", {}, ["time"], "price", 5, keys=C.TIE_KEY)
     path = _staging(spark, "predictions")
-    sinks.write_predictions(pred, path)
+    sinks.write_predictions(cv.both_scales(pred).drop("ordinal"), path)
     back = spark.read.parquet(path)
-    return back.select("fold", r("y_true", 4), r("y_pred", 4))
+    return back.select(*C.TIE_KEY, "fold", "scale", r("y_true", 4), r("y_pred", 4))
 
 
 _UNSCALE_CTE = ("u AS (SELECT quantile_cont(ln(1 + price), 0.5) AS m, "
@@ -567,3 +687,41 @@ def q_train_modes(spark, sf):
         met = met.withColumn("mode", F.lit(mode))
         out = met if out is None else out.unionByName(met)
     return out.select("mode", "split", *[r(c, d) for c, d in _ROUND.items()])
+
+
+_OUT_CTE = _MODES_CTE.replace(f"p AS (SELECT time, distance, price,", f"p AS (SELECT {TIE}, time, distance, price,") + f""",
+sc AS (SELECT avg(ln(1 + price)) AS m, stddev_samp(ln(1 + price)) AS s FROM lab WHERE split = 'train'),
+tl AS (SELECT lab.*, (ln(1 + price) - m) / s AS ty, m, s FROM lab, sc),
+tf AS (SELECT covar_pop(time, ty) / var_pop(time) AS b, avg(ty) - covar_pop(time, ty) / var_pop(time) * avg(time) AS a
+       FROM tl WHERE split = 'train'),
+tp AS (SELECT {TIE}, split, ty, a + b * time AS hat, m, s FROM tl, tf WHERE split <> 'train')"""
+
+
+@register("train_outputs", "V5 V6 S8 S9 M9 V2", with_flights(
+    f"SELECT {TIE}, split, 'scaled' AS scale, ROUND(ty, 6) AS y_true, ROUND(hat, 6) AS y_pred FROM tp UNION ALL "
+    f"SELECT {TIE}, split, 'unscaled', ROUND(exp(ty * s + m) - 1, 4), ROUND(exp(hat * s + m) - 1, 4) FROM tp "
+    "UNION ALL SELECT NULL, NULL, NULL, NULL, 'importances', feature, ROUND(v, 6), NULL FROM "
+    "(SELECT unnest(['intercept', 'time']) AS feature, unnest([a, b]) AS v FROM tf)", extra=_OUT_CTE))
+def q_train_outputs(spark, sf):
+    """What a validation run writes: predictions of every evaluated row with
+    its key on both scales, and the coefficients (as rows of split
+    ``importances``); the target is log-transformed and standard-scaled."""
+    from ..operators.fitted.power import fit_power
+    from ..operators.fitted.scaler import fit_scaler
+    from ..operators.splits import split_by_fraction
+    from ..plans.training import train_model
+    f = flights(spark, sf).select(*C.TIE_KEY, "date", "time", "distance", "price")
+    s = checkpoint(split_by_fraction(f, "date", C.TIE_KEY))
+    train = s.where("split = 'train'")
+    pw = fit_power(train, ["price"], "log")
+    sc = fit_scaler(pw.transform(train), ["price"], "standard")
+    part = lambda k: sc.transform(pw.transform(s.where(F.col("split") == k).drop("split")))
+    path = _staging(spark, "training")
+    train_model("LinearRegression", {}, ["time"], "price", part("train"), part("validation"), part("test"),
+                mode="validation", tie_key=C.TIE_KEY, scaler=sc, power=pw, keys=C.TIE_KEY, output=path)
+    pred, unit = spark.read.parquet(f"{path}/predictions"), F.col("scale") == "unscaled"
+    low = lambda c: F.when(unit, F.round(F.col(c), 4)).otherwise(F.round(F.col(c), 6)).alias(c)
+    imp = spark.read.parquet(f"{path}/importances")
+    return pred.select(*C.TIE_KEY, "split", "scale", low("y_true"), low("y_pred")).unionByName(imp.select(
+        *[F.lit(None).cast(s.schema[c].dataType).alias(c) for c in C.TIE_KEY], F.lit("importances").alias("split"),
+        F.col("feature").alias("scale"), r("value").alias("y_true"), F.lit(None).cast("double").alias("y_pred")))

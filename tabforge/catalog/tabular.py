@@ -93,6 +93,54 @@ def q_date_format_pick(spark, sf):
     return spark.createDataFrame(rows, "column string, picked_format string")
 
 
+@register("dates_with_time", "P5 P4", with_flights(
+    f"SELECT {TIE}, strftime(date + INTERVAL (line_number) HOUR, '%Y-%m-%d %H:%M:%S') AS at, "
+    "strftime(date, '%Y-%m-%d') AS day, 'timestamp_ntz,string,date' AS kinds FROM flights"))
+def q_dates_with_time(spark, sf):
+    """Texts with a time of day become timestamps that keep it; texts without
+    one become dates."""
+    f = flights(spark, sf)
+    at = F.date_format(F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("line_number")), "yyyy-MM-dd HH:mm:ss")
+    t = f.select(*C.TIE_KEY, at.alias("at"), F.date_format("date", "dd.MM.yyyy").alias("odd"),
+                 F.date_format("date", "yyyy-MM-dd'T00:00:00'").alias("day"))
+    out, plans = schema.optimize_data_types(t, date_cols=["at", "day", "odd"])
+    kinds = ",".join(p.new_type for p in plans if p.column in ("at", "day", "odd"))
+    return out.select(*[F.col(c).cast(f.schema[c].dataType).alias(c) for c in C.TIE_KEY],
+                      F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), F.date_format("day", "yyyy-MM-dd").alias("day"),
+                      F.lit(kinds).alias("kinds"))
+
+
+@register("coerced_dates", "P6", with_flights(
+    f"SELECT {TIE}, date FROM flights WHERE travel_code % 9 <> 0"))
+def q_coerced_dates(spark, sf):
+    """Rows whose date does not parse are dropped, the others are typed."""
+    f = flights(spark, sf)
+    t = f.select(*C.TIE_KEY, F.when(F.col("travel_code") % 9 == 0, F.lit("n/a")).otherwise(
+        F.date_format("date", "yyyy-MM-dd")).alias("date"))
+    return schema.coerce_dates(t, "date", "%Y-%m-%d")
+
+
+@register("model_inputs", "P8 P11", with_flights(
+    "SELECT travel_code, line_number, part_key, supp_key, user_code, from_location, to_location, flight_type, distance, "
+    "agency, date FROM flights_n WHERE price IS NOT NULL", nulls=True))
+def q_model_inputs(spark, sf):
+    """Rows with a target, without the target and the columns that go with
+    another one."""
+    f = schema.drop_missing_target(flights_with_nulls(spark, sf), C.TARGET)
+    return f.select(*schema.feature_columns(f, [C.TARGET, *C.MULTICOLLINEAR_DROP]))
+
+
+@register("parquet_scan", "S2", with_flights(
+    f"SELECT {TIE}, CASE WHEN travel_code % 6 = 0 THEN NULL ELSE price END AS price FROM flights"))
+def q_parquet_scan(spark, sf):
+    """A Parquet table with NaN cells: they are read as NULL."""
+    from ..sources.readers import load_data
+    path = f"{ensure_checkpoint_dir(spark)}/scan_{uuid.uuid4().hex}.parquet"
+    flights(spark, sf).select(*C.TIE_KEY, F.when(F.col("travel_code") % 6 == 0, F.lit(float("nan"))).otherwise(
+        F.col("price")).alias("price")).write.parquet(path)
+    return load_data(spark, path)
+
+
 # --- P12 / P13 ---------------------------------------------------------------
 
 @register("rows_between_dates", "P12", with_flights(
@@ -312,17 +360,29 @@ def q_box(spark, sf):
                                                  "lower_fence", "upper_fence"]])
 
 
+_HIST_SQL = (
+    "SELECT CAST(b.bin AS INTEGER) AS bin, ROUND(any_value(lo) + (b.bin - 1) * ((any_value(hi) - any_value(lo)) / 40.0), 6) "
+    "AS lower, ROUND(any_value(lo) + b.bin * ((any_value(hi) - any_value(lo)) / 40.0), 6) AS upper, count(x.bin) AS count "
+    "FROM (SELECT unnest(range(1, 41)) AS bin) b CROSS JOIN (SELECT min({c}) AS lo, max({c}) AS hi FROM flights) m "
+    "LEFT JOIN (SELECT least(CAST(floor(40.0 * ({c} - lo) / (hi - lo)) AS BIGINT) + 1, 40) AS bin FROM flights, "
+    "(SELECT min({c}) AS lo, max({c}) AS hi FROM flights) m WHERE {c} IS NOT NULL) x ON x.bin = b.bin GROUP BY b.bin")
+
+
 @register("hist40", "A8", with_flights(
-    "SELECT CAST(bin AS INTEGER) AS bin, ROUND(lo + (bin - 1) * ((hi - lo) / 40.0), 6) AS lower, "
-    "ROUND(lo + bin * ((hi - lo) / 40.0), 6) AS upper, count(*) AS count FROM ("
-    "SELECT least(CAST(floor(40.0 * (price - lo) / (hi - lo)) AS BIGINT) + 1, 40) AS bin, lo, hi "
-    "FROM flights, (SELECT min(price) AS lo, max(price) AS hi FROM flights) m "
-    "WHERE price IS NOT NULL) GROUP BY bin, lo, hi"))
+    _HIST_SQL.format(c="price")))
 def q_hist(spark, sf):
     h = profile.histogram(flights(spark, sf), "price", 40)
     return h.select("bin", r("lower"), r("upper"), "count")
 
 
+@register("hist40_gaps", "A8", with_flights(_HIST_SQL.format(c="time * time * time * time")))
+def q_hist_gaps(spark, sf):
+    """A skewed column of few values: most bins are empty and still there."""
+    t = F.col("time")
+    h = profile.histogram(flights(spark, sf).select((t * t * t * t).alias("x")), "x", 40)
+    return h.select("bin", r("lower"), r("upper"), "count")
+
+
 @register("date_stats", "A9", with_flights(
     "SELECT min(date) AS min_date, max(date) AS max_date, "
     "CAST(date_diff('day', min(date), max(date)) AS BIGINT) AS span_days, "
@@ -339,6 +399,19 @@ def q_date_counts(spark, sf):
     return d.select(F.col("year").cast("long").alias("year"), "count")
 
 
+@register("date_counts_month", "A9", with_flights(
+    "SELECT CAST(month(date) AS BIGINT) AS month, count(*) AS count FROM flights GROUP BY 1"))
+def q_date_counts_month(spark, sf):
+    d = profile.date_counts(flights(spark, sf), "date", "month")
+    return d.select(F.col("month").cast("long").alias("month"), "count")
+
+
+@register("date_counts_year_month", "A9", with_flights(
+    "SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS count FROM flights GROUP BY 1"))
+def q_date_counts_year_month(spark, sf):
+    return profile.date_counts(flights(spark, sf), "date", "year_month")
+
+
 _PROFILE_TYPES = {"from_location": "string", "agency": "string", "price": "double",
                   "time": "double"}
 

@@ -62,12 +62,27 @@ def q_top_k(spark, sf):
     return ordering.top_k(flights(spark, sf).select(*C.TIE_KEY, "price"), "price", 15, C.TIE_KEY)
 
 
-@register("seeded_sample", "O3 S10")
+_SAMPLE_SQL = f"SELECT {TIE}, price FROM flights ORDER BY md5(concat_ws('|', {TIE}, 42)), {TIE} LIMIT "
+
+
+@register("seeded_sample", "O3", with_flights(_SAMPLE_SQL + "2000"))
 def q_sample(spark, sf):
     return ordering.seeded_sample(flights(spark, sf).select(*C.TIE_KEY, "price"), 2000, 42,
                                   C.TIE_KEY)
 
 
+@register("sample_export", "S10 O3", with_flights(_SAMPLE_SQL + "50"))
+def q_sample_export(spark, sf):
+    """The sample written as one CSV file with a header, and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import export_sample_csv
+    f = flights(spark, sf).select(*C.TIE_KEY, "price")
+    path = f"{ensure_checkpoint_dir(spark)}/sample_{uuid.uuid4().hex}"
+    export_sample_csv(f, path, 50, 42, C.TIE_KEY)
+    return spark.read.schema(f.schema).option("header", True).csv(path)
+
+
 @register("sorted_by_date", "O1", with_flights(
     f"SELECT {TIE}, date FROM flights"))
 def q_sorted(spark, sf):

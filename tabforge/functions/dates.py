@@ -44,6 +44,13 @@ def parse_date(c: Column | str, strftime: str | None = None) -> Column:
     return F.to_date(F.try_to_timestamp(col, F.lit(spark_pattern(strftime))))
 
 
+def parse_datetime(c: Column | str) -> Column:
+    """Text to a timestamp without zone, time of day kept; NULL when it does
+    not parse."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.try_to_timestamp(col).cast("timestamp_ntz")
+
+
 def strict_date_ok(c: Column | str, strftime: str = "%Y-%m-%d") -> Column:
     """True when the text parses with the format (NULL input -> NULL)."""
     col = F.col(c) if isinstance(c, str) else c

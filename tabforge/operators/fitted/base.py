@@ -11,7 +11,7 @@ import dataclasses
 import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _clean(v):
@@ -45,14 +45,13 @@ class JsonState:
                 state[f.name] = tuple(state[f.name])
         return cls(**state)
 
-    def save(self, path: str) -> None:
-        with open(path, "w") as fh:
-            fh.write(self.to_json())
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the state to a folder of any file system that Spark reads."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.text(path)
 
     @classmethod
-    def load(cls, path: str):
-        with open(path) as fh:
-            return cls.from_json(fh.read())
+    def load(cls, spark: SparkSession, path: str):
+        return cls.from_json(spark.read.text(path).first()["value"])
 
 
 def present(df: DataFrame, cols) -> list[str]:

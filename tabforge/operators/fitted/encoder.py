@@ -10,9 +10,10 @@ other columns in input order; numeric columns come out as double.
 Auto ordinals of any size go one way: the distinct values get their codes from
 the global ordinal helper and are written as a code table, in a folder of its
 own for every fit; transform is an equi-join with that table per column (Spark
-broadcasts a small one).  One-hot columns have one output column per value, as
-many as there are; :func:`onehot_sparse` gives the sparse form for wide
-domains.
+broadcasts a small one).  One-hot columns have one output column per value,
+up to ``ONEHOT_LIMIT`` values; a wider column is an error or, on request, one
+column of the sparse form (:func:`onehot_sparse`) from a code table, whatever
+its width.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from ...session import ensure_checkpoint_dir
 from ..ordinal import with_global_ordinal
 from .base import JsonState
 
+ONEHOT_LIMIT = 1000         # values of a column with one output column each
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType, T.BooleanType)
 
@@ -40,11 +43,13 @@ class EncoderModel(JsonState):
     auto_sizes: dict = field(default_factory=dict)   # col -> number of codes
     input_columns: list = field(default_factory=list)
     strict: bool = True
+    sparse: list = field(default_factory=list)       # wide one-hot columns, by their code tables
 
     def output_columns(self) -> list[str]:
         enc = set(self.onehot) | set(self.mapped) | set(self.auto_tables)
         out = [f"{c}_{v}" for c, cats in self.onehot.items() for v in cats]
-        out += list(self.mapped) + list(self.auto_tables)
+        out += [f"{c}_onehot" for c in self.sparse]
+        out += list(self.mapped) + [c for c in self.auto_tables if c not in self.sparse]
         return out + [c for c in self.input_columns if c not in enc]
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -62,6 +67,8 @@ class EncoderModel(JsonState):
             for v in cats:
                 exprs.append(F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0))
                              .alias(f"{c}_{v}"))
+        for c in self.sparse:
+            exprs.append(_sparse(F.col(f"__code_{c}"), int(self.auto_sizes[c])).alias(f"{c}_onehot"))
         for c, cats in self.mapped.items():
             e = None
             for i, v in enumerate(cats):
@@ -73,6 +80,8 @@ class EncoderModel(JsonState):
                                            F.col(c).cast("string"))).cast("double"))
             exprs.append(e.alias(c))
         for c in self.auto_tables:
+            if c in self.sparse:
+                continue
             exprs.append(F.when(F.col(c).isNull(), F.lit(None).cast("double"))
                          .otherwise(F.coalesce(F.col(f"__code_{c}").cast("double"),
                                                F.lit(-1.0))).alias(c))
@@ -114,19 +123,41 @@ def _code_tables(df: DataFrame, cols: list, table_dir: str) -> tuple[dict, dict]
 
 
 def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=None,
-                table_dir: str | None = None, strict: bool = True) -> EncoderModel:
+                table_dir: str | None = None, strict: bool = True, wide: str = "error",
+                onehot_limit: int = ONEHOT_LIMIT) -> EncoderModel:
+    """A one-hot column with over ``onehot_limit`` values is an error, or with
+    ``wide="sparse"`` a code table and a sparse output column."""
+    if wide not in ("error", "sparse"):
+        raise ValueError(f"wide must be error or sparse, got {wide!r}")
     ordinal_mapping = ordinal_mapping or {}
     need = list(onehot_cols) + list(ordinal_cols)
     missing = [c for c in need if c not in df.columns]
     if missing:
         raise ValueError(f"encoding columns not in the DataFrame: {missing}")
-    # one output column per value: the caller asks for that width
-    onehot = {c: sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
-              for c in onehot_cols}
+    onehot, sparse = {}, []
+    for c in onehot_cols:
+        # at most one value more than the limit reaches the driver
+        values = df.select(c).where(F.col(c).isNotNull()).distinct().limit(onehot_limit + 1).collect()
+        if len(values) <= onehot_limit:
+            onehot[c] = sorted(r[0] for r in values)
+        elif wide == "sparse":
+            sparse.append(c)
+        else:
+            raise ValueError(f"one-hot column {c!r} has over {onehot_limit} values; use wide='sparse'")
     mapped = {c: list(ordinal_mapping[c]) for c in ordinal_cols if c in ordinal_mapping}
-    auto = [c for c in ordinal_cols if c not in ordinal_mapping]
+    auto = [c for c in ordinal_cols if c not in ordinal_mapping] + sparse
     paths, sizes = _code_tables(df, auto, table_dir or ensure_checkpoint_dir(df.sparkSession)) if auto else ({}, {})
-    return EncoderModel(onehot, mapped, paths, sizes, list(df.columns), strict)
+    return EncoderModel(onehot, mapped, paths, sizes, list(df.columns), strict, sparse)
+
+
+def _sparse(code, size: int):
+    """Struct of the width, the indices and the values: one of each, none for
+    an unseen value or NULL."""
+    hit = code.isNotNull()
+    return F.struct(
+        F.lit(size).alias("size"),
+        F.when(hit, F.array(code.cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(hit, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"))
 
 
 def onehot_sparse(df: DataFrame, column: str, model: EncoderModel, out: str | None = None) -> DataFrame:
@@ -136,8 +167,5 @@ def onehot_sparse(df: DataFrame, column: str, model: EncoderModel, out: str | No
     out = out or f"{column}_onehot"
     codes = df.sparkSession.read.parquet(model.auto_tables[column]).select(
         F.col("value").alias(column), F.col("code").alias("__code"))
-    hit = F.col("__code").isNotNull()
-    return df.join(codes, column, "left").select(*df.columns, F.struct(
-        F.lit(int(model.auto_sizes[column])).alias("size"),
-        F.when(hit, F.array(F.col("__code").cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
-        F.when(hit, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values")).alias(out))
+    return df.join(codes, column, "left").select(
+        *df.columns, _sparse(F.col("__code"), int(model.auto_sizes[column])).alias(out))

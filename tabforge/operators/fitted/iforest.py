@@ -2,10 +2,12 @@
 
 Fit, per column:
 
-1. **Sampling** - tree ``t`` gets the ``psi`` (<= 256) rows with the
-   smallest seeded hash ``xxhash64(row, t, seed)``.  Rows are pre-filtered
-   by a hash threshold sized for ~3 psi expected rows per tree, so only a
-   tiny sample leaves the scan; no row is replicated per tree.
+1. **Sampling** - tree ``t`` gets the ``psi`` (<= 256) candidates with the
+   smallest seeded keys.  Every row is a candidate of each tree with the same
+   small probability, sized for ~3 psi candidates per tree (all rows when
+   small).  One hash per row is a skip draw: it says which tree is the first
+   that takes the row, and for almost all rows that is none; only the others
+   draw for the trees behind it.
 2. **Trees** - ``groupBy(column, tree).applyInPandas`` builds each
    isolation tree from its <= psi values (random cut uniform between the
    node's min and max, depth limit ``ceil(log2 psi)``).
@@ -15,21 +17,23 @@ Fit, per column:
 
 Score ``s(x) = 2 ** (-E[h(x)] / c(psi))``; a value is an outlier when
 ``s > 0.5`` (``contamination="auto"``) or when its score is above the
-training scores' ``1 - contamination`` quantile.  Scoring is a pandas UDF
-doing ``searchsorted`` over the broadcast breakpoints.
+training scores' ``1 - contamination`` quantile.  A value's interval is found
+by MLlib's ``Bucketizer`` (a binary search on the JVM): over all break points
+for scores, and for flags over the few of them where the verdict changes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..ordinal import quantile_map
 from .base import JsonState, present
@@ -72,39 +76,60 @@ class IsolationForestModel(JsonState):
     path: dict = field(default_factory=dict)          # col -> mean path per interval
     thresholds: dict = field(default_factory=dict)    # col -> score threshold
 
-    def score_col(self, c: str):
-        cuts = np.array(self.breakpoints[c], dtype="float64")
-        path = np.array(self.path[c], dtype="float64")
+    def _bucketed(self, df: DataFrame, cuts: dict) -> DataFrame:
+        """``df`` with ``__at_<col>``: how many cuts lie strictly below the
+        value (a value equal to a cut belongs to the interval that ends
+        there); NULL for NULL and NaN."""
+        cols = [c for c in cuts if c in df.columns]
+        plain = {c: 0.0 for c in cols if not cuts[c]}
+        real = [c for c in cols if cuts[c]]
+        # Bucketizer's intervals hold their lower bound: negate both
+        x = {f"__x_{c}": F.nanvl(0.0 - F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+        out = df.withColumns(x) if x else df
+        if real:
+            out = Bucketizer(inputCols=[f"__x_{c}" for c in real], outputCols=[f"__b_{c}" for c in real], splitsArray=[
+                [-math.inf, *(0.0 - v for v in reversed(cuts[c])), math.inf] for c in real]).setHandleInvalid("keep").transform(out)
+        at = {f"__at_{c}": F.when(F.col(f"__x_{c}").isNotNull(), F.lit(0) if c in plain else (
+            F.lit(len(cuts[c])) - F.col(f"__b_{c}").cast("int"))) for c in cols}
+        out = out.withColumns(at) if at else out
+        return out.drop(*x, *(f"__b_{c}" for c in real))
+
+    def scores(self, df: DataFrame, suffix: str = "_score") -> DataFrame:
+        """``df`` with ``<col>_score`` of every fitted column (NULL for NULL
+        and NaN)."""
         denom = float(avg_path_length([self.psi])[0]) or 1.0
+        out = self._bucketed(df, self.breakpoints)
+        cols = [c for c in self.breakpoints if c in df.columns]
+        made = {}
+        for c in cols:
+            levels = F.from_json(F.lit(json.dumps([2.0 ** (-p / denom) for p in self.path[c]])), "array<double>")
+            made[f"{c}{suffix}"] = F.element_at(levels, F.col(f"__at_{c}") + 1)
+        return (out.withColumns(made) if made else out).drop(*(f"__at_{c}" for c in cols))
+
+    def verdicts(self, c: str) -> tuple[list, bool]:
+        """The break points where the verdict on ``c`` changes, and whether
+        values at or below the first of them are outliers."""
+        denom = float(avg_path_length([self.psi])[0]) or 1.0
+        out = [2.0 ** (-p / denom) > self.thresholds[c] for p in self.path[c]]
+        return [b for b, x, y in zip(self.breakpoints[c], out, out[1:]) if x != y], out[0]
 
-        @F.pandas_udf(T.DoubleType())
-        def score(x: pd.Series) -> pd.Series:
-            v = x.to_numpy(dtype="float64", na_value=np.nan)
-            # leaf rule: values <= cut go left, so a value equal to a cut
-            # belongs to the interval ending at that cut
-            idx = np.searchsorted(cuts, v, side="left")
-            s = np.power(2.0, -path[np.clip(idx, 0, len(path) - 1)] / denom)
-            s[np.isnan(v)] = np.nan
-            return pd.Series(s)
-
-        return score(F.col(c))
-
-    def flags(self, df: DataFrame) -> dict:
-        return {c: F.coalesce(self.score_col(c) > F.lit(self.thresholds[c]), F.lit(False))
-                for c in self.breakpoints if c in df.columns}
+    def _flagged(self, df: DataFrame) -> tuple[DataFrame, dict]:
+        told = {c: self.verdicts(c) for c in self.breakpoints if c in df.columns}
+        out = self._bucketed(df, {c: edges for c, (edges, _) in told.items()})
+        return out, {c: F.coalesce(F.col(f"__at_{c}") % 2 == (0 if first else 1), F.lit(False))
+                     for c, (_, first) in told.items()}
 
     def mask(self, df: DataFrame, suffix: str = "_outlier") -> DataFrame:
-        return df.withColumns({f"{c}{suffix}": m for c, m in self.flags(df).items()})
+        out, flags = self._flagged(df)
+        return out.withColumns({f"{c}{suffix}": m for c, m in flags.items()}).drop(*(f"__at_{c}" for c in flags)) \
+            if flags else df
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Trim: drop rows flagged in any column (the only handling)."""
-        fl = list(self.flags(df).values())
-        if not fl:
-            return df
-        anyf = fl[0]
-        for m in fl[1:]:
-            anyf = anyf | m
-        return df.where(~anyf)
+        out, flags = self._flagged(df)
+        for m in flags.values():
+            out = out.where(~m)
+        return out.drop(*(f"__at_{c}" for c in flags))
 
 
 def fit_isolation_forest(df: DataFrame, columns, n_trees: int = 100, max_samples: int = 256,
@@ -119,19 +144,27 @@ def fit_isolation_forest(df: DataFrame, columns, n_trees: int = 100, max_samples
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     keys = key or df.columns
-    # keep probability sized for ~3*psi candidates per tree (all rows when small)
-    cut = {c: int(min(1.0, 3.0 * psi / max(usable[c], 1)) * (2 ** 63 - 1)) for c in cols}
-    rowhash = F.xxhash64(*[F.col(k) for k in keys])
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    draw = lambda h, t: F.xxhash64(h, t, F.lit(seed)).bitwiseAND(F.lit(2 ** 63 - 1))
-    widest = max(cut.values(), default=0)
-    cand = (df.select(rowhash.alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
-            .select("_h", *cols, F.explode(F.filter(
-                trees, lambda t: draw(F.col("_h"), t) <= F.lit(widest))).alias("tree")))
-    long = cand.unpivot(["_h", "tree"], cols, "column", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    if len(set(cut.values())) > 1:
-        own = F.create_map(*[x for c, v in cut.items() for x in (F.lit(c), F.lit(v))])
-        long = long.where(draw(F.col("_h"), F.col("tree")) <= F.element_at(own, F.col("column")))
+    # probability that a row is a candidate of a tree: ~3 psi rows per tree
+    share = {c: min(1.0, 3.0 * psi / max(usable[c], 1)) for c in cols}
+    widest = max(share.values(), default=1.0)
+    top = float(2 ** 63)
+    uniform = lambda *h: (F.xxhash64(*h).bitwiseAND(F.lit(2 ** 63 - 1)).cast("double") + 0.5) / top
+    hashed = df.select(F.xxhash64(*[F.col(k) for k in keys]).alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
+    if widest < 1.0:
+        # trees passed over before the first that takes the row
+        skip = F.floor(F.log(uniform(F.col("_h"), F.lit(seed))) / math.log1p(-widest))
+        taken = hashed.withColumn("_t", skip).where(F.col("_t") < n_trees).withColumn("tree", F.explode(F.concat(
+            F.array(F.col("_t").cast("int")), F.filter(
+                F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                lambda t: (t > F.col("_t")) & (uniform(F.col("_h"), t, F.lit(seed)) <= widest))))).drop("_t")
+    else:
+        taken = hashed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    long = taken.unpivot(["_h", "tree"], cols, "column", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    if len(set(share.values())) > 1:
+        # a column with more values takes a smaller part of the candidates
+        own = F.create_map(*[x for c, v in share.items() for x in (F.lit(c), F.lit(v / widest))])
+        long = long.where(uniform(F.col("_h"), F.col("tree"), F.col("column"), F.lit(seed))
+                          <= F.element_at(own, F.col("column")))
     long = long.withColumn("_k", F.xxhash64(F.col("_h"), F.col("tree"), F.lit(seed + 1)))
     out_schema = "column string, tree int, lo double, hi double, path double"
 
@@ -160,7 +193,7 @@ def fit_isolation_forest(df: DataFrame, columns, n_trees: int = 100, max_samples
         thresholds[c] = 0.5
     model = IsolationForestModel(n_trees, psi, contamination, bps, paths, thresholds)
     if contamination != "auto":
-        scored = df.select(*[model.score_col(c).alias(c) for c in cols])
+        scored = model.scores(df.select(*cols), "__s").select(*[F.col(f"{c}__s").alias(c) for c in cols])
         q = quantile_map(scored, cols, [1.0 - float(contamination)])
         model = IsolationForestModel(n_trees, psi, contamination, bps, paths,
                                      {c: q[c][1.0 - float(contamination)] for c in cols})

@@ -14,25 +14,32 @@ covariance matrix of the observed rows - **one aggregation** of
 maximisation runs on the driver on a p x p eigen-decomposition.  Each round
 ends with a reliable checkpoint (lineage cut, survives executor loss).
 
-The fitted state is the initial means plus the ordered list of linear
-steps; ``transform`` replays them on any frame in one vectorised
-``mapInPandas`` pass (no lineage growth, no shuffle).
+The fitted state is the initial means plus the ordered list of linear steps.
+For a row they depend only on which of its cells are missing, so the steps of
+each pattern of missing cells (a bit mask) are composed once, on the driver,
+into one affine map of the observed cells; ``transform`` looks the row's map
+up by its mask and applies it as a column expression: no Python, no shuffle,
+no lineage growth.  With more than ``MAX_ENUMERATED`` columns, whose patterns
+are too many to list, the steps are folded over the row's cells instead, also
+as an expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import json
+
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ...session import checkpoint
 from .base import JsonState, present
 
+MAX_ENUMERATED = 8          # columns: at most 2^8 patterns of missing cells
+
 _EPS = float(np.finfo(np.float64).eps)
 
 
@@ -74,40 +81,81 @@ class MICEModel(JsonState):
     steps: list = field(default_factory=list)   # [column, [coef per other column], intercept]
     n_iter: int = 0
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        cols = [c for c in self.columns if c in df.columns]
-        if cols != list(self.columns):
-            raise ValueError(f"MICE columns missing from input: {set(self.columns) - set(cols)}")
-        means = np.array([self.means[c] for c in cols], dtype="float64")
-        steps = [(cols.index(c), np.array(coef, dtype="float64"), float(b))
+    def pattern_maps(self) -> list[list[list[float]]]:
+        """For each mask (bit j: column j is missing) and column, the
+        coefficients on the observed cells followed by the constant."""
+        p, at = len(self.columns), {c: j for j, c in enumerate(self.columns)}
+        maps = []
+        for mask in range(1 << p):
+            m = np.zeros((p, p + 1))
+            for j, c in enumerate(self.columns):
+                if mask >> j & 1:
+                    m[j, p] = self.means[c]
+                else:
+                    m[j, j] = 1.0
+            for c, coef, b in self.steps:
+                j = at[c]
+                if mask >> j & 1:
+                    m[j] = np.array(coef) @ np.delete(m, j, axis=0)
+                    m[j, p] += b
+            maps.append([[float(v) for v in row] for row in m])
+        return maps
+
+    def _by_pattern(self, cells: list[Column], missing: list[Column]) -> list[Column]:
+        p = len(cells)
+        # a foldable literal, whatever its length
+        table = F.from_json(F.lit(json.dumps(self.pattern_maps())), "array<array<array<double>>>")
+        mask = sum((F.when(m, 1 << j).otherwise(0) for j, m in enumerate(missing)), F.lit(0))
+        known = [F.when(m, 0.0).otherwise(c) for c, m in zip(cells, missing)]
+        out = []
+        for j in range(p):
+            row = F.element_at(F.element_at(table, mask + 1), j + 1)
+            filled = F.element_at(row, p + 1)
+            for k in range(p):
+                filled = filled + F.element_at(row, k + 1) * known[k]
+            out.append(F.when(missing[j], filled).otherwise(cells[j]))
+        return out
+
+    def _by_steps(self, cells: list[Column], missing: list[Column]) -> Column:
+        """The filled cells of the row, as an array."""
+        p, at = len(cells), {c: j for j, c in enumerate(self.columns)}
+        steps = [{"j": at[c], "w": [*(float(v) for v in np.insert(np.array(coef), at[c], 0.0)), float(b)]}
                  for c, coef, b in self.steps]
-        schema = T.StructType([
-            T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType, True)
-            for f in df.schema.fields])
-        src = df.withColumns({c: F.col(c).cast("double") for c in cols})
-
-        def run(batches):
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
-                miss = np.isnan(x)
-                cur = np.where(miss, means, x)
-                for j, coef, b in steps:
-                    m = miss[:, j]
-                    if m.any():
-                        others = np.delete(cur[m], j, axis=1)
-                        cur[m, j] = others @ coef + b
-                out = pdf.copy()
-                for k, c in enumerate(cols):
-                    out[c] = cur[:, k]
-                yield out
-
-        return src.mapInPandas(run, schema)
+        plan = F.from_json(F.lit(json.dumps(steps)), "array<struct<j:int,w:array<double>>>")
+        start = F.array(*(F.when(m, F.lit(float(self.means[c]))).otherwise(x)
+                          for x, m, c in zip(cells, missing, self.columns)))
+        gone = F.array(*missing)
+
+        def step(cur, s):
+            w = s["w"]
+            new = F.element_at(w, p + 1)
+            for k in range(p):
+                new = new + F.element_at(w, k + 1) * F.element_at(cur, k + 1)
+            return F.when(F.element_at(gone, s["j"] + 1),
+                          F.transform(cur, lambda v, k: F.when(k == s["j"], new).otherwise(v))).otherwise(cur)
+
+        return F.aggregate(plan, start, step)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Columns come out as double, NULL and NaN cells filled."""
+        cols = list(self.columns)
+        gone = [c for c in cols if c not in df.columns]
+        if gone:
+            raise ValueError(f"MICE columns missing from input: {set(gone)}")
+        cells = [F.col(c).cast("double") for c in cols]
+        missing = [x.isNull() | F.isnan(x) for x in cells]
+        if not cols:
+            return df
+        if len(cols) <= MAX_ENUMERATED:
+            return df.withColumns(dict(zip(cols, self._by_pattern(cells, missing))))
+        return (df.withColumn("__filled", self._by_steps(cells, missing))
+                .withColumns({c: F.element_at("__filled", j + 1) for j, c in enumerate(cols)}).drop("__filled"))
 
 
 def fit_mice(df: DataFrame, columns, max_iter: int = 10, tol: float = 1e-3) -> MICEModel:
     cols = present(df, columns)
     p = len(cols)
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    base = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     stats = base.agg(*[F.avg(c).alias(f"{c}__m") for c in cols],
                      *[F.count_if(F.col(c).isNull()).alias(f"{c}__nm") for c in cols],
                      *[F.max(F.abs(c)).alias(f"{c}__ab") for c in cols]).collect()[0]

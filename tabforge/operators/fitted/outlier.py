@@ -3,7 +3,8 @@
 Bounds come from one fit job (exact quartiles for IQR, mean and sample
 std for z-score).  The mask is one boolean column per feature; trimming
 drops a row flagged in any column (NULL never flags); winsorizing clips.
-Isolation-forest detection lives in :mod:`.iforest` and only trims.
+``fit_outliers`` also fits isolation forests (:mod:`.iforest`), which only
+trim.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ...functions.numeric import clip
 from ..ordinal import quantile_map
 from .base import JsonState, present
+from .iforest import IsolationForestModel, fit_isolation_forest
 
 DETECTION = ("iqr", "zscore", "iforest")
 HANDLING = ("trim", "winsorize")
@@ -53,11 +55,20 @@ class OutlierModel(JsonState):
 
 
 def fit_outliers(df: DataFrame, columns, detection: str = "iqr", handling: str = "trim",
-                 iqr_multiplier: float = 1.5, zscore_threshold: float = 3.0) -> OutlierModel:
-    if detection not in ("iqr", "zscore"):
-        raise ValueError(f"detection must be iqr or zscore here, got {detection!r}")
+                 iqr_multiplier: float = 1.5, zscore_threshold: float = 3.0,
+                 **forest) -> OutlierModel | IsolationForestModel:
+    """``forest``: further arguments of an isolation forest (``n_trees``,
+    ``contamination``, ``seed``, ...)."""
+    if detection not in DETECTION:
+        raise ValueError(f"detection must be one of {DETECTION}, got {detection!r}")
     if handling not in HANDLING:
         raise ValueError(f"handling must be one of {HANDLING}")
+    if detection == "iforest":
+        if handling != "trim":
+            raise ValueError("an isolation forest only trims")
+        return fit_isolation_forest(df, columns, **forest)
+    if forest:
+        raise ValueError(f"{detection} takes no {sorted(forest)}")
     cols = present(df, columns)
     bounds = {}
     if detection == "iqr":

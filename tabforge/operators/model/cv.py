@@ -1,11 +1,16 @@
 """Time-ordered cross-validation and hyper-parameter search (V3, V4, V5,
 H1s-H4s).
 
-Rows get a global ordinal once (range partition + checkpoint, no
-single-partition window).  Each fold's train/test rows are ordinal range
-filters on that checkpointed table; every fit is an MLlib job and every
-score an aggregation.  Independent fits may run side by side from a
-driver thread pool, as ``CrossValidator(parallelism=...)`` does.
+Rows get a global ordinal once (range partition, no single-partition window)
+and are written in that order, so a fold's ordinal range prunes files and row
+groups.
+
+Linear models take their folds from one scan (:mod:`.fold_stats`): fits of
+all folds, penalties and halving rungs, and the RMSE, MSE and R2 of all of
+them, cost no further pass; a metric of absolute errors reads the test rows
+once more.  Tree models are an MLlib job per fold over the pruned ranges.
+Independent fits may run side by side from a driver thread pool, as
+``CrossValidator(parallelism=...)`` does.
 """
 
 from __future__ import annotations
@@ -19,17 +24,21 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import write_table
 from ..splits import time_series_folds, with_ordinal
-from .estimators import assemble, make_estimator
-from .metrics import METRICS, regression_metrics
+from .estimators import LINEAR, assemble, make_estimator
+from .fold_stats import QUADRATIC, fold_moments, fold_predictions, gram_metrics, solve_linear
+from .metrics import METRICS, regression_metrics, unscale
 
 
 def ordered_frame(df: DataFrame, date_col: str, tie_key, features, label) -> tuple[DataFrame, int]:
+    """The rows with their ordinals, written in time order, and their number."""
     cols = list(dict.fromkeys([date_col, *tie_key, *features, label]))
-    return with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
+    ordered, n = with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
+    return write_table(ordered, "ordered"), n
 
 
-def _fold_predictions(ordered, fold, name, params, features, label, nominal=None):
+def _fold_predictions(ordered, fold, name, params, features, label, nominal=None, keys=()):
     o = F.col("ordinal")
     train = ordered.where((o >= fold.train_start) & (o < fold.train_end))
     test = ordered.where((o >= fold.test_start) & (o < fold.test_end))
@@ -37,17 +46,23 @@ def _fold_predictions(ordered, fold, name, params, features, label, nominal=None
     est = make_estimator(name, params, label=label, train=train_v, nominal=nominal)
     model = est.fit(train_v)
     pred = model.transform(assemble(test, features, nominal=nominal))
-    return pred.select(F.lit(fold.fold).alias("fold"), "ordinal",
+    return pred.select(*keys, F.lit(fold.fold).alias("fold"), "ordinal",
                        F.col(label).cast("double").alias("y_true"),
                        F.col("prediction").alias("y_pred"))
 
 
 def time_cv_predictions(ordered: DataFrame, n: int, name: str, params: dict, features,
                         label: str, n_splits: int = 5, max_train_size=None, test_size=None,
-                        gap: int = 0, parallelism: int = 1, nominal: dict | None = None) -> DataFrame:
-    """V3: out-of-fold predictions of every fold, one DataFrame with ``fold``."""
+                        gap: int = 0, parallelism: int = 1, nominal: dict | None = None,
+                        keys=()) -> DataFrame:
+    """V3: out-of-fold predictions of every fold, one DataFrame with the row's
+    ``keys``, ``fold``, ``ordinal``, ``y_true`` and ``y_pred``."""
     folds = time_series_folds(n, n_splits, max_train_size, test_size, gap)
-    run = lambda f: _fold_predictions(ordered, f, name, params, features, label, nominal)
+    if name in LINEAR:
+        m = fold_moments(ordered, folds, features, label)
+        betas = [solve_linear(m.train(f), m.shift, name, params) for f in folds]
+        return fold_predictions(ordered, folds, betas, features, label, keys=keys)
+    run = lambda f: _fold_predictions(ordered, f, name, params, features, label, nominal, keys)
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as ex:
             parts = list(ex.map(run, folds))
@@ -59,12 +74,27 @@ def time_cv_predictions(ordered: DataFrame, n: int, name: str, params: dict, fea
     return out
 
 
+def both_scales(pred: DataFrame, scaler=None, power=None, target: str = "price") -> DataFrame:
+    """Predictions with a ``scale``: every row as the model sees it (scaled)
+    and, in a row of its own, mapped back through the fitted target scaler
+    and power transform (unscaled).  Without either, rows are ``original``."""
+    if scaler is None and power is None:
+        return pred.withColumn("scale", F.lit("original"))
+    back = unscale(pred, ["y_true", "y_pred"], scaler, power, target)
+    return pred.withColumn("scale", F.lit("scaled")).unionByName(back.withColumn("scale", F.lit("unscaled")))
+
+
 def time_cv_metrics(ordered: DataFrame, n: int, name: str, params: dict, features, label: str,
-                    n_splits: int = 5, parallelism: int = 1, names=METRICS, **kw) -> DataFrame:
-    """V3: one ``groupBy(fold)`` aggregation over all folds' predictions."""
+                    n_splits: int = 5, parallelism: int = 1, names=METRICS, scaler=None, power=None,
+                    **kw) -> DataFrame:
+    """V3: one ``groupBy(fold)`` aggregation over all folds' predictions.  With
+    a fitted target scaler or power transform the table has a ``scale`` and
+    metrics of both (scaled, unscaled) per fold."""
     pred = time_cv_predictions(ordered, n, name, params, features, label, n_splits,
                                parallelism=parallelism, **kw)
-    return regression_metrics(pred, "y_true", "y_pred", ["fold"], names)
+    if scaler is None and power is None:
+        return regression_metrics(pred, "y_true", "y_pred", ["fold"], names)
+    return regression_metrics(both_scales(pred, scaler, power, label), "y_true", "y_pred", ["fold", "scale"], names)
 
 
 # --- search ------------------------------------------------------------------
@@ -101,29 +131,34 @@ def random_points(space: dict, n_iter: int, seed: int, fixed: dict | None = None
     return pts
 
 
-def _score_points(ordered, n, name, points, features, label, n_splits, parallelism,
-                  rows_limit=None, metric="rmse"):
-    src = ordered.where(F.col("ordinal") < rows_limit) if rows_limit else ordered
-    m = rows_limit or n
-    results = []
+def _score_points(ordered, sizes, name, points, features, label, n_splits, parallelism, metric, nominal):
+    """Fold scores of every (point index, rows) of ``sizes``, as a function;
+    linear models read the table once for all of them."""
+    folds = {m: time_series_folds(m, n_splits) for m in sizes}
+    if name in LINEAR and metric in QUADRATIC:
+        moments = fold_moments(ordered, [f for fs in folds.values() for f in fs], features, label)
 
-    def one(i_p):
-        i, p = i_p
-        met = time_cv_metrics(src, m, name, p, features, label, n_splits, names=[metric]).collect()
-        return i, p, [r[metric] for r in sorted(met, key=lambda r: r["fold"])]
+        def linear(i, m):
+            return [gram_metrics(moments.test(f), moments.shift,
+                                 solve_linear(moments.train(f), moments.shift, name, points[i]))[metric]
+                    for f in folds[m]]
+        return lambda todo, m: [linear(i, m) for i in todo]
 
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as ex:
-            results = list(ex.map(one, enumerate(points)))
-    else:
-        results = [one(x) for x in enumerate(points)]
-    return results
+    def one(i, m):
+        met = time_cv_metrics(ordered, m, name, points[i], features, label, n_splits, names=[metric],
+                              nominal=nominal).collect()
+        return [r[metric] for r in sorted(met, key=lambda r: r["fold"])]
+
+    def every(todo, m):
+        if parallelism > 1:
+            with ThreadPoolExecutor(parallelism) as ex:
+                return list(ex.map(lambda i: one(i, m), todo))
+        return [one(i, m) for i in todo]
+    return every
 
 
-def _trials_frame(spark, rows) -> DataFrame:
-    return spark.createDataFrame(
-        rows, "trial int, params string, rung int, n_rows long, fold_rmse array<double>, "
-              "mean_rmse double, std_rmse double")
+_TRIALS = ("trial int, params string, rung int, n_rows long, metric string, fold_scores array<double>, "
+           "mean_score double, std_score double, rank int")
 
 
 def _stats(v):
@@ -132,57 +167,68 @@ def _stats(v):
     return mean, std
 
 
+def _maximize(metric: str, direction: str | None) -> bool:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    if direction not in (None, "maximize", "minimize"):
+        raise ValueError(f"unknown direction {direction!r}")
+    return direction == "maximize" if direction else metric == "r2"
+
+
+def _rung(points, todo, scores, rung, m, metric, maximize) -> list[tuple]:
+    """Rows of one rung, best first (ties to the earlier point)."""
+    rows = [(i, json.dumps(points[i], sort_keys=True), rung, m, metric, v, *_stats(v)) for i, v in zip(todo, scores)]
+    rows.sort(key=lambda r: (-r[6] if maximize else r[6], r[0]))
+    return [(*r, k + 1) for k, r in enumerate(rows)]
+
+
 def search(ordered: DataFrame, n: int, name: str, points: list[dict], features, label: str,
-           n_splits: int = 3, parallelism: int = 2, metric: str = "rmse",
-           maximize: bool | None = None) -> DataFrame:
+           n_splits: int = 3, parallelism: int = 2, metric: str = "rmse", direction: str | None = None,
+           nominal: dict | None = None) -> DataFrame:
     """H1s/H2s/H4s: every point scored by time-ordered CV; the trial table
-    holds parameters, fold scores, mean/std (in the ``*_rmse`` columns, of
-    whichever ``metric`` is asked for) and rank (1 = best: highest for R2,
-    else lowest, unless ``maximize`` says otherwise)."""
-    maximize = metric == "r2" if maximize is None else maximize
-    res = _score_points(ordered, n, name, points, features, label, n_splits, parallelism, metric=metric)
-    rows = []
-    for i, p, rm in res:
-        mean, std = _stats(rm)
-        rows.append((i, json.dumps(p, sort_keys=True), 0, n, rm, mean, std))
-    # one row per trial, already on the driver: rank them here
-    order = sorted(range(len(rows)), key=lambda k: (-rows[k][5] if maximize else rows[k][5], rows[k][0]))
-    rank = {rows[k][0]: pos + 1 for pos, k in enumerate(order)}
-    t = _trials_frame(ordered.sparkSession, rows)
-    ranks = ordered.sparkSession.createDataFrame(list(rank.items()), "trial int, rank int")
-    return t.join(F.broadcast(ranks), "trial")
+    holds trial, params, rung (0), n_rows, metric, fold_scores, mean_score,
+    std_score and rank (1 = best: highest for R2, else lowest, unless
+    ``direction`` says ``maximize`` or ``minimize``)."""
+    maximize = _maximize(metric, direction)
+    score = _score_points(ordered, [n], name, points, features, label, n_splits, parallelism, metric, nominal)
+    todo = list(range(len(points)))
+    return ordered.sparkSession.createDataFrame(
+        _rung(points, todo, score(todo, n), 0, n, metric, maximize), _TRIALS)
+
+
+def best_params(trials: DataFrame) -> dict:
+    """Parameters of the best trial of the last rung."""
+    row = trials.where("rank = 1").orderBy(F.desc("rung")).first()
+    return json.loads(row["params"])
 
 
 def fit_best(ordered: DataFrame, trials: DataFrame, name: str, features, label: str,
              nominal: dict | None = None):
     """The model of the best-ranked trial, fitted on all rows, and its
     parameters."""
-    best = json.loads(trials.where(F.col("rank") == 1).first()["params"])
+    best = best_params(trials)
     v = assemble(ordered, features, nominal=nominal)
     return make_estimator(name, best, label=label, train=v, nominal=nominal).fit(v), best
 
 
 def successive_halving(ordered: DataFrame, n: int, name: str, points: list[dict], features,
                        label: str, factor: int = 3, min_rows: int | None = None,
-                       n_splits: int = 3, parallelism: int = 2) -> DataFrame:
-    """H3s: rung ``r`` scores the survivors on the first ``n * factor^(r-R)``
-    rows in time order and keeps the best ``1/factor`` of them."""
-    rungs = max(1, int(math.floor(math.log(max(len(points), 1), factor))) + 1)
-    alive = list(enumerate(points))
-    rows = []
-    for rung in range(rungs):
-        m = int(n * factor ** (rung - rungs + 1))
-        if min_rows:
-            m = max(m, min_rows)
-        res = _score_points(ordered, n, name, [p for _, p in alive], features, label,
-                            n_splits, parallelism, rows_limit=min(m, n))
-        scored = []
-        for (orig, _), (_, p, rm) in zip(alive, res):
-            mean, std = _stats(rm)
-            rows.append((orig, json.dumps(p, sort_keys=True), rung, min(m, n), rm, mean, std))
-            scored.append((mean, orig, p))
-        scored.sort()
-        keep = max(1, len(scored) // factor)
-        alive = [(o, p) for _, o, p in scored[:keep]]
-    return _trials_frame(ordered.sparkSession, rows)
-
+                       n_splits: int = 3, parallelism: int = 2, metric: str = "rmse",
+                       direction: str | None = None, nominal: dict | None = None) -> DataFrame:
+    """H3s: rung ``r`` of ``R + 1`` scores the survivors on the first
+    ``n // factor^(R-r)`` rows in time order and keeps the best ``1/factor``
+    of them; the table is that of :func:`search`, a row per rung and
+    survivor, ranked within the rung."""
+    maximize = _maximize(metric, direction)
+    rungs = 1
+    while factor ** rungs <= len(points):
+        rungs += 1
+    sizes = [min(n, max(n // factor ** (rungs - 1 - r), min_rows or 0)) for r in range(rungs)]
+    score = _score_points(ordered, sorted(set(sizes)), name, points, features, label, n_splits, parallelism,
+                          metric, nominal)
+    alive, rows = list(range(len(points))), []
+    for rung, m in enumerate(sizes):
+        ranked = _rung(points, alive, score(alive, m), rung, m, metric, maximize)
+        rows += ranked
+        alive = sorted(r[0] for r in ranked[:max(1, len(ranked) // factor)])
+    return ordered.sparkSession.createDataFrame(rows, _TRIALS)

@@ -3,8 +3,9 @@
 For a linear model the exact per-row contribution of feature ``i`` is
 ``phi_i = beta_i * (x_i - mean(x_i))`` (mean over the background data).
 Contributions are produced in long form ``(row keys..., feature, phi,
-value)`` by one ``unpivot``; grouping, global importance and dependence
-tables are aggregations over that long table.
+value)``; features of a group are summed within the row, before rows are
+unfolded, so grouping needs no shuffle.  Global importance and dependence
+tables are aggregations over the long table.
 """
 
 from __future__ import annotations
@@ -17,21 +18,52 @@ from ..ordering import rank_by_mean_abs
 CYCLIC_SUFFIXES = ("_sin", "_cos")
 
 
+def contribution_rows(df: DataFrame, phi: dict, value: dict, keys, groups: dict | None = None,
+                      base: float | None = None) -> DataFrame:
+    """Long table of per-row contributions given as columns per feature; a
+    row-local step.
+
+    B4: with ``groups`` (feature -> group) phi is summed per group; the
+    group's value is the cosine part of a cyclical pair (the sine part if that
+    is all there is), else the sum of its plain parts (one-hot columns).
+    ``base`` adds a ``__base__`` row with it to every row."""
+    name = "feature" if groups is None else "group"
+    members: dict = {}
+    for f in phi:
+        members.setdefault(groups[f] if groups is not None else f, []).append(f)
+    rows = []
+    for g, feats in members.items():
+        cos = [f for f in feats if f.endswith("_cos")]
+        plain = [f for f in feats if not f.endswith(CYCLIC_SUFFIXES)]
+        picked = cos[:1] or plain or feats[:1]
+        rows.append(F.struct(F.lit(g).alias(name), _total([phi[f] for f in feats]).alias("phi"),
+                             _total([value[f].cast("double") for f in picked]).alias("value")))
+    if base is not None:
+        rows.append(F.struct(F.lit("__base__").alias(name), F.lit(float(base)).alias("phi"),
+                             F.lit(float("nan")).alias("value")))
+    return df.select(*keys, F.explode(F.array(*rows)).alias("__c")).select(*keys, "__c.*")
+
+
+def _total(cols):
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
+
+
 def linear_contributions(df: DataFrame, coefs: dict, keys, background: DataFrame | None = None,
-                         means: dict | None = None) -> DataFrame:
+                         means: dict | None = None, groups: dict | None = None) -> DataFrame:
     """B1: long table of contributions; ``means`` default to the averages of
-    ``background`` (or ``df``), computed in one aggregation."""
+    ``background`` (or ``df``), computed in one aggregation.  ``groups``: as
+    in :func:`contribution_rows`."""
     feats = list(coefs)
     if means is None:
         bg = background if background is not None else df
         row = bg.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats]).collect()[0]
         means = {f: row[f] for f in feats}
-    phi = df.select(*keys, *[
-        F.struct((F.lit(float(coefs[f])) * (F.col(f).cast("double") - F.lit(float(means[f]))))
-                 .alias("phi"), F.col(f).cast("double").alias("value")).alias(f) for f in feats])
-    long = phi.unpivot(list(keys), feats, "feature", "c")
-    return long.select(*keys, "feature", F.col("c.phi").alias("phi"),
-                       F.col("c.value").alias("value"))
+    x = {f: F.col(f).cast("double") for f in feats}
+    return contribution_rows(df, {f: F.lit(float(coefs[f])) * (x[f] - F.lit(float(means[f]))) for f in feats}, x,
+                             keys, groups)
 
 
 def feature_groups(features, onehot_prefixes=()) -> dict:
@@ -46,23 +78,6 @@ def feature_groups(features, onehot_prefixes=()) -> dict:
     return {f: group(f) for f in features}
 
 
-def group_contributions(long: DataFrame, groups: dict, keys) -> DataFrame:
-    """Sum of phi per group; representative value = the cosine part for
-    cyclical pairs (the sine part if that is all there is), the sum for
-    one-hot groups, the value itself otherwise."""
-    spark = long.sparkSession
-    gmap = spark.createDataFrame(
-        [(f, g, 1 if f.endswith("_cos") else (2 if f.endswith("_sin") else 0))
-         for f, g in groups.items()],
-        "feature string, grp string, part int")
-    j = long.join(F.broadcast(gmap), "feature")
-    rep = F.coalesce(F.max(F.when(F.col("part") == 1, F.col("value"))),
-                     F.sum(F.when(F.col("part") == 0, F.col("value"))),
-                     F.max("value"))
-    return j.groupBy(*keys, "grp").agg(F.sum("phi").alias("phi"), rep.alias("value")) \
-        .withColumnRenamed("grp", "group")
-
-
 def global_importance(long: DataFrame, key: str = "feature", k: int | None = None) -> DataFrame:
     """Mean absolute contribution per feature (or group), sorted."""
     return rank_by_mean_abs(long, key, "phi", k)

@@ -12,7 +12,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ordering import sample_rows
 from ..ordinal import exact_quantiles
+from ..profile import bin_spine
 
 METRICS = ["r2", "rmse", "mae", "mse", "median_ae", "max_error"]
 
@@ -85,14 +87,28 @@ def qq_table(df: DataFrame, residual: str = "residual", points: int = 20) -> Dat
 def residual_bins(df: DataFrame, y: str = "y_true", yhat: str = "y_pred",
                   bins: int = 20) -> DataFrame:
     """V8: predicted value binned into equal widths; count, mean residual,
-    mean actual per bin (the table behind residual plots)."""
+    mean actual per bin (the table behind residual plots).  Every bin has a
+    row, an empty one with count 0 and NULL means; without predictions there
+    are no bins."""
+    out = "bin int, count long, mean_residual double, mean_actual double, mean_predicted double"
     mm = df.agg(F.min(yhat).alias("lo"), F.max(yhat).alias("hi")).collect()[0]
+    if mm["lo"] is None:
+        return df.sparkSession.createDataFrame([], out)
     lo, hi = float(mm["lo"]), float(mm["hi"])
     if hi == lo:
         hi = lo + 1.0
     b = F.least(F.width_bucket(F.col(yhat).cast("double"), F.lit(lo), F.lit(hi), F.lit(bins)),
                 F.lit(bins))
     res = F.col(y) - F.col(yhat)
-    return df.groupBy(b.cast("int").alias("bin")).agg(
+    held = df.where(F.col(yhat).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.avg(res).alias("mean_residual"),
         F.avg(F.col(y)).alias("mean_actual"), F.avg(F.col(yhat)).alias("mean_predicted"))
+    return bin_spine(df.sparkSession, bins).join(held, "bin", "left").withColumn(
+        "count", F.coalesce("count", F.lit(0)))
+
+
+def residual_sample(df: DataFrame, n: int, seed: int, key: list[str], y: str = "y_true",
+                    yhat: str = "y_pred") -> DataFrame:
+    """V8: the points of a residual plot: ``n`` rows (the sample is the
+    feature) with the smallest seeded hashes of their key."""
+    return sample_rows(df.select(*key, F.col(yhat).alias("y_pred"), (F.col(y) - F.col(yhat)).alias("residual")), n, seed, key)

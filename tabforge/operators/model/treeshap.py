@@ -16,28 +16,34 @@ polynomial product, computed for a whole Arrow batch of rows at once.
 Summed over leaves and trees (with the ensemble's tree weights) this is
 exactly path-dependent TreeSHAP, and ``base + sum(phi) = prediction``.
 
-The tree structure is read from the saved MLlib model (Parquet node table,
-bounded by trees x 2^depth nodes) and shipped to the tasks; the rows are
-processed by ``mapInPandas`` in parallel, with no shuffle.
+The forest is read from the saved MLlib model in groups of whole trees of at
+most ``GROUP_NODES`` nodes (a larger tree is a group of its own).  A group is
+packed into flat arrays and broadcast; the rows pass through one ``mapInArrow``
+per group, which adds the group's contributions to an array column.  No row is
+shuffled, and a task unfolds one tree at a time.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...session import ensure_checkpoint_dir
+from .explain import contribution_rows
 
+GROUP_NODES = 200_000
 
-def _load_trees(spark, model):
-    """[(weight, leaves)] with leaves = [(value, cover_fraction,
-    [(feature, goes_left, threshold_or_categories, is_categorical, ratio)])]."""
+
+def _node_table(spark, model) -> tuple[DataFrame, dict]:
+    """(tree, id, left, right, feature, cut, categories, value, rows) of all
+    nodes, and the trees' weights."""
     path = f"{ensure_checkpoint_dir(spark)}/treeshap_model_{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -47,39 +53,84 @@ def _load_trees(spark, model):
             meta = meta.select(F.col("_1").alias("treeID"), F.col("_3").alias("weights"))
         weights = {r["treeID"]: float(r["weights"])
                    for r in meta.select("treeID", "weights").collect()}
-        rows = data.select("treeID", "nodeData").collect()
+        nodes = data.select(F.col("treeID").alias("tree"), "nodeData.*")
     else:
         weights = {0: 1.0}
-        rows = [(0, r["nodeData"]) for r in data.select(
-            F.struct(*[F.col(c) for c in data.columns]).alias("nodeData")).collect()]
-    nodes: dict = {}
-    for tid, nd in rows:
-        nodes.setdefault(tid, {})[nd["id"]] = nd
-    is_rf = type(model).__name__.startswith("RandomForest")
-    n_trees = len(nodes)
-    trees = []
-    for tid, tn in sorted(nodes.items()):
-        root = min(tn)
-        leaves = []
-
-        def walk(nid, conds, frac):
-            nd = tn[nid]
-            if nd["leftChild"] < 0:
-                leaves.append((float(nd["prediction"]), frac, list(conds)))
-                return
-            sp = nd["split"]
-            cat = sp["numCategories"] >= 0
-            thr = list(sp["leftCategoriesOrThreshold"]) if cat else float(
-                sp["leftCategoriesOrThreshold"][0])
-            total = float(nd["rawCount"]) or 1.0
-            for child, left in ((nd["leftChild"], True), (nd["rightChild"], False)):
-                r = float(tn[child]["rawCount"]) / total
-                walk(child, conds + [(int(sp["featureIndex"]), left, thr, cat, r)], frac * r)
-
-        walk(root, [], 1.0)
-        w = weights.get(tid, 1.0) / (n_trees if is_rf else 1.0)
-        trees.append((w, leaves))
-    return trees
+        nodes = data.withColumn("tree", F.lit(0))
+    if type(model).__name__.startswith("RandomForest"):
+        weights = {k: w / len(weights) for k, w in weights.items()}
+    cat = F.col("split.numCategories") >= 0
+    return nodes.select(
+        "tree", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+        F.col("split.featureIndex").alias("feature"), cat.alias("categorical"),
+        F.col("split.leftCategoriesOrThreshold").alias("cut"), F.col("prediction").alias("value"),
+        F.col("rawCount").cast("double").alias("rows")), weights
+
+
+def _groups(nodes: DataFrame, limit: int) -> list[list[int]]:
+    """Runs of trees with at most ``limit`` nodes together, one at least."""
+    out, held = [], limit + 1
+    for r in nodes.groupBy("tree").count().orderBy("tree").collect():      # one row a tree
+        if held + r["count"] > limit:
+            out.append([])
+            held = 0
+        out[-1].append(r["tree"])
+        held += r["count"]
+    return out
+
+
+@dataclass
+class PackedTrees:
+    """Trees as flat arrays over their nodes; a tree's nodes are a run that
+    starts at its root, children are places in the arrays (-1: a leaf)."""
+    start: np.ndarray
+    weight: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray             # threshold, or the place of the categories
+    value: np.ndarray
+    share: np.ndarray           # of the parent's rows
+    categories: list            # sorted arrays; None where the cut is a threshold
+
+    def leaves(self, k: int):
+        """(value, share of the rows, conditions) of tree ``k``; a condition
+        is (feature, goes left, cut, categories, share)."""
+        todo = [(int(self.start[k]), (), 1.0)]
+        while todo:
+            i, conds, share = todo.pop()
+            if self.left[i] < 0:
+                yield float(self.value[i]), share, conds
+                continue
+            for child, goes_left in ((int(self.left[i]), True), (int(self.right[i]), False)):
+                r = float(self.share[child])
+                cond = (int(self.feature[i]), goes_left, float(self.cut[i]), self.categories[i], r)
+                todo.append((child, (*conds, cond), share * r))
+
+    def base(self) -> float:
+        return float(sum(self.weight[k] * sum(v * s for v, s, _ in self.leaves(k)) for k in range(len(self.start))))
+
+
+def _pack(nodes: DataFrame, trees: list[int], weights: dict) -> PackedTrees:
+    rows = nodes.where(F.col("tree").between(trees[0], trees[-1])).orderBy("tree", "id").collect()
+    place = {(r["tree"], r["id"]): i for i, r in enumerate(rows)}
+    inner = [r["left"] >= 0 for r in rows]
+    left = np.array([place[r["tree"], r["left"]] if x else -1 for r, x in zip(rows, inner)])
+    right = np.array([place[r["tree"], r["right"]] if x else -1 for r, x in zip(rows, inner)])
+    share = np.ones(len(rows))
+    for i, r in enumerate(rows):
+        if inner[i]:
+            for c in (left[i], right[i]):
+                share[c] = rows[c]["rows"] / (r["rows"] or 1.0)
+    seen: dict = {}
+    for i, r in enumerate(rows):
+        seen.setdefault(r["tree"], i)
+    return PackedTrees(
+        np.array([seen[t] for t in trees]), np.array([weights.get(t, 1.0) for t in trees]), left, right,
+        np.array([r["feature"] if x else -1 for r, x in zip(rows, inner)]),
+        np.array([r["cut"][0] if x and not r["categorical"] else 0.0 for r, x in zip(rows, inner)]),
+        np.array([r["value"] for r in rows], float), share,
+        [np.array(sorted(r["cut"])) if x and r["categorical"] else None for r, x in zip(rows, inner)])
 
 
 def _leaf_shap(x: np.ndarray, leaf, n_features: int, out: np.ndarray) -> None:
@@ -91,13 +142,10 @@ def _leaf_shap(x: np.ndarray, leaf, n_features: int, out: np.ndarray) -> None:
     n = x.shape[0]
     o = np.ones((k, n))
     z = np.ones(k)
-    for f, left, thr, cat, ratio in conds:
+    for f, left, cut, categories, ratio in conds:
         i = feats.index(f)
         col = x[:, f]
-        if cat:
-            inside = np.isin(col, thr)
-        else:
-            inside = col <= thr
+        inside = col <= cut if categories is None else np.isin(col, categories)
         o[i] *= (inside if left else ~inside)
         z[i] *= ratio
     wts = np.array([math.factorial(s) * math.factorial(k - 1 - s) / math.factorial(k)
@@ -117,38 +165,46 @@ def _leaf_shap(x: np.ndarray, leaf, n_features: int, out: np.ndarray) -> None:
         out[:, f] += value * (o[i] - z[i]) * (wts[:, None] * coef).sum(axis=0)
 
 
-def tree_contributions(df: DataFrame, model, features, keys) -> DataFrame:
-    """Long table ``(keys..., feature, phi, value)`` plus one ``__base__``
-    row per input row holding the expected value (so that phi sums to the
-    prediction)."""
-    spark = df.sparkSession
-    trees = _load_trees(spark, model)
-    base = float(sum(w * sum(v * c for v, c, _ in leaves) for w, leaves in trees))
-    feats = list(features)
-    nf = len(feats)
-    key_fields = [df.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [T.StructField("feature", T.StringType()),
-                                        T.StructField("phi", T.DoubleType()),
-                                        T.StructField("value", T.DoubleType())])
-    src = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in feats])
+def _with_group(rows: DataFrame, packed, n_features: int) -> DataFrame:
+    """``rows`` with the contributions of a broadcast group of trees added to
+    ``__phi``; ``__x`` holds the features."""
+    at_x, at_phi = rows.columns.index("__x"), rows.columns.index("__phi")
 
     def run(batches):
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype="float64", na_value=np.nan)
-            phi = np.zeros((len(pdf), nf))
-            for w, leaves in trees:
+        forest = packed.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, phi = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features) for i in (at_x, at_phi))
+            phi = phi.copy()
+            for k, w in enumerate(forest.weight):
                 part = np.zeros_like(phi)
-                for leaf in leaves:
-                    _leaf_shap(x, leaf, nf, part)
+                for leaf in forest.leaves(k):
+                    _leaf_shap(x, leaf, n_features, part)
                 phi += w * part
-            parts = []
-            for j, f in enumerate(feats):
-                d = pdf[list(keys)].copy()
-                d["feature"], d["phi"], d["value"] = f, phi[:, j], x[:, j]
-                parts.append(d)
-            d = pdf[list(keys)].copy()
-            d["feature"], d["phi"], d["value"] = "__base__", base, np.nan
-            parts.append(d)
-            yield pd.concat(parts, ignore_index=True)
-
-    return src.mapInPandas(run, schema)
+            cols = list(b.columns)
+            cols[at_phi] = pa.ListArray.from_arrays(
+                np.arange(0, phi.size + 1, n_features, dtype=np.int32), pa.array(phi.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def tree_contributions(df: DataFrame, model, features, keys, groups: dict | None = None,
+                       group_nodes: int = GROUP_NODES) -> DataFrame:
+    """Long table ``(keys..., feature, phi, value)`` plus one ``__base__``
+    row per input row holding the expected value (so that phi sums to the
+    prediction).  With ``groups`` (feature -> group) a row per group: see
+    :func:`explain.contribution_rows`."""
+    spark, feats = df.sparkSession, list(features)
+    nodes, weights = _node_table(spark, model)
+    array = T.ArrayType(T.DoubleType())
+    rows = df.select(*keys, F.array(*(F.col(f).cast("double") for f in feats)).cast(array).alias("__x"),
+                     F.array_repeat(F.lit(0.0), len(feats)).cast(array).alias("__phi"))
+    base = 0.0
+    for trees in _groups(nodes, group_nodes):
+        packed = _pack(nodes, trees, weights)
+        base += packed.base()
+        rows = _with_group(rows, spark.sparkContext.broadcast(packed), len(feats))
+    at = {f: i for i, f in enumerate(feats)}
+    return contribution_rows(rows, {f: F.col("__phi")[at[f]] for f in feats}, {f: F.col("__x")[at[f]] for f in feats},
+                             keys, groups, base)

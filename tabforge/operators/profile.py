@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_table
 from .ordinal import exact_quantiles, long_values, modes
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -100,21 +103,30 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 # --- A4 / A5 / A10 -----------------------------------------------------------
 
+def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, count, mean, std, min, max, skew) in one aggregation."""
+    n = F.col("count").cast("double")
+    skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    return long_values(df, cols).groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"), F.skewness("value").alias("g1")).withColumn("skew", skew).drop("g1")
+
+
+def _with_quantiles(moments: DataFrame, df: DataFrame, cols: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    q = exact_quantiles(df, cols, quantiles)
+    qw = q.groupBy("column").pivot("prob", [float(p) for p in quantiles]).agg(F.first("value"))
+    qw = qw.toDF("column", *[f"p{int(round(p * 100))}" for p in quantiles])
+    return moments.join(qw, "column", "left")
+
+
 def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None,
                      quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """A4 numeric ``describe``: count, mean, sample std, min, quantiles, max,
     one row per column.  Moments in one aggregation over the long form;
     quantiles exact and distributed."""
     cols = list(columns or numeric_columns(df))
-    long = long_values(df, cols)
-    mom = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    q = exact_quantiles(df, cols, quantiles)
-    qw = q.groupBy("column").pivot("prob", [float(p) for p in quantiles]).agg(F.first("value"))
-    qw = qw.toDF("column", *[f"p{int(round(p * 100))}" for p in quantiles])
-    return mom.join(qw, "column", "left")
+    return _with_quantiles(_moments(df, cols).drop("skew"), df, cols, quantiles)
 
 
 def categorical_describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -147,65 +159,99 @@ def skewness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A5: bias-corrected sample skewness (pandas ``skew``):
     ``g1 * sqrt(n(n-1)) / (n-2)``."""
     cols = list(columns or numeric_columns(df))
-    long = long_values(df, cols)
-    g = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.skewness("value").alias("g1"))
-    n = F.col("n").cast("double")
-    adj = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    return g.select("column", adj.alias("skew"))
+    return _moments(df, cols).select("column", "skew")
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A10: one table per column: type, rows, nulls, distinct, min, max,
-    mean, std, skew, quartiles and the top value.  Pure aggregations."""
+    mean, std, skew, quartiles and the top value; NaN counts as missing.
+
+    Three scans: one counts the distinct values of all columns (missing,
+    distinct and top values follow from that written table), one takes the
+    moments, one the quantiles."""
     cols = list(columns or df.columns)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    num = [c for c in cols if c in numeric_columns(df)]
-    miss = missing_profile(df, cols)
-    nu = nunique(df, cols)
-    text = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-            .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()))
-    top = modes(text, "value", ["column"]).withColumnRenamed("mode", "top") \
-        .withColumnRenamed("mode_count", "top_freq")
     spark = df.sparkSession
-    t = spark.createDataFrame([(c, types[c]) for c in cols], "column string, dtype string")
-    out = t.join(miss, "column").join(nu, "column").join(top, "column", "left")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    num = [c for c in cols if isinstance(kinds[c], _NUMERIC)]
+    plain = [F.nanvl(F.col(c), F.lit(None).cast(kinds[c])) if isinstance(kinds[c], (T.FloatType, T.DoubleType)) else F.col(c)
+             for c in cols]
+    counts = write_table(
+        df.select(*[x.cast("string").alias(c) for x, c in zip(plain, cols)]).unpivot([], cols, "column", "value")
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "profile_values")
+    known = F.col("value").isNotNull()
+    of = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("n_missing"),
+        F.count("value").alias("n_unique"),
+        F.min(F.when(known, F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))).alias("best"))
+    t = spark.createDataFrame([(c, kinds[c].simpleString()) for c in cols], "column string, dtype string")
+    zero = F.lit(0).cast("long")
+    out = t.join(of, "column", "left").select(
+        "column", "dtype", F.coalesce("n_missing", zero).alias("n_missing"),
+        (F.coalesce("n_missing", zero) * 100.0 / F.greatest(F.coalesce("rows", zero), F.lit(1))).alias("pct_missing"),
+        F.coalesce("n_unique", zero).alias("n_unique"), F.col("best.value").alias("top"),
+        (-F.col("best.neg")).alias("top_freq"))
     if num:
-        d = numeric_describe(df, num).drop("count")
-        s = skewness(df, num)
-        out = out.join(d, "column", "left").join(s, "column", "left")
+        out = out.join(_with_quantiles(_moments(df, num).drop("count"), df, num, (0.25, 0.5, 0.75)), "column", "left")
     return out
 
 
 # --- A6 ----------------------------------------------------------------------
 
-PAIRS_PER_JOB = 60
+CONSTANT = 1e-13            # share of the squares that rounding may leave
+HEAD_ROWS = 1000            # in which each column's shift is looked for
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation for every pair, pairwise-complete like pandas.
-    Long output ``(col_a, col_b, corr)`` with both orders and the diagonal;
-    NULL where a column is constant over the pair's complete rows.
-
-    The pairs are computed in batches of ``PAIRS_PER_JOB`` aggregates, so a
-    wide table never becomes one huge generated method."""
+    """Pearson correlation for every pair, pairwise-complete like pandas
+    (NULL and NaN are missing).  Long output ``(col_a, col_b, corr)`` with both
+    orders and the diagonal; NULL where a column is constant over the pair's
+    complete rows.
+
+    One scan for any number of columns: tasks sum four matrices over their
+    Arrow batches - rows, sums, squares and products over the rows that a pair
+    has in common - and the matrices are summed cell by cell on Spark.  Values
+    are shifted by one of their column first, so sums stay exact to rounding."""
     cols = list(columns or numeric_columns(df))
-    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    spark, out = df.sparkSession, "col_a string, col_b string, corr double"
+    p = len(cols)
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    head = rows.limit(HEAD_ROWS).toPandas().to_numpy(float)
+    if not cols or not len(head):
+        return spark.createDataFrame([(a, b, None) for a in cols for b in cols], out)
+    shift = np.array([next((v for v in x if np.isfinite(v)), np.nan) for x in head.T])
+    late = [i for i in range(p) if np.isnan(shift[i])]
+    if late:        # columns that start with many missing values
+        means = rows.agg(*[F.avg(F.when(~F.isnan(f"v{i}"), F.col(f"v{i}"))).alias(f"v{i}") for i in late]).first()
+        for i in late:
+            shift[i] = means[f"v{i}"] if means[f"v{i}"] is not None and np.isfinite(means[f"v{i}"]) else 0.0
+
+    def run(batches):
+        sums = np.zeros((4, p, p))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - shift
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            m = m.astype(float)
+            sums += [m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]
+        i, j = np.indices((p, p)).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i), pa.array(j), *(pa.array(s.reshape(-1)) for s in sums)], names=["i", "j", "n", "s", "q", "c"])
+
+    n, s, q, c = np.zeros((4, p, p))
+    for r in rows.mapInArrow(run, "i int, j int, n double, s double, q double, c double").groupBy("i", "j").agg(
+            *[F.sum(k).alias(k) for k in "nsqc"]).collect():
+        at = r["i"], r["j"]
+        n[at], s[at], q[at], c[at] = r["n"], r["s"], r["q"], r["c"]
+    rows_in = np.maximum(n, 1.0)
+    var = q - s * s / rows_in               # of column i over the rows that i and j have
+    cov = c - s * s.T / rows_in
+    var = np.where(var > CONSTANT * q, var, 0.0)
     data = []
-    for k in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[k:k + PAIRS_PER_JOB]
-        aggs = []
-        for j, (a, b) in enumerate(part):
-            x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-            aggs.append(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))).alias(f"r{j}"))
-        row = num.agg(*aggs).collect()[0]
-        for j, (a, b) in enumerate(part):
-            r = row[f"r{j}"]
-            if a == b:
-                data.append((a, a, None if r is None else 1.0))
-            else:
-                data += [(a, b, r), (b, a, r)]
-    return df.sparkSession.createDataFrame(data, "col_a string, col_b string, corr double")
+    for i in range(p):
+        for j in range(p):
+            spread = float(np.sqrt(var[i, j]) * np.sqrt(var[j, i]))
+            data.append((cols[i], cols[j], None if not spread else 1.0 if i == j else float(cov[i, j]) / spread))
+    return spark.createDataFrame(data, out)
 
 
 # --- A7 ----------------------------------------------------------------------
@@ -231,7 +277,8 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 
 def histogram(df: DataFrame, c: str, bins: int = 40) -> DataFrame:
     """Equal-width bins over [min, max]; the max lands in the last bin.
-    Two jobs: min/max, then ``width_bucket`` counts."""
+    Every bin has a row, also an empty one; a column without values has no
+    bins.  Two jobs: min/max, then ``width_bucket`` counts."""
     mm = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).collect()[0]
     lo, hi = mm["lo"], mm["hi"]
     if lo is None:
@@ -242,12 +289,17 @@ def histogram(df: DataFrame, c: str, bins: int = 40) -> DataFrame:
     width = (hi - lo) / bins
     b = F.least(F.width_bucket(F.col(c).cast("double"), F.lit(lo), F.lit(hi), F.lit(bins)),
                 F.lit(bins))
-    counts = df.where(F.col(c).isNotNull()).groupBy(b.alias("bin")).agg(
+    counts = df.where(F.col(c).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count"))
-    return counts.select(F.col("bin").cast("int").alias("bin"),
-                         (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("lower"),
-                         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("upper"),
-                         "count")
+    at = F.col("bin")
+    return bin_spine(df.sparkSession, bins).join(counts, "bin", "left").select(
+        "bin", (F.lit(lo) + (at - 1) * F.lit(width)).alias("lower"), (F.lit(lo) + at * F.lit(width)).alias("upper"),
+        F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def bin_spine(spark, bins: int) -> DataFrame:
+    """Every bin number from 1."""
+    return spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
 
 
 # --- A9 ----------------------------------------------------------------------
@@ -278,8 +330,8 @@ DATE_SHARE = 0.8
 def eda_type_plan(df: DataFrame) -> DataFrame:
     """EDA variant of type narrowing.  Text that parses as a date in at
     least 80% of rows is a date, otherwise category below the 0.5 distinct
-    ratio; integers get the smallest type (Spark has no unsigned types, so
-    a non-negative range takes the next wider signed type); floats float32
+    ratio; integers get the smallest signed type that holds their range (Spark
+    has no unsigned types); floats float32
     when lossless within 5e-4.  One aggregation."""
     from .schema import plan_types
     plans, stats = plan_types(df)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import COMMON_DATE_FORMATS, parse_date
+from ..functions.dates import parse_datetime, COMMON_DATE_FORMATS, parse_date
 from ..functions.names import sanitize_name, snake_name, unique_or_raise
 
 
@@ -46,8 +46,9 @@ _FLOATS = (T.FloatType, T.DoubleType)
 # (fixed value of the downcast rule).
 FLOAT32_TOLERANCE = 5e-4
 CATEGORY_RATIO = 0.5
-# distinct/rows ratios this close to the threshold are re-counted exactly
-EXACT_BAND = 0.10
+# distinct/rows ratios this close to the threshold are re-counted exactly: ten
+# standard errors of the sketch (0.05 of the ratio), so it never decides
+EXACT_BAND = 0.25
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,10 @@ def apply_type_plan(df: DataFrame, plans: Sequence[TypePlan],
         c = F.col(p.column)
         if p.kind == "date":
             fmt = date_formats.get(p.column)
-            out.append(parse_date(c, fmt).alias(p.column) if fmt is not False else c)
+            if p.new_type == "timestamp_ntz":
+                out.append(parse_datetime(c).alias(p.column))
+            else:
+                out.append(parse_date(c, fmt).alias(p.column) if fmt is not False else c)
         elif p.kind in ("integer", "float"):
             out.append(c.cast(p.new_type).alias(p.column))
         else:
@@ -151,7 +155,9 @@ def apply_type_plan(df: DataFrame, plans: Sequence[TypePlan],
 def optimize_data_types(df: DataFrame, date_cols: Sequence[str] = ()
                         ) -> tuple[DataFrame, list[TypePlan]]:
     """P4 + P5: one statistics job (plus a date-format job only when the
-    first format does not fit), then one ``select``."""
+    first format does not fit), then one ``select``.  The date formats have no
+    time of day; a column that only generic parsing fits becomes a timestamp
+    if any of its values has one, else a date."""
     text_dates = [c for c in date_cols if c in df.columns
                   and isinstance(df.schema[c].dataType, T.StringType)]
     # the first candidate format rides along with the type statistics;
@@ -167,6 +173,12 @@ def optimize_data_types(df: DataFrame, date_cols: Sequence[str] = ()
     # a column no format fits stays text (reported as unchanged)
     plans = [p if not (p.kind == "date" and formats.get(p.column) is False)
              else TypePlan(p.column, p.old_type, p.old_type, "unchanged") for p in plans]
+    inferred = [c for c, fmt in formats.items() if fmt is None]
+    if inferred:
+        at = {c: parse_datetime(c) for c in inferred}
+        timed = df.agg(*[F.count_if(at[c] != F.to_date(at[c]).cast("timestamp_ntz")).alias(c) for c in inferred]).first()
+        plans = [TypePlan(p.column, p.old_type, "timestamp_ntz", "date") if p.column in inferred and timed[p.column]
+                 else p for p in plans]
     return apply_type_plan(df, plans, formats), plans
 
 

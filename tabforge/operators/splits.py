@@ -8,7 +8,7 @@ The output is the union of those two labelled parts: no join, and the
 full table is never range-shuffled.
 
 T3 (expanding-window folds) needs every row's position, so it uses the
-global ordinal; the fold table has ``k`` rows and is broadcast.
+global ordinal; a row's folds follow from it by arithmetic.
 """
 
 from __future__ import annotations
@@ -173,12 +173,6 @@ def time_series_folds(n: int, n_splits: int = 5, max_train_size: int | None = No
     return folds
 
 
-def fold_table(spark, folds: Sequence[Fold]) -> DataFrame:
-    rows = [(f.fold, f.train_start, f.train_end, f.test_start, f.test_end) for f in folds]
-    return spark.createDataFrame(
-        rows, "fold int, train_start long, train_end long, test_start long, test_end long")
-
-
 def with_ordinal(df: DataFrame, date_col: str, tie_key: Sequence[str],
                  ordinal_col: str = "ordinal", return_count: bool = False):
     """Global 0-based position in ``(date, tie_key)`` order."""
@@ -186,17 +180,38 @@ def with_ordinal(df: DataFrame, date_col: str, tie_key: Sequence[str],
                                return_count=return_count)
 
 
+def _fold_range(folds: Sequence[Fold], o) -> tuple:
+    """First and last fold whose training rows include ordinal ``o`` (first >
+    last: none), from the folds' common step."""
+    k, step = len(folds), folds[0].test_end - folds[0].test_start
+    last = folds[-1]
+    width = None if last.train_start == 0 else last.train_end - last.train_start
+    for i, f in enumerate(folds):
+        want_end = last.train_end - (k - 1 - i) * step
+        if (f.fold, f.train_end, f.test_end - f.test_start) != (i, want_end, step) or \
+                f.train_start != (0 if width is None else max(0, want_end - width)):
+            raise ValueError("folds are not those of time_series_folds")
+    # fold i trains on [.., last.train_end - (k - 1 - i) * step)
+    first = F.greatest(F.lit(0), F.lit(k) - F.ceil((F.lit(last.train_end) - o) / step))
+    if width is None:
+        return first, F.lit(k - 1)
+    return first, F.least(F.lit(k - 1), F.lit(k - 1) - F.ceil((F.lit(last.train_end - width) - o) / step))
+
+
 def assign_folds(ordered: DataFrame, folds: Sequence[Fold],
                  ordinal_col: str = "ordinal") -> DataFrame:
     """Rows x folds they take part in, with ``role`` train/test.
 
-    The fold table has ``n_splits`` rows (a parameter), so the range join
-    is a broadcast nested-loop join against a k-row table: each row meets
-    k candidates, never other data rows."""
-    ft = F.broadcast(fold_table(ordered.sparkSession, folds))
-    o = F.col(ordinal_col)
-    in_train = (o >= F.col("train_start")) & (o < F.col("train_end"))
-    in_test = (o >= F.col("test_start")) & (o < F.col("test_end"))
-    j = ordered.join(ft, in_train | in_test, "inner")
-    return j.withColumn("role", F.when(in_test, F.lit("test")).otherwise(F.lit("train"))) \
-        .drop("train_start", "train_end", "test_start", "test_end")
+    The folds of a row follow from its ordinal by arithmetic: the training
+    folds are a run of numbers, the test fold is one; they are exploded, and
+    a row meets no fold that it isn't part of."""
+    o, step = F.col(ordinal_col), folds[0].test_end - folds[0].test_start
+    first, last = (c.cast("int") for c in _fold_range(folds, o))
+    none = F.array().cast("array<struct<fold:int,role:string>>")
+    train = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.struct(
+        i.alias("fold"), F.lit("train").alias("role")))).otherwise(none)
+    in_test = (o >= folds[0].test_start) & (o < folds[-1].test_end)
+    test = F.when(in_test, F.array(F.struct(
+        F.floor((o - folds[0].test_start) / step).cast("int").alias("fold"), F.lit("test").alias("role")))).otherwise(none)
+    return ordered.withColumn("_m", F.explode(F.concat(train, test))).select(
+        *ordered.columns, F.col("_m.fold").alias("fold"), F.col("_m.role").alias("role"))

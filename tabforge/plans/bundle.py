@@ -3,46 +3,32 @@
 A bundle folder lies on any file system that Spark writes to, so training and
 scoring can be two jobs on two clusters:
 
-    <path>/state   one JSON line: the fitted parts, feature and key names
-    <path>/codes   the encoder's code tables, one folder per column
+    <path>/state   one JSON line: the gold chain's steps (role, type, version
+                   and state of each), feature and key names
+    <path>/steps   tables that steps keep beside their state (code tables)
     <path>/model   the MLlib model
 
-Parts that the bundle does not have (no scaler, say) are left out and come
-back as None.
+Steps are those of :mod:`..operators.fitted.registry`; a step that the chain
+does not have is left out and comes back as None.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import replace
-
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 
-from ..operators.fitted.encoder import EncoderModel
-from ..operators.fitted.imputer import SimpleImputerModel
-from ..operators.fitted.outlier import OutlierModel
-from ..operators.fitted.power import PowerModel
-from ..operators.fitted.rare import RareGrouperModel
-from ..operators.fitted.scaler import ScalerModel
+from ..operators.fitted.registry import dump_step, load_step
 from .layers import GoldModel
 from .scoring import ScoringBundle
 
-PARTS = {"imputer": SimpleImputerModel, "encoder": EncoderModel, "rare": RareGrouperModel,
-         "outliers": OutlierModel, "power": PowerModel, "scaler": ScalerModel}
 PLAIN = ("is_tree_model", "final_columns", "cyclical_map", "interactions", "numeric_interactions")
 
 
 def save_bundle(spark: SparkSession, bundle: ScoringBundle, path: str) -> None:
     """Write the bundle below ``path``, which must not exist yet."""
     path, gold = path.rstrip("/"), bundle.gold
-    tables = {}
-    for i, (c, old) in enumerate(gold.encoder.auto_tables.items()):
-        spark.read.parquet(old).write.parquet(f"{path}/codes/{i}")
-        tables[c] = f"codes/{i}"
-    parts = {k: getattr(gold, k) for k in PARTS}
-    parts["encoder"] = replace(gold.encoder, auto_tables=tables)
-    state = {"parts": {k: p.to_json() for k, p in parts.items() if p is not None},
+    state = {"steps": [dump_step(spark, role, step, f"{path}/steps") for role, step in gold.steps()],
              "plain": {k: getattr(gold, k) for k in PLAIN},
              "features": list(bundle.features), "keys": list(bundle.keys)}
     bundle.model.write().save(f"{path}/model")
@@ -53,9 +39,6 @@ def save_bundle(spark: SparkSession, bundle: ScoringBundle, path: str) -> None:
 def load_bundle(spark: SparkSession, path: str) -> ScoringBundle:
     path = path.rstrip("/")
     state = json.loads(spark.read.text(f"{path}/state").first()["value"])
-    parts = {k: PARTS[k].from_json(text) for k, text in state["parts"].items()}
-    enc = parts["encoder"]
-    parts["encoder"] = replace(enc, auto_tables={c: f"{path}/{t}" for c, t in enc.auto_tables.items()})
-    gold = GoldModel(**parts, **state["plain"])
+    gold = GoldModel(**dict(load_step(e, f"{path}/steps") for e in state["steps"]), **state["plain"])
     model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
     return ScoringBundle(gold, model, state["features"], state["keys"])

@@ -17,7 +17,9 @@ from ..functions.numeric import cyclical
 from ..functions.strings import interaction
 from ..operators.dedup import dedup_business_key, drop_duplicates
 from ..operators.fitted.encoder import EncoderModel, fit_encoder
+from ..operators.fitted.iforest import IsolationForestModel
 from ..operators.fitted.imputer import SimpleImputerModel, fit_simple_imputer
+from ..operators.fitted.mice import MICEModel, fit_mice
 from ..operators.fitted.outlier import OutlierModel, fit_outliers
 from ..operators.fitted.power import PowerModel, fit_power
 from ..operators.fitted.rare import RareGrouperModel, fit_rare_grouper
@@ -89,12 +91,15 @@ def silver_gate(silver: DataFrame, types=None) -> tuple[DataFrame, bool]:
 
 @dataclass
 class GoldModel:
-    """Everything fitted on the training split, applied to any split."""
+    """Everything fitted on the training split, applied to any split.  The
+    steps run in the order of their fields; any of them but the imputer and
+    the encoder may be absent."""
     is_tree_model: bool
     imputer: SimpleImputerModel
     encoder: EncoderModel
+    mice: MICEModel | None = None
     rare: RareGrouperModel | None = None
-    outliers: OutlierModel | None = None
+    outliers: OutlierModel | IsolationForestModel | None = None
     power: PowerModel | None = None
     scaler: ScalerModel | None = None
     final_columns: list = field(default_factory=list)
@@ -102,37 +107,47 @@ class GoldModel:
     interactions: dict = field(default_factory=dict)
     numeric_interactions: dict = field(default_factory=dict)
 
-    def _pre(self, df: DataFrame) -> DataFrame:
-        df = drop_columns(df, C.GOLD_DROP_COLS)
-        df = drop_duplicates(df)
-        df = drop_missing_target(df, C.TARGET)
+    def steps(self) -> list[tuple[str, object]]:
+        """(role, step) of the steps that the chain has, in order."""
+        named = [(r, getattr(self, r)) for r in GOLD_ROLES]
+        return [(r, s) for r, s in named if s is not None]
+
+    def fill(self, df: DataFrame) -> DataFrame:
         df = self.imputer.transform(df)
-        df = add_features(df, self.cyclical_map, self.interactions, self.numeric_interactions)
+        return df if self.mice is None else self.mice.transform(df)
+
+    def scale(self, df: DataFrame, scoring: bool = False) -> DataFrame:
+        """The steps of a non-tree model after encoding.  At scoring time no
+        row is dropped: trimming is left out, clipping is not."""
+        if self.is_tree_model:
+            return df
+        if self.outliers is not None and (not scoring or getattr(self.outliers, "handling", "trim") == "winsorize"):
+            df = self.outliers.transform(df)
+        for step in (self.power, self.scaler):
+            df = df if step is None else step.transform(df)
         return df
 
     def transform(self, df: DataFrame, scoring: bool = False) -> DataFrame:
-        """Apply the fitted chain.  At scoring time outliers are never
-        dropped (rows must keep their prediction)."""
-        df = self._pre(df) if not scoring else self.imputer.transform(
-            add_features(drop_columns(df, C.GOLD_DROP_COLS), self.cyclical_map,
-                         self.interactions, self.numeric_interactions))
+        """Apply the fitted chain."""
+        df = drop_columns(df, C.GOLD_DROP_COLS)
+        if scoring:
+            if C.TARGET not in df.columns:
+                df = df.withColumn(C.TARGET, F.lit(None).cast("double"))
+        else:
+            df = drop_missing_target(drop_duplicates(df), C.TARGET)
+        df = add_features(self.fill(df), self.cyclical_map, self.interactions, self.numeric_interactions)
         if self.rare is not None:
             df = self.rare.transform(df)
-        if scoring and C.TARGET not in df.columns:
-            df = df.withColumn(C.TARGET, F.lit(0.0))
-        df = self.encoder.transform(df)
-        if not self.is_tree_model:
-            if self.outliers is not None and not scoring:
-                df = self.outliers.transform(df)
-            if self.power is not None:
-                df = self.power.transform(df)
-            if self.scaler is not None:
-                df = self.scaler.transform(df)
-        df = sanitize_column_names(df)
+        if scoring:
+            df = df.withColumn(C.TARGET, F.coalesce(F.col(C.TARGET).cast("double"), F.lit(0.0)))
+        df = sanitize_column_names(self.scale(self.encoder.transform(df), scoring))
         return df.select(*[c for c in self.final_columns if c in df.columns]) \
             if self.final_columns else df
 
 
+GOLD_ROLES = ("imputer", "mice", "rare", "encoder", "outliers", "power", "scaler")
+
+
 def add_features(df: DataFrame, cyclical_map: dict, interactions: dict | None = None,
                  numeric_interactions: dict | None = None) -> DataFrame:
     """X2 cyclical (source dropped), X3 categorical and X4 numeric
@@ -159,11 +174,24 @@ def fit_gold(train: DataFrame, is_tree_model: bool = True, imputation=None,
              rare_cols=None, rare_threshold: float = 0.01, outlier_cols=None,
              power_cols=None, power_strategy: str = "yeo-johnson", scaler_cols=None,
              scaler_strategy: str = "standard", interactions=None,
-             numeric_interactions=None) -> GoldModel:
+             numeric_interactions=None, mice_cols=None, mice_max_iter: int = 10, onehot_cols=(),
+             onehot_wide: str = "error", outlier_detection: str = C.OUTLIER_DETECTION,
+             outlier_handling: str = C.OUTLIER_HANDLING, outlier_options: dict | None = None) -> GoldModel:
     """Fit the gold chain on the training split.  Order: drop -> dedup ->
-    target -> impute -> features -> [rare] -> encode -> [outlier -> power ->
-    scale]; the bracketed steps only for non-tree models."""
+    target -> impute [-> chained equations] -> features -> [rare] -> encode ->
+    [outlier -> power -> scale]; the bracketed steps of a non-tree model are
+    left out for a tree model.
+
+    ``mice_cols``: filled by chained equations, not by the simple imputer;
+    ``onehot_cols``: one-hot, not ordinal (``onehot_wide``: what to do with a
+    wide one, see :func:`fit_encoder`); ``outlier_detection``: iqr, zscore or
+    iforest, ``outlier_handling``: trim or winsorize, ``outlier_options``:
+    further arguments of :func:`fit_outliers`."""
     imputation = imputation or C.GOLD_IMPUTATION
+    if mice_cols:
+        keep = lambda v: {c: x for c, x in v.items() if c not in mice_cols} if isinstance(v, dict) else [
+            c for c in v if c not in mice_cols]
+        imputation = {k: keep(v) for k, v in imputation.items()}
     cyclical_map = C.CYCLICAL_FEATURES_MAP if cyclical_map is None else cyclical_map
     df = drop_columns(train, C.GOLD_DROP_COLS)
     df = drop_duplicates(df)
@@ -172,30 +200,32 @@ def fit_gold(train: DataFrame, is_tree_model: bool = True, imputation=None,
     df = write_table(df, "gold_train_base")
     imp = fit_simple_imputer(df, imputation)
     df = imp.transform(df)
+    mice = fit_mice(df, mice_cols, max_iter=mice_max_iter) if mice_cols else None
+    df = df if mice is None else mice.transform(df)
     df = add_features(df, cyclical_map, interactions, numeric_interactions)
     rare = None
     if not is_tree_model and rare_cols:
         rare = fit_rare_grouper(df, rare_cols, rare_threshold)
         df = rare.transform(df)
-    enc = fit_encoder(df, ordinal_cols=encoding_cols or C.ENCODING_ORDINAL_COLS,
+    ordinal = [c for c in encoding_cols or C.ENCODING_ORDINAL_COLS if c not in onehot_cols]
+    enc = fit_encoder(df, onehot_cols=onehot_cols, ordinal_cols=ordinal, wide=onehot_wide,
                       ordinal_mapping=C.ENCODING_MAPPING if encoding_mapping is None
                       else encoding_mapping)
     df = enc.transform(df)
-    outl = powm = scl = None
+    model = GoldModel(is_tree_model, imp, enc, mice, rare, cyclical_map=dict(cyclical_map),
+                      interactions=dict(interactions or {}), numeric_interactions=dict(numeric_interactions or {}))
     if not is_tree_model:
         if outlier_cols:
-            outl = fit_outliers(df, outlier_cols, C.OUTLIER_DETECTION, C.OUTLIER_HANDLING)
-            df = outl.transform(df)
+            model.outliers = fit_outliers(df, outlier_cols, outlier_detection, outlier_handling, **(outlier_options or {}))
+            df = model.outliers.transform(df)
         if power_cols:
-            powm = fit_power(df, power_cols, power_strategy)
-            df = powm.transform(df)
+            model.power = fit_power(df, power_cols, power_strategy)
+            df = model.power.transform(df)
         if scaler_cols:
-            scl = fit_scaler(df, scaler_cols, scaler_strategy)
-            df = scl.transform(df)
-    df = sanitize_column_names(df)
-    return GoldModel(is_tree_model, imp, enc, rare, outl, powm, scl, list(df.columns),
-                     dict(cyclical_map), dict(interactions or {}),
-                     dict(numeric_interactions or {}))
+            model.scaler = fit_scaler(df, scaler_cols, scaler_strategy)
+            df = model.scaler.transform(df)
+    model.final_columns = list(sanitize_column_names(df).columns)
+    return model
 
 
 def gold_gate(gold: DataFrame, model: GoldModel, scaler_strategy: str = "") -> tuple[DataFrame, bool]:

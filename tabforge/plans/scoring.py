@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_features, parse_date
 from ..operators.model.estimators import assemble
-from ..operators.schema import rename_columns, standardize_column_names
+from ..operators.schema import drop_columns, rename_columns, sanitize_column_names, standardize_column_names
 from . import config as C
-from .layers import GoldModel
+from .layers import GoldModel, add_features
 
 
 @dataclass
@@ -81,29 +81,19 @@ def score_silver(s: DataFrame, bundle: ScoringBundle, decimals: int = 2) -> Data
     gm = bundle.gold
     # run the fitted chain with the keys renamed out of the drop list
     renamed = s.select(*[F.col(k).alias(f"key__{k}") for k in keys], *s.columns)
-    g = gm.imputer.transform(_features(renamed, gm))
+    if C.TARGET not in renamed.columns:
+        renamed = renamed.withColumn(C.TARGET, F.lit(None).cast("double"))
+    g = add_features(gm.fill(drop_columns(renamed, C.GOLD_DROP_COLS)), gm.cyclical_map, gm.interactions,
+                     gm.numeric_interactions)
     if gm.rare is not None:
         g = gm.rare.transform(g)
-    if C.TARGET not in g.columns:
-        g = g.withColumn(C.TARGET, F.lit(0.0))
+    g = g.withColumn(C.TARGET, F.coalesce(F.col(C.TARGET).cast("double"), F.lit(0.0)))
     enc_in = g.select(*[c for c in gm.encoder.input_columns if c in g.columns],
                       *[f"key__{k}" for k in keys])
-    g = gm.encoder.transform(enc_in)
-    if not gm.is_tree_model:
-        if gm.power is not None:
-            g = gm.power.transform(g)
-        if gm.scaler is not None:
-            g = gm.scaler.transform(g)
+    g = sanitize_column_names(gm.scale(gm.encoder.transform(enc_in), scoring=True))
     feats = g.select(*[F.col(f"key__{k}").cast(s.schema[k].dataType).alias(k) for k in keys],
                      *[F.col(c) if c in g.columns else F.lit(0.0).alias(c)
                        for c in bundle.features])
     pred = bundle.model.transform(assemble(feats, bundle.features))
     out = bundle.target_inverse(F.col("prediction"))
     return pred.select(*keys, F.round(out, decimals).alias("predicted_price"))
-
-
-def _features(df: DataFrame, gm: GoldModel) -> DataFrame:
-    from .layers import add_features
-    from ..operators.schema import drop_columns
-    return add_features(drop_columns(df, C.GOLD_DROP_COLS), gm.cyclical_map, gm.interactions,
-                        gm.numeric_interactions)

@@ -97,6 +97,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Remove this application's folder below the shared checkpoint folder:
+    checkpoints, written layers, scratch tables, code tables of models that
+    were not saved.  The last call of a job, once its results are written;
+    DataFrames that still read such tables cannot be used any more."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        path = spark._jvm.org.apache.hadoop.fs.Path(current)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint into the shared checkpoint folder.
 

@@ -46,12 +46,14 @@ def route_rows(df: DataFrame, ok: F.Column, processed_dir: str, quarantine_dir:
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
-    """``(row_id, y_true, y_pred, scale)`` table."""
+    """Table of (row keys, ``split`` or ``fold``, ``y_true``, ``y_pred``,
+    ``scale``)."""
     pred.write.mode("overwrite").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Per-fold metric table (summary rows are computed with ``agg``)."""
+    """Table of metrics per fold or evaluated set, of search trials, or of
+    a model's coefficients or importances."""
     metrics.write.mode("overwrite").parquet(path)
 
 
@@ -59,12 +61,12 @@ def sample_rows(df: DataFrame, n: int, seed: int, key: list[str] | None = None)
     """Exactly ``n`` rows chosen by a seeded hash of the row key.
 
     Deterministic and partition-independent (no ``rand``): ordering by
-    ``xxhash64(key, seed)`` and taking ``n`` plans a TakeOrderedAndProject,
+    ``md5(key|seed)`` and taking ``n`` plans a TakeOrderedAndProject,
     i.e. a per-partition top-n then one merge of ``n * partitions`` rows.
     The sample size is the feature here, so the limit is intended.
     """
     cols = key or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols], F.lit(int(seed)))
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(int(seed)))))
     return df.orderBy(h, *[F.col(c) for c in cols]).limit(int(n))
 
 

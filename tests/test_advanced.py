@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabforge.operators.fitted.iforest import IsolationForestModel, fit_isolation_forest
 from tabforge.operators.fitted.mice import MICEModel, fit_mice
 from tabforge.operators.model.estimators import assemble, make_estimator
-from tabforge.operators.model.treeshap import _load_trees, tree_contributions
+from tabforge.operators.model.treeshap import _groups, _node_table, _pack, tree_contributions
 
 
 def _dense_bayes_ridge(X, y, max_iter=300, tol=1e-3, a1=1e-6, a2=1e-6, l1=1e-6, l2=1e-6):
@@ -130,7 +130,9 @@ def test_treeshap_exact_and_additive(spark):
     sums = long.groupby("id")["phi"].sum()
     merged = pred.set_index("id")["prediction"]
     assert np.allclose(sums.loc[merged.index].to_numpy(), merged.to_numpy(), atol=1e-9)
-    trees = _load_trees(spark, model)
+    nodes, weights = _node_table(spark, model)
+    packed = _pack(nodes, _groups(nodes, 10 ** 6)[0], weights)
+    trees = [(w, list(packed.leaves(k))) for k, w in enumerate(packed.weight)]
     for i in range(5):
         want = sum(w * _brute_shap(X[i], leaves, 3) for w, leaves in trees)
         got = long[(long["id"] == i) & (long["feature"] != "__base__")].set_index(
