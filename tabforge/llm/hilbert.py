@@ -1,12 +1,12 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to ``bits`` bits by approximate quantiles of its
-order-preserving number (strings: their first seven bytes), the bits are
-folded into one curve index, rows are sorted by it, and the sorted sequence is
+Each dimension is quantised to ``bits`` bits by quantile bounds: approximate
+ones of numbers, exact ones of whole strings, from a sorted table of their
+distinct values and counts.  The bits are folded into one curve index, rows are sorted by it, and the sorted sequence is
 cut into runs.  Rows that lie near each other in all dimensions share a shard,
 so the minima and maxima of a shard's files prune scans in each dimension.
 
-DataFrame functions only.  The sort is a range partition on (index, tie
+DataFrame functions only.  Strings compare bytewise.  The sort is a range partition on (index, tie
 breakers), so one value that holds a third of all rows is spread over many
 tasks; positions come from the partitions' row counts, never from one window
 over everything.  The quantile bounds (``2**bits - 1`` numbers a dimension)
@@ -19,7 +19,9 @@ table gives no rows.  Other columns of the table are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -27,15 +29,6 @@ from .common import Scratch
 BITS = 5
 
 
-def order_number(name: str, kind: str) -> Column:
-    """An order-preserving number for a column; strings by their first seven
-    bytes."""
-    c = F.col(name)
-    if kind != "string":
-        return c.cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-
-
 def _gray_inverse(x: int) -> int:
     y = 0
     while x:
@@ -83,18 +76,44 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(planes, start, step, lambda acc: acc["h"])
 
 
-def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
+def string_bounds(df: DataFrame, name: str, shares: list[float], scratch: Scratch) -> list[str]:
+    """The values that hold the given shares of the non-null rows in value
+    order.  Distinct values are counted first, so a hot one is one row; the
+    sorted table is summed up within its sort partitions, and only the
+    partitions' sums and the few bounds reach the driver."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    placed = scratch.write(counts.orderBy("v").withColumn("at", F.monotonically_increasing_id()), f"values_{name}")
+    part = F.shiftright("at", 33)
+    held = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.sum("n").alias("n")).collect()}
+    total, before, at = sum(held.values()), {}, 0
+    for p in sorted(held):
+        before[p], at = at, at + held[p]
+    if not total:
+        return []
+    inside = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    base = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("p"))
+    ends = placed.withColumn("p", part).withColumn("end", F.sum("n").over(inside) + base)
+    wanted = F.array(*(F.lit(max(1, math.ceil(s * total))) for s in shares))
+    hit = F.exists(wanted, lambda w: (w <= F.col("end")) & (w > F.col("end") - F.col("n")))
+    bounds = [r["v"] for r in ends.where(hit).select("v").collect()]
+    scratch.drop(f"values_{name}")
+    return bounds
+
+
+def quantised(df: DataFrame, dims: list[str], bits: int, scratch: Scratch) -> list[Column]:
     """Cell number of each dimension: how many quantile bounds lie at or
     below the value."""
     kinds = dict(df.dtypes)
-    number = {d: order_number(d, kinds[d]) for d in dims}
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = df.agg(*(F.percentile_approx(number[d], shares, 10_000).alias(f"q{i}") for i, d in enumerate(dims))).first()
+    numbers = [d for d in dims if kinds[d] != "string"]
+    row = df.agg(*(F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in numbers)).first() \
+        if numbers else {}
     cells = []
-    for i, d in enumerate(dims):
-        bounds = sorted(set(row[f"q{i}"] or []))
-        inside = sum((F.when(number[d] >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-        cells.append(inside)
+    for d in dims:
+        text = kinds[d] == "string"
+        value = F.col(d) if text else F.col(d).cast("double")
+        bounds = string_bounds(df, d, shares, scratch) if text else row[d] or []
+        cells.append(sum((F.when(value >= F.lit(b), 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0)))
     return cells
 
 
@@ -104,7 +123,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int,
     length, at most one row apart, of the rows in curve order (then by
     ``ties``)."""
     scratch = scratch or Scratch(df.sparkSession, "hilbert")
-    cells = quantised(df, dims, bits)
+    cells = quantised(df, dims, bits, scratch)
     indexed = df.withColumns({f"__cell{i}": c for i, c in enumerate(cells)}).withColumn(
         "hilbert", hilbert_index([F.col(f"__cell{i}") for i in range(len(cells))], bits)).drop(
         *(f"__cell{i}" for i in range(len(cells))))

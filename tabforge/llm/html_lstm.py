@@ -17,7 +17,8 @@ space, and the article's blocks are joined by one space.
 
 Null or empty html: empty text.  Broken markup is read as far as it goes: an
 unclosed element ends with its parent, a stray end tag is ignored.  Very long
-pages are sequences like others.  Repeated rows get the same text.
+pages are sequences like others, and reading one takes time linear in its
+length whatever its markup.  Repeated rows get the same text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_left
 from itertools import chain
 
 import numpy as np
@@ -49,11 +51,24 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _ENDS_P = frozenset("""address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr
 main menu nav ol p pre section table ul""".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*))")
+_PLAIN = re.compile(r"[^'\">]*>")       # rest of a tag without quotes
+_MARKS = re.compile(r"['\">]")
 _NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PIECE = re.compile(r"[a-z]+")
 
 
+class Path:
+    """The open elements around a block, as a chain: each element knows the
+    one around it, so blocks share what they have in common."""
+    __slots__ = ("outer", "tag", "names", "depth", "slots")
+
+    def __init__(self, outer, tag, names):
+        self.outer, self.tag, self.names = outer, tag, names
+        self.depth = outer.depth + 1 if outer else 1
+        self.slots = None       # of the vector, once it is asked for
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
@@ -61,11 +76,48 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class _TagEnds:
+    """Where the tag that is open at a place of a page ends, if it does: at
+    the first ``>`` outside quotes.  The answer for each quote or ``>`` follows
+    from the ones behind it, so all of them take one pass over the page,
+    which is made when the first tag with quotes is met."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.marks = page, page.rfind(">"), None
+
+    def _index(self):
+        self.marks = [m.start() for m in _MARKS.finditer(self.page)]
+        n = len(self.marks)
+        self.ends, ahead = [-1] * (n + 1), {"'": -1, '"': -1}
+        for i in range(n - 1, -1, -1):
+            c = self.page[self.marks[i]]
+            if c == ">":
+                self.ends[i] = self.marks[i]
+            else:
+                close = ahead[c]
+                self.ends[i] = self.ends[close + 1] if close >= 0 else -1
+                ahead[c] = i
+
+    def end(self, at: int) -> int:
+        """Place behind the tag, -1 if it does not end."""
+        if at > self.last:
+            return -1
+        if self.marks is None:
+            m = _PLAIN.match(self.page, at)
+            if m:
+                return m.end()
+            self._index()
+        return self.ends[bisect_left(self.marks, at)] + 1 or -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in page order: the open elements around each
-    (tag, names), its text, and the number of its characters inside links."""
+    (tag, names), its text, and the number of its characters inside links.
+    The time is linear in the page, also where tags, quotes and elements are
+    never closed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked, hidden, in_link, at = 0, 0, False, 0
 
@@ -73,62 +125,85 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(stack), text, linked))
+            out.append(Block(stack[-1] if stack else None, text, linked))
         parts, linked = [], 0
 
     def close(to: int):
         nonlocal hidden
         while len(stack) > to:
-            hidden -= stack.pop()[0] in _HIDDEN
+            tag = stack.pop().tag
+            opened[tag] -= 1
+            hidden -= tag in _HIDDEN
+
+    ends, end, raw_ends = _TagEnds(page), len(page), {}
+
+    def next_tag(at: int):
+        """(start, end, match) of the next comment, declaration or tag."""
+        while True:
+            m = _OPEN.search(page, at)
+            if m is None or m.start() > ends.last and not m[1]:
+                # only a comment may lack its end
+                k = page.find("<!--", at) if m is not None else -1
+                return (k, end, None) if k >= 0 else (end, end, None)
+            if m[1]:
+                k = page.find("-->", m.end())
+                return m.start(), k + 3 if k >= 0 else end, None
+            if m[2]:
+                return m.start(), page.find(">", m.end()) + 1, None
+            to = ends.end(m.end())
+            if to >= 0:
+                return m.start(), to, m
+            at = m.start() + 1
 
-    find, end = _TAG.search, len(page)
     while at < end:
-        m = find(page, at)
+        start, to, m = next_tag(at)
         if not hidden:
-            text = page[at:m.start() if m else end]
+            text = page[at:start]
             if text:
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
                 if in_link:
                     linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        at = to
+        if m is None:
             continue
-        tag = tag.lower()
+        closing, tag, attrs = m[3], m[4].lower(), page[m.end():to - 1]
         if tag in _INLINE:
             if tag == "a":
-                in_link = not m[1]
+                in_link = not closing
             elif tag in ("br", "wbr", "img"):
                 parts.append(" " if tag != "wbr" else "")
             continue
         flush()
         in_link = False
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+        if closing:
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in _VOID:
             continue
         shut = _CLOSES.get(tag, ())
         if tag in _ENDS_P:
             shut = (*shut, "p")
-        while stack and stack[-1][0] in shut:
+        while stack and stack[-1].tag in shut:
             close(len(stack) - 1)
-        names = tuple(x for v in _NAME.findall(m[3]) for x in _PIECE.findall(v.lower())) if "=" in m[3] else ()
-        if m[3].endswith("/") and tag not in _RAW:
+        names = tuple(x for v in _NAME.findall(attrs) for x in _PIECE.findall(v.lower())) if "=" in attrs else ()
+        if attrs.endswith("/") and tag not in _RAW:
             continue
         if tag == "body":
             close(0)
-        stack.append((tag, names))
+        stack.append(Path(stack[-1] if stack else None, tag, names))
+        opened[tag] = opened.get(tag, 0) + 1
         hidden += tag in _HIDDEN
         if tag in _RAW:
-            k = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
-            at = k.start() if k else end
+            # the next end tag of this name, remembered while it lies ahead
+            if raw_ends.get(tag, -1) < at:
+                k = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                raw_ends[tag] = k.start() if k else end
+            at = raw_ends[tag]
     flush()
     return out
 
@@ -152,19 +227,18 @@ class _Slots(dict):
 class Vectors:
     def __init__(self):
         self.path, self.word = _Slots(PATH_DIM, "path:"), _Slots(WORD_DIM, "word:")
-        self.known: dict = {}
-
-    def _of_path(self, path) -> np.ndarray:
-        v = self.known.get(path)
-        if v is None:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            v = np.zeros(PATH_DIM, np.float32)
-            for tag, names in path:
-                for x in (tag, *("." + n for n in names)):
-                    v[self.path[x]] = 1
-            self.known[path] = v
-        return v
+
+    def _of_path(self, path: Path | None) -> list[int]:
+        """Slots of a path: those of the path around it, and its own."""
+        todo = []
+        while path is not None and path.slots is None:
+            todo.append(path)
+            path = path.outer
+        slots = path.slots if path is not None else frozenset()
+        for p in reversed(todo):
+            own = {self.path[x] for x in (p.tag, *("." + n for n in p.names))}
+            slots = p.slots = slots if own <= slots else slots | own
+        return list(slots)
 
     def __call__(self, blocks: list[Block]) -> np.ndarray:
         n = len(blocks)
@@ -175,7 +249,7 @@ class Vectors:
         place = np.repeat(np.arange(n) * WORD_DIM, count) + slots
         out[:, PATH_DIM:-MEASURES] = np.bincount(place, minlength=n * WORD_DIM).reshape(n, -1) / count[:, None] / 2
         for i, b in enumerate(blocks):
-            out[i, :PATH_DIM] = self._of_path(b.path)
+            out[i, self._of_path(b.path)] = 1
         size = np.array([len(b.text) for b in blocks])
         ends = np.array([b.text.count(".") + b.text.count("!") + b.text.count("?") for b in blocks])
         out[:, -8] = np.minimum(3.0, np.log1p(count) / 2)
@@ -184,7 +258,7 @@ class Vectors:
         out[:, -5] = np.minimum(1.0, 4 * np.array([b.text.count(",") for b in blocks]) / count)
         out[:, -4] = [b.text[-1] in ".!?" for b in blocks]
         out[:, -3] = np.arange(n) / n
-        out[:, -2] = np.array([len(b.path) for b in blocks]) / 8
+        out[:, -2] = np.array([b.path.depth if b.path else 0 for b in blocks]) / 8
         out[:, -1] = 1.0
         return out
 

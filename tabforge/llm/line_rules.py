@@ -15,9 +15,8 @@ A line fails by
 A document is rejected if its words are too few, if too many of them stand in
 repeated five-word windows (the base rules), or if the failing lines hold
 more than half of its word characters.  Every occurrence of a failing line
-counts, by whichever rule it fails.  Only a lone boilerplate line is spared:
-it is not counted if no other line fails and there is other text, so a short
-clean text under a long licence line stays.
+counts, by whichever rule it fails.  The text of a kept document is what its
+passing lines leave.
 
 Null text: no words, hence rejected.  Empty text likewise.  Repeated rows are
 judged alike.  All in one pass over the rows, without a shuffle.
@@ -32,8 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import filter_rows
-
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20     # of the words, in repeated five-word windows
 WINDOW = 5
@@ -101,7 +98,7 @@ def line_fault(line: str, words: list[str]) -> str | None:
 def judge(text: str) -> dict:
     """Base counts, verdicts and cleaned text of one text."""
     split = _WORDS.findall if _OTHER_SPACE.search(text) else str.split
-    words, seen, dup, lost, failing, spared, kept = [], set(), 0, 0, 0, 0, []
+    words, seen, dup, lost, kept = [], set(), 0, 0, []
     for line in text.split("\n"):
         own = split(line)
         if not own:
@@ -117,13 +114,8 @@ def judge(text: str) -> dict:
         if fault is None:
             kept.append(line)
             continue
-        failing += 1
         lost += sum(map(len, own))
-        if fault == "boilerplate":
-            spared = len(own)
     n = len(words)
-    if failing == 1 and 0 < spared < n:
-        lost = 0
     word_chars = len(text) - sum(map(text.count, _SPACE))
     repeats = repeat_words(words)
     base_failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
@@ -154,6 +146,22 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         run, f"`{id_col}` {id_type}, " + ", ".join(f"{k} {_SQL[_TYPES[k]]}" for k in names))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, whose text is kept."""
-    return filter_rows(docs, text_col, lambda: lambda text: judge(text)["kept"])
+def clean_good(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """Rows of ``docs`` that are kept, all columns, with the failing lines
+    taken out of their text; a count of characters beside it, unless null,
+    is made that of the new text."""
+    at = docs.columns.index(text_col)
+    count = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches):
+        for b in batches:
+            got = [judge(t or "") for t in b.column(at).to_pylist()]
+            good = [g["kept"] for g in got]
+            b, texts = b.filter(pa.array(good, pa.bool_())), [g["clean_text"] for g in got if g["kept"]]
+            cols = list(b.columns)
+            cols[at] = pa.array(texts, b.schema.field(at).type)
+            if count is not None:
+                cols[count] = pa.array([None if old is None else len(t) for old, t in zip(cols[count].to_pylist(), texts)],
+                                       b.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+    return docs.mapInArrow(run, docs.schema)

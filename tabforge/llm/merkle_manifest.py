@@ -8,15 +8,22 @@ leaves of a second tree of the same kind, whose last node is the root.
 A level is one slot pivot: nodes are grouped by (group, position div fanout)
 and conditional aggregates spread the children into the columns c0, c1, ...;
 the hash of the concatenated columns is the parent, and the columns without a
-node's own slot are its siblings.  Proofs are passed down: a node's path is
-its siblings, taken from its parent's columns, followed by its parent's path,
-so each level is one equi-join of children with half as many parents.
+node's own slot are its siblings.  A parent keeps its children's columns, so
+``CHUNK`` levels of pivots leave one row per block of ``fanout ** CHUNK``
+nodes that holds the block's whole subtree.  Rows are dealt by block once per
+chunk; the pivots inside need no further shuffle.
+
+Proofs are passed down by unfolding these rows again: a node's path is its
+siblings, the other columns beside it, followed by its parent's path.  The
+only joins are those of a chunk's rows with the paths of their tops, one row
+each.  A tree that is down to one node passes unchanged through the levels
+that larger trees still need.
 
 Positions come from a range sort over (group, id, leaf) and the counts per
 (sort partition, group), so a group with most of the rows is spread over all
-tasks, and no key of a join or pivot has more than ``fanout`` rows.  Every
-level is written below the shared checkpoint folder.  The driver holds the
-root, the largest group's count and the distinct tree heights.
+tasks, and no key of a join or pivot has more than ``fanout ** CHUNK`` rows.
+Every chunk is written below the shared checkpoint folder.  The driver holds
+the root and the largest group's count.
 
 H is the lowercase hex SHA-256 of the inputs' concatenation, digests as hex
 text; inside the tables digests are 32 bytes.
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ranked
 
 FANOUT = 2
-WRITE_EVERY = 4             # levels of the way down that one job joins
+CHUNK = 8                   # levels of one shuffle; 256 leaves in a row
 
 _PATH = "array<struct<before:binary,after:binary>>"
 
@@ -59,53 +66,78 @@ def group_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0"))
 
 
-def _height(m: Column, fanout: int) -> Column:
+def _height(m: int, fanout: int) -> int:
     """Levels above ``m`` leaves until one node is left."""
-    steps = F.sequence(F.lit(0), F.lit(63))
-    return F.aggregate(steps, F.struct(m.cast("long").alias("m"), F.lit(0).alias("h")), lambda a, _: F.struct(
-        F.floor((a["m"] + (fanout - 1)) / fanout).alias("m"), (a["h"] + (a["m"] > 1).cast("int")).alias("h")),
-        lambda a: a["h"])
-
-
-def climb(leaves: DataFrame, scratch: Scratch, name: str, fanout: int) -> tuple[list[DataFrame], set[int]]:
-    """Written levels of all trees, leaves first, and the distinct heights.
-    ``leaves``: tree, at (position from 0), m (leaves of the tree), digest."""
-    heights = {r["h"] for r in leaves.where("at = 0").select(_height(F.col("m"), fanout).alias("h")).distinct().collect()}
-    levels = [leaves]
-    for k in range(1, max(heights, default=0) + 1):
+    h = 0
+    while m > 1:
+        m, h = -(-m // fanout), h + 1
+    return h
+
+
+def climb(nodes: DataFrame, levels: int, fanout: int) -> DataFrame:
+    """(tree, at, m, node) ``levels`` levels higher, a row per block of nodes.
+    ``nodes``: tree, at (position from 0), m (nodes of the tree), node (struct
+    with digest); a parent's node holds its digest, the m of its children and
+    their nodes in c0, c1, ..."""
+    block = F.expr(f"at div {fanout ** levels}")
+    cur = nodes.withColumn("block", block).repartition("tree", "block")
+    for _ in range(levels):
         slot = F.col("at") % fanout
-        parents = levels[-1].where("m > 1").groupBy(
-            "tree", F.expr(f"at div {fanout}").alias("at"), F.expr(f"(m + {fanout - 1}) div {fanout}").alias("m")).agg(
-            *(F.max(F.when(slot == s, F.col("digest"))).alias(f"c{s}") for s in range(fanout)))
-        digest = F.unhex(_hash(*(_text(F.col(f"c{s}")) for s in range(fanout))))
-        levels.append(scratch.write(parents.withColumn("digest", digest), f"{name}_{k}"))
-    return levels, heights
-
-
-def descend(levels: list[DataFrame], heights: set[int], tops: DataFrame, scratch: Scratch, name: str,
-            fanout: int) -> DataFrame:
-    """The leaves, all columns, with path (their siblings level by level) and
-    subroot.  ``tops``: tree, path (above the tree's last node), subroot."""
-    known, pending = None, 0
-    for k in range(len(levels) - 1, -1, -1):
-        level, parts = levels[k], []
-        if k in heights:
-            parts.append(level.where("m = 1").join(tops, "tree"))
-        if known is not None:
-            slot = F.col("at") % fanout
-            parents = known.select(F.col("tree").alias("p_tree"), F.col("at").alias("p_at"), F.col("path").alias("above"),
-                                   "subroot", *(F.col(f"c{s}").alias(f"p{s}") for s in range(fanout)))
-            side = lambda use: F.concat(*(F.when(use(s), F.coalesce(F.col(f"p{s}"), F.lit(b"")))
-                                          .otherwise(F.lit(b"")) for s in range(fanout)))
-            own = F.struct(side(lambda s: slot > s).alias("before"), side(lambda s: slot < s).alias("after"))
-            parts.append(level.where("m > 1").join(
-                parents, (F.col("tree") == F.col("p_tree")) & (F.expr(f"at div {fanout}") == F.col("p_at"))).select(
-                *level.columns, F.concat(F.array(own), F.col("above")).alias("path"), "subroot"))
-        known = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        pending += 1
-        if k and pending == WRITE_EVERY:
-            known, pending = scratch.write(known, f"{name}_paths_{k}"), 0
-    return known
+        made = cur.groupBy("tree", "block", F.expr(f"at div {fanout}").alias("at"), "m").agg(
+            *(F.max(F.when(slot == s, F.col("node"))).alias(f"c{s}") for s in range(fanout)))
+        kids = [F.col(f"c{s}") for s in range(fanout)]
+        digest = F.when(F.col("m") == 1, kids[0]["digest"]).otherwise(F.unhex(_hash(*(_text(c["digest"]) for c in kids))))
+        cur = made.select("tree", "block", "at", F.expr(f"(m + {fanout - 1}) div {fanout}").alias("m"),
+                          F.struct(digest.alias("digest"), F.col("m"), *kids).alias("node"))
+    return cur.drop("block")
+
+
+def unfold(blocks: DataFrame, levels: int, fanout: int) -> DataFrame:
+    """(tree, at, node, path, subroot) ``levels`` levels lower; ``blocks`` has
+    these of the tops."""
+    cur = blocks
+    none = F.lit(b"")
+    for _ in range(levels):
+        node = F.col("node")
+        digests = [F.coalesce(node[f"c{s}"]["digest"], none) for s in range(fanout)]
+        kids = []
+        for s in range(fanout):
+            own = F.struct(F.concat(none, *digests[:s]).alias("before"), F.concat(none, *digests[s + 1:]).alias("after"))
+            path = F.when(node["m"] > 1, F.concat(F.array(own), F.col("path"))).otherwise(F.col("path"))
+            kids.append(F.struct((F.col("at") * fanout + s).alias("at"), node[f"c{s}"].alias("node"), path.alias("path")))
+        cur = cur.select("tree", "subroot", F.explode(F.array(*kids)).alias("kid")).select(
+            "tree", "kid.at", "kid.node", "kid.path", "subroot").where(F.col("node").isNotNull())
+    return cur
+
+
+class Forest:
+    """Trees over ``leaves`` (tree, at, m, node), written chunk by chunk."""
+
+    def __init__(self, leaves: DataFrame, scratch: Scratch, name: str, fanout: int):
+        self.fanout, self.name, self.scratch = fanout, name, scratch
+        most = leaves.agg(F.max("m")).first()[0] or 0
+        todo, self.sizes, self.chunks = _height(most, fanout), [], []
+        while todo or not self.chunks:
+            k = min(CHUNK, todo)
+            made = climb(leaves, k, fanout) if k else leaves.select("tree", "at", "m", "node")
+            leaves = scratch.write(made, f"{name}_{len(self.chunks)}")
+            self.sizes.append(k)
+            self.chunks.append(leaves)
+            todo -= k
+
+    def tops(self) -> DataFrame:
+        """(tree, digest) of the trees' last nodes."""
+        return self.chunks[-1].select("tree", F.col("node.digest").alias("digest"))
+
+    def paths(self, above: DataFrame) -> DataFrame:
+        """(tree, at, node, path, subroot) of the leaves; ``above`` has tree,
+        path and subroot of the trees' last nodes."""
+        known = above.withColumn("at", F.lit(0).cast("long"))
+        for i in range(len(self.chunks) - 1, -1, -1):
+            if i < len(self.chunks) - 1:
+                known = self.scratch.write(known.drop("node"), f"{self.name}_paths_{i}")
+            known = unfold(self.chunks[i].drop("m").join(known, ["tree", "at"]), self.sizes[i], self.fanout)
+        return known
 
 
 def fold(start: Column, path: Column) -> Column:
@@ -115,29 +147,27 @@ def fold(start: Column, path: Column) -> Column:
 
 def manifest(rows: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """``rows`` (tree: group key, never null; id; leaf: hex digest; further
-    columns) with at, path, subroot and root (hex).  Leaves of a group stand
-    in the order of id, then leaf."""
+    columns) with path, subroot and root (hex).  Leaves of a group stand in
+    the order of id, then leaf."""
     scratch = Scratch(rows.sparkSession, "merkle")
     rows = scratch.write(rows.withColumn("digest", F.unhex("leaf")).drop("leaf"), "leaves")
-    leaves = ranked(rows, [F.col("tree"), F.col("id").asc_nulls_first(), F.col("digest")], scratch, "sorted", "tree")
-    levels, heights = climb(leaves, scratch, "level", fanout)
-    ends = [levels[h].where("m = 1").select("tree", "digest") for h in sorted(heights)]
-    if not ends:
-        return leaves.withColumns({"path": F.array().cast(_PATH), "subroot": F.lit(""), "root": F.lit(""),
-                                   "leaf": _text(F.col("digest"))}).drop("digest")
-    subroots = ends[0]
-    for e in ends[1:]:
-        subroots = subroots.unionByName(e)
-    over = ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("group"), "digest"),
-                  [F.col("group")], scratch, "subroots", "tree")
-    top_levels, top_heights = climb(over, scratch, "top", fanout)
-    root = top_levels[-1].where("m = 1").select(_text(F.col("digest"))).first()[0]
-    top = rows.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(_PATH).alias("path"),
-                                            F.lit(None).cast("string").alias("subroot"))
-    tops = scratch.write(descend(top_levels, top_heights, top, scratch, "top", fanout).select(
-        F.col("group").alias("tree"), "path", _text(F.col("digest")).alias("subroot")), "tops")
-    return descend(levels, heights, tops, scratch, "level", fanout).withColumns(
-        {"root": F.lit(root), "leaf": _text(F.col("digest"))}).drop("digest")
+    own = [c for c in rows.columns if c not in ("tree", "digest")]
+    order = [F.col("tree"), F.col("id").asc_nulls_first(), F.col("digest")]
+    leaves = ranked(rows, order, scratch, "sorted", "tree").select(
+        "tree", "at", "m", F.struct("digest", *own).alias("node"))
+    forest = Forest(leaves, scratch, "level", fanout)
+    over = ranked(forest.tops().withColumnRenamed("tree", "group"), [F.col("group")], scratch, "subroots").select(
+        F.lit("").alias("tree"), "at", "m", F.struct("digest", "group").alias("node"))
+    top = Forest(over, scratch, "top", fanout)
+    root = top.tops().select(_text(F.col("digest"))).first()
+    start = scratch.write(rows.sparkSession.range(1).select(
+        F.lit("").alias("tree"), F.array().cast(_PATH).alias("path"), F.lit(None).cast("string").alias("subroot")), "root")
+    tops = scratch.write(top.paths(start).select(
+        F.col("node.group").alias("tree"), "path", _text(F.col("node.digest")).alias("subroot")), "tops")
+    told = F.col("node")
+    return forest.paths(tops).select(
+        *(told[c].alias(c) for c in own), _text(told["digest"]).alias("leaf"), "path", "subroot",
+        F.lit(root[0] if root else "").alias("root"))
 
 
 def leaf_of(source: Column, lang: Column, doc_id: Column, n_chars: Column, text: Column) -> Column:

@@ -42,15 +42,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, pack_counts, sum_counts
 
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
 FRAGMENTS = 4
-NEEDED_BITS = 24            # bit set of documents whose segments are wanted
-WORD_CACHE = 400_000        # entries of a task's word-hash cache
-GRAM_BYTES = 6              # bytes of an n-gram hash that segments carry
+SLICES = 4                  # of the prefix n-grams, dealt out one after the other
+WORD_CACHE = 400_000        # entries of a task's word-hash cache,
+CACHED_CHARS = 200          # of words up to this length
 
 MAP = ["m0", "m1", "m2", "m3"]
 
@@ -61,7 +62,9 @@ class _WordHash(dict):
     def __missing__(self, w):
         if len(self) >= WORD_CACHE:
             self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
+        h = xxhash.xxh64_intdigest(w)
+        if len(w) <= CACHED_CHARS:
+            self[w] = h
         return h
 
 
@@ -179,26 +182,24 @@ def _fragment_of(u: np.ndarray, sketch: np.ndarray, cum: np.ndarray) -> np.ndarr
 def _segments(docs: DataFrame, n: int, wanted_bc, sketch_bc) -> DataFrame:
     """(doc_id, sig, frag, seg) of documents in the wanted bit set."""
     def run(batches):
-        cache, wanted, sketch = _WordHash(), wanted_bc.value, sketch_bc.value
+        cache, (size, wanted), sketch = _WordHash(), wanted_bc.value, sketch_bc.value
         cum = _cuts(sketch)
         for b in batches:
             ids, sigs, frags, segs = [], [], [], []
             doc_ids = b.column(0).to_pylist()
             hit = [i for i, d in enumerate(doc_ids) if d is not None and
-                   wanted[(s := _slot(d)) >> 3] >> (s & 7) & 1]
+                   wanted[(s := _slot(d, size)) >> 3] >> (s & 7) & 1]
             texts = b.column(1).take(pa.array(hit, pa.int32())).to_pylist()
             for i, t in zip(hit, texts):
                 u = gram_set(t, n, cache)
                 if not len(u):
                     continue
                 sig, f = _signature(u), _fragment_of(u, sketch, cum)
-                low = u & np.uint64((1 << 8 * GRAM_BYTES) - 1)
                 for k in np.unique(f):
                     ids.append(doc_ids[i])
                     sigs.append(sig)
                     frags.append(int(k))
-                    seg = np.sort(low[f == k]).view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]
-                    segs.append(seg.tobytes())
+                    segs.append(u[f == k].tobytes())
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()),
@@ -207,26 +208,28 @@ def _segments(docs: DataFrame, n: int, wanted_bc, sketch_bc) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sig long, frag int, seg binary")
 
 
-def _slot(doc_id: int) -> int:
-    return (doc_id ^ doc_id >> NEEDED_BITS) & (1 << NEEDED_BITS) - 1
+def _needed_bits(n: int) -> int:
+    """Size of the bit set of ``n`` wanted documents, as a power of two: at
+    least sixteen slots each, up to 32 MB.  Beyond that it passes more than
+    it need; the join behind it decides."""
+    return min(28, max(16, (16 * n).bit_length()))
+
+
+def _slot(doc_id: int, bits: int) -> int:
+    return (doc_id ^ doc_id >> bits) & (1 << bits) - 1
 
 
 def _partial_overlaps(joined: DataFrame) -> DataFrame:
     """(a, b, frag, common) from rows with both segments of a fragment."""
-    def unpack(z):
-        raw = np.zeros((len(z) // GRAM_BYTES, 8), np.uint8)
-        raw[:, :GRAM_BYTES] = np.frombuffer(z, np.uint8).reshape(-1, GRAM_BYTES)
-        return raw.view(np.uint64).reshape(-1)
-
     def run(batches):
         for b in batches:
             xs, ys = b.column(3).to_pylist(), b.column(4).to_pylist()
             common = []
             for x, y in zip(xs, ys):
                 if x == y:
-                    common.append(len(x) // GRAM_BYTES)
+                    common.append(len(x) // 8)
                     continue
-                z = np.concatenate([unpack(x), unpack(y)])
+                z = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 z.sort()
                 common.append(int((z[1:] == z[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2),
@@ -244,13 +247,14 @@ def _verify(docs, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: i
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = scratch.write(ends.join(classes, "sig").select("sig", F.col("rep").alias("doc_id")),
                            f"wanted_{tag}")
-    slot = F.expr(f"(doc_id ^ shiftright(doc_id, {NEEDED_BITS})) & {(1 << NEEDED_BITS) - 1}L")
+    size = _needed_bits(wanted.count())
+    slot = F.expr(f"(doc_id ^ shiftright(doc_id, {size})) & {(1 << size) - 1}L")
     bits = (wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")))
-    bitset = np.zeros((1 << NEEDED_BITS) // 64, np.int64)     # fixed size
+    bitset = np.zeros((1 << size) // 64, np.int64)
     for r in bits.collect():
         bitset[r["word"]] = r["v"]
-    wanted_bc = spark.sparkContext.broadcast(bitset.tobytes())
+    wanted_bc = spark.sparkContext.broadcast((size, bitset.tobytes()))
     seg = scratch.write(_segments(docs, n, wanted_bc, sketch_bc).join(wanted, ["doc_id", "sig"], "left_semi")
                         .select("sig", "frag", "seg"), f"segments_{tag}")
     left = pairs.select("a", "b").join(
@@ -311,6 +315,12 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     """doc_id, n_shingles, component_id of each document: two documents link
     when ``den * |A and B| >= num * |A or B|`` for their n-gram sets;
     component_id is the smallest id reachable over links."""
+    return _grouped(docs, words, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """:func:`ngram_components` with sig, the signature of the row's n-gram
+    set (null without words), and home, a number of the component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram_join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -323,11 +333,17 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
             F.min("doc_id").alias("rep"), *(F.max(m).alias(m) for m in MAP)), "classes")
 
     pre = scratch.write(_prefixes(docs, words, num, den, sketch_bc), "prefixes")
-    shared = scratch.write(pre.groupBy("gram").agg(F.min("sig").alias("low"), F.max("sig").alias("top"))
-                           .where("low < top").select("gram"), "shared")
-    bucket = scratch.write(pre.join(shared, "gram").select("gram", "sig", "n", "pos").distinct(), "bucket")
-    scratch.drop("prefixes", "shared")
-    scratch.release()
+    # one slice of the n-grams after the other, so that only a slice of the
+    # prefixes lies in shuffle files at a time
+    for part in range(SLICES):
+        some = pre.where(F.pmod("gram", F.lit(SLICES)) == part)
+        shared = scratch.write(some.groupBy("gram").agg(F.min("sig").alias("low"), F.max("sig").alias("top"))
+                               .where("low < top").select("gram"), f"shared_{part}")
+        own = scratch.write(some.join(shared, "gram").select("gram", "sig", "n", "pos").distinct(), f"bucket/{part}")
+        scratch.drop(f"shared_{part}")
+        scratch.release()
+    bucket = spark.read.schema(own.schema).parquet(*(scratch.path(f"bucket/{part}") for part in range(SLICES)))
+    scratch.drop("prefixes")
     # how much of a class's prefix others have too
     share = bucket.groupBy("sig").agg(
         (F.count(F.lit(1)) / (F.max("n") * (1 - num / den) + 1)).alias("share"))
@@ -400,19 +416,47 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     homes_of = scratch.write(classes.join(labels, F.col("sig") == F.col("node"), "left").select(
         "sig", "rep", F.coalesce("label", "sig").alias("home")), "homes_of")
     least = scratch.write(homes_of.groupBy("home").agg(F.min("rep").alias("component_id")), "least")
-    ids = scratch.write(homes_of.join(least, "home").select("sig", "component_id"), "ids")
+    ids = scratch.write(homes_of.join(least, "home").select("sig", "home", "component_id"), "ids")
     return rows.join(ids, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", F.col("n").alias("n_shingles"), "sig", "home",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _signed_rows(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """``docs`` with __sig, the signature of each row's n-gram set."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        cache = _WordHash()
+        for b in batches:
+            sets = [gram_set(t, words, cache) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([_signature(u) if len(u) else None for u in sets], pa.int64())],
+                names=[*b.schema.names, "__sig"])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__sig", T.LongType())]))
+
+
 def keep_one_per_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` (all columns) that are the smallest id of their
-    component.  Repeated rows of a kept id stay once; rows without an id
-    stay."""
-    found = ngram_components(docs, words, num, den, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(
-        kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()))
+    """Rows of ``docs`` (all columns): one of each component, with its
+    smallest id.  Repeated rows of a kept id stay once; rows without an id
+    stay, and so do rows without words, once per id.  Rows of one id with
+    different n-gram sets are told apart by their sets."""
+    scratch = Scratch(docs.sparkSession, "keep_one")
+    found = scratch.write(_grouped(docs, words, num, den, id_col, text_col).where("doc_id is not null").select(
+        "doc_id", "sig", "home", "component_id"), "found")
+    first = found.where("sig is not null and doc_id = component_id").groupBy("home").agg(
+        F.min("component_id").alias("__id"), F.min("sig").alias("__own"))
+    kept = scratch.write(first.select("__id", "__own").unionByName(
+        found.where("sig is null").select(F.col("doc_id").alias("__id"), F.lit(None).cast("long").alias("__own"))
+    ).distinct(), "kept")
+    set_of = F.struct(F.col("sig").isNull(), F.col("sig"))
+    mixed = scratch.write(found.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.min(set_of).alias("low"), F.max(set_of).alias("top")).where("low <> top").select("__id"), "mixed")
+    same_id = F.col(id_col) == F.col("__id")
+    out = docs.join(kept.join(mixed, "__id", "left_anti"), same_id, "left_semi").dropDuplicates([id_col])
+    if mixed.limit(1).count():
+        told = _signed_rows(docs.join(mixed, same_id, "left_semi"), words, text_col)
+        out = out.unionByName(told.join(
+            kept, same_id & F.col("__sig").eqNullSafe(F.col("__own")), "left_semi").dropDuplicates([id_col, "__sig"]).drop("__sig"))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -7,6 +7,12 @@ itself, so a tree of depth d takes about log2(d) rounds.  Branches of a tree
 are ranked by their score, and the chosen ones are formatted as one
 conversation each.
 
+A message whose parent is not there is a root.  In a circle of replies the
+smallest node counts as the root: its reply is left out, so the circle is a
+chain, and the rounds are bounded by log2 of the number of messages.  A
+circle that nothing else replies to has one leaf, the message that the root
+replied to.  Two messages of one node id are an error.
+
 The template is ``<|role|>\\n`` + text + ``</s>\\n`` per turn.  Control strings
 inside texts and roles are escaped: a backslash is doubled, and in ``<s>
 </s> [INST] [/INST] <<SYS>> <</SYS>> <|`` and ``|>`` one is put after the
@@ -40,10 +46,43 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """(node, over) twice as far up."""
+    return jumps.join(jumps.select(F.col("node").alias("over"), F.col("over").alias("far")), "over").select(
+        "node", F.col("far").alias("over"))
+
+
+def without_circles(messages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``messages`` (node, parent) with a null parent where it is not there
+    or where a circle of replies is cut, written."""
+    there = messages.select(F.col("node").alias("parent")).where("parent is not null").distinct()
+    known = scratch.write(messages.where("parent is not null").join(there, "parent").select("node", "parent"), "known")
+    rounds = max(1, int(messages.count()).bit_length())
+    # after more steps than there are messages, only what leads to a circle is left
+    far, k = known.select("node", F.col("parent").alias("over")), 0
+    while k < rounds and far.limit(1).count():
+        far, k = scratch.write(_doubled(far), f"far_{k}"), k + 1
+    circles = far.select(F.col("over").alias("node")).distinct()
+    if far.limit(1).count():
+        # each circle's smallest node, spread by doubling around the circle
+        ring = scratch.write(circles.join(known, "node").select(
+            "node", F.col("parent").alias("over"), F.least("node", "parent").alias("low")), "ring_0")
+        for k in range(1, rounds + 1):
+            next_ = ring.select(F.col("node").alias("over"), F.col("over").alias("far"), F.col("low").alias("far_low"))
+            ring = scratch.write(ring.join(next_, "over").select(
+                "node", F.col("far").alias("over"), F.least("low", "far_low").alias("low")), f"ring_{k}")
+        cut = ring.where(F.col("node") == F.col("low")).select("node")
+        known = known.join(cut, "node", "left_anti")
+    return scratch.write(messages.select("node").join(known, "node", "left"), "acyclic")
+
+
 def reply_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf, node, up) for every message on the path from each leaf to its
     root; ``up`` counts steps from the leaf.  ``messages`` has node and
     parent (null at a root)."""
+    if messages.groupBy("node").count().where("count > 1").limit(1).count():
+        raise ValueError("two messages have one node id")
+    messages = without_circles(messages, scratch)
     parents = messages.select(F.col("parent").alias("node")).where("node is not null").distinct()
     jumps = scratch.write(messages.where("parent is not null").select("node", F.col("parent").alias("over")),
                           "jump_0")
@@ -54,9 +93,7 @@ def reply_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
         farther = paths.join(jumps, "node").select("leaf", F.col("over").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         k += 1
         paths = scratch.write(paths.unionByName(farther), f"path_{k}")
-        next_ = jumps.join(jumps.select(F.col("node").alias("over"), F.col("over").alias("far")), "over").select(
-            "node", F.col("far").alias("over"))
-        jumps = scratch.write(next_, f"jump_{k}")
+        jumps = scratch.write(_doubled(jumps), f"jump_{k}")
         scratch.drop(f"path_{k - 1}", f"jump_{k - 1}")
     return paths
 

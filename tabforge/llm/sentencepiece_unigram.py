@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 UNIT = 64                   # scores are multiples of 1 / UNIT
 UNKNOWN_PENALTY = 10        # below the lowest score
-WORD_CACHE = 300_000
+WORD_CACHE = 300_000        # entries,
+CACHED_CHARS = 200          # of words up to this length
 BATCH_CHARS = 1 << 20
 
 _WORDS = re.compile(r"\n+| *[^ \n]+| +")
@@ -212,6 +213,8 @@ class Unigram:
         cache = self.cache
         cache.update(self._segment(set().union(*group) - cache.keys()))
         out = [b"".join([cache[w] for w in words]) for words in group]
+        for w in {w for words in group for w in words if len(w) > CACHED_CHARS}:
+            del cache[w]
         if len(cache) > WORD_CACHE:
             cache.clear()
         return out

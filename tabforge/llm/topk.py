@@ -1,8 +1,9 @@
 """Exact top-k inner product search by tiled matrix products.
 
-Queries are taken in blocks of at most ``BLOCK`` vectors (each block is
-broadcast: its size is bounded by construction), candidates stream through
-the tasks in tiles of at most ``TILE`` vectors.  A tile's product with the
+Queries are numbered and taken in blocks of at most ``BLOCK_BYTES`` (a block
+goes to the driver as one Arrow table and is broadcast: its size is bounded by
+construction; a scan of the candidates serves a whole block), candidates
+stream through the tasks in tiles of at most ``TILE`` vectors.  A tile's product with the
 block is reduced to each query's best k at once; a task merges its tiles, and
 the tasks' lists are merged in two levels, by groups of tasks and then per
 query, with ranked windows.  Every candidate is scored against every query of
@@ -13,7 +14,7 @@ in double precision where the tile's magnitudes prove them exact (below
 2**53), else in Python's integers.  Ties go to the smaller id.
 
 Null vectors and vectors that hold null or non-finite components take no
-part.  Vectors of different lengths do not meet.  Candidates are all rows but
+part; a component is non-finite if its multiple by the scale is.  Vectors of different lengths do not meet.  Candidates are all rows but
 those with the query's own id; repeated rows are candidates of their own, and
 repeated query rows are one query, and rows of one id with
 different vectors ask together.  Fewer than k candidates: all of them.  A
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, ranked
 
-BLOCK = 2048
+BLOCK_BYTES = 1 << 25       # of query components that one scan serves
 TILE = 4096
 CHUNK = 256                 # queries that are multiplied at a time
 MERGE_GROUP = 64            # tasks whose lists are merged first
@@ -44,8 +45,8 @@ def _quantise(v: np.ndarray, scale: int) -> np.ndarray:
     return np.floor(v.astype(np.float64) * scale)
 
 
-def _usable(vec: Column) -> Column:
-    return vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+def _usable(vec: Column, scale: int) -> Column:
+    return vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * float(scale)) == float("inf")))
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -125,13 +126,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     spark = vectors.sparkSession
     scratch = Scratch(spark, "top_k")
     cands = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                           is_query.alias("asks")).where(_usable(F.col("vec")) & F.col("vec_id").isNotNull())
+                           is_query.alias("asks")).where(_usable(F.col("vec"), scale) & F.col("vec_id").isNotNull())
     queries = scratch.write(cands.where("asks").select("vec_id", "vec").distinct(), "queries")
     dims = sorted(r["d"] for r in queries.select(F.size("vec").alias("d")).distinct().collect())
     lists = None
     for dim in dims:
-        of_dim = queries.where(F.size("vec") == dim).orderBy("vec_id", "vec")
-        for q_ids, q in _blocks(of_dim, dim):
+        of_dim = ranked(queries.where(F.size("vec") == dim), [F.col("vec_id"), F.col("vec")], scratch, f"queries_{dim}")
+        for q_ids, q in _blocks(of_dim, dim, max(1, BLOCK_BYTES // (8 * max(1, dim)))):
             found = _search_block(cands.select("vec_id", "vec"), q_ids, _quantise(q, scale), k, scale)
             found.write.mode("append").parquet(scratch.path("lists"))
             lists = found.schema
@@ -146,14 +147,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _blocks(queries: DataFrame, dim: int):
-    """The query vectors in blocks of at most BLOCK, one at a time."""
-    ids, rows = [], []
-    for r in queries.toLocalIterator():
-        ids.append(r["vec_id"])
-        rows.append(r["vec"])
-        if len(ids) == BLOCK:
-            yield np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), dim)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), dim)
+def _blocks(queries: DataFrame, dim: int, size: int):
+    """The numbered query vectors in blocks of at most ``size``, one at a
+    time."""
+    n = queries.count()
+    for lo in range(0, n, size):
+        block = queries.where(F.col("at").between(lo, lo + size - 1)).select("vec_id", "vec").toArrow().combine_chunks()
+        yield block.column(0).to_numpy(), np.concatenate(
+            [_matrix(c, dim) for c in block.column(1).chunks] or [np.zeros((0, dim))])

@@ -11,8 +11,11 @@ by the clause that it stands in.
 
 The insult words, their weights and the weights of the clause kinds are
 learned from labelled rows: at most ``SAMPLE`` of them, the ones with the
-smallest hashes (the only bound; texts are read whole, and every document is
-scored).  Inflected words are learned as stems (a prefix with ``*``).
+smallest hashes (the only bound; texts are read whole, all their words are
+looked at, and every document is scored).  A word is learned from ``FLOOR``
+toxic texts on, however many labels there are.  Inflected words are learned
+as stems (a prefix with ``*``).  ``FLOOR``, ``COVER`` and ``CLEAN_COST`` were
+chosen by four folds inside the training rows.
 
 Null or empty text: the score without any clause.  No labels, or labels of
 one kind only: score 0 for every text.  Repeated rows get equal scores.
@@ -35,12 +38,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, filter_rows
 
 SAMPLE = 12_000             # labelled rows that a model is fitted on, at most
-UNITS = 60_000              # words and stems looked at while fitting, at most
-LEXICON = 3_000             # words and stems in a fitted lexicon, at most
+FLOOR = 3                   # toxic texts that a unit must cover at least
 STEM_LENGTHS = (4, 5, 6)
 COVER = 3                   # units wanted in each toxic text
 CLEAN_COST = 10             # toxic texts that a unit must cover to make up for one clean text
-WORD_CACHE = 400_000
+WORD_CACHE = 400_000        # entries,
+CACHED_CHARS = 200          # of words up to this length
 THRESHOLD = 0.3
 NEGATION_SCOPE = 4          # words
 
@@ -149,7 +152,9 @@ class _Symbols(dict):
         if len(self) >= WORD_CACHE:
             self.clear()
         hits = [self.lexicon[u] for u in units_of(w) if u in self.lexicon]
-        v = self[w] = (INSULT, max(hits)) if hits else self.fixed.get(w, (OTHER, 0.0))
+        v = (INSULT, max(hits)) if hits else self.fixed.get(w, (OTHER, 0.0))
+        if len(w) <= CACHED_CHARS:
+            self[w] = v
         return v
 
 
@@ -177,7 +182,7 @@ def clause_weights(text: str, symbols: dict) -> list[float]:
 # --- learning ------------------------------------------------------------
 
 def _units(text: str) -> set[str]:
-    return {u for w in set(_TOKEN.findall(text.lower())) if 2 < len(w) <= 40 for u in units_of(w)}
+    return {u for w in set(_TOKEN.findall(text.lower())) for u in units_of(w)}
 
 
 def _sum_per_unit(train: DataFrame, toxic: int, wanted) -> DataFrame:
@@ -205,17 +210,16 @@ def _pick_units(rows: list[list[str]], t: dict, c: dict, n_toxic: int, n_clean:
         for u in us:
             holders.setdefault(u, []).append(i)
     open_ = [COVER] * len(rows)
-    least = max(3, n_toxic // 100)
     # of equal use, first what shares its stem with no word of clean texts
     k = STEM_LENGTHS[0]
     common = lambda u: c.get(u[:k] + "*" if len(u) > k else u, 0)
     cost = {u: CLEAN_COST * c.get(u, 0) for u in holders}
     heap = [(cost[u] - len(h), common(u), u.endswith("*"), -len(u), u) for u, h in holders.items()
-            if len(h) >= least + cost[u]]
+            if len(h) >= FLOOR + cost[u]]
     heapq.heapify(heap)
     lexicon: dict[str, float] = {}
     words: dict[str, int] = {}          # stems of words in the lexicon: texts with the word
-    while heap and len(lexicon) < LEXICON:
+    while heap:
         was, *rest, u = heapq.heappop(heap)
         bare = u.rstrip("*")
         if any(bare[:n] + "*" in lexicon for n in STEM_LENGTHS if n <= len(bare)):
@@ -223,7 +227,7 @@ def _pick_units(rows: list[list[str]], t: dict, c: dict, n_toxic: int, n_clean:
         if len(holders[u]) <= 1.2 * words.get(u, 0):
             continue                    # little more than a word that is in
         gain = sum(open_[i] > 0 for i in holders[u])
-        if gain < least + cost[u]:
+        if gain < FLOOR + cost[u]:
             continue
         if cost[u] - gain > was:    # out of date
             heapq.heappush(heap, (cost[u] - gain, *rest, u))
@@ -268,8 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_clean:
         return {"lexicon": {}, "weights": None}
-    t = {r["unit"]: r["docs"] for r in _sum_per_unit(train, 1, None).where("docs >= 2").orderBy(
-        F.desc("docs"), "unit").limit(UNITS).collect()}
+    t = {r["unit"]: r["docs"] for r in _sum_per_unit(train, 1, None).where(F.col("docs") >= FLOOR).collect()}
     wanted = spark.sparkContext.broadcast(set(t))
     c = {r["unit"]: r["docs"] for r in _sum_per_unit(train, 0, wanted).collect()}
     pure = {u for u in t if c.get(u, 0) * n_toxic * 20 <= t[u] * n_clean and c.get(u, 0) * 4 <= t[u]}

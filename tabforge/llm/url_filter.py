@@ -2,18 +2,22 @@
 
 A rule is (verdict, host, path).  It fits a URL if the URL's host is the
 rule's host or a subdomain of it and the URL's path starts with the rule's
-path.  Each distinct URL is expanded into its host suffixes times the folders
-of its path (the path up to each slash, and the empty path); each rule is
-filed under its host and the folder that its path ends in.  Both sides carry
-the SHA-256 of that expression: they are equi-joined on its first four bytes,
-then the full digests are compared and the rest of the rule's path is
-confirmed.  The longest fitting rule wins; of equally long ones the one with
-the longer host, then a block.
+path.  Each rule is filed under its host and the folder that its path ends in
+(the path up to its last slash).  Each distinct URL is expanded into host
+suffixes times folders of its path: those of a shape - number of host labels,
+depth of the folder - that some rule has, so a URL of any length gives at
+most as many expressions as the rules have shapes, each made in one pass over
+the URL.  Both sides carry the SHA-256 of that expression: they are
+equi-joined on its first four bytes, then the full digests are compared and
+the rest of the rule's path is confirmed.  The longest fitting rule wins; of
+equally long ones the one with the longer host, then a block.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there up to ``?``, ``#`` or the end.  Null, or no
 ``://``: both empty, and no rule fits.  No fitting rule: ``allow``.
-Repeated URLs are expanded once and every row gets its verdict.
+Repeated URLs are expanded once and every row gets its verdict.  A rule
+without a host fits nothing; without a path it fits all paths.  No rules:
+every verdict is ``allow``.
 """
 
 from __future__ import annotations
@@ -44,29 +48,41 @@ def _expression(host: Column, folder: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), folder), 256)
 
 
-def _expansions(host: Column, path: Column) -> Column:
-    """Digests of all host suffixes with all folders of the path."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
-    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(
-        F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(i, F.lit(1))), "/"), F.lit("/"))))
-    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(folders, lambda f: _expression(h, f)))))
+def _labels(host: Column) -> Column:
+    return F.size(F.split(host, r"\."))
+
+
+def _depth(path: Column) -> Column:
+    """Slashes of a path."""
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def _expansions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Digests of the host suffixes and folders of the rules' shapes; a URL
+    that is too short for a shape gives an expression that no rule fits."""
+    def folder(depth):
+        return F.concat(F.substring_index(path, "/", depth), F.lit("/")) if depth else F.lit("")
+    return F.array_distinct(F.array(*(
+        _expression(F.substring_index(host, ".", -labels), folder(depth)) for labels, depth in shapes)))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """(url, host, path, rule, verdict) of each distinct URL of ``pages``.
     ``rules``: verdict, host, path."""
-    rules = rules.select(
+    rules = rules.where("host is not null").select(
         F.col("verdict").alias("r_verdict"), F.translate("host", _UPPER, _LOWER).alias("r_host"),
-        F.col("path").alias("r_path")).distinct().withColumn(
+        F.coalesce("path", F.lit("")).alias("r_path")).distinct().withColumn(
         "r_digest", _expression(F.col("r_host"), F.regexp_extract("r_path", r"(?s)^(.*/)?[^/]*$", 1))).withColumn(
         "r_short", F.substring("r_digest", 1, PREFIX_DIGITS))
+    # a few numbers, whatever the number of rules
+    shapes = sorted((r["labels"], r["depth"]) for r in rules.select(
+        _labels(F.col("r_host")).alias("labels"), _depth(F.col("r_path")).alias("depth")).distinct().collect())
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select(
         "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if not shapes:
+        return urls.select("url", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     spread = urls.where("host <> ''").select(
-        "url", "host", "path", F.explode(_expansions(F.col("host"), F.col("path"))).alias("digest")).withColumn(
+        "url", "host", "path", F.explode(_expansions(F.col("host"), F.col("path"), shapes)).alias("digest")).withColumn(
         "short", F.substring("digest", 1, PREFIX_DIGITS))
     fits = spread.join(rules, F.col("short") == F.col("r_short")).where(
         (F.col("digest") == F.col("r_digest")) & F.col("path").startswith(F.col("r_path"))

@@ -114,8 +114,36 @@ def test_near_copy_stage_keeps_one_of_each_group(spark):
     assert ngram_join.ngram_components(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (6, b), (5, b), (7, c), (7, a + " tail"), (8, ""), (8, c), (9, None), (9, "")]
+    kept = ngram_join.keep_one_per_group(_docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(2, a), (5, b), (7, c), (8, ""), (9, "")]
+
+
 # --- packing
 
+def _pack_here(docs, idf, mean, window):
+    """Pieces (document's place in ``docs``, start, length, sequence, offset)
+    of a few documents (doc_id, ids), packed here."""
+    n = np.array([len(ids) for _, ids in docs], np.int64)
+    bm = bm25_pack._Bm25(idf, mean, window, np.zeros(0, np.int64))
+    terms = [bm.weights(ids[k:]) for (_, ids), k in zip(docs, n // window * window)]
+
+    def ask(seeds, counts, unused):
+        own = np.flatnonzero(unused)
+        tile = bm25_pack._Tile(bm, own, [len(terms[i][0]) for i in own], np.concatenate([terms[i][0] for i in own]),
+                     np.concatenate([terms[i][1] for i in own]))
+        return [f["item"] for f in tile.best(seeds, [terms[i][0] for i in seeds], counts, len(docs))]
+    windows = bm25_pack._Windows(n // window * window, n % window, window, ask)
+    pieces = [p for block in windows.run() for p in block]
+    for i, k in enumerate(n // window):
+        for w in range(k):
+            pieces.append((i, w * window, window, windows.seq, 0))
+            windows.seq += 1
+    return pieces, windows.seq
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
     tk, enc = Tokenizer.from_file(bm25_pack.default_tokenizer()), bm25_pack.Encoder(bm25_pack.default_tokenizer())
@@ -160,7 +188,7 @@ def test_neighbours_share_a_window():
     rng = np.random.default_rng(0)
     topics = [np.arange(100 * k, 100 * k + 60) for k in range(8)]
     docs = [(i, rng.choice(topics[i % 8], 500).astype("<u2")) for i in range(64)]
-    pieces, _ = bm25_pack.pack_shard(docs, np.ones(1000), 500.0, 2048)
+    pieces, _ = _pack_here(docs, np.ones(1000), 500.0, 2048)
     by = defaultdict(set)
     for i, _, _, seq, _ in pieces:
         by[seq].add(i % 8)
@@ -182,11 +210,53 @@ def test_neighbours_come_from_the_whole_corpus(spark):
     assert all(any({i, i + 50} <= v for v in by_seq.values()) for i in range(40))
 
 
+def test_neighbours_are_those_of_a_brute_force_search(spark):
+    """Every window's documents, one seed after the other, by BM25 scores of
+    all unused rests."""
+    rng, window = random.Random(12), 64
+    vocab = [f"word{i}" for i in range(90)]
+    texts = [(i, " ".join(rng.choices(vocab, [1 / (k + 1) for k in range(90)], k=rng.randint(0, 150)))) for i in range(19)]
+    texts += [(i, texts[3][1]) for i in range(19, 24)]      # copies; every seed's list holds all of these
+    rows = bm25_pack.pack_documents(_docs(spark, texts).coalesce(1), window=window, with_ids=True).collect()
+    enc = bm25_pack.Encoder(bm25_pack.default_tokenizer())
+    ids = [[*np.frombuffer(enc.encode(t), enc.dtype).tolist(), bm25_pack.EOS] for _, t in texts]
+    rest = [v[len(v) // window * window:] for v in ids]
+    left = [len(r) for r in rest]
+    n_items, df = sum(map(bool, left)), Counter(t for r in rest for t in set(r))
+    mean = sum(left) / n_items
+    idf = {t: np.log1p((n_items - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    top = np.log1p((n_items + 0.5) / 0.5) if enc.size > len(df) else max(idf.values())   # of tokens that no rest has
+    scale = 2.0 ** np.floor(np.log2(min((1 << 24) / window, 1 << 15) / max(1e-9, top * (bm25_pack.K1 + 1))))
+
+    def weight(t, r):
+        tf = r.count(t)
+        return np.rint(np.float32(0) + idf[t] * tf * (bm25_pack.K1 + 1) / (
+            tf + bm25_pack.K1 * (1 - bm25_pack.B + bm25_pack.B * len(r) / mean)) * scale)
+    index = [{t: weight(t, r) for t in set(r)} for r in rest]
+    want, n = [], len(texts)
+    while any(left):
+        seed = next(i for i in range(n) if left[i])
+        near = sorted((i for i in range(n) if left[i] and i != seed), key=lambda i: (
+            -sum(index[i].get(t, 0) for t in index[seed]), (i - seed) % n))
+        room, held = window, []
+        for i in [seed, *near]:
+            take = min(room, left[i])
+            if take:
+                held.append((texts[i][0], take))
+                left[i] -= take
+                room -= take
+        want.append(held)
+    by_seq = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        by_seq[r["sequence_id"]].append((r["doc_id"], r["length"]))
+    assert [by_seq[k] for k in range(len(want))] == want
+
+
 def test_short_texts_fill_windows_too():
     rng = np.random.default_rng(3)
     docs = [(i, np.array([1], "<u2")) for i in range(700)]
     docs += [(i, rng.integers(0, 300, k).astype("<u2")) for i, k in enumerate(rng.integers(1, 150, 300))]
-    pieces, n = bm25_pack.pack_shard(docs, np.linspace(0.1, 5, 300), 20.0, 128)
+    pieces, n = _pack_here(docs, np.linspace(0.1, 5, 300), 20.0, 128)
     sizes = Counter()
     for i, start, length, seq, offset in pieces:
         sizes[seq] += length
@@ -213,6 +283,11 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_components_beyond_the_doubles_take_no_part(spark):
+    df = spark.createDataFrame([(0, [1e306, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()] == [(100, 1, 1, 1024 * 1024)]
+
+
 def test_block_and_tile_sizes_do_not_matter(monkeypatch):
     rng = np.random.default_rng(6)
     q, c, ids = rng.integers(-3, 4, (5, 4)).astype(float), rng.integers(-3, 4, (90, 4)).astype(float), np.arange(90)
@@ -242,6 +317,33 @@ def test_branches_of_a_tree(spark):
     assert out[1, 1]["formatted"].count("</s>") == 4 and "<|user|>\nhi <\\|user|\\>" in out[1, 1]["formatted"]
 
 
+def test_circles_missing_parents_and_repeated_nodes(spark):
+    rows = [(1, "a", "b"), (1, "b", "a"),                                       # a circle alone
+            (2, "c", "e"), (2, "d", "c"), (2, "e", "d"), (2, "f", "d"),         # a circle with a reply
+            (3, "g", "nowhere"), (3, "h", "g"), (4, "i", "i")]                  # no parent, own parent
+    df = spark.createDataFrame([(t, n, p, "user", n, 1.0) for t, n, p in rows],
+                               "tree long, node string, parent string, role string, text string, score double")
+    out = reply_trees.format_trees(df, branches=9).withColumn("turns", reply_trees.read_turns(F.col("formatted")))
+    got = {(r["tree"], r["leaf"]): "".join(t["text"] for t in r["turns"]) for r in out.collect()}
+    assert got == {(1, "b"): "ab", (2, "e"): "cde", (2, "f"): "cdf", (3, "h"): "gh", (4, "i"): "i"}
+    with pytest.raises(ValueError, match="node"):
+        reply_trees.format_trees(df.unionByName(df.limit(1)))
+
+
+def test_long_circle_ends(spark):
+    df = spark.range(300).select(F.lit(1).alias("tree"), F.col("id").alias("node"), ((F.col("id") + 1) % 300).alias("parent"),
+                                 F.lit("user").alias("role"), F.lit("x").alias("text"), F.lit(1.0).alias("score"))
+    out = reply_trees.format_trees(df).collect()
+    assert [(r["leaf"], r["n_turns"]) for r in out] == [(1, 300)]
+
+
+def test_null_conversations_are_one(spark):
+    df = spark.createDataFrame([(None, 1, "user", "b"), (None, 0, "user", "a"), (3, 0, "user", "c")],
+                               "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in reply_trees.format_conversations(df).collect()}
+    assert got == {None: 2, 3: 1}
+
+
 def test_conversations_read_back(spark):
     rng = random.Random(8)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>", "\\", "<", ">", "|", "[", "\n", "é", " a"]
@@ -295,6 +397,18 @@ def test_url_rules_against_brute_force(spark):
         assert (r["rule"], r["verdict"]) == ((best[3], best[4]) if best else (None, "allow"))
 
 
+def test_very_long_urls_and_odd_rules(spark):
+    deep = "http://" + "a." * 300_000 + "example.org/" + "es/" * 300_000
+    df = spark.createDataFrame([(1, deep), (2, "http://example.org" + "/x" * 400_000), (3, "http://x.org/es/")],
+                               "page_id long, url string")
+    rows = spark.createDataFrame(url_filter.RULES + [("block", None, "/"), ("block", "x.org", None)],
+                                 "verdict string, host string, path string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.filter_pages(df, rows).collect()}
+    assert got == {1: "example.org/es/", 2: "org/", 3: "x.org"}
+    none = url_filter.filter_pages(df, rows.limit(0)).collect()
+    assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")}
+
+
 # --- pipeline
 
 def test_pipeline_stage_by_stage(spark):

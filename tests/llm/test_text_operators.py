@@ -57,10 +57,26 @@ def test_every_failing_line_counts_against_the_document():
         assert not got["base_failed"] and not got["kept"]
     prose = "ten short words of a clean text that shall stay"
     licence = "This work is licensed under the terms of a licence whose long name stands here"
-    assert line_rules.judge(licence + "\n" + prose)["kept"]
+    # a lone boilerplate line counts like any other
+    assert not line_rules.judge(licence + "\n" + prose)["kept"] and line_rules.judge(
+        licence + "\n" + prose + " and nine more words follow here so that most of it stays")["kept"]
     assert not line_rules.judge(licence)["kept"] and not line_rules.judge((licence + "\n") * 2 + prose)["kept"]
 
 
+def test_kept_documents_lose_their_failing_lines(spark):
+    prose = "\n".join(" ".join(f"word{i}{c}" for c in "abcdefghijkl") + "." for i in range(8))
+    junk = "home | login | menu | search\nAll rights reserved.\n"
+    df = spark.createDataFrame([(1, junk + prose, 400), (2, junk, 50), (3, prose, None), (4, None, None)],
+                               "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_rules.clean_good(df).collect()}
+    assert got == {1: (prose, len(prose)), 3: (prose, None)}
+
+
+def test_one_boilerplate_line_can_reject():
+    text = "copyright (c) " + "word " * 600 + "\ntwo more"
+    assert not line_rules.judge(text)["kept"]
+
+
 def test_quality_labels_of_documents(spark):
     docs = read(spark, SF, "documents").join(read(spark, SF, "labels"), "doc_id")
     got = line_rules.judge_documents(docs).join(read(spark, SF, "labels").select("doc_id", "quality"), "doc_id")
@@ -71,7 +87,7 @@ def test_quality_labels_of_documents(spark):
 def test_filters_keep_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "few words", "x", 5), (2, None, None, None)],
                                "doc_id long, text string, kept string, n_words int")
-    assert line_rules.keep_good(df).columns == df.columns and line_rules.keep_good(df).count() == 0
+    assert line_rules.clean_good(df).columns == df.columns and line_rules.clean_good(df).count() == 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_rules.judge_documents(empty).count() == 0
     model = {"lexicon": {}, "weights": None}
@@ -190,3 +206,13 @@ def test_html_edges(spark):
     got = {r["page_id"]: r for r in html_lstm.extract_pages(df).collect()}
     assert len(got) == len(odd) and got[0]["text"] == "" and got[1]["n_chars"] == 0 and got[6]["text"] == ""
     assert [b.text for b in html_lstm.blocks_of("<p>a &amp; b&lt;<b>c</b>d\n e<br>f<p>g")] == ["a & b<cd e f", "g"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a \"" * 250_000 + ">", "<div>x" * 100_000, "<div>" * 50_000 + "</p>x" * 50_000,
+                                  "<!" * 500_000, "<script>x" * 100_000, "<a<b " * 200_000 + "\">"])
+def test_broken_markup_takes_linear_time(page):
+    import time
+    began = time.time()
+    blocks = html_lstm.blocks_of(page)
+    html_lstm.Vectors()(blocks) if blocks else None
+    assert time.time() - began < 20
