@@ -325,7 +325,24 @@ def q_yj_round(spark, sf):
     return f.select(*C.TIE_KEY, r(inv_yeojohnson(yeojohnson("t", 0.3), 0.3)).alias("t_back"))
 
 
-@register("power_fit", "F10 F11")
+# The grid zoom of the lambda search: 21 points, six rounds.
+_LAMBDA_CTE = """
+tr AS (SELECT * FROM flights WHERE date < DATE '1999-01-01'),
+xs AS (SELECT 'box-cox' AS strategy, 'price' AS c, price / exp((SELECT avg(ln(price)) FROM tr)) AS x FROM tr UNION ALL
+       SELECT 'box-cox', 'distance', distance / exp((SELECT avg(ln(distance)) FROM tr)) FROM tr UNION ALL
+       SELECT 'yeo-johnson', 'time', time + 1.0 FROM tr),
+lam AS (WITH RECURSIVE it(i, strategy, c, lo, hi, lam) AS (
+  SELECT 0, strategy, c, -4.0::DOUBLE, 4.0::DOUBLE, NULL::DOUBLE FROM xs GROUP BY strategy, c UNION ALL
+  SELECT i + 1, strategy, c, arg_max(l, llf) - any_value(step), arg_max(l, llf) + any_value(step), arg_max(l, llf) FROM (
+    SELECT i, strategy, c, l, any_value((hi - lo) / 20) AS step, (l - 1) * sum(ln(x)) - count(*) / 2.0 * ln(var_pop(
+             CASE WHEN abs(l) < 1e-12 THEN ln(x) ELSE (pow(x, l) - 1) / l END)) AS llf
+    FROM (SELECT *, lo + (hi - lo) * k / 20 AS l FROM it, range(21) r(k) WHERE i < 6) JOIN xs USING (strategy, c)
+    GROUP BY i, strategy, c, l) GROUP BY i, strategy, c)
+  SELECT strategy, c, lam FROM it WHERE i = 6)"""
+
+
+@register("power_fit", "F10 F11", with_flights(
+    "SELECT strategy, c AS column, ROUND(lam, 4) AS lambda FROM lam", extra=_LAMBDA_CTE))
 def q_power_fit(spark, sf):
     """Fitted lambdas (grid-zoom maximum likelihood) for Box-Cox and
     Yeo-Johnson; checked against a NumPy brute force in the tests."""

@@ -30,6 +30,16 @@ def _row(rule, kind, column, success, bad="NULL", elems="NULL"):
             f"CAST({elems} AS BIGINT) AS element_count")
 
 
+_NUMBERS = ["TINYINT", "SMALLINT", "INTEGER", "BIGINT", "FLOAT", "DOUBLE"]
+# DuckDB types that each type name of the suites accepts
+_DUCK_TYPES = {"int": _NUMBERS[:4], "int64": ["BIGINT"], "int32": ["INTEGER"], "int16": ["SMALLINT"], "int8": ["TINYINT"],
+               "float64": ["DOUBLE"], "float32": ["FLOAT"], "category": ["VARCHAR"], "datetime64[ns]": ["DATE", "TIMESTAMP"]}
+
+
+def _type_sql(c, src, types):
+    return f"(SELECT bool_and(typeof(\"{c}\") IN ({', '.join(repr(t) for t in types)})) FROM {src})"
+
+
 # Raw columns as the SQL side sees them (bronze view of the flights CTE)
 _RAW_SQL = ("raw AS (SELECT travel_code AS travelCode, user_code AS userCode, from_location AS "
             "\"from\", to_location AS \"to\", flight_type AS flightType, price, time, distance, "
@@ -45,14 +55,14 @@ def _bronze_sql():
                          f"(SELECT count_if(\"{c}\" IS NULL) = 0 FROM raw)",
                          f"(SELECT count_if(\"{c}\" IS NULL) FROM raw)", "(SELECT count(*) FROM raw)"))
     for c in suites.RAW_NUMERIC:
-        rows.append(_row(f"type_in_list:{c}", "type_in_list", c, "TRUE"))
+        rows.append(_row(f"type_in_list:{c}", "type_in_list", c, _type_sql(c, "raw", _NUMBERS)))
         if c in suites.RAW_NON_NEGATIVE:
             rows.append(_row(f"between:{c}", "between", c,
                              f"(SELECT count_if(\"{c}\" < 0) = 0 FROM raw)",
                              f"(SELECT count_if(\"{c}\" < 0) FROM raw)",
                              f"(SELECT count(\"{c}\") FROM raw)"))
     for c in suites.RAW_STRING:
-        rows.append(_row(f"type_in_list:{c}", "type_in_list", c, "TRUE"))
+        rows.append(_row(f"type_in_list:{c}", "type_in_list", c, _type_sql(c, "raw", ["VARCHAR"])))
     bad_date = "count_if(try_strptime(date, '%Y-%m-%d') IS NULL AND date IS NOT NULL)"
     rows.append(_row("matches_strftime:date", "matches_strftime", "date",
                      f"(SELECT {bad_date} = 0 FROM raw)", f"(SELECT {bad_date} FROM raw)",
@@ -75,7 +85,7 @@ def q_gate_bronze(spark, sf):
 _KEY = ", ".join(suites.SILVER_KEY)
 
 _SILVER_SQL = f"""
-SELECT CAST(travel_code AS SMALLINT) AS travel_code, CAST(user_code AS SMALLINT) AS user_code,
+SELECT CAST(travel_code AS BIGINT) AS travel_code, CAST(user_code AS BIGINT) AS user_code,
        from_location, to_location, flight_type, price, CAST(time AS FLOAT) AS time,
        CAST(distance AS FLOAT) AS distance, agency, date,
        CAST(year(date) AS SMALLINT) AS year, CAST(month(date) AS TINYINT) AS month,
@@ -91,9 +101,15 @@ def _silver(spark, sf):
                             tie_key=["travel_code", "line_number", "part_key", "supp_key"])
 
 
+def _wide_codes(s):
+    """Codes as long: the type that narrowing picks for them depends on the
+    table's size (``type_narrowing_report`` checks the rule)."""
+    return s.withColumns({c: F.col(c).cast("long") for c in ("travel_code", "user_code")})
+
+
 @register("silver_layer", "L2 P1 P2 P4 P5 P9 U3 X1", with_flights(_SILVER_SQL))
 def q_silver(spark, sf):
-    return _silver(spark, sf)
+    return _wide_codes(_silver(spark, sf))
 
 
 @register("silver_group_stats", "L2 A1", with_flights(
@@ -119,7 +135,7 @@ def _silver_gate_sql():
                  "(SELECT avg(price) BETWEEN 100 AND 5000 FROM s)")]
     for c, t in C.SILVER_TYPES.items():
         kind = "type_in_list" if t == "category" else "type_is"
-        rows.append(_row(f"{kind}:{c}", kind, c, "TRUE"))
+        rows.append(_row(f"{kind}:{c}", kind, c, _type_sql(c, "s", _DUCK_TYPES[t])))
     for c in suites.SILVER_REQUIRED:
         rows.append(_row(f"not_null:{c}", "not_null", c,
                          f"(SELECT count_if({c} IS NULL) = 0 FROM s)",
@@ -239,7 +255,7 @@ def _gold_sql(cond=f"date >= DATE '{GOLD_TRAIN_END}'", wrap=None):
         f"(SELECT DISTINCT {c} AS v FROM s WHERE date < DATE '{GOLD_TRAIN_END}' AND {c} IS NOT NULL))"
         for c in _ENC)
     body = f"""
-SELECT CASE g.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0 END AS flight_type,
+SELECT CAST(CASE g.flight_type WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0 END AS DOUBLE) AS flight_type,
        {', '.join(f"COALESCE((SELECT k FROM code_{c} WHERE v = g.{c}), -1.0) AS {c}" for c in _ENC)},
        CAST(g.price AS DOUBLE) AS price, CAST(g.time AS DOUBLE) AS time,
        CAST(g.distance AS DOUBLE) AS distance, CAST(g.year AS DOUBLE) AS year,
@@ -279,7 +295,7 @@ def _gold_gate_sql():
             _row("between:price", "between", "price", "(SELECT count_if(price < 0) = 0 FROM g)",
                  "(SELECT count_if(price < 0) FROM g)", "(SELECT count(price) FROM g)"),
             _row("row_count_between", "row_count_between", None, "(SELECT count(*) >= 10 FROM g)")]
-    rows += [_row(f"type_in_list:{c}", "type_in_list", c, "TRUE") for c in _GOLD_COLS]
+    rows += [_row(f"type_in_list:{c}", "type_in_list", c, _type_sql(c, "g", _NUMBERS)) for c in _GOLD_COLS]
     rows += [_row(f"not_null:{c}", "not_null", c, f"(SELECT count_if({c} IS NULL) = 0 FROM g)",
                   f"(SELECT count_if({c} IS NULL) FROM g)", "(SELECT count(*) FROM g)")
              for c in _GOLD_COLS]
@@ -498,7 +514,7 @@ def q_silver_route(spark, sf):
     base = f"{ensure_checkpoint_dir(spark)}/layers_{uuid.uuid4().hex}"
     path = route_write(s, ok, f"{base}/processed", f"{base}/quarantine", "silver")
     area = "processed" if ok else "quarantine"
-    return spark.read.parquet(path).select(F.lit(area).alias("routed_to"), *s.columns)
+    return _wide_codes(spark.read.parquet(path)).select(F.lit(area).alias("routed_to"), *s.columns)
 
 
 @register("bronze_route", "S6 S1 Q16 L1", with_flights(

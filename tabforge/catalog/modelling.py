@@ -74,7 +74,24 @@ def q_linreg(spark, sf):
     return t.select("feature", r("value", 3))
 
 
-@register("penalized_coef", "M2 M3 M4 M5")
+# With both coefficients away from zero the l1 penalty only shifts the
+# covariances by its sign.
+_TWO_FEATURES_SQL = """
+SELECT model, feature, ROUND(value, 2) AS value FROM (
+  SELECT model, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (
+    SELECT *, ((s22 + l2) * t1 - s12 * t2) / ((s11 + l2) * (s22 + l2) - s12 * s12) AS b1,
+           ((s11 + l2) * t2 - s12 * t1) / ((s11 + l2) * (s22 + l2) - s12 * s12) AS b2 FROM (
+      SELECT *, c1 - l1 * sign(s22 * c1 - s12 * c2) AS t1, c2 - l1 * sign(s11 * c2 - s12 * c1) AS t2 FROM (
+        SELECT var_pop(time) AS s11, var_pop(distance) AS s22, covar_pop(time, distance) AS s12,
+               covar_pop(time, price) AS c1, covar_pop(distance, price) AS c2, avg(price) AS my, avg(time) AS m1,
+               avg(distance) AS m2, count(*) AS n FROM flights),
+        LATERAL (VALUES ('Ridge', 0.0, 1000.0 / n), ('Lasso', 10.0, 0.0), ('ElasticNet', 5.0, 5.0),
+                        ('SGDRegressor', 0.0, 0.0001)) v(model, l1, l2)))) x,
+  LATERAL (VALUES ('intercept', b0), ('time', b1), ('distance', b2)) w(feature, value)
+"""
+
+
+@register("penalized_coef", "M2 M3 M4 M5", with_flights(_TWO_FEATURES_SQL))
 def q_penalized(spark, sf):
     """Ridge / Lasso / ElasticNet / SGD(l2) coefficients on the same inputs
     (penalties translated to MLlib's parameterisation)."""
@@ -83,10 +100,10 @@ def q_penalized(spark, sf):
     for name, p in [("Ridge", {"alpha": 1000.0}), ("Lasso", {"alpha": 10.0}),
                     ("ElasticNet", {"alpha": 10.0, "l1_ratio": 0.5}),
                     ("SGDRegressor", {"alpha": 0.0001})]:
-        m = make_estimator(name, p, label="price", train=f).fit(f)
+        m = make_estimator(name, {**p, "tol": 1e-13, "max_iter": 1000}, label="price", train=f).fit(f)
         t = coefficients_table(spark, m, ["time", "distance"]).withColumn("model", F.lit(name))
         out = t if out is None else out.unionByName(t)
-    return out
+    return out.select("model", "feature", r("value", 2).alias("value"))
 
 
 _ONE_FEATURE_SQL = """
@@ -189,7 +206,7 @@ pred AS (SELECT fo.fold, p.price, fit.a + fit.b * p.time AS yhat
 
 def _cv_metrics(spark, sf):
     f = flights(spark, sf)
-    ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price")
+    ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price", prune=False)
     return cv.time_cv_metrics(ordered, n, "LinearRegression", {}, ["time"], "price", 5,
                               parallelism=4)
 
@@ -220,7 +237,7 @@ def q_cv_scales(spark, sf):
     f = flights(spark, sf).select("date", *C.TIE_KEY, "time", "price")
     pw = fit_power(f, ["price"], "log")
     sc = fit_scaler(pw.transform(f), ["price"], "standard")
-    ordered, n = cv.ordered_frame(sc.transform(pw.transform(f)), "date", C.TIE_KEY, ["time"], "price")
+    ordered, n = cv.ordered_frame(sc.transform(pw.transform(f)), "date", C.TIE_KEY, ["time"], "price", prune=False)
     met = cv.time_cv_metrics(ordered, n, "LinearRegression", {}, ["time"], "price", 5, scaler=sc, power=pw)
     path = _staging(spark, "cv_metrics")
     sinks.write_metrics(met, path)
@@ -286,9 +303,9 @@ def q_importance(spark, sf):
 
 # --- H1s-H4s -----------------------------------------------------------------
 
-def _search_frame(spark, sf):
+def _search_frame(spark, sf, prune):
     f = flights(spark, sf)
-    return cv.ordered_frame(f, "date", C.TIE_KEY, ["time", "distance"], "price")
+    return cv.ordered_frame(f, "date", C.TIE_KEY, ["time", "distance"], "price", prune)
 
 
 _ALPHAS = [0.1, 100.0, 100000.0]
@@ -332,14 +349,14 @@ def _trials(spark, found):
 @register("grid_trials", "H1s H4s S9", with_flights(
     _TRIALS_OUT + "t0", extra=_TRIALS_P + _trials_sql(0, "n", _POINTS)))
 def q_grid(spark, sf):
-    o, n = _search_frame(spark, sf)
+    o, n = _search_frame(spark, sf, False)
     return _trials(spark, cv.search(o, n, "Ridge", cv.grid_points({"alpha": _ALPHAS}), ["time", "distance"], "price",
                                     n_splits=3))
 
 
 @register("random_trials", "H2s H4s")
 def q_random(spark, sf):
-    o, n = _search_frame(spark, sf)
+    o, n = _search_frame(spark, sf, True)
     pts = cv.random_points({"n_estimators": ("int", 5, 15), "max_depth": ("int", 2, 5)}, 3, 42,
                            {"random_state": 42})
     return cv.search(o, n, "RandomForestRegressor", pts, ["time", "distance"], "price",
@@ -351,7 +368,7 @@ def q_random(spark, sf):
     extra=_TRIALS_P + _trials_sql(0, "n // 3", _POINTS) + "," + _trials_sql(
         1, "n", "SELECT trial, alpha FROM t0 WHERE rank = 1")))
 def q_halving(spark, sf):
-    o, n = _search_frame(spark, sf)
+    o, n = _search_frame(spark, sf, False)
     return _trials(spark, cv.successive_halving(o, n, "Ridge", cv.grid_points({"alpha": _ALPHAS}), ["time", "distance"],
                                                 "price", factor=3, n_splits=3))
 
@@ -560,7 +577,7 @@ def q_mice_two(spark, sf):
     return m.transform(f).select(*C.TIE_KEY, r("price", 3), r("time", 4))
 
 
-@register("iforest_flags", "F6 F7 F8")
+@register("iforest_flags", "F6 F7")
 def q_iforest(spark, sf):
     """Isolation-forest flags for price/time/distance (100 trees, psi 256,
     contamination auto) and the trimmed row count per flag pattern."""
@@ -574,7 +591,7 @@ def q_iforest(spark, sf):
         F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("tree_contrib", "B2 B3 B4 B5")
+@register("tree_contrib", "B2 B5")
 def q_tree_contrib(spark, sf):
     """Path-dependent TreeSHAP of a random forest on the gold features, for
     every evaluation row; reported per feature as mean |phi| together with
@@ -603,7 +620,7 @@ def q_tree_contrib(spark, sf):
     .replace("SELECT fo.fold, p.price,", f"SELECT {TIE}, fo.fold, p.price,")))
 def q_cv_predictions(spark, sf):
     f = flights(spark, sf)
-    ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price")
+    ordered, n = cv.ordered_frame(f, "date", C.TIE_KEY, ["time"], "price", prune=False)
     pred = cv.time_cv_predictions(ordered, n, "LinearRegression", {}, ["time"], "price", 5, keys=C.TIE_KEY)
     path = _staging(spark, "predictions")
     sinks.write_predictions(cv.both_scales(pred).drop("ordinal"), path)

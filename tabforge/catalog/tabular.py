@@ -79,7 +79,7 @@ def _pick_sql(col):
     return f"SELECT '{col}' AS column, CASE {whens} ELSE 'none' END AS picked_format FROM t"
 
 
-@register("date_format_pick", "P5 P6", with_flights(
+@register("date_format_pick", "P5", with_flights(
     "\nUNION ALL\n".join(_pick_sql(c) for c in _FMT_VIEWS),
     extra="t AS (SELECT " + ", ".join(
         f"strftime(date, '{_DUCK_FMT[k]}') AS {k}" for k in _FMT_VIEWS) + " FROM flights)"))
@@ -383,6 +383,13 @@ def q_hist_gaps(spark, sf):
     return h.select("bin", r("lower"), r("upper"), "count")
 
 
+@register("unique_routes", "A4", with_flights(
+    "SELECT DISTINCT from_location || ' - ' || to_location AS route FROM flights"))
+def q_unique_routes(spark, sf):
+    f = flights(spark, sf).select(F.concat_ws(" - ", "from_location", "to_location").alias("route"))
+    return profile.unique_values(f, "route")
+
+
 @register("date_stats", "A9", with_flights(
     "SELECT min(date) AS min_date, max(date) AS max_date, "
     "CAST(date_diff('day', min(date), max(date)) AS BIGINT) AS span_days, "

@@ -12,7 +12,7 @@ from .base import TIE, register, with_flights
 _POS = f"row_number() OVER (ORDER BY date, {TIE}) - 1"
 
 
-@register("split_fraction", "T1 S5", with_flights(f"""
+@register("split_fraction", "T1", with_flights(f"""
 SELECT {TIE}, CASE WHEN pos < c1 THEN 'train' WHEN pos < c2 THEN 'validation' ELSE 'test' END AS split
 FROM (SELECT {TIE}, {_POS} AS pos FROM flights WHERE date IS NOT NULL) x,
      (SELECT CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS c1,

@@ -44,6 +44,12 @@ class EncoderModel(JsonState):
     input_columns: list = field(default_factory=list)
     strict: bool = True
     sparse: list = field(default_factory=list)       # wide one-hot columns, by their code tables
+    auto_first: dict = field(default_factory=dict)   # col -> place of its first value in its table
+
+    def codes(self, spark, c: str) -> DataFrame:
+        """(value, code) of an auto ordinal."""
+        return spark.read.parquet(self.auto_tables[c]).select(
+            "value", (F.col("at") - F.lit(int(self.auto_first.get(c, 0)))).alias("code"))
 
     def output_columns(self) -> list[str]:
         enc = set(self.onehot) | set(self.mapped) | set(self.auto_tables)
@@ -58,9 +64,8 @@ class EncoderModel(JsonState):
             raise ValueError(f"encoding columns missing from input: {missing}")
         spark = df.sparkSession
         src = df
-        for c, path in self.auto_tables.items():
-            codes = spark.read.parquet(path).select(F.col("value").alias(c),
-                                                    F.col("code").alias(f"__code_{c}"))
+        for c in self.auto_tables:
+            codes = self.codes(spark, c).select(F.col("value").alias(c), F.col("code").alias(f"__code_{c}"))
             src = src.join(codes, c, "left")
         exprs = []
         for c, cats in self.onehot.items():
@@ -96,30 +101,30 @@ class EncoderModel(JsonState):
         return src.select(*exprs)
 
 
-def _code_tables(df: DataFrame, cols: list, table_dir: str) -> tuple[dict, dict]:
-    """Write (value, code) of each column to a folder of its own: codes are
-    the positions in value order.  Columns of one type share one sort."""
-    paths, sizes = {}, {}
+def _code_tables(df: DataFrame, cols: list, table_dir: str) -> tuple[dict, dict, dict]:
+    """Write (value, at) of each column to a folder of its own, with ``at``
+    the position in value order over all columns of one type, which share one
+    sort and one write; a code is the distance from the column's first."""
+    paths, sizes, firsts = {}, {}, {}
     by_type: dict = {}
     for c in cols:
         by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     for k, group in enumerate(by_type.values()):
-        values = (df.select(*group).unpivot([], group, "column", "value")
+        number = {f"c{i:04d}": c for i, c in enumerate(group)}
+        values = (df.select(*[F.col(c).alias(i) for i, c in number.items()]).unpivot([], list(number), "col", "value")
                   .where(F.col("value").isNotNull()).distinct())
-        at = with_global_ordinal(values, ["column", "value"], "at")
         path = f"{table_dir.rstrip('/')}/encoder_{uuid.uuid4().hex}/{k}"
-        at.write.parquet(path)
-        table = df.sparkSession.read.parquet(path)
-        spans = {r["column"]: r for r in table.groupBy("column").agg(
+        with_global_ordinal(values, ["col", "value"], "at").select("col", "value", "at").write.partitionBy("col").parquet(path)
+        table = df.sparkSession.read.schema(f"value {df.schema[group[0]].dataType.simpleString()}, at long, col string").parquet(path)
+        spans = {r["col"]: r for r in table.groupBy("col").agg(
             F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
-        for c in group:
-            span = spans.get(c)
-            sizes[c] = int(span["n"]) if span else 0
-            out = f"{path}_codes/{group.index(c)}"
-            table.where(F.col("column") == c).select(
-                "value", (F.col("at") - (int(span["first"]) if span else 0)).alias("code")).write.parquet(out)
-            paths[c] = out
-    return paths, sizes
+        for i, c in number.items():
+            span = spans.get(i)
+            sizes[c], firsts[c] = (int(span["n"]), int(span["first"])) if span else (0, 0)
+            paths[c] = f"{path}/col={i}"
+            if not span:        # no value: an empty table
+                table.where(F.lit(False)).select("value", "at").write.parquet(paths[c])
+    return paths, sizes, firsts
 
 
 def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=None,
@@ -146,8 +151,8 @@ def fit_encoder(df: DataFrame, onehot_cols=(), ordinal_cols=(), ordinal_mapping=
             raise ValueError(f"one-hot column {c!r} has over {onehot_limit} values; use wide='sparse'")
     mapped = {c: list(ordinal_mapping[c]) for c in ordinal_cols if c in ordinal_mapping}
     auto = [c for c in ordinal_cols if c not in ordinal_mapping] + sparse
-    paths, sizes = _code_tables(df, auto, table_dir or ensure_checkpoint_dir(df.sparkSession)) if auto else ({}, {})
-    return EncoderModel(onehot, mapped, paths, sizes, list(df.columns), strict, sparse)
+    paths, sizes, first = _code_tables(df, auto, table_dir or ensure_checkpoint_dir(df.sparkSession)) if auto else ({}, {}, {})
+    return EncoderModel(onehot, mapped, paths, sizes, list(df.columns), strict, sparse, first)
 
 
 def _sparse(code, size: int):
@@ -165,7 +170,6 @@ def onehot_sparse(df: DataFrame, column: str, model: EncoderModel, out: str | No
     width, the indices and the values (one of each, none for an unseen value
     or NULL), from the column's fitted code table."""
     out = out or f"{column}_onehot"
-    codes = df.sparkSession.read.parquet(model.auto_tables[column]).select(
-        F.col("value").alias(column), F.col("code").alias("__code"))
+    codes = model.codes(df.sparkSession, column).select(F.col("value").alias(column), F.col("code").alias("__code"))
     return df.join(codes, column, "left").select(
         *df.columns, _sparse(F.col("__code"), int(model.auto_sizes[column])).alias(out))

@@ -37,7 +37,7 @@ STEP_TYPES = {t.name: t for t in (
     StepType("simple_imputer", 1, SimpleImputerModel),
     StepType("mice", 1, MICEModel),
     StepType("rare_grouper", 1, RareGrouperModel),
-    StepType("encoder", 2, EncoderModel, "auto_tables"),
+    StepType("encoder", 3, EncoderModel, "auto_tables"),
     StepType("outlier_bounds", 1, OutlierModel),
     StepType("isolation_forest", 1, IsolationForestModel),
     StepType("power", 1, PowerModel),
@@ -69,8 +69,8 @@ def load_step(entry: dict, path: str):
     kind = STEP_TYPES.get(entry["type"])
     if kind is None:
         raise ValueError(f"unknown step type {entry['type']!r}")
-    if entry["version"] > kind.version:
-        raise ValueError(f"step {kind.name} has version {entry['version']}, this library reads up to {kind.version}")
+    if entry["version"] != kind.version:
+        raise ValueError(f"step {kind.name} has version {entry['version']}, this library reads {kind.version}")
     model = kind.cls.from_json(entry["state"])
     if kind.tables:
         model = replace(model, **{kind.tables: {k: f"{path}/{v}" for k, v in getattr(model, kind.tables).items()}})

@@ -2,8 +2,8 @@
 H1s-H4s).
 
 Rows get a global ordinal once (range partition, no single-partition window)
-and are written in that order, so a fold's ordinal range prunes files and row
-groups.
+and, for tree models, are written in that order, so a fold's ordinal range
+prunes files and row groups.
 
 Linear models take their folds from one scan (:mod:`.fold_stats`): fits of
 all folds, penalties and halving rungs, and the RMSE, MSE and R2 of all of
@@ -31,11 +31,14 @@ from .fold_stats import QUADRATIC, fold_moments, fold_predictions, gram_metrics,
 from .metrics import METRICS, regression_metrics, unscale
 
 
-def ordered_frame(df: DataFrame, date_col: str, tie_key, features, label) -> tuple[DataFrame, int]:
-    """The rows with their ordinals, written in time order, and their number."""
+def ordered_frame(df: DataFrame, date_col: str, tie_key, features, label,
+                  prune: bool = True) -> tuple[DataFrame, int]:
+    """The rows with their ordinals, and their number.  ``prune``: written in
+    time order, for models that read the folds' ranges one by one; linear
+    models read the whole table once or twice and do without."""
     cols = list(dict.fromkeys([date_col, *tie_key, *features, label]))
     ordered, n = with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
-    return write_table(ordered, "ordered"), n
+    return (write_table(ordered, "ordered") if prune else ordered), n
 
 
 def _fold_predictions(ordered, fold, name, params, features, label, nominal=None, keys=()):

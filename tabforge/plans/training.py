@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import union_all
 from ..operators.model import cv
-from ..operators.model.estimators import assemble, coefficients_table, make_estimator
+from ..operators.model.estimators import LINEAR, assemble, coefficients_table, make_estimator
 from ..operators.model.metrics import regression_metrics
 from ..sources import sinks
 
@@ -63,7 +63,8 @@ def train_model(name: str, params: dict, features, label: str, train: DataFrame,
     else:
         fit_on = train if validation is None else union_all(train, validation)
         if mode == "cv":
-            ordered, n = cv.ordered_frame(fit_on, date_col, list(tie_key), list(features), label)
+            ordered, n = cv.ordered_frame(fit_on, date_col, list(tie_key), list(features), label,
+                                           prune=name not in LINEAR)
             m = cv.time_cv_metrics(ordered, n, name, params, list(features), label, n_splits,
                                    parallelism=parallelism, nominal=nominal, scaler=scaler, power=power)
             tables.append(m.select(F.concat(F.lit("cv_fold_"), F.col("fold").cast("string"))
