@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ranked
 
 FANOUT = 2
-CHUNK = 8                   # levels of one shuffle; 256 leaves in a row
+CHUNK = 4                   # levels of one shuffle; a row's type doubles with each
 
 _PATH = "array<struct<before:binary,after:binary>>"
 
