@@ -695,7 +695,7 @@ def q_train_modes(spark, sf):
     (linear model on time and distance): metrics per evaluated split."""
     from ..operators.splits import split_by_fraction
     from ..plans.training import train_model
-    f = flights(spark, sf).select(*C.TIE_KEY, "date", "time", "distance", "price")
+    f = write_table(flights(spark, sf).select(*C.TIE_KEY, "date", "time", "distance", "price"), "run_rows")
     s = split_by_fraction(f, "date", C.TIE_KEY)
     parts = {k: s.where(F.col("split") == k).drop("split") for k in ("train", "validation", "test")}
     out = None
@@ -729,8 +729,8 @@ def q_train_outputs(spark, sf):
     from ..operators.fitted.scaler import fit_scaler
     from ..operators.splits import split_by_fraction
     from ..plans.training import train_model
-    f = flights(spark, sf).select(*C.TIE_KEY, "date", "time", "distance", "price")
-    s = checkpoint(split_by_fraction(f, "date", C.TIE_KEY))
+    f = write_table(flights(spark, sf).select(*C.TIE_KEY, "date", "time", "distance", "price"), "run_rows")
+    s = split_by_fraction(f, "date", C.TIE_KEY)
     train = s.where("split = 'train'")
     pw = fit_power(train, ["price"], "log")
     sc = fit_scaler(pw.transform(train), ["price"], "standard")

@@ -24,7 +24,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...session import write_table
 from ..splits import time_series_folds, with_ordinal
 from .estimators import LINEAR, assemble, make_estimator
 from .fold_stats import QUADRATIC, fold_moments, fold_predictions, gram_metrics, solve_linear
@@ -33,12 +32,11 @@ from .metrics import METRICS, regression_metrics, unscale
 
 def ordered_frame(df: DataFrame, date_col: str, tie_key, features, label,
                   prune: bool = True) -> tuple[DataFrame, int]:
-    """The rows with their ordinals, and their number.  ``prune``: written in
-    time order, for models that read the folds' ranges one by one; linear
-    models read the whole table once or twice and do without."""
+    """The rows with their ordinals, and their number.  The table is written
+    in time order, so models that read the folds' ranges one by one
+    (``prune``) and those that read it whole share one form."""
     cols = list(dict.fromkeys([date_col, *tie_key, *features, label]))
-    ordered, n = with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
-    return (write_table(ordered, "ordered") if prune else ordered), n
+    return with_ordinal(df.select(*cols), date_col, tie_key, return_count=True)
 
 
 def _fold_predictions(ordered, fold, name, params, features, label, nominal=None, keys=()):

@@ -35,3 +35,26 @@ def test_sgd_optimum_does_not_hang_on_partitions(spark):
         v = assemble(df.repartition(n), ["a", "b"])
         m = make_estimator("SGDRegressor", {"alpha": 1e-4, "tol": 1e-13, "max_iter": 1000}, label="y", train=v).fit(v)
         assert abs(m.intercept - want) < 1e-5
+
+
+def test_train_modes_reads_no_join(spark, monkeypatch):
+    from tabforge.plans import training
+    seen, train = [], training.train_model
+    monkeypatch.setattr(training, "train_model", lambda *a, **k: seen.append(a[4]) or train(*a, **k))
+    catalog.queries()["train_modes"](spark, SF)
+    assert len(seen) == 3 and not any("Join" in plan_of(f) for f in seen)
+
+
+def test_ordinals_prune_and_are_dealt_by_rows(spark, monkeypatch):
+    """The session's number of partitions does not bound a task's rows, and a
+    range of ordinals reaches the scan."""
+    from tabforge.operators import ordinal
+    monkeypatch.setattr(ordinal, "ROWS_PER_PARTITION", 100, raising=False)
+    df = spark.range(0, 3000, 1, 3).selectExpr("id", "id % 7 AS v")
+    out, n = ordinal.with_global_ordinal(df, ["v", "id"], return_count=True)
+    assert n == 3000 and [r[0] for r in out.orderBy("ordinal").select("ordinal").collect()] == list(range(3000))
+    assert [r["id"] for r in out.orderBy("ordinal").collect()] == sorted(range(3000), key=lambda i: (i % 7, i))
+    files = out.selectExpr("input_file_name() AS f").groupBy("f").count().collect()
+    assert max(r["count"] for r in files) < 600 and len(files) > 15
+    part = out.where("ordinal >= 1000 AND ordinal < 1010")
+    assert part.count() == 10 and "GreaterThanOrEqual(ordinal,1000)" in part._jdf.queryExecution().executedPlan().toString()
