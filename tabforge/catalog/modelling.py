@@ -22,7 +22,7 @@ from ..plans.scoring import ScoringBundle, score
 from ..session import checkpoint, ensure_checkpoint_dir, write_table
 from ..sources import readers, sinks
 from ..sources.tables import flights, raw_flights
-from ..streaming.scoring import read_scored, score_stream
+from ..streaming.scoring import files_per_trigger, read_scored, score_stream, stage_files
 from .base import BAYES_RIDGE_SQL, TIE, r, register, with_flights
 
 B0, B1 = 20000.0, 1000.0
@@ -259,14 +259,18 @@ def q_cv_summary(spark, sf):
 
 # --- M6 / M7 / M8 / V5 -------------------------------------------------------
 
-def _gold_split(spark, sf):
-    s = silver_transform(raw_flights(spark, sf), keep_tie_key=False)
+def _gold_split(spark, sf, raw=None):
+    """The gold chain and its training and evaluation rows.  Training rows are
+    written: a model reads them many times, and each reading would drop
+    duplicates anew."""
+    s = silver_transform(raw_flights(spark, sf) if raw is None else raw, keep_tie_key=False)
     d = F.col("date")
     train = s.where(d < F.lit("1999-01-01").cast("date"))
     test = s.where(d >= F.lit("1999-01-01").cast("date"))
     gm = fit_gold(train, is_tree_model=True)
     feats = [c for c in gm.final_columns if c != C.TARGET and c not in C.MULTICOLLINEAR_DROP]
-    return gm, feats, gm.transform(train), gm.transform(test)
+    cut = lambda df: df.select(*feats, C.TARGET)
+    return gm, feats, write_table(cut(gm.transform(train)), "gold_train"), cut(gm.transform(test))
 
 
 def _tree_eval(spark, sf, name, params, categorical=False):
@@ -464,27 +468,26 @@ def q_onehot_contrib(spark, sf):
 
 # --- L5 ----------------------------------------------------------------------
 
-def _bundle(spark, sf):
-    gm, feats, tr, _ = _gold_split(spark, sf)
+def _bundle(spark, sf, raw=None):
+    gm, feats, tr, _ = _gold_split(spark, sf, raw)
     model = make_estimator("LinearRegression", {}, label=C.TARGET).fit(assemble(tr, feats))
     return ScoringBundle(gm, model, feats, ["travel_code", "line_number", "part_key", "supp_key"])
 
 
 @register("score_batch", "L5 P10 V2")
 def q_score_batch(spark, sf):
-    b = _bundle(spark, sf)
-    return score(raw_flights(spark, sf), b)
+    raw = write_table(raw_flights(spark, sf), "raw")        # joined once: the fit and the scoring read it
+    return score(raw, _bundle(spark, sf, raw))
 
 
 @register("score_stream", "L5 streaming")
 def q_score_stream(spark, sf):
     """The same bundle over a file stream of the raw rows (staged once as
     Parquet under the checkpoint folder); output read back as a table."""
-    b = _bundle(spark, sf)
     base = f"{ensure_checkpoint_dir(spark)}/score_stream_{uuid.uuid4().hex}"
-    raw_flights(spark, sf).write.mode("overwrite").parquet(f"{base}/source")
-    score_stream(spark, f"{base}/source", b, f"{base}/sink", f"{base}/chk",
-                 max_files_per_trigger=2)
+    source = stage_files(raw_flights(spark, sf), f"{base}/source")
+    b = _bundle(spark, sf, spark.read.parquet(source))      # the staged rows serve the fit, too
+    score_stream(spark, source, b, f"{base}/sink", f"{base}/chk", max_files_per_trigger=files_per_trigger(spark, source, 2))
     return read_scored(spark, f"{base}/sink")[0]
 
 

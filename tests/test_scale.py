@@ -58,3 +58,23 @@ def test_ordinals_prune_and_are_dealt_by_rows(spark, monkeypatch):
     assert max(r["count"] for r in files) < 600 and len(files) > 15
     part = out.where("ordinal >= 1000 AND ordinal < 1010")
     assert part.count() == 10 and "GreaterThanOrEqual(ordinal,1000)" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_files_and_triggers_follow_the_rows(spark, tmp_path, monkeypatch):
+    from tabforge.streaming import scoring
+    monkeypatch.setattr(scoring, "STAGED_ROWS", 100)
+    few = scoring.stage_files(spark.range(0, 50, 1, 1), str(tmp_path / "few"))
+    many = scoring.stage_files(spark.range(0, 5000, 1, 2), str(tmp_path / "many"))
+    for path, rows, files in ((few, 50, 4), (many, 5000, 50)):
+        df = spark.read.parquet(path)
+        assert df.count() == rows and len(df.inputFiles()) == files
+    assert scoring.files_per_trigger(spark, few, 2) == 2 and scoring.files_per_trigger(spark, many, 2) == 13
+
+
+@pytest.mark.parametrize("query", ["score_rejects", "score_linear_stream"])
+def test_scoring_joins_once(spark, monkeypatch, query):
+    from tabforge.catalog import layers
+    seen, silver = [], layers.silver_transform
+    monkeypatch.setattr(layers, "silver_transform", lambda raw, *a, **k: seen.append(raw) or silver(raw, *a, **k))
+    catalog.queries()[query](spark, SF)
+    assert seen and not any("Join" in plan_of(f) for f in seen)
