@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, profile, schema
 from ..operators.quality.suites import SILVER_KEY
 from ..plans import config as C
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_table
 from ..sources.tables import flights, flights_with_nulls, raw_flights
 from .base import TIE, r, register, with_flights
 
@@ -86,10 +86,7 @@ def _pick_sql(col):
 def q_date_format_pick(spark, sf):
     f = flights(spark, sf)
     t = f.select(*[F.date_format("date", p).alias(k) for k, p in _FMT_VIEWS.items()])
-    rows = []
-    for k in _FMT_VIEWS:
-        fmt = schema.pick_date_format(t, k)
-        rows.append((k, fmt if isinstance(fmt, str) else "none"))
+    rows = [(k, fmt if isinstance(fmt, str) else "none") for k, fmt in schema.pick_date_formats(t, list(_FMT_VIEWS)).items()]
     return spark.createDataFrame(rows, "column string, picked_format string")
 
 
@@ -103,6 +100,7 @@ def q_dates_with_time(spark, sf):
     at = F.date_format(F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("line_number")), "yyyy-MM-dd HH:mm:ss")
     t = f.select(*C.TIE_KEY, at.alias("at"), F.date_format("date", "dd.MM.yyyy").alias("odd"),
                  F.date_format("date", "yyyy-MM-dd'T00:00:00'").alias("day"))
+    t = write_table(t, "dated_rows")        # read for statistics, formats, times of day and the result
     out, plans = schema.optimize_data_types(t, date_cols=["at", "day", "odd"])
     kinds = ",".join(p.new_type for p in plans if p.column in ("at", "day", "odd"))
     return out.select(*[F.col(c).cast(f.schema[c].dataType).alias(c) for c in C.TIE_KEY],
@@ -222,7 +220,7 @@ def q_dedup_full(spark, sf):
 @register("union_splits", "U1", with_flights(
     f"SELECT {TIE}, price, date < DATE '1998-01-01' AS early FROM flights"))
 def q_union(spark, sf):
-    f = flights(spark, sf).select(*C.TIE_KEY, "price", "date")
+    f = write_table(flights(spark, sf).select(*C.TIE_KEY, "price", "date"), "union_rows")    # both parts read it
     early = F.col("date") < F.lit("1998-01-01").cast("date")
     return dedup.union_all(f.where(early).withColumn("early", F.lit(True)),
                            f.where(~early).withColumn("early", F.lit(False))).drop("date")

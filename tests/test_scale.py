@@ -78,3 +78,22 @@ def test_scoring_joins_once(spark, monkeypatch, query):
     monkeypatch.setattr(layers, "silver_transform", lambda raw, *a, **k: seen.append(raw) or silver(raw, *a, **k))
     catalog.queries()[query](spark, SF)
     assert seen and not any("Join" in plan_of(f) for f in seen)
+
+
+def test_date_formats_of_all_columns_in_one_job(spark):
+    from tabforge.operators import schema
+    df = spark.createDataFrame([("2020-01-05", "13/01/2020", "x", None)] * 3 + [("2020-1-6", "01/02/2020", None, None)],
+                               "a string, b string, c string, d string")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("formats"))
+    spark.sparkContext.setJobGroup("formats", "")
+    try:
+        got = schema.pick_date_formats(df, ["a", "b", "c", "d"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {"a": "%Y-%m-%d", "b": "%d/%m/%Y", "c": False, "d": "%Y-%m-%d"}
+    assert schema.date_format_failures(df, "c")["%Y-%m-%d"] == 3 and jobs() <= 3
+
+
+@pytest.mark.parametrize("query", ["dates_with_time", "union_splits"])
+def test_parts_of_a_table_read_no_join(spark, query):
+    assert "Join" not in plan_of(catalog.queries()[query](spark, SF))
