@@ -17,6 +17,7 @@ from ..operators.fitted.power import fit_power
 from ..operators.fitted.rare import fit_rare_grouper
 from ..operators.fitted.scaler import fit_scaler
 from ..plans import config as C
+from ..session import write_table
 from ..sources.tables import flights, flights_with_nulls
 from .base import TIE, r, register, with_flights
 
@@ -346,9 +347,10 @@ lam AS (WITH RECURSIVE it(i, strategy, c, lo, hi, lam) AS (
 def q_power_fit(spark, sf):
     """Fitted lambdas (grid-zoom maximum likelihood) for Box-Cox and
     Yeo-Johnson; checked against a NumPy brute force in the tests."""
-    f = flights(spark, sf)
-    bc = fit_power(_train(f), ["price", "distance"], "box-cox")
-    yj = fit_power(_train(f), ["time"], "yeo-johnson")
+    # both fits read the rows: join once, keep what they use
+    train = write_table(_train(flights(spark, sf)).select("price", "distance", "time"), "fit_rows")
+    bc = fit_power(train, ["price", "distance"], "box-cox")
+    yj = fit_power(train, ["time"], "yeo-johnson")
     rows = [("box-cox", c, round(v, 4)) for c, v in bc.lambdas.items()]
     rows += [("yeo-johnson", c, round(v, 4)) for c, v in yj.lambdas.items()]
     return spark.createDataFrame(rows, "strategy string, column string, lambda double")

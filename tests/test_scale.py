@@ -97,3 +97,30 @@ def test_date_formats_of_all_columns_in_one_job(spark):
 @pytest.mark.parametrize("query", ["dates_with_time", "union_splits"])
 def test_parts_of_a_table_read_no_join(spark, query):
     assert "Join" not in plan_of(catalog.queries()[query](spark, SF))
+
+
+def test_power_fit_joins_once_and_scans_rows_once_a_grid(spark, monkeypatch):
+    """Rows are not multiplied by the candidates: the scan hands each batch's
+    values on once, and the tasks' moments merge to the whole column's."""
+    import numpy as np
+    from tabforge.catalog import features
+    from tabforge.operators.fitted import power
+    seen, fit = [], features.fit_power
+    monkeypatch.setattr(features, "fit_power", lambda df, *a: seen.append(df) or fit(df, *a))
+    catalog.queries()["power_fit"](spark, SF)
+    assert len(seen) == 2 and not any("Join" in plan_of(f) for f in seen)
+    x = np.random.default_rng(1).normal(0, 2, 3000)
+    rows = [(float(v), float(np.exp(v))) for v in x] + [(None, 1e3), (float("nan"), 2e3)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    y = {"a": x, "b": np.r_[np.exp(x), 1e3, 2e3]}
+    grid = {"a": [-1.0, 0.0, 0.7, 2.0], "b": [-0.5, 0.0, 4e-6, 3.0]}
+    got = power._evaluate_grid(df, "yeo-johnson", grid)
+
+    def yj(v, lam):
+        pos = np.log1p(np.abs(v)) if lam == 0 else np.expm1(lam * np.log1p(np.abs(v))) / lam
+        neg = -np.log1p(np.abs(v)) if lam == 2 else -np.expm1((2 - lam) * np.log1p(np.abs(v))) / (2 - lam)
+        return np.where(v >= 0, pos, neg)
+    for c in grid:
+        logs = (np.sign(y[c]) * np.log1p(np.abs(y[c]))).sum()
+        want = [(lam - 1) * logs - len(y[c]) / 2 * np.log(yj(y[c], lam).var()) for lam in grid[c]]
+        assert [got[c][lam] for lam in grid[c]] == pytest.approx(want, rel=1e-11)
