@@ -555,7 +555,8 @@ def q_mice(spark, sf):
     using time as a complete predictor; fitted on the training period."""
     from ..operators.fitted.mice import fit_mice
     from ..sources.tables import flights_with_nulls
-    f = flights_with_nulls(spark, sf).select(*C.TIE_KEY, "date", "price", "time", "distance")
+    # the fit and the filling read the rows: join once
+    f = write_table(flights_with_nulls(spark, sf).select(*C.TIE_KEY, "date", "price", "time", "distance"), "rows")
     m = fit_mice(f.where(F.col("date") < F.lit("1999-01-01").cast("date")),
                  ["price", "time", "distance"], max_iter=10)
     out = m.transform(f)
@@ -577,7 +578,8 @@ def q_mice_two(spark, sf):
     is the same one-predictor regression."""
     from ..operators.fitted.mice import fit_mice
     from ..sources.tables import flights_with_nulls
-    f = flights_with_nulls(spark, sf).select(*C.TIE_KEY, "date", "price", "time")
+    # the fit and the filling read the rows: join once
+    f = write_table(flights_with_nulls(spark, sf).select(*C.TIE_KEY, "date", "price", "time"), "rows")
     m = fit_mice(f.where(F.col("date") < F.lit("1999-01-01").cast("date")), ["time", "price"], max_iter=10)
     return m.transform(f).select(*C.TIE_KEY, r("price", 3), r("time", 4))
 

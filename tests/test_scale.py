@@ -124,3 +124,32 @@ def test_power_fit_joins_once_and_scans_rows_once_a_grid(spark, monkeypatch):
         logs = (np.sign(y[c]) * np.log1p(np.abs(y[c]))).sum()
         want = [(lam - 1) * logs - len(y[c]) / 2 * np.log(yj(y[c], lam).var()) for lam in grid[c]]
         assert [got[c][lam] for lam in grid[c]] == pytest.approx(want, rel=1e-11)
+
+
+@pytest.mark.parametrize("query", ["mice_two_columns", "mice_impute"])
+def test_mice_queries_join_once(spark, query):
+    assert "Join" not in plan_of(catalog.queries()[query](spark, SF))
+
+
+def test_mice_rounds_follow_from_the_patterns(spark, monkeypatch):
+    """Same steps as filling the rows round by round, with no rows written;
+    a column without a value is left out."""
+    import numpy as np
+    from tabforge.operators.fitted import mice
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3)) @ rng.normal(size=(3, 3)) + [1e4, -3.0, 0.0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (None,) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    written = []
+    monkeypatch.setattr(mice, "checkpoint", lambda f, keep=mice.checkpoint: written.append(f) or keep(f))
+    for max_iter in (1, 10):
+        got = mice.fit_mice(df, ["a", "b", "c", "d"], max_iter=max_iter)
+        assert not written
+        base = df.select("a", "b", "c", "d")
+        want = mice._fit_by_rows(base, base.columns, max_iter, 1e-3)
+        written.clear()
+        assert (got.columns, got.n_iter, len(got.steps)) == (want.columns, want.n_iter, len(want.steps))
+        assert got.means == pytest.approx(want.means)
+        for g, w in zip(got.steps, want.steps):
+            assert g[0] == w[0] and np.allclose([*g[1], g[2]], [*w[1], w[2]], rtol=1e-8)
