@@ -153,3 +153,46 @@ def test_mice_rounds_follow_from_the_patterns(spark, monkeypatch):
         assert got.means == pytest.approx(want.means)
         for g, w in zip(got.steps, want.steps):
             assert g[0] == w[0] and np.allclose([*g[1], g[2]], [*w[1], w[2]], rtol=1e-8)
+
+
+@pytest.mark.parametrize("query", ["gate_scaled", "gold_options"])
+def test_gold_chains_share_their_training_rows(spark, monkeypatch, query):
+    """Duplicates are dropped once per query, not per fit and per reading."""
+    from tabforge.catalog import layers
+    from tabforge.plans import layers as plans
+    written, read, write, transform = [], [], plans.write_table, plans.GoldModel.transform
+    monkeypatch.setattr(plans, "write_table", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(layers, "write_table", lambda df, name: written.append(name) or write(df, name))
+
+    def seen(self, *a, **k):
+        out = transform(self, *a, **k)
+        read.append(plan_of(out))
+        return out
+    monkeypatch.setattr(plans.GoldModel, "transform", seen)
+    catalog.queries()[query](spark, SF)
+    assert written.count("gold_train_base") == 1
+    fitted_on = read if query == "gate_scaled" else read[:1]    # the other reading is of evaluation rows
+    assert fitted_on and not any("Aggregate" in p for p in fitted_on)
+
+
+@pytest.mark.parametrize("strategy", ["standard", "robust", "minmax"])
+def test_chain_on_fitted_steps_equals_the_whole_fit(spark, strategy):
+    from pyspark.sql import functions as F
+    from tabforge.catalog import layers
+    from tabforge.plans import layers as plans
+    s = layers._silver(spark, SF).where("date < date'1993-01-01'")
+    s = s.unionByName(s.limit(50)).withColumn("price", F.when(F.col("travel_code") % 9 != 0, F.col("price")))
+    options = dict(is_tree_model=False, outlier_cols=["price", "time"], outlier_handling="winsorize",
+                   scaler_cols=["time", "distance"], scaler_strategy=strategy)
+    whole, base = plans.fit_gold(s, **options), plans.gold_base(s)
+    plain = plans.fit_gold(base, is_tree_model=False, prepared=True)
+    short = plans.fit_gold(base, prepared=True, fitted=plain, **options)
+    assert plain.scaler is None and whole.final_columns == short.final_columns
+
+    def near(a, b):
+        if isinstance(a, dict):
+            return a.keys() == b.keys() and all(near(a[k], b[k]) for k in a)
+        return a == pytest.approx(b)
+    assert near(whole.scaler.params, short.scaler.params) and near(whole.outliers.bounds, short.outliers.bounds)
+    rows = lambda df: sorted(tuple(round(v, 6) for v in r) for r in df.collect())
+    assert rows(short.transform(s)) == rows(short.transform(base, prepared=True)) == rows(whole.transform(s))
