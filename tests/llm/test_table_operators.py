@@ -154,6 +154,22 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_merges_the_distinct_words_of_many_texts_at_once(monkeypatch):
+    enc, rng = bm25_pack.Encoder(bm25_pack.default_tokenizer()), random.Random(2)
+    letters = "aB'sé ÉßµÀ ²½ ,.\n\t're'Ll12th er in an''-\x0b\x00\x80"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 45))) + rng.choice(["", " " + "ab" * 50]) for _ in range(1500)]
+    texts += ["", " \n", "é" * 32, "x" * 65, "Σ", "a <|endoftext|> b"]
+    monkeypatch.setattr(bm25_pack, "CHARS_AT_ONCE", 1000)
+    got = enc.encode_all(texts)
+    assert all(np.frombuffer(z, enc.dtype).tolist() == enc.tk.encode(t, add_special_tokens=False).ids
+               for t, z in zip(texts, got))
+    calls = []
+    monkeypatch.setattr(bm25_pack, "CHARS_AT_ONCE", 1 << 23)
+    monkeypatch.setattr(enc.merges, "_rank", lambda x, y, rank=enc.merges._rank: calls.append(1) or rank(x, y))
+    enc.encode_all([f"{t} word{i}, n{i:b}" for i, t in enumerate(texts)])
+    assert 0 < len(calls) <= 3 * (bm25_pack.LONGEST_PART + 1)      # rounds, not words
+
+
 def test_pieces_hold_every_token_once(spark):
     from tokenizers import Tokenizer
     tk = Tokenizer.from_file(bm25_pack.default_tokenizer())
