@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,33 @@ def test_neighbours_are_those_of_a_brute_force_search(spark):
     assert [by_seq[k] for k in range(len(want))] == want
 
 
+def test_tiles_give_the_best_of_all_unused_items():
+    """Items in batches of any size, cut into tiles; many equal scores."""
+    rng, vocab, k = np.random.default_rng(8), 40, 9
+    terms = [np.unique(rng.integers(0, vocab, rng.integers(1, 9))).astype("<u2") for _ in range(3000)]
+    weights = [rng.integers(1, 4, len(t)).astype("<u2") for t in terms]
+    unused, order = rng.random(3000) < 0.7, rng.permutation(3000)
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array(p), pa.array([terms[i].tobytes() for i in p], pa.binary()), pa.array([weights[i].tobytes() for i in p], pa.binary())],
+        names=["item", "terms", "weights"]) for p in np.split(order, [0, 5, 1500, 1501])]
+    bm = bm25_pack._Bm25(np.ones(vocab), 5.0, 64, np.arange(0, vocab, 3))
+    seeds, found, sizes = rng.choice(3000, 30, replace=False), defaultdict(list), []
+    for held in bm25_pack._tiles(batches, unused, 640):
+        number, t, w = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        at = np.argsort(number.to_numpy())
+        (t, n), (w, _) = bm25_pack._flat(t.take(pa.array(at)), "<u2"), bm25_pack._flat(w.take(pa.array(at)), "<u2")
+        sizes.append(len(n))
+        for s, f in zip(seeds, bm25_pack._Tile(bm, number.to_numpy()[at], n, t, w).best(seeds, [terms[i] for i in seeds], [k] * 30, 3000)):
+            found[s] += f.tolist()
+    left = int(unused.sum())
+    assert sizes == [640] * (left // 640) + [left % 640] * (left % 640 > 0)
+    for s in seeds.tolist():
+        score = {i: float(weights[i][np.isin(terms[i], terms[s])].sum()) for i in np.flatnonzero(unused).tolist()}
+        rank = lambda i: (-score[i], (i - s) % 3000)
+        assert sorted((i for i, _ in found[s]), key=rank)[:k] == sorted(score, key=rank)[:k]
+        assert all(score[i] == v for i, v in found[s])
+
+
 def test_short_texts_fill_windows_too():
     rng = np.random.default_rng(3)
     docs = [(i, np.array([1], "<u2")) for i in range(700)]
