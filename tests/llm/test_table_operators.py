@@ -171,6 +171,20 @@ def test_encoder_merges_the_distinct_words_of_many_texts_at_once(monkeypatch):
     assert 0 < len(calls) <= 3 * (bm25_pack.LONGEST_PART + 1)      # rounds, not words
 
 
+def test_encoder_cuts_a_long_word_once():
+    enc, calls = bm25_pack.Encoder(bm25_pack.default_tokenizer()), []
+
+    class Cutter:
+        def findall(self, word, own=enc.pattern):
+            calls.append(len(word))
+            return own.findall(word)
+    enc.pattern = Cutter()
+    for word in ("'aé" * 20_000, "'" * 50_000 + "s", "x" * 50_000, "1" * 50_000):
+        want = enc.tk.encode(f"a {word} b", add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(f"a {word} b"), enc.dtype).tolist() == want
+    assert calls == [60_000, 50_001]
+
+
 def test_pieces_hold_every_token_once(spark):
     from tokenizers import Tokenizer
     tk = Tokenizer.from_file(bm25_pack.default_tokenizer())
