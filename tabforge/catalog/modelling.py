@@ -17,7 +17,7 @@ from ..operators.model import cv, explain, metrics
 from ..operators.model.estimators import (assemble, coefficients_table, make_estimator,
                                           nominal_sizes)
 from ..plans import config as C
-from ..plans.layers import fit_gold, silver_transform
+from ..plans.layers import fit_gold, gold_base, silver_transform
 from ..plans.scoring import ScoringBundle, score
 from ..session import checkpoint, ensure_checkpoint_dir, write_table
 from ..sources import readers, sinks
@@ -260,17 +260,17 @@ def q_cv_summary(spark, sf):
 # --- M6 / M7 / M8 / V5 -------------------------------------------------------
 
 def _gold_split(spark, sf, raw=None):
-    """The gold chain and its training and evaluation rows.  Training rows are
-    written: a model reads them many times, and each reading would drop
-    duplicates anew."""
+    """The gold chain and its training and evaluation rows.  The training rows
+    are deduplicated once, for the fits of the chain and for the model, and
+    written as the model reads them, which it does many times."""
     s = silver_transform(raw_flights(spark, sf) if raw is None else raw, keep_tie_key=False)
     d = F.col("date")
-    train = s.where(d < F.lit("1999-01-01").cast("date"))
+    base = gold_base(s.where(d < F.lit("1999-01-01").cast("date")))
     test = s.where(d >= F.lit("1999-01-01").cast("date"))
-    gm = fit_gold(train, is_tree_model=True)
+    gm = fit_gold(base, is_tree_model=True, prepared=True)
     feats = [c for c in gm.final_columns if c != C.TARGET and c not in C.MULTICOLLINEAR_DROP]
     cut = lambda df: df.select(*feats, C.TARGET)
-    return gm, feats, write_table(cut(gm.transform(train)), "gold_train"), cut(gm.transform(test))
+    return gm, feats, write_table(cut(gm.transform(base, prepared=True)), "gold_train"), cut(gm.transform(test))
 
 
 def _tree_eval(spark, sf, name, params, categorical=False):

@@ -12,9 +12,16 @@ Shapley values are
     phi_f = v_L (o_f - z_f) sum_s  s!(k-1-s)!/k!  e_s(f)
 
 with ``e_s`` the coefficients of ``prod_{g != f} (z_g + o_g t)`` - a small
-polynomial product, computed for a whole Arrow batch of rows at once.
-Summed over leaves and trees (with the ensemble's tree weights) this is
-exactly path-dependent TreeSHAP, and ``base + sum(phi) = prediction``.
+polynomial product.  Summed over leaves and trees (with the ensemble's tree
+weights) this is exactly path-dependent TreeSHAP, and
+``base + sum(phi) = prediction``.
+
+Rows enter a leaf's values only by yes/no facts.  So a tree is cut into
+subtrees that hang on few facts (the path's conditions per feature, the splits
+below it), and the values of a subtree's leaves are summed in a table with a
+column per combination; a row then takes one column per subtree.  Only leaves
+that hang on more than ``TABLE_BITS`` facts are worked out row by row, for a
+whole Arrow batch at once.
 
 The forest is read from the saved MLlib model in groups of whole trees of at
 most ``GROUP_NODES`` nodes (a larger tree is a group of its own).  A group is
@@ -27,7 +34,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,8 @@ from ...session import ensure_checkpoint_dir
 from .explain import contribution_rows
 
 GROUP_NODES = 200_000
+TABLE_BITS = 7
+TABLE_BYTES = 32 << 20      # of a group's tables are kept for the next batch
 
 
 def _node_table(spark, model) -> tuple[DataFrame, dict]:
@@ -92,20 +101,78 @@ class PackedTrees:
     value: np.ndarray
     share: np.ndarray           # of the parent's rows
     categories: list            # sorted arrays; None where the cut is a threshold
+    kept: dict = field(default_factory=dict)
+    kept_bytes: int = 0
 
     def leaves(self, k: int):
         """(value, share of the rows, conditions) of tree ``k``; a condition
         is (feature, goes left, cut, categories, share)."""
-        todo = [(int(self.start[k]), (), 1.0)]
+        for i, conds in self._below(int(self.start[k])):
+            share = 1.0
+            for *_, r in conds:
+                share *= r
+            yield float(self.value[i]), share, [self.condition(*c) for c in conds]
+
+    def _below(self, root: int):
+        """(leaf, conditions) under ``root``; a condition is (split, goes
+        left, share)."""
+        todo = [(root, ())]
         while todo:
-            i, conds, share = todo.pop()
+            i, conds = todo.pop()
             if self.left[i] < 0:
-                yield float(self.value[i]), share, conds
+                yield i, conds
+            else:
+                todo += [(child, (*conds, cond)) for child, cond in self._children(i)]
+
+    def _children(self, i: int):
+        for child, goes_left in ((int(self.left[i]), True), (int(self.right[i]), False)):
+            yield child, (i, goes_left, float(self.share[child]))
+
+    def condition(self, i: int, goes_left: bool, share: float) -> tuple:
+        return int(self.feature[i]), goes_left, float(self.cut[i]), self.categories[i], share
+
+    def _splits(self, root: int, most: int) -> list[int] | None:
+        """The splits from ``root`` on down; None if there are over ``most``."""
+        todo, out = [root], []
+        while todo:
+            i = todo.pop()
+            if self.left[i] >= 0:
+                out.append(i)
+                if len(out) > most:
+                    return None
+                todo += [int(self.right[i]), int(self.left[i])]
+        return out
+
+    def subtrees(self, k: int):
+        """:class:`_Subtree` objects that hold each leaf of tree ``k`` once;
+        those of the first trees are kept, up to ``TABLE_BYTES``."""
+        if k in self.kept:
+            yield from self.kept[k]
+            return
+        made, size = [], 0
+        todo = [(int(self.start[k]), ())]
+        while todo:
+            i, conds = todo.pop()
+            facts = len({self.feature[c[0]] for c in conds})
+            splits = self._splits(i, TABLE_BITS - facts) if facts <= TABLE_BITS else None
+            if splits is None and self.left[i] >= 0:
+                todo += [(child, (*conds, cond)) for child, cond in self._children(i)]
                 continue
-            for child, goes_left in ((int(self.left[i]), True), (int(self.right[i]), False)):
-                r = float(self.share[child])
-                cond = (int(self.feature[i]), goes_left, float(self.cut[i]), self.categories[i], r)
-                todo.append((child, (*conds, cond), share * r))
+            part = _Subtree(self, i, conds, splits)
+            size += part.size
+            if made is not None:
+                made.append(part)
+                if self.kept_bytes + size > TABLE_BYTES:
+                    made = None
+            yield part
+        if made is not None:
+            self.kept[k] = made
+            self.kept_bytes += size
+
+    def goes_left(self, i: int, x: np.ndarray) -> np.ndarray:
+        """Per row; ``x`` has a row per feature."""
+        col = x[self.feature[i]]
+        return col <= self.cut[i] if self.categories[i] is None else np.isin(col, self.categories[i])
 
     def base(self) -> float:
         return float(sum(self.weight[k] * sum(v * s for v, s, _ in self.leaves(k)) for k in range(len(self.start))))
@@ -133,24 +200,14 @@ def _pack(nodes: DataFrame, trees: list[int], weights: dict) -> PackedTrees:
         [np.array(sorted(r["cut"])) if x and r["categorical"] else None for r, x in zip(rows, inner)])
 
 
-def _leaf_shap(x: np.ndarray, leaf, n_features: int, out: np.ndarray) -> None:
-    value, _, conds = leaf
-    feats = sorted({c[0] for c in conds})
-    k = len(feats)
-    if k == 0:
-        return
-    n = x.shape[0]
-    o = np.ones((k, n))
-    z = np.ones(k)
-    for f, left, cut, categories, ratio in conds:
-        i = feats.index(f)
-        col = x[:, f]
-        inside = col <= cut if categories is None else np.isin(col, categories)
-        o[i] *= (inside if left else ~inside)
-        z[i] *= ratio
+def _shapley(value: float, met: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Values (a row per feature of the path) of a leaf for each column of
+    ``met``: 1 where it meets the feature's conditions; ``z``: their shares."""
+    k, n = met.shape
     wts = np.array([math.factorial(s) * math.factorial(k - 1 - s) / math.factorial(k)
                     for s in range(k)])
-    for i, f in enumerate(feats):
+    out = np.empty((k, n))
+    for i in range(k):
         # coefficients of prod_{g != f} (z_g + o_g t), per row
         coef = np.zeros((k, n))
         coef[0] = 1.0
@@ -159,10 +216,85 @@ def _leaf_shap(x: np.ndarray, leaf, n_features: int, out: np.ndarray) -> None:
             if j == i:
                 continue
             nxt = coef * z[j]
-            nxt[1:deg + 2] += coef[0:deg + 1] * o[j]
+            nxt[1:deg + 2] += coef[0:deg + 1] * met[j]
             coef = nxt
             deg += 1
-        out[:, f] += value * (o[i] - z[i]) * (wts[:, None] * coef).sum(axis=0)
+        out[i] = value * (met[i] - z[i]) * (wts[:, None] * coef).sum(axis=0)
+    return out
+
+
+class _Subtree:
+    """The leaves under a node.  Its facts are the path's conditions, joined
+    per feature, and the splits below; without a table (one leaf then) the
+    facts are more than ``TABLE_BITS``."""
+
+    def __init__(self, forest: PackedTrees, node: int, conds: tuple, splits: list[int] | None):
+        self.forest, self.path, self.splits = forest, {}, splits or []
+        for i, goes_left, _ in conds:
+            self.path.setdefault(int(forest.feature[i]), []).append((i, goes_left))
+        used = {int(forest.feature[i]) for i in self.splits}
+        self.features = sorted({*self.path, *used})
+        self.table, self.value, self.z = None, 0.0, None
+        if splits is None:
+            self.value, self.z = float(forest.value[node]), self._shares(conds, list(self.path))
+            self.size = 0
+            return
+        bits = len(self.path) + len(self.splits)
+        facts = (np.arange(1 << bits) >> np.arange(bits)[:, None] & 1).astype(bool)
+        at = {f: facts[j] for j, f in enumerate(self.path)}
+        left = {i: facts[len(self.path) + j] for j, i in enumerate(self.splits)}
+        self.table = np.zeros((len(self.features), 1 << bits))
+        for leaf, more in forest._below(node):
+            met = dict(at)
+            for i, goes_left, _ in more:
+                f = int(forest.feature[i])
+                own = left[i] if goes_left else ~left[i]
+                met[f] = met[f] & own if f in met else own
+            if met:
+                z = self._shares((*conds, *more), list(met))
+                phi = _shapley(float(forest.value[leaf]), np.array(list(met.values()), float), z)
+                self.table[[self.features.index(f) for f in met]] += phi
+        self.size = self.table.nbytes
+
+    def _shares(self, conds, features: list[int]) -> np.ndarray:
+        z = np.ones(len(features))
+        for i, _, share in conds:
+            z[features.index(int(self.forest.feature[i]))] *= share
+        return z
+
+    def nodes(self) -> list[int]:
+        return [i for conds in self.path.values() for i, _ in conds] + self.splits
+
+    def add(self, left: dict, out: np.ndarray) -> None:
+        """Adds the values to ``out`` (a row per feature); ``left`` tells for
+        each split which rows go left."""
+        if not self.features:
+            return
+        met = []
+        for conds in self.path.values():
+            m = None
+            for i, goes_left in conds:
+                own = left[i] if goes_left else ~left[i]
+                m = own if m is None else m & own
+            met.append(m)
+        if self.table is None:
+            for f, phi in zip(self.path, _shapley(self.value, np.array(met, float), self.z)):
+                out[f] += phi
+            return
+        column = np.zeros(out.shape[1], np.uint8)
+        for j, m in enumerate([*met, *(left[i] for i in self.splits)]):
+            column |= m.view(np.uint8) << np.uint8(j)
+        column = column.astype(np.intp)
+        for f, values in zip(self.features, self.table):
+            out[f] += values[column]
+
+
+def _add_tree(forest: PackedTrees, k: int, x: np.ndarray, out: np.ndarray) -> None:
+    left: dict = {}
+    for part in forest.subtrees(k):
+        # neighbours share their path
+        left = {i: left[i] if i in left else forest.goes_left(i, x) for i in part.nodes()}
+        part.add(left, out)
 
 
 def _with_group(rows: DataFrame, packed, n_features: int) -> DataFrame:
@@ -175,16 +307,15 @@ def _with_group(rows: DataFrame, packed, n_features: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, phi = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features) for i in (at_x, at_phi))
-            phi = phi.copy()
+            x, phi = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features).T.copy()
+                      for i in (at_x, at_phi))
             for k, w in enumerate(forest.weight):
                 part = np.zeros_like(phi)
-                for leaf in forest.leaves(k):
-                    _leaf_shap(x, leaf, n_features, part)
+                _add_tree(forest, k, x, part)
                 phi += w * part
             cols = list(b.columns)
             cols[at_phi] = pa.ListArray.from_arrays(
-                np.arange(0, phi.size + 1, n_features, dtype=np.int32), pa.array(phi.reshape(-1)))
+                np.arange(0, phi.size + 1, n_features, dtype=np.int32), pa.array(phi.T.reshape(-1)))
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
     return rows.mapInArrow(run, rows.schema)
 

@@ -196,3 +196,57 @@ def test_chain_on_fitted_steps_equals_the_whole_fit(spark, strategy):
     assert near(whole.scaler.params, short.scaler.params) and near(whole.outliers.bounds, short.outliers.bounds)
     rows = lambda df: sorted(tuple(round(v, 6) for v in r) for r in df.collect())
     assert rows(short.transform(s)) == rows(short.transform(base, prepared=True)) == rows(whole.transform(s))
+
+
+def test_gold_split_drops_training_duplicates_once(spark, monkeypatch):
+    from tabforge.catalog import modelling
+    from tabforge.plans import layers
+    seen, rows = [], layers._gold_rows
+    monkeypatch.setattr(layers, "_gold_rows", lambda df: seen.append(df) or rows(df))
+    _, _, train, _ = modelling._gold_split(spark, SF)
+    assert len(seen) == 2           # training and evaluation rows
+    assert train.count() and "Aggregate" not in plan_of(train)
+
+
+@pytest.mark.parametrize("depth", [4, 9])
+def test_tree_contributions_take_tables(spark, monkeypatch, depth):
+    """Leaves of few facts are worked out per combination, not per row; the
+    others row by row.  Both give the sums over leaves, also for categories
+    and missing values."""
+    import numpy as np
+    from tabforge.operators.model import treeshap
+    from tabforge.operators.model.estimators import assemble, make_estimator
+    rng = np.random.default_rng(8)
+    x = np.c_[rng.normal(size=(600, 8)), rng.integers(0, 6, 600)]
+    y = x[:, :8] @ np.arange(1, 9) + np.sin(3 * x[:, 0]) * 5 * x[:, 1] + np.where(np.isin(x[:, 8], [1, 4]), 9, -9)
+    feats = [f"f{i}" for i in range(9)]
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"{c} double" for c in [*feats, "y"]))
+    v = assemble(df, feats, nominal={"f8": 6})
+    model = make_estimator("RandomForestRegressor", {"n_estimators": 2, "max_depth": depth, "random_state": 3}, label="y",
+                           nominal={"f8": 6}).fit(v)
+    nodes, weights = treeshap._node_table(spark, model)
+    forest = treeshap._pack(nodes, [0, 1], weights)
+    x[5, :8] = np.nan
+    widths, shapley = [], treeshap._shapley
+    monkeypatch.setattr(treeshap, "_shapley", lambda value, met, z: widths.append(met.shape[1]) or shapley(value, met, z))
+    for k in range(2):
+        want = np.zeros((9, 600))
+        for value, _, conds in forest.leaves(k):
+            names = sorted({c[0] for c in conds})
+            met, z = np.ones((len(names), 600)), np.ones(len(names))
+            for f, left, cut, categories, share in conds:
+                inside = x[:, f] <= cut if categories is None else np.isin(x[:, f], categories)
+                met[names.index(f)] *= inside if left else ~inside
+                z[names.index(f)] *= share
+            want[names] += shapley(value, met, z)
+        for _ in range(2):          # the second time from kept tables
+            got = np.zeros((9, 600))
+            treeshap._add_tree(forest, k, x.T.copy(), got)
+            assert np.allclose(got, want, atol=1e-9)
+    limit = 1 << treeshap.TABLE_BITS
+    assert widths and all(w <= limit for w in widths) == (depth == 4)
+    widths.clear()
+    forest.kept.clear()
+    monkeypatch.setattr(treeshap, "TABLE_BYTES", 0)
+    treeshap._add_tree(forest, 0, x.T.copy(), np.zeros((9, 600)))
+    assert widths and not forest.kept
