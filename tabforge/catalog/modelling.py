@@ -278,8 +278,9 @@ def _tree_eval(spark, sf, name, params, categorical=False):
     nominal = nominal_sizes(gm.encoder, feats) if categorical else None
     model = make_estimator(name, params, label=C.TARGET, nominal=nominal).fit(
         assemble(tr, feats, nominal=nominal))
-    pred = model.transform(assemble(te, feats, nominal=nominal)).select(
-        F.col(C.TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
+    # the metrics read the predictions twice
+    pred = write_table(model.transform(assemble(te, feats, nominal=nominal)).select(
+        F.col(C.TARGET).alias("y_true"), F.col("prediction").alias("y_pred")), "predictions")
     met = metrics.regression_metrics(pred)
     imp = coefficients_table(spark, model, feats)
     return met, imp

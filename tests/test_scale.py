@@ -250,3 +250,76 @@ def test_tree_contributions_take_tables(spark, monkeypatch, depth):
     monkeypatch.setattr(treeshap, "TABLE_BYTES", 0)
     treeshap._add_tree(forest, 0, x.T.copy(), np.zeros((9, 600)))
     assert widths and not forest.kept
+
+
+# --- boosted trees from blocks
+
+def boosting_rows(spark, n=6000):
+    import numpy as np
+    from tabforge.operators.model.estimators import assemble
+    rng = np.random.default_rng(5)
+    cat, x = rng.integers(0, 6, n), rng.normal(size=(n, 4))
+    x[:, 2], x[:, 3] = rng.integers(0, 5, n), 1.5
+    y = 3 * x[:, 0] + np.sin(4 * x[:, 1]) + np.where(np.isin(cat, [1, 4]), 5, -2) + x[:, 2] * x[:, 0] + rng.normal(size=n)
+    df = spark.createDataFrame([(*map(float, r), float(c), float(v)) for r, c, v in zip(x, cat, y)],
+                               "a double, b double, c double, constant double, cat double, y double").repartition(5)
+    return assemble(df, ["a", "b", "c", "constant", "cat"], nominal={"cat": 6})
+
+
+def shapes(model):
+    import re
+    number = r"-?\d+\.\d+(?:E-?\d+)?"
+    text = model.toDebugString.split("\n", 1)[1]
+    return re.sub(number, "#", text), [float(z) for z in re.findall(number, text)]
+
+
+@pytest.mark.parametrize("options", [{}, {"minInfoGain": 0.02}, {"maxDepth": 1}, {"maxIter": 1}])
+def test_boosting_from_blocks_grows_the_same_trees(spark, monkeypatch, options):
+    import numpy as np
+    from pyspark.ml.regression import GBTRegressor
+    from tabforge.operators.model import gbt
+    v = boosting_rows(spark)
+    options = {"labelCol": "y", "maxIter": 4, "maxDepth": 4, "minInstancesPerNode": 40, "seed": 42, **options}
+    want = GBTRegressor(**options).fit(v)
+    monkeypatch.setattr(gbt, "LEAST_ROWS", 0)
+    monkeypatch.setattr(gbt, "PARTS_AT_ONCE", 2)
+    monkeypatch.setattr(gbt, "SUMS_BYTES", 3 * 24 * 150)        # a few nodes a pass
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda *a: pytest.fail("MLlib's own fit"))
+    got = gbt.BlockGBTRegressor(**options).fit(v)
+    assert shapes(got)[0] == shapes(want)[0] and np.allclose(shapes(got)[1], shapes(want)[1], rtol=1e-9)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), rtol=1e-9)
+    assert got.treeWeights == want.treeWeights and got.getStepSize() == want.getStepSize()
+    pairs = [[r["prediction"] for r in m.transform(v).orderBy("a", "b").collect()] for m in (got, want)]
+    assert np.allclose(*pairs, rtol=1e-9)
+
+
+def test_boosting_from_blocks_of_one_label_and_in_bundles(spark, monkeypatch, tmp_path):
+    from pyspark.ml.regression import GBTRegressionModel
+    from tabforge.operators.model import gbt
+    from tabforge.operators.model.estimators import make_estimator
+    monkeypatch.setattr(gbt, "LEAST_ROWS", 0)
+    v = boosting_rows(spark, 300)
+    flat = make_estimator("GBTRegressor", {"n_estimators": 3}, label="constant").fit(v)
+    assert {r["prediction"] for r in flat.transform(v).collect()} == {1.5}
+    model = make_estimator("GBTRegressor", {"n_estimators": 3, "random_state": 1}, label="y", nominal={"cat": 6}).fit(v)
+    model.write().save(str(tmp_path / "m"))
+    back = GBTRegressionModel.load(str(tmp_path / "m"))
+    assert back.toDebugString.split("\n", 1)[1] == model.toDebugString.split("\n", 1)[1]
+
+
+@pytest.mark.parametrize("params, rows", [({}, 10 ** 6), ({"subsample": 0.5}, 0), ({"colsample": 0.5}, 0)])
+def test_boosting_that_stays_with_mllib(spark, monkeypatch, params, rows):
+    from tabforge.operators.model import gbt
+    from tabforge.operators.model.estimators import make_estimator
+    monkeypatch.setattr(gbt, "LEAST_ROWS", rows)
+    monkeypatch.setattr(gbt.BlockGBTRegressor, "_fit_blocks", lambda *a: pytest.fail("blocks"))
+    v = boosting_rows(spark, 300)
+    assert make_estimator("GBTRegressor", {"n_estimators": 2, **params}, label="y", nominal={"cat": 6}).fit(v).getNumTrees == 2
+
+
+def test_evaluated_predictions_are_written_once(spark, monkeypatch):
+    from tabforge.catalog import modelling
+    seen, evaluate = [], modelling.metrics.regression_metrics
+    monkeypatch.setattr(modelling.metrics, "regression_metrics", lambda df: seen.append(df) or evaluate(df))
+    modelling._tree_eval(spark, SF, "LGBMRegressor", {"n_estimators": 1, "max_depth": 2}, categorical=True)
+    assert len(seen) == 1 and "Aggregate" not in plan_of(seen[0]) and "UDF" not in plan_of(seen[0])
